@@ -146,6 +146,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({render(FIXTURES[n], 'duckdb')})" for n in used)
     body = sql.strip()
+    if re.match(r"WITH\s+RECURSIVE\b", body, re.I):
+        return f"WITH RECURSIVE {ctes},\n{re.sub(r'^WITH\s+RECURSIVE\s+', '', body, flags=re.I)}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -49,46 +49,61 @@ def list_active(df: DataFrame, order_by: Sequence[str] = ("path",)) -> DataFrame
     return df.filter(F.col("trashed_at").isNull()).orderBy(*order_by)
 
 
-def list_revisions(revisions: DataFrame, notebook_id, cols: Sequence[str] = ("notebook_id", "rev", "author"),
-                   order_col: str = "rev") -> DataFrame:
-    """One notebook's revisions newest first, snapshot body left out."""
-    return (revisions.filter(F.col("notebook_id") == F.lit(notebook_id))
-            .select(*cols).orderBy(F.col(order_col).desc()))
+def list_revisions(revisions: DataFrame, notebook_id=None,
+                   cols: Sequence[str] = ("notebook_id", "rev", "author"), order_col: str = "rev") -> DataFrame:
+    """Revisions newest first, snapshot body left out.
+
+    With ``notebook_id`` one notebook's list; without, every notebook's list
+    in one pass (ordered by notebook, then newest first).
+    """
+    r = revisions if notebook_id is None else revisions.filter(F.col("notebook_id") == F.lit(notebook_id))
+    return r.select(*cols).orderBy("notebook_id", F.col(order_col).desc())
 
 
-def list_grants(grants: DataFrame, object_type: str, object_id: str) -> DataFrame:
-    """Grants on one object, by principal type then id."""
-    return (grants.filter((F.col("object_type") == object_type) & (F.col("object_id") == object_id))
-            .orderBy("principal_type", "principal_id"))
+def list_grants(grants: DataFrame, object_type: str | None = None, object_id: str | None = None) -> DataFrame:
+    """Grants of an object by principal type then id (R5); all objects when not given."""
+    g = grants
+    if object_type is not None:
+        g = g.filter((F.col("object_type") == object_type) & (F.col("object_id") == object_id))
+    return g.orderBy("object_type", "object_id", "principal_type", "principal_id")
 
 
 # --- W1 ------------------------------------------------------------------------
 
-def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
-                  order_col: str) -> tuple[DataFrame, DataFrame]:
-    """Append rows of ``new`` whose unique keys are free.
+def tag_conflicts(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
+                  order_col: str) -> DataFrame:
+    """``new`` plus ``reason``: why a row may not be inserted, NULL when free.
 
-    Returns ``(table, conflicts)``.  A new row conflicts when, for some unique
-    key, an existing row or an earlier row of the same batch (by
-    ``order_col``) has the same non-NULL key; NULL keys never conflict, as in
-    SQL.  ``conflicts`` carries a ``reason`` naming the key.
+    For each unique key (non-NULL), a row conflicts when an existing row has
+    it (``exists:<key>``) or an earlier row of the batch by ``order_col``
+    does (``duplicate:<key>``).  "Earlier" is found with a per-key ``min``
+    aggregate joined back, not a window sort, so a hot key stays cheap.
     """
     tagged = new.withColumn("_reason", F.lit(None).cast("string"))
     for key in unique_keys:
         key = list(key)
         name = "+".join(key)
-        taken = base.filter(_key_cond(key)).select(*key).distinct()
-        hit_base = tagged.join(taken.withColumn("_hit", F.lit(True)), key, "left")
-        first = (new.filter(_key_cond(key)).groupBy(*key)
-                 .agg(F.min(order_col).alias("_first")))
-        hit = hit_base.join(first, key, "left")
+        taken = base.filter(_key_cond(key)).select(*key).distinct().withColumn("_hit", F.lit(True))
+        first = new.filter(_key_cond(key)).groupBy(*key).agg(F.min(order_col).alias("_first"))
+        hit = tagged.join(taken, key, "left").join(first, key, "left")
         dup = F.col("_first").isNotNull() & (F.col(order_col) > F.col("_first"))
         reason = (F.when(F.col("_reason").isNotNull(), F.col("_reason"))
                   .when(F.coalesce(F.col("_hit"), F.lit(False)), F.lit(f"exists:{name}"))
                   .when(dup, F.lit(f"duplicate:{name}")))
         tagged = hit.withColumn("_reason", reason).drop("_hit", "_first")
-    ok = tagged.filter(F.col("_reason").isNull()).drop("_reason")
-    bad = tagged.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")
+    return tagged.withColumnRenamed("_reason", "reason")
+
+
+def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
+                  order_col: str) -> tuple[DataFrame, DataFrame]:
+    """Append rows of ``new`` whose unique keys are free.
+
+    Returns ``(table, conflicts)``; NULL keys never conflict, as in SQL.  See
+    :func:`tag_conflicts` for the rule.
+    """
+    tagged = tag_conflicts(base, new, unique_keys, order_col)
+    ok = tagged.filter(F.col("reason").isNull()).drop("reason")
+    bad = tagged.filter(F.col("reason").isNotNull())
     return base.unionByName(ok.select(*base.columns)), bad
 
 
@@ -216,8 +231,8 @@ def clone_rows(df: DataFrame, picks: DataFrame, key: str = "id", name_col: str =
     j = df.join(picks.select(key, "new_name"), key)
     name = F.coalesce(F.nullif(F.trim(F.col("new_name")), F.lit("")), F.concat(F.col(name_col), F.lit("-clone")))
     seed = F.concat_ws("/", F.col(key).cast("string"), name)
-    out = j.withColumn(name_col, name).withColumn(cr_col, X.cr_name(name, seed))
-    return out.withColumn("source_id", F.col(key)).drop("new_name")
+    out = j.withColumns({name_col: name, cr_col: X.cr_name(name, seed), "source_id": F.col(key)})
+    return out.drop("new_name")
 
 
 def add_columns(df: DataFrame, defaults: dict) -> DataFrame:

@@ -1 +1,215 @@
-"""Registered queries."""
+"""Registered registry queries: R1-R5 reads and W1-W12 mutations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lakeops.fixtures import fixture
+from lakeops.functions import exprs as X
+from lakeops.operators import access as A, registry as G
+from lakeops.plans.catalogue import query
+
+# Fixed parameters of the mutation queries.
+CUTOFF = "1996-01-01 00:00:00"
+UPDATED_AT = "2024-02-01 00:00:00"
+TRASHED_AT = "2024-03-01 00:00:00"
+
+_VALID = """
+WITH vg AS (
+  SELECT g.* FROM fx_grants g JOIN fx_ladders l ON l.object_type = g.object_type AND l.level = g.level
+  WHERE g.principal_type IN ('user', 'group') AND g.principal_id <> '')
+"""
+
+
+def _valid_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = A.split_valid(A.validate_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark)))
+    return valid.drop("rnk", "reason")
+
+
+@query("lookup", """
+WITH k AS (SELECT DISTINCT attached_cluster_id AS id FROM fx_notebooks WHERE attached_cluster_id IS NOT NULL)
+SELECT k.id, c.id IS NOT NULL AS found, c.cr_name FROM k LEFT JOIN fx_clusters c ON c.id = k.id""")
+def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = (fixture(spark, sf_dir, "fx_notebooks").filter(F.col("attached_cluster_id").isNotNull())
+            .select(F.col("attached_cluster_id").alias("id")).distinct())
+    found = fixture(spark, sf_dir, "fx_clusters").select("id", "cr_name", F.lit(True).alias("found"))
+    j = keys.join(found, "id", "left")
+    return j.select("id", F.coalesce("found", F.lit(False)).alias("found"), "cr_name")
+
+
+@query("list_ordered", "SELECT grant_seq, created_at, object_type, object_id FROM fx_grants")
+def q_list_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fixture(spark, sf_dir, "fx_grants").select("grant_seq", "created_at", "object_type", "object_id")
+    return G.list_ordered(g, ("created_at", "grant_seq"))
+
+
+@query("list_active", "SELECT notebook_id, path FROM fx_notebooks WHERE trashed_at IS NULL")
+def q_list_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.list_active(fixture(spark, sf_dir, "fx_notebooks")).select("notebook_id", "path")
+
+
+@query("list_revisions", "SELECT notebook_id, rev, author FROM fx_revisions")
+def q_list_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.list_revisions(fixture(spark, sf_dir, "fx_revisions"))
+
+
+@query("list_grants", _VALID + """
+SELECT object_type, object_id, principal_type, principal_id, arg_max(level, grant_seq) AS level
+FROM vg GROUP BY ALL""")
+def q_list_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark))
+    return G.list_grants(cur).select(*A.GRANT_KEY, "level")
+
+
+@query("insert_unique", _VALID + f""",
+base AS (SELECT object_type, object_id, principal_type, principal_id, arg_max(level, grant_seq) AS level,
+           max(grant_seq) AS grant_seq FROM vg WHERE created_at < TIMESTAMP '{CUTOFF}' GROUP BY ALL),
+new AS (SELECT object_type, object_id, principal_type, principal_id, level, grant_seq FROM vg
+        WHERE created_at >= TIMESTAMP '{CUTOFF}'),
+tagged AS (
+  SELECT n.*, CASE
+    WHEN EXISTS (SELECT 1 FROM base b WHERE b.object_type = n.object_type AND b.object_id = n.object_id
+                 AND b.principal_type = n.principal_type AND b.principal_id = n.principal_id)
+      THEN 'exists:object_type+object_id+principal_type+principal_id'
+    WHEN n.grant_seq > (SELECT min(m.grant_seq) FROM new m WHERE m.object_type = n.object_type AND m.object_id = n.object_id
+                 AND m.principal_type = n.principal_type AND m.principal_id = n.principal_id)
+      THEN 'duplicate:object_type+object_id+principal_type+principal_id'
+    ELSE 'inserted' END AS status FROM new n)
+SELECT *, 'existing' AS status FROM base UNION ALL SELECT * FROM tagged""")
+def q_insert_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vg = _valid_grants(spark, sf_dir).select(*A.GRANT_KEY, "level", "grant_seq", "created_at")
+    cutoff = X.ntz(CUTOFF)
+    base = G.upsert_latest(None, vg.filter(F.col("created_at") < cutoff), A.GRANT_KEY, "grant_seq").drop("created_at")
+    new = vg.filter(F.col("created_at") >= cutoff).drop("created_at")
+    tagged = G.tag_conflicts(base, new, [A.GRANT_KEY], "grant_seq")
+    cols = [*A.GRANT_KEY, "level", "grant_seq"]
+    return (base.select(*cols, F.lit("existing").alias("status"))
+            .unionByName(tagged.select(*cols, F.coalesce("reason", F.lit("inserted")).alias("status"))))
+
+
+_UPD_SQL = f"""
+WITH ch AS (SELECT id, 'Stopped' AS desired_state, true AS pinned FROM fx_clusters WHERE id % 10 = 3
+            UNION ALL SELECT -1 - id, 'Stopped', true FROM fx_clusters WHERE id % 10 = 7)
+SELECT c.id, c.phase, COALESCE(ch.desired_state, c.desired_state) AS desired_state, COALESCE(ch.pinned, c.pinned) AS pinned,
+  CASE WHEN ch.id IS NOT NULL THEN TIMESTAMP '{UPDATED_AT}' END AS updated_at,
+  CASE WHEN ch.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS status
+FROM fx_clusters c LEFT JOIN ch ON ch.id = c.id
+UNION ALL
+SELECT ch.id, NULL, NULL, NULL, NULL, 'unknown' FROM ch WHERE ch.id NOT IN (SELECT id FROM fx_clusters)"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fixture(spark, sf_dir, "fx_clusters")
+    known = c.filter(F.col("id") % 10 == 3).select("id")
+    unknown = c.filter(F.col("id") % 10 == 7).select((-1 - F.col("id")).alias("id"))
+    return known.unionByName(unknown).select("id", F.lit("Stopped").alias("desired_state"),
+                                             F.lit(True).alias("pinned"))
+
+
+@query("update_by_key", _UPD_SQL)
+def q_update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = fixture(spark, sf_dir, "fx_clusters").select("id", "phase", "desired_state", "pinned")
+    table, unknown = G.update_by_key(base, _changes(spark, sf_dir), ["id"], at=X.ntz(UPDATED_AT))
+    status = F.when(F.col("updated_at").isNotNull(), "updated").otherwise("unchanged")
+    nul = F.lit(None)
+    return (table.withColumn("status", status)
+            .unionByName(unknown.select("id", nul.cast("string").alias("phase"), nul.cast("string").alias("desired_state"),
+                                        nul.cast("boolean").alias("pinned"), nul.cast("timestamp_ntz").alias("updated_at"),
+                                        F.lit("unknown").alias("status"))))
+
+
+@query("delete_by_key", """
+WITH k AS (SELECT id FROM fx_clusters WHERE id % 10 = 3 UNION ALL SELECT -1 - id FROM fx_clusters WHERE id % 10 = 7)
+SELECT id, 'kept' AS status FROM fx_clusters WHERE id NOT IN (SELECT id FROM k)
+UNION ALL SELECT id, 'unmatched' FROM k WHERE id NOT IN (SELECT id FROM fx_clusters)""")
+def q_delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = fixture(spark, sf_dir, "fx_clusters")
+    table, unmatched = G.delete_by_key(base, _changes(spark, sf_dir), ["id"])
+    return (table.select("id", F.lit("kept").alias("status"))
+            .unionByName(unmatched.select("id", F.lit("unmatched").alias("status"))))
+
+
+@query("soft_delete", f"""
+WITH k AS (SELECT notebook_id FROM fx_notebooks WHERE notebook_id % 6 = 1
+           UNION ALL SELECT -1 - notebook_id FROM fx_notebooks WHERE notebook_id % 6 = 5)
+SELECT notebook_id, CASE WHEN notebook_id IN (SELECT notebook_id FROM k) THEN TIMESTAMP '{TRASHED_AT}' ELSE trashed_at END AS trashed_at,
+  'row' AS status FROM fx_notebooks
+UNION ALL SELECT notebook_id, NULL, 'unmatched' FROM k WHERE notebook_id NOT IN (SELECT notebook_id FROM fx_notebooks)""")
+def q_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nb = fixture(spark, sf_dir, "fx_notebooks")
+    keys = (nb.filter(F.col("notebook_id") % 6 == 1).select("notebook_id")
+            .unionByName(nb.filter(F.col("notebook_id") % 6 == 5).select((-1 - F.col("notebook_id")).alias("notebook_id"))))
+    table, unmatched = G.soft_delete(nb, keys, ["notebook_id"], X.ntz(TRASHED_AT))
+    return (table.select("notebook_id", "trashed_at", F.lit("row").alias("status"))
+            .unionByName(unmatched.select("notebook_id", F.lit(None).cast("timestamp_ntz").alias("trashed_at"),
+                                          F.lit("unmatched").alias("status"))))
+
+
+@query("cascade_delete", """
+SELECT r.notebook_id, r.rev FROM fx_revisions r
+WHERE r.notebook_id IN (SELECT notebook_id FROM fx_notebooks WHERE trashed_at IS NULL)""")
+def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = fixture(spark, sf_dir, "fx_notebooks").filter(F.col("trashed_at").isNull())
+    rev = fixture(spark, sf_dir, "fx_revisions")
+    return G.cascade_delete(kept, rev, "notebook_id", "notebook_id").select("notebook_id", "rev")
+
+
+@query("set_null_fk", """
+SELECT n.notebook_id, CASE WHEN c.id IS NOT NULL THEN n.attached_cluster_id END AS attached_cluster_id
+FROM fx_notebooks n LEFT JOIN fx_clusters c ON c.id = n.attached_cluster_id""")
+def q_set_null_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nb = fixture(spark, sf_dir, "fx_notebooks").select("notebook_id", "attached_cluster_id")
+    return G.set_null_fk(nb, fixture(spark, sf_dir, "fx_clusters"), "attached_cluster_id", "id")
+
+
+@query("folder_closure", """
+WITH RECURSIVE closure(ancestor_id, folder_id, depth) AS (
+  SELECT folder_id, folder_id, 0 FROM fx_folders
+  UNION ALL
+  SELECT f.parent_id, c.folder_id, c.depth + 1 FROM closure c JOIN fx_folders f ON f.folder_id = c.ancestor_id
+  WHERE f.parent_id IS NOT NULL)
+SELECT ancestor_id, folder_id, depth FROM closure""")
+def q_folder_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.folder_closure(fixture(spark, sf_dir, "fx_folders"))
+
+
+@query("unique_audit", """
+SELECT path, count(*) AS n FROM fx_notebooks WHERE path IS NOT NULL GROUP BY path HAVING count(*) > 1""")
+def q_unique_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.unique_audit(fixture(spark, sf_dir, "fx_notebooks"), ["path"])
+
+
+@query("orphan_audit", """
+SELECT notebook_id, attached_cluster_id FROM fx_notebooks n
+WHERE attached_cluster_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_clusters c WHERE c.id = n.attached_cluster_id)""")
+def q_orphan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nb = fixture(spark, sf_dir, "fx_notebooks").select("notebook_id", "attached_cluster_id")
+    return G.orphan_audit(nb, fixture(spark, sf_dir, "fx_clusters"), "attached_cluster_id", "id")
+
+
+@query("clone_rows", """
+WITH p AS (SELECT c.*, COALESCE(NULLIF(trim(CASE WHEN id % 20 = 1 THEN '  ' ELSE 'copy of ' || name END), ''), name || '-clone') AS nn
+           FROM fx_clusters c WHERE id % 10 = 1),
+s1 AS (SELECT *, regexp_replace(regexp_replace(lower(nn), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM p),
+s2 AS (SELECT *, CASE WHEN s = '' THEN 'cluster' ELSE s END AS s0 FROM s1),
+s3 AS (SELECT *, CASE WHEN length(s0) > 51 THEN regexp_replace(s0[1:51], '-+$', '') ELSE s0 END AS slug FROM s2)
+SELECT id AS source_id, nn AS name, 'qs-' || slug || '-' || sha256(concat_ws('/', CAST(id AS VARCHAR), nn))[1:8] AS cr_name,
+  owner, config FROM s3""")
+def q_clone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fixture(spark, sf_dir, "fx_clusters")
+    picks = c.filter(F.col("id") % 10 == 1).select(
+        "id", F.when(F.col("id") % 20 == 1, F.lit("  ")).otherwise(F.concat(F.lit("copy of "), "name")).alias("new_name"))
+    return G.clone_rows(c, picks).select("source_id", "name", "cr_name", "owner", "config")
+
+
+@query("add_columns", """
+SELECT id, name, CASE WHEN id % 2 = 1 THEN '{}' ELSE config END AS config,
+  CASE WHEN id % 2 = 1 THEN false ELSE pinned END AS pinned,
+  CASE WHEN id % 2 = 1 THEN 'Running' ELSE desired_state END AS desired_state,
+  CASE WHEN id % 2 = 1 THEN '' ELSE owner END AS owner FROM fx_clusters""")
+def q_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fixture(spark, sf_dir, "fx_clusters")
+    old = c.filter(F.col("id") % 2 == 1).select("id", "name")          # rows written before the change
+    new = c.filter(F.col("id") % 2 == 0).select("id", "name", "config", "pinned", "desired_state", "owner")
+    both = old.unionByName(new, allowMissingColumns=True)
+    return G.add_columns(both, {"config": "{}", "pinned": False, "desired_state": "Running", "owner": ""})
