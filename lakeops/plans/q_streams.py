@@ -1 +1,70 @@
-"""Registered queries."""
+"""Registered streaming queries: X1-X3 run to completion over the events file.
+
+Each query streams the whole events table (``availableNow``), lands its
+micro-batch output as a change log in shared storage and returns the change
+log reduced to the latest row per key, which the batch oracle then checks.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lakeops.fixtures import FIXTURES, fixture, render
+from lakeops.functions import exprs as X
+from lakeops.plans.catalogue import query
+from lakeops.session import shared_dir
+from lakeops.streaming import streams as S
+
+NOW = "2024-01-31 00:00:00"
+_STREAM_VIEW = "lakeops_events_stream"
+
+
+def stream_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture whose ``events`` input is a stream over the events file."""
+    S.file_stream(spark, f"{sf_dir}/events.parquet").createOrReplaceTempView(_STREAM_VIEW)
+    return spark.sql(re.sub(r"\bevents\b", _STREAM_VIEW, render(FIXTURES[name], "spark")))
+
+
+@query("stream_last_activity", """
+SELECT cluster_id, max(ts) AS last_activity_at FROM fx_activity GROUP BY cluster_id""")
+def q_stream_last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agg = S.stream_last_activity(stream_fixture(spark, sf_dir, "fx_activity"))
+    log = S.run_to_log(agg, shared_dir(spark, "stream_last_activity"))
+    return S.latest(spark.read.parquet(log), ["cluster_id"])
+
+
+@query("stream_cluster_events", """
+SELECT c.id AS cluster_id, time_bucket(INTERVAL '10 minutes', e.last_seen) AS window_start,
+  time_bucket(INTERVAL '10 minutes', e.last_seen) + INTERVAL '10 minutes' AS window_end,
+  count(*) AS events, CAST(sum(CASE WHEN lower(e.type) = 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS warnings
+FROM fx_cluster_events e JOIN fx_clusters c ON e.object = c.cr_name OR starts_with(e.object, c.cr_name || '-')
+GROUP BY ALL""")
+def q_stream_cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = stream_fixture(spark, sf_dir, "fx_cluster_events")
+    clusters = fixture(spark, sf_dir, "fx_clusters").select("id", "cr_name")
+    log = S.run_to_log(S.stream_cluster_events(ev, clusters), shared_dir(spark, "stream_cluster_events"))
+    return S.latest(spark.read.parquet(log), ["cluster_id", "window_start"])
+
+
+@query("stream_idle", f"""
+WITH el AS (
+  SELECT id, CASE WHEN json_type(config, '$.idle_minutes') IN ('UBIGINT', 'BIGINT')
+                  THEN CAST(json_extract(config, '$.idle_minutes') AS BIGINT) ELSE 0 END AS idle
+  FROM fx_clusters WHERE desired_state = 'Running' AND NOT pinned),
+a AS (SELECT a.cluster_id, a.ts, el.idle FROM fx_activity a JOIN el ON el.id = a.cluster_id WHERE el.idle > 0),
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + to_minutes(idle) THEN 1 ELSE 0 END AS brk
+      FROM a WINDOW w AS (PARTITION BY cluster_id ORDER BY ts)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY cluster_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT cluster_id, min(ts) AS first_at, max(ts) AS last_at, max(ts) + to_minutes(any_value(idle)) AS idle_at,
+  count(*) AS touches FROM s GROUP BY cluster_id, sid
+HAVING max(ts) + to_minutes(any_value(idle)) < TIMESTAMP '{NOW}'
+  AND max(ts) + to_minutes(any_value(idle)) <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+def q_stream_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    act = stream_fixture(spark, sf_dir, "fx_activity")
+    sessions = S.stream_idle(act, fixture(spark, sf_dir, "fx_clusters"))
+    log = S.run_to_log(sessions, shared_dir(spark, "stream_idle"), output_mode="append")
+    latest = S.latest(spark.read.parquet(log).withColumn("session_start", F.col("session.start")).drop("session"),
+                      ["cluster_id", "session_start"])
+    return S.idle_episodes(latest, X.ntz(NOW))
