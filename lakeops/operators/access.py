@@ -84,10 +84,17 @@ def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
     exp = (r.withColumn("_k", F.explode(keys)).drop("_groups")
            .withColumn("principal_type", F.col("_k.principal_type"))
            .withColumn("principal_id", F.col("_k.principal_id")).drop("_k"))
-    g = small_side(grants_ranked.select(*GRANT_KEY, F.col("rnk").alias("_g_rnk")))
+    # The grant side is an aggregate of a log that grows with the data: no
+    # eager count here; AQE broadcasts it from runtime shuffle statistics when
+    # it is small and keeps the shuffle join otherwise.
+    g = grants_ranked.select(*GRANT_KEY, F.col("rnk").alias("_g_rnk"))
     joined = exp.join(g, GRANT_KEY, "left")
-    agg = joined.groupBy(*id_cols).agg(*[F.any_value(c).alias(c) for c in carry],
-                                       F.max("_g_rnk").alias("best_rnk"))
+    # Carried columns depend on the row id, so grouping by them as well gives
+    # the same groups while keeping the buffer fixed-width (a hash aggregate
+    # with map-side partial aggregation instead of a sort aggregate).  The
+    # expanded rows of one input row sit in the same partition, so the partial
+    # aggregate collapses them before the shuffle.
+    agg = joined.groupBy(*id_cols, *carry).agg(F.max("_g_rnk").alias("best_rnk"))
     return agg.withColumn("admin", F.coalesce(F.col("_admin"), F.lit(False))).drop("_admin")
 
 

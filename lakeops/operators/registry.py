@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeops.functions import exprs as X
-from lakeops.plans.strategy import small_side
 
 
 def _key_cond(keys: Sequence[str]) -> Column:
@@ -180,7 +179,7 @@ def cascade_delete(parent_kept: DataFrame, child: DataFrame, fk: str, pk: str) -
 
 def set_null_fk(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Dangling references become NULL (W7: ON DELETE SET NULL)."""
-    p = small_side(parent.select(F.col(pk).alias(fk)).distinct().withColumn("_ok", F.lit(True)))
+    p = parent.select(F.col(pk).alias(fk)).distinct().withColumn("_ok", F.lit(True))
     j = child.join(p, fk, "left")
     return j.select(*[F.when(F.col("_ok"), F.col(c)).alias(c) if c == fk else F.col(c) for c in child.columns])
 

@@ -167,3 +167,22 @@ def q_entries_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return N.markdown_blocks(docs)
+
+
+# Three cells over the whole events table: a temp view, an aggregate that
+# reads it, a failing cell, then a cell that still sees the view.
+SQL_CELLS = [
+    "CREATE OR REPLACE TEMP VIEW cell_events AS SELECT event_type, value FROM events",
+    "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM cell_events GROUP BY event_type "
+    "ORDER BY event_type",
+    "SELECT no_such_column FROM cell_events",
+    "SELECT count(*) AS big FROM cell_events WHERE value > 100",
+]
+
+
+@query("run_sql_cells")
+def q_run_sql_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeops.fixtures import load_tables
+    from lakeops.operators.cells import frames, run_sql_cells
+    load_tables(spark, sf_dir, ["events"])
+    return frames(spark, run_sql_cells(spark, SQL_CELLS))
