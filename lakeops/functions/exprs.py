@@ -194,7 +194,11 @@ def config_normalize(config_json: ColumnLike) -> Column:
     image = F.trim(F.coalesce(F.try_variant_get(v, "$.image", "string"), F.lit("")))
 
     def smap(key: str) -> Column:
-        m = F.try_variant_get(v, f"$.{key}", "map<string,string>")
+        # from_json keeps the document's key order, so "last duplicate wins"
+        # after trimming follows the text (a variant would sort the keys).
+        raw = F.get_json_object(_c(config_json), f"$.{key}")
+        m = F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")).startswith("OBJECT"),
+                   F.from_json(raw, _STR_MAP))
         return clean_map(F.coalesce(m, F.create_map().cast(_STR_MAP)))
 
     return F.struct(
