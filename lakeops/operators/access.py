@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeops.fixtures import LADDERS
-from lakeops.plans.strategy import fixed_small, small_side
+from lakeops.plans.strategy import fixed_small
 
 GRANT_KEY = ["object_type", "object_id", "principal_type", "principal_id"]
 PRINCIPAL_TYPES = ("user", "group")
@@ -73,8 +73,7 @@ def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
     ``rows`` needs username, object_type, object_id and the identifying
     ``id_cols``; ``grants_ranked`` has the grant key and ``rnk``.
     """
-    p = small_side(principals.select("username", F.col("admin").alias("_admin"),
-                                     F.col("groups").alias("_groups")))
+    p = principals.select("username", F.col("admin").alias("_admin"), F.col("groups").alias("_groups"))
     r = rows.join(p, "username", "left")
     keys = F.concat(
         F.array(F.struct(F.lit("user").alias("principal_type"), F.col("username").alias("principal_id"))),

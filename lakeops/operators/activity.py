@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakeops.functions import exprs as X
-from lakeops.plans.strategy import small_side
 
 # Fixed value: lines of driver log a tail returns by default.
 LOG_TAIL_LINES = 500
@@ -65,7 +64,7 @@ def cluster_events(events: DataFrame, clusters: DataFrame) -> DataFrame:
     nested loop over (events x clusters).
     """
     ev = events.withColumn("_cand", F.explode(object_prefixes(F.col("object"))))
-    cl = small_side(clusters.select(F.col("cr_name").alias("_cand"), F.col("id").alias("cluster_id"), "cr_name"))
+    cl = clusters.select(F.col("cr_name").alias("_cand"), F.col("id").alias("cluster_id"), "cr_name")
     j = ev.join(cl, "_cand").drop("_cand")
     if dict(j.dtypes).get("last_seen") == "string":
         j = j.withColumn("last_seen", X.parse_time_or_null(F.col("last_seen")))

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lakeops.functions import exprs as X
-from lakeops.plans.strategy import small_side
 
 # Empty content, markers of the script export, connect URL form.
 EMPTY_CONTENT = '{"cells":[]}'
@@ -179,7 +178,7 @@ def resolve_target(notebooks: DataFrame, clusters: DataFrame, key: str = "notebo
     No attached cluster -> ``no_cluster``; attached id not in the registry ->
     ``cluster_error``; else ``ok`` with the Spark Connect URL.
     """
-    cl = small_side(clusters.select(F.col("id").alias(fk), "cr_name"))
+    cl = clusters.select(F.col("id").alias(fk), "cr_name")
     j = notebooks.select(key, fk).join(cl, fk, "left")
     blank = F.coalesce(F.col(fk).cast("string"), F.lit("")) == ""
     outcome = F.when(blank, "no_cluster").when(F.col("cr_name").isNull(), "cluster_error").otherwise("ok")
@@ -231,29 +230,29 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     Lines are classified with regexes; the ``` fence state is a running sum
     of fence lines (odd = inside code); a new block starts where the class
     changes, at each heading and at each opening fence, and block numbers are
-    the running count of starts (gaps and islands).  List items are joined
-    with newlines, paragraph lines with spaces, code lines verbatim.
+    the running count of starts (gaps and islands).  The running sums and the
+    previous-line class are computed over fixed-size chunks of the line index
+    (``lakeops.plans.ordered``), so one enormous document is still processed
+    by many tasks.  List items are joined with newlines, paragraph lines with
+    spaces, code lines verbatim.
     """
+    from lakeops.plans.ordered import previous, running_sum, with_chunks
     lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n", -1))
                         .alias("i", "line"))
-    w = Window.partitionBy(key).orderBy("i")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.trim(F.col("line")).rlike(_FENCE)
-    lines = lines.withColumn("_fence", fence).withColumn("_nf", F.sum(F.col("_fence").cast("int")).over(run))
+    lines = with_chunks(lines, "i").withColumn("_fence", F.trim(F.col("line")).rlike(_FENCE))
+    lines = running_sum(lines, key, "i", F.col("_fence").cast("int"), "_nf")
     in_code = (F.col("_nf") % 2 == 1) | F.col("_fence")
-    opening = F.col("_fence") & (F.col("_nf") % 2 == 1)
     cls = (F.when(in_code, "code")
            .when(F.trim(F.col("line")) == "", "blank")
            .when(F.col("line").rlike(_HEADING), "heading")
            .when(F.col("line").rlike(_UL), "ul")
            .when(F.col("line").rlike(_OL), "ol")
            .otherwise("p"))
-    lines = lines.withColumn("_cls", cls).withColumn("_open", opening)
-    prev = F.lag("_cls").over(w)
+    lines = lines.withColumn("_cls", cls).withColumn("_open", F.col("_fence") & (F.col("_nf") % 2 == 1))
+    lines = previous(lines, key, "i", "_cls", "_prev")
     start = (F.col("_cls") != "blank") & (F.col("_open") | (F.col("_cls") == "heading")
-                                          | ~F.coalesce(prev == F.col("_cls"), F.lit(False)))
-    lines = lines.withColumn("_start", start.cast("int"))
-    lines = lines.withColumn("block_no", F.sum("_start").over(run)).filter(F.col("_cls") != "blank")
+                                          | ~F.coalesce(F.col("_prev") == F.col("_cls"), F.lit(False)))
+    lines = running_sum(lines, key, "i", start.cast("int"), "block_no").filter(F.col("_cls") != "blank")
     payload = (F.when(F.col("_cls") == "heading", F.trim(F.regexp_extract("line", _HEADING, 2)))
                .when(F.col("_cls") == "ul", F.regexp_replace("line", _UL, ""))
                .when(F.col("_cls") == "ol", F.regexp_replace("line", _OL, ""))

@@ -62,7 +62,13 @@ def q_export_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.export_script(cells(spark, sf_dir))
 
 
-@query("export_ipynb")
+@query("export_ipynb", _CELLS + """
+SELECT notebook_id, '{"cells":[' || string_agg(
+  CASE WHEN type = 'markdown' THEN '{"cell_type":"markdown","source":' || CAST(to_json([source]) AS VARCHAR) || ',"metadata":{}}'
+       ELSE '{"cell_type":"code","source":' || CAST(to_json([source]) AS VARCHAR) ||
+            ',"metadata":{},"outputs":[],"execution_count":null}' END, ',' ORDER BY pos)
+  || '],"metadata":{"language_info":{"name":"python"}},"nbformat":4,"nbformat_minor":5}' AS ipynb
+FROM c GROUP BY notebook_id""")
 def q_export_ipynb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.export_ipynb(cells(spark, sf_dir))
 
@@ -163,7 +169,24 @@ def q_entries_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("map_id", F.explode("entries").alias("key", "value"))
 
 
-@query("markdown_blocks")
+@query("markdown_blocks", r"""
+WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS arr FROM documents),
+l AS (SELECT doc_id, i, arr[i + 1] AS line FROM (SELECT doc_id, arr, unnest(range(len(arr))) AS i FROM s)),
+f AS (SELECT *, regexp_matches(trim(line), '^```') AS fence FROM l),
+n AS (SELECT *, sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS nf FROM f),
+c AS (SELECT *, CASE WHEN nf % 2 = 1 OR fence THEN 'code' WHEN trim(line) = '' THEN 'blank'
+    WHEN regexp_matches(line, '^(#{1,6})\s+(.*)$') THEN 'heading' WHEN regexp_matches(line, '^\s*[-*]\s+') THEN 'ul'
+    WHEN regexp_matches(line, '^\s*\d+\.\s+') THEN 'ol' ELSE 'p' END AS cls, fence AND nf % 2 = 1 AS opening FROM n),
+p AS (SELECT *, lag(cls) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM c),
+b AS (SELECT *, sum(CASE WHEN cls <> 'blank' AND (opening OR cls = 'heading' OR prev IS NULL OR prev <> cls) THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS block_no FROM p),
+t AS (SELECT *, CASE WHEN cls = 'heading' THEN trim(regexp_extract(line, '^(#{1,6})\s+(.*)$', 2))
+    WHEN cls = 'ul' THEN regexp_replace(line, '^\s*[-*]\s+', '') WHEN cls = 'ol' THEN regexp_replace(line, '^\s*\d+\.\s+', '')
+    WHEN cls = 'code' AND fence THEN NULL ELSE line END AS x FROM b WHERE cls <> 'blank')
+SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, any_value(cls) AS kind,
+  CAST(max(CASE WHEN cls = 'heading' THEN length(regexp_extract(line, '^(#{1,6})\s+(.*)$', 1)) END) AS INTEGER) AS level,
+  COALESCE(CASE WHEN any_value(cls) = 'p' THEN string_agg(x, ' ' ORDER BY i) ELSE string_agg(x, chr(10) ORDER BY i) END, '') AS text
+FROM t GROUP BY doc_id, block_no""")
 def q_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return N.markdown_blocks(docs)

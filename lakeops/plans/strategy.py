@@ -1,19 +1,29 @@
-"""Join-strategy helpers shared by the operators.
-
-Broadcasting is only safe for a side whose size is proven.  ``small_side``
-proves it with a bounded count (``limit(n + 1).count()`` stops reading as soon
-as the bound is exceeded) and otherwise leaves the plan to the optimizer: a
-shuffle join, which AQE may still turn into a broadcast join from runtime
-statistics or split when a key is skewed.
+"""Join-strategy policy shared by the operators.
+
+Broadcasting is only safe for a side whose size is proven.  Three cases:
+
+* ``fixed_small`` -- a side whose size is fixed by construction (the nine-row
+  permission ladder built from a literal): broadcast hint, always.
+* Every other batch join is left to the optimizer.  Its size check is
+  Spark's own: the static planner broadcasts only below
+  ``spark.sql.autoBroadcastJoinThreshold`` (from file statistics), and AQE
+  re-plans from the *measured* shuffle output
+  (``spark.sql.adaptive.autoBroadcastJoinThreshold``), keeping the shuffle
+  join beyond it and splitting skewed partitions
+  (``spark.sql.adaptive.skewJoin.enabled``).  No eager job is spent on a
+  count that would itself read the whole side at scale.
+* ``small_side`` -- stream-static joins, where AQE does not run: the static
+  side is counted once, with a bound (``limit(n + 1)``), when the stream
+  starts, and broadcast only under the bound.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Rows a side may have and still be shipped to every executor.  Dimension rows
-# here (clusters, principals, ladders) are a few hundred bytes each.
-BROADCAST_MAX_ROWS = 2_000_000
+# Rows a static side may have and still be shipped to every executor.  Rows
+# here (cluster id, name, idle window) are well under 100 bytes.
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -32,7 +42,8 @@ def materialize(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Cut lineage by writing ``df`` to shared storage and reading it back.
 
     Survives executor loss (the data lives in the shared folder, not on an
-    executor) and keeps iterative plans from growing without bound.
+    executor) and pins nondeterministic columns (positions) so that every
+    later use sees the same values.
     """
     df.write.mode("overwrite").format(fmt).save(path)
     return df.sparkSession.read.format(fmt).load(path)

@@ -8,7 +8,7 @@ files is read and flattened in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakeops.functions import exprs as X
 
@@ -156,20 +156,27 @@ def millis_of(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", X.ntz("1970-01-01 00:00:00"), ts)
 
 
-def table_history(snapshots: DataFrame, key: str = "table_id") -> DataFrame:
+def table_history(snapshots: DataFrame, key: str = "table_id", path: str | None = None) -> DataFrame:
     """Snapshot history per table, newest first.
 
     Columns: key, snapshot_id, position (1 = newest), ts_text, operation
     ('—' when blank), current (the table's current snapshot: the
     ``current_snapshot_id`` column when present, else the newest), gap_ms to
-    the previous (older) snapshot.
+    the previous (older) snapshot.  Positions come from a global sort
+    (``lakeops.plans.ordered.positions``), so a table with a huge history is
+    spread over many tasks; the older neighbour is an equi-join on
+    (table, position + 1), unique on both sides.
     """
-    w = Window.partitionBy(key).orderBy(F.col("timestamp_ms").desc(), F.col("snapshot_id").desc())
-    pos = F.row_number().over(w)
-    older = F.lead("timestamp_ms").over(w)
+    from lakeops.plans.ordered import positions
+    from lakeops.session import shared_dir
+    path = path or shared_dir(snapshots.sparkSession, "table_history")
+    ranked = positions(snapshots, [key], [F.col("timestamp_ms").desc(), F.col("snapshot_id").desc()], path)
+    older = ranked.select(key, (F.col("position") - 1).alias("position"), F.col("timestamp_ms").alias("_older"))
+    j = ranked.join(older, [key, "position"], "left")
     current = (F.col("snapshot_id") == F.col("current_snapshot_id")) if "current_snapshot_id" in snapshots.columns \
-        else (pos == 1)
-    return snapshots.select(
-        key, "snapshot_id", pos.alias("position"), history_ts_text(F.col("timestamp_ms")).alias("ts_text"),
+        else (F.col("position") == 1)
+    return j.select(
+        key, "snapshot_id", F.col("position").cast("int").alias("position"),
+        history_ts_text(F.col("timestamp_ms")).alias("ts_text"),
         F.coalesce(F.nullif(F.col("operation"), F.lit("")), F.lit(NO_VALUE)).alias("operation"),
-        F.coalesce(current, F.lit(False)).alias("current"), (F.col("timestamp_ms") - older).alias("gap_ms"))
+        F.coalesce(current, F.lit(False)).alias("current"), (F.col("timestamp_ms") - F.col("_older")).alias("gap_ms"))
