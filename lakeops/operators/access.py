@@ -26,13 +26,19 @@ PRINCIPAL_TYPES = ("user", "group")
 
 
 def ladders_frame(spark: SparkSession) -> DataFrame:
-    """(object_type, level, rnk) for every ladder level; rnk 0 is the lowest."""
-    rows = [(t, lvl, i) for t, levels in LADDERS.items() for i, lvl in enumerate(levels)]
-    return spark.createDataFrame(rows, "object_type string, level string, rnk int")
+    """(object_type, level, rnk, top_rnk) for every ladder level; rnk 0 is the lowest.
+
+    A literal VALUES relation lives in the JVM plan (a LocalRelation), so no
+    Python-side data is deserialized when it is broadcast.
+    """
+    rows = ", ".join(f"('{t}', '{lvl}', {i}, {len(levels) - 1})"
+                     for t, levels in LADDERS.items() for i, lvl in enumerate(levels))
+    return spark.sql(f"SELECT object_type, level, CAST(rnk AS INT) AS rnk, CAST(top_rnk AS INT) AS top_rnk "
+                     f"FROM VALUES {rows} AS t(object_type, level, rnk, top_rnk)")
 
 
 def _tops(ladders: DataFrame) -> DataFrame:
-    return ladders.groupBy("object_type").agg(F.max("rnk").alias("top_rnk"))
+    return ladders.select("object_type", "top_rnk").distinct()
 
 
 def validate_grants(grants: DataFrame, ladders: DataFrame) -> DataFrame:
@@ -109,14 +115,16 @@ def effective_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame, g
     """``rows`` plus ``eff_rnk``: admin or owner -> top rank, else best grant (A1).
 
     Blank owner never matches; unknown levels are ignored; no grant -> NULL.
-    ``grants`` is a current grant table with ``level`` (ranked here).
+    ``grants`` is a current grant table with ``level`` (ranked here).  The
+    ladder's top rank is attached before the expansion and carried through
+    the aggregate, so the fixed-size ladder is joined once per side.
     """
-    ranked = grants.join(fixed_small(ladders.select("object_type", "level", "rnk")), ["object_type", "level"])
-    best = _with_best_rank(rows, id_cols, principals, ranked)
-    tops = fixed_small(_tops(ladders))
+    lad = fixed_small(ladders.select("object_type", "level", "rnk"))
+    ranked = grants.drop("rnk").join(lad, ["object_type", "level"])
+    with_top = rows.join(fixed_small(_tops(ladders)), "object_type", "left")
+    best = _with_best_rank(with_top, id_cols, principals, ranked)
     owner = F.coalesce((F.col("owner") != "") & (F.col("owner") == F.col("username")), F.lit(False))
-    return (best.join(tops, "object_type", "left")
-            .withColumn("eff_rnk", F.when(F.col("admin") | owner, F.col("top_rnk")).otherwise(F.col("best_rnk")))
+    return (best.withColumn("eff_rnk", F.when(F.col("admin") | owner, F.col("top_rnk")).otherwise(F.col("best_rnk")))
             .drop("top_rnk"))
 
 
@@ -139,13 +147,12 @@ def authorize(requests: DataFrame, principals: DataFrame, grants: DataFrame, lad
     denies, even for admins; a principal missing from the directory has no
     groups and no admin flag, so only its own user grants or ownership count.
     """
-    e = effective_rank(requests, [id_col], principals, grants, ladders)
     want = fixed_small(ladders.select("object_type", F.col("level").alias("required"),
                                       F.col("rnk").alias("want_rnk")))
+    e = effective_rank(requests.join(want, ["object_type", "required"], "left"), [id_col], principals, grants,
+                       ladders)
     allowed = F.coalesce(F.col("want_rnk").isNotNull() & (F.col("eff_rnk") >= F.col("want_rnk")), F.lit(False))
-    return (e.join(want, ["object_type", "required"], "left")
-            .withColumn("allowed", allowed)
-            .drop("want_rnk", "best_rnk"))
+    return e.withColumn("allowed", allowed).drop("want_rnk", "best_rnk")
 
 
 def authorized_view(objects: DataFrame, principals: DataFrame, grants: DataFrame, ladders: DataFrame,

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeops.fixtures import fixture
 from lakeops.operators import access as A
 from lakeops.plans.catalogue import query
+from lakeops.plans.strategy import materialize
+from lakeops.session import shared_dir
 
 SERVICE_USER = "service"
 
@@ -17,7 +19,14 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.current_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark))
+    """The current grant table, written to shared storage as the registry keeps it.
+
+    Reducing the grant log is a job of its own; writing its result gives the
+    access queries a real table whose size the planner reads from the files
+    (broadcast when small, shuffle join when not) and cuts the lineage.
+    """
+    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark))
+    return materialize(cur, shared_dir(spark, "current_grants"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
