@@ -11,7 +11,6 @@ from lakeops.plans.catalogue import query
 
 SAVED_AT = "2024-02-15 00:00:00"
 RESTORE_REV = 1
-MISSING_REV = 1000
 
 
 def cells_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +103,11 @@ def q_workspace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("save_revision", f"""
 SELECT n.notebook_id, 'autosave' AS message, n.owner AS author, TIMESTAMP '{SAVED_AT}' AS created_at,
   CAST((SELECT count(*) FROM fx_revisions r WHERE r.notebook_id = n.notebook_id) AS INTEGER) AS n_cells
-FROM fx_notebooks n WHERE n.notebook_id % 4 = 1""")
+FROM fx_notebooks n WHERE n.attached_cluster_id IS NOT NULL""")
 def q_save_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     nb = notebooks_with_content(spark, sf_dir)
-    picks = nb.filter(F.col("notebook_id") % 4 == 1).select("notebook_id", F.lit("autosave").alias("message"))
+    # Autosave every notebook that is attached to a cluster.
+    picks = nb.filter(F.col("attached_cluster_id").isNotNull()).select("notebook_id", F.lit("autosave").alias("message"))
     rev = N.save_revision(nb, picks, X.ntz(SAVED_AT))
     n_cells = F.size(F.from_json("snapshot", N.CONTENT_SCHEMA)["cells"])
     return rev.select("notebook_id", "message", "author", "created_at", n_cells.alias("n_cells"))
@@ -132,8 +132,7 @@ def q_resolve_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("restore_revision", f"""
-WITH p AS (SELECT notebook_id, CASE WHEN notebook_id % 3 = 0 THEN {RESTORE_REV} ELSE {MISSING_REV} END AS rev
-           FROM fx_notebooks WHERE notebook_id % 3 <> 2),
+WITH p AS (SELECT notebook_id, {RESTORE_REV} AS rev FROM fx_notebooks WHERE trashed_at IS NULL),
 hit AS (SELECT p.notebook_id, p.rev, r.source FROM p JOIN fx_revisions r ON r.notebook_id = p.notebook_id AND r.rev = p.rev)
 SELECT n.notebook_id, CASE WHEN h.notebook_id IS NOT NULL THEN 'restored' ELSE 'unchanged' END AS status,
   h.rev AS restored_rev, h.source AS content FROM fx_notebooks n LEFT JOIN hit h ON h.notebook_id = n.notebook_id
@@ -143,9 +142,10 @@ WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.notebook_id = p.notebook_id)""")
 def q_restore_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     nb = notebooks_with_content(spark, sf_dir).select("notebook_id", "content")
     revs = fixture(spark, sf_dir, "fx_revisions").select("notebook_id", "rev", F.col("source").alias("snapshot"))
-    picks = (fixture(spark, sf_dir, "fx_notebooks").filter(F.col("notebook_id") % 3 != 2)
-             .select("notebook_id", F.when(F.col("notebook_id") % 3 == 0, F.lit(RESTORE_REV))
-                     .otherwise(F.lit(MISSING_REV)).cast("long").alias("rev")))
+    # Every notebook not in the trash goes back to its first revision; those
+    # without one are reported.
+    picks = (fixture(spark, sf_dir, "fx_notebooks").filter(F.col("trashed_at").isNull())
+             .select("notebook_id", F.lit(RESTORE_REV).cast("long").alias("rev")))
     restored, unknown = N.restore_revision(nb, revs, picks)
     done = F.col("restored_rev").isNotNull()
     return (restored.select("notebook_id", F.when(done, "restored").otherwise("unchanged").alias("status"),

@@ -88,8 +88,8 @@ def q_insert_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPD_SQL = f"""
-WITH ch AS (SELECT id, 'Stopped' AS desired_state, true AS pinned FROM fx_clusters WHERE id % 10 = 3
-            UNION ALL SELECT -1 - id, 'Stopped', true FROM fx_clusters WHERE id % 10 = 7)
+WITH ch AS (SELECT DISTINCT attached_cluster_id AS id, 'Running' AS desired_state, true AS pinned
+            FROM fx_notebooks WHERE attached_cluster_id IS NOT NULL)
 SELECT c.id, c.phase, COALESCE(ch.desired_state, c.desired_state) AS desired_state, COALESCE(ch.pinned, c.pinned) AS pinned,
   CASE WHEN ch.id IS NOT NULL THEN TIMESTAMP '{UPDATED_AT}' END AS updated_at,
   CASE WHEN ch.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS status
@@ -99,11 +99,13 @@ SELECT ch.id, NULL, NULL, NULL, NULL, 'unknown' FROM ch WHERE ch.id NOT IN (SELE
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fixture(spark, sf_dir, "fx_clusters")
-    known = c.filter(F.col("id") % 10 == 3).select("id")
-    unknown = c.filter(F.col("id") % 10 == 7).select((-1 - F.col("id")).alias("id"))
-    return known.unionByName(unknown).select("id", F.lit("Stopped").alias("desired_state"),
-                                             F.lit(True).alias("pinned"))
+    """Pin and keep running every cluster a notebook is attached to.
+
+    Dangling attachments (ids the registry does not have) are the unknown keys.
+    """
+    nb = fixture(spark, sf_dir, "fx_notebooks").filter(F.col("attached_cluster_id").isNotNull())
+    return nb.select(F.col("attached_cluster_id").alias("id")).distinct().select(
+        "id", F.lit("Running").alias("desired_state"), F.lit(True).alias("pinned"))
 
 
 @query("update_by_key", _UPD_SQL)
@@ -119,26 +121,39 @@ def q_update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("delete_by_key", """
-WITH k AS (SELECT id FROM fx_clusters WHERE id % 10 = 3 UNION ALL SELECT -1 - id FROM fx_clusters WHERE id % 10 = 7)
+WITH k AS (SELECT DISTINCT attached_cluster_id AS id FROM fx_notebooks
+           WHERE trashed_at IS NOT NULL AND attached_cluster_id IS NOT NULL)
 SELECT id, 'kept' AS status FROM fx_clusters WHERE id NOT IN (SELECT id FROM k)
 UNION ALL SELECT id, 'unmatched' FROM k WHERE id NOT IN (SELECT id FROM fx_clusters)""")
 def q_delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fixture(spark, sf_dir, "fx_clusters")
-    table, unmatched = G.delete_by_key(base, _changes(spark, sf_dir), ["id"])
+    # Clean-up: delete the clusters that trashed notebooks were attached to.
+    nb = fixture(spark, sf_dir, "fx_notebooks")
+    keys = (nb.filter(F.col("trashed_at").isNotNull() & F.col("attached_cluster_id").isNotNull())
+            .select(F.col("attached_cluster_id").alias("id")).distinct())
+    table, unmatched = G.delete_by_key(base, keys, ["id"])
     return (table.select("id", F.lit("kept").alias("status"))
             .unionByName(unmatched.select("id", F.lit("unmatched").alias("status"))))
 
 
 @query("soft_delete", f"""
-WITH k AS (SELECT notebook_id FROM fx_notebooks WHERE notebook_id % 6 = 1
-           UNION ALL SELECT -1 - notebook_id FROM fx_notebooks WHERE notebook_id % 6 = 5)
+WITH k AS (SELECT n.notebook_id FROM fx_notebooks n JOIN fx_clusters c ON c.id = n.attached_cluster_id
+           WHERE c.desired_state = 'Stopped'
+           UNION ALL SELECT DISTINCT r.notebook_id FROM fx_revisions r
+           WHERE r.author = 'system' AND r.notebook_id NOT IN (SELECT notebook_id FROM fx_notebooks))
 SELECT notebook_id, CASE WHEN notebook_id IN (SELECT notebook_id FROM k) THEN TIMESTAMP '{TRASHED_AT}' ELSE trashed_at END AS trashed_at,
   'row' AS status FROM fx_notebooks
 UNION ALL SELECT notebook_id, NULL, 'unmatched' FROM k WHERE notebook_id NOT IN (SELECT notebook_id FROM fx_notebooks)""")
 def q_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     nb = fixture(spark, sf_dir, "fx_notebooks")
-    keys = (nb.filter(F.col("notebook_id") % 6 == 1).select("notebook_id")
-            .unionByName(nb.filter(F.col("notebook_id") % 6 == 5).select((-1 - F.col("notebook_id")).alias("notebook_id"))))
+    # Trash every notebook attached to a stopped cluster, plus any notebook a
+    # system-authored revision names (unknown ones are reported back).
+    stopped = fixture(spark, sf_dir, "fx_clusters").filter(F.col("desired_state") == "Stopped")
+    keys = (nb.join(stopped.select(F.col("id").alias("attached_cluster_id")), "attached_cluster_id")
+            .select("notebook_id")
+            .unionByName(fixture(spark, sf_dir, "fx_revisions").filter(F.col("author") == "system")
+                         .select("notebook_id").distinct()
+                         .join(nb.select("notebook_id"), "notebook_id", "left_anti")))
     table, unmatched = G.soft_delete(nb, keys, ["notebook_id"], X.ntz(TRASHED_AT))
     return (table.select("notebook_id", "trashed_at", F.lit("row").alias("status"))
             .unionByName(unmatched.select("notebook_id", F.lit(None).cast("timestamp_ntz").alias("trashed_at"),
@@ -188,8 +203,8 @@ def q_orphan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("clone_rows", """
-WITH p AS (SELECT c.*, COALESCE(NULLIF(trim(CASE WHEN id % 20 = 1 THEN '  ' ELSE 'copy of ' || name END), ''), name || '-clone') AS nn
-           FROM fx_clusters c WHERE id % 10 = 1),
+WITH p AS (SELECT c.*, COALESCE(NULLIF(trim(CASE WHEN desired_state = 'Stopped' THEN '  ' ELSE 'copy of ' || name END), ''),
+             name || '-clone') AS nn FROM fx_clusters c WHERE pinned),
 s1 AS (SELECT *, regexp_replace(regexp_replace(lower(nn), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM p),
 s2 AS (SELECT *, CASE WHEN s = '' THEN 'cluster' ELSE s END AS s0 FROM s1),
 s3 AS (SELECT *, CASE WHEN length(s0) > 51 THEN regexp_replace(s0[1:51], '-+$', '') ELSE s0 END AS slug FROM s2)
@@ -197,19 +212,22 @@ SELECT id AS source_id, nn AS name, 'qs-' || slug || '-' || sha256(concat_ws('/'
   owner, config FROM s3""")
 def q_clone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixture(spark, sf_dir, "fx_clusters")
-    picks = c.filter(F.col("id") % 10 == 1).select(
-        "id", F.when(F.col("id") % 20 == 1, F.lit("  ")).otherwise(F.concat(F.lit("copy of "), "name")).alias("new_name"))
+    # Clone every pinned cluster; stopped ones are cloned without a new name.
+    picks = c.filter(F.col("pinned")).select(
+        "id", F.when(F.col("desired_state") == "Stopped", F.lit("  "))
+        .otherwise(F.concat(F.lit("copy of "), "name")).alias("new_name"))
     return G.clone_rows(c, picks).select("source_id", "name", "cr_name", "owner", "config")
 
 
 @query("add_columns", """
-SELECT id, name, CASE WHEN id % 2 = 1 THEN '{}' ELSE config END AS config,
-  CASE WHEN id % 2 = 1 THEN false ELSE pinned END AS pinned,
-  CASE WHEN id % 2 = 1 THEN 'Running' ELSE desired_state END AS desired_state,
-  CASE WHEN id % 2 = 1 THEN '' ELSE owner END AS owner FROM fx_clusters""")
+SELECT id, name, CASE WHEN desired_state = 'Stopped' THEN '{}' ELSE config END AS config,
+  CASE WHEN desired_state = 'Stopped' THEN false ELSE pinned END AS pinned,
+  CASE WHEN desired_state = 'Stopped' THEN 'Running' ELSE desired_state END AS desired_state,
+  CASE WHEN desired_state = 'Stopped' THEN '' ELSE owner END AS owner FROM fx_clusters""")
 def q_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixture(spark, sf_dir, "fx_clusters")
-    old = c.filter(F.col("id") % 2 == 1).select("id", "name")          # rows written before the change
-    new = c.filter(F.col("id") % 2 == 0).select("id", "name", "config", "pinned", "desired_state", "owner")
+    # Stopped clusters' rows were written before the columns existed.
+    old = c.filter(F.col("desired_state") == "Stopped").select("id", "name")
+    new = c.filter(F.col("desired_state") != "Stopped").select("id", "name", "config", "pinned", "desired_state", "owner")
     both = old.unionByName(new, allowMissingColumns=True)
     return G.add_columns(both, {"config": "{}", "pinned": False, "desired_state": "Running", "owner": ""})
