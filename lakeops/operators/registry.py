@@ -206,6 +206,18 @@ def folder_closure(folders: DataFrame, id_col: str = "folder_id", parent_col: st
         SELECT ancestor_id, folder_id, depth FROM closure""")
 
 
+def cascade_delete_tree(nodes: DataFrame, deleted: DataFrame, id_col: str = "folder_id",
+                        parent_col: str = "parent_id") -> DataFrame:
+    """Nodes left after deleting ``deleted`` and all their descendants (W6 over W8).
+
+    A folder goes when any of its ancestors (itself included) is deleted: one
+    semi join of the closure against the deleted ids, then an anti join.
+    """
+    closure = folder_closure(nodes, id_col, parent_col)
+    gone = closure.join(deleted.select(F.col(id_col).alias("ancestor_id")).distinct(), "ancestor_id", "left_semi")
+    return nodes.join(gone.select(F.col("folder_id").alias(id_col)).distinct(), id_col, "left_anti")
+
+
 def unique_audit(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; NULL keys are exempt."""
     keys = list(keys)

@@ -188,6 +188,25 @@ def q_folder_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.folder_closure(fixture(spark, sf_dir, "fx_folders"))
 
 
+@query("cascade_folders", """
+WITH RECURSIVE closure(ancestor_id, folder_id) AS (
+  SELECT folder_id, folder_id FROM fx_folders
+  UNION ALL
+  SELECT f.parent_id, c.folder_id FROM closure c JOIN fx_folders f ON f.folder_id = c.ancestor_id
+  WHERE f.parent_id IS NOT NULL),
+deleted AS (SELECT DISTINCT n.folder_id FROM fx_notebooks n JOIN fx_folders f ON f.folder_id = n.folder_id
+            WHERE n.trashed_at IS NOT NULL AND f.parent_id IS NOT NULL)
+SELECT folder_id, parent_id FROM fx_folders
+WHERE folder_id NOT IN (SELECT c.folder_id FROM closure c JOIN deleted d ON d.folder_id = c.ancestor_id)""")
+def q_cascade_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Deleting the folders that hold trashed notebooks removes their subtrees;
+    # the root folder (no parent) is never deleted.
+    folders = fixture(spark, sf_dir, "fx_folders")
+    deleted = (fixture(spark, sf_dir, "fx_notebooks").filter(F.col("trashed_at").isNotNull()).select("folder_id")
+               .join(folders.filter(F.col("parent_id").isNotNull()).select("folder_id"), "folder_id", "left_semi"))
+    return G.cascade_delete_tree(folders, deleted)
+
+
 @query("unique_audit", """
 SELECT path, count(*) AS n FROM fx_notebooks WHERE path IS NOT NULL GROUP BY path HAVING count(*) > 1""")
 def q_unique_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

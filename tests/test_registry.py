@@ -75,3 +75,9 @@ def test_lookup_and_lists(spark):
     g = spark.createDataFrame([("t", "1", "user", "b"), ("t", "1", "group", "a"), ("t", "2", "user", "c")],
                               "object_type string, object_id string, principal_type string, principal_id string")
     assert [r.principal_id for r in G.list_grants(g, "t", "1").collect()] == ["a", "b"]
+
+
+def test_cascade_delete_tree(spark):
+    f = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 0), (4, 3)], "folder_id long, parent_id long")
+    d = spark.createDataFrame([(1,), (9,)], "folder_id long")
+    assert sorted(r.folder_id for r in G.cascade_delete_tree(f, d).collect()) == [0, 3, 4]
