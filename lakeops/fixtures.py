@@ -124,10 +124,28 @@ def render(sql: str, dialect: str) -> str:
     return _TS.sub(lambda m: f"{kw} '{m.group(1)}'", sql).strip()
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table as a DataFrame.
+
+    The Parquet schema is read once per path and then given to the reader,
+    so repeated queries skip the footer-reading job of schema inference.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register the supplied parquet tables as temp views."""
     for t in names:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,7 +153,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = render(FIXTURES[name], "spark")
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeops.fixtures import fixture
+from lakeops.fixtures import fixture, table
 from lakeops.functions import exprs as X
 from lakeops.plans.catalogue import query
 
@@ -183,7 +183,7 @@ def q_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS VARCHAR) AS ts,
  event_type, CAST(value AS VARCHAR) AS value, props FROM events""")
 def q_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = table(spark, sf_dir, "events")
     return X.cell_text_frame(ev)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeops.fixtures import fixture
+from lakeops.fixtures import fixture, table
 from lakeops.functions import exprs as X
 from lakeops.operators import notebooks as N
 from lakeops.plans.catalogue import query
@@ -188,7 +188,7 @@ SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, any_value(cls) AS kind,
   COALESCE(CASE WHEN any_value(cls) = 'p' THEN string_agg(x, ' ' ORDER BY i) ELSE string_agg(x, chr(10) ORDER BY i) END, '') AS text
 FROM t GROUP BY doc_id, block_no""")
 def q_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return N.markdown_blocks(docs)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeops.functions import exprs as X
+from lakeops.fixtures import table
 from lakeops.plans.catalogue import query
 from lakeops.session import shared_dir
 from lakeops.sources import tables as TB
@@ -14,7 +15,7 @@ _DEMO = "SELECT event_id AS id, event_type AS name, ts FROM events"
 
 def demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The round-trip table shape (id, name, ts) over the whole events table."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), "ts", "value")
 
 
@@ -39,14 +40,14 @@ def q_append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_ordered", """
 SELECT event_id AS id, event_type AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events""")
 def q_scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = table(spark, sf_dir, "events")
     return TB.scan_ordered(ev, [F.col("event_id").alias("id"), F.col("event_type").alias("name"),
                                 X.ts_text("ts").alias("ts_text")], ["id"])
 
 
 @query("table_sample", "SELECT event_id, user_id, ts, event_type, value, props FROM events ORDER BY event_id LIMIT 100")
 def q_table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = table(spark, sf_dir, "events")
     return TB.table_sample(ev, None, order_by=["event_id"])
 
 
