@@ -9,6 +9,7 @@ timestamp literal, rendered per dialect.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,13 +134,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The Parquet schema is read once per path and then given to the reader,
     so repeated queries skip the footer-reading job of schema inference.
     """
+    from lakeops.plans.strategy import spread_under_split
     path = f"{sf_dir}/{name}.parquet"
     schema = _SCHEMAS.get(path)
     if schema is None:
         df = spark.read.parquet(path)
         _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    else:
+        df = spark.read.schema(schema).parquet(path)
+    local = path.removeprefix("file:")
+    size = os.path.getsize(local) if os.path.isfile(local) else 0
+    return spread_under_split(df, size)
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:

@@ -38,6 +38,25 @@ def fixed_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+# An input of at least this size that arrives as fewer splits than the session
+# has cores is spread before the per-row work (see ``spread_under_split``).
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread_under_split(df: DataFrame, input_bytes: int) -> DataFrame:
+    """Round-robin an input that arrived in fewer splits than there are cores.
+
+    A table stored as one file with one row group scans as a single task, so
+    every per-row expression, explode and map-side aggregate after it would
+    run on one core.  On a cluster reading many files the scan already has
+    more splits than cores and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def materialize(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Cut lineage by writing ``df`` to shared storage and reading it back.
 
