@@ -124,8 +124,9 @@ def workspace_tree(notebooks: DataFrame, key: str = "notebook_id") -> DataFrame:
     Columns: node_id (``dir:/a/b`` or ``nb:<id>``), parent_id ('' at the top),
     kind, label, depth.  Folders come from every proper prefix of a path
     (blank segments ignored) and are de-duplicated with a hash aggregate; the
-    final global sort puts folders before notebooks, each case-insensitively
-    by label, and range-partitions so a crowded folder spans many tasks.
+    final global sort puts folders before notebooks, each by label under a
+    case-insensitive Unicode collation, and range-partitions so a crowded
+    folder spans many tasks.
     """
     segs = X.path_segments(F.col("path"))
     base = notebooks.select(key, segs.alias("_segs"), X.display_name("name", "path").alias("_label"))
@@ -149,7 +150,8 @@ def workspace_tree(notebooks: DataFrame, key: str = "notebook_id") -> DataFrame:
                          (F.size("_folders") + 1).cast("int").alias("depth"))
     tree = folders.unionByName(leaves)
     kind_rank = F.when(F.col("kind") == "folder", 0).otherwise(1)
-    return tree.orderBy("parent_id", kind_rank, F.lower("label"), "node_id")
+    # Case-insensitive Unicode collation, as a locale-aware label compare sorts.
+    return tree.orderBy("parent_id", kind_rank, F.collate(F.col("label"), "UNICODE_CI"), "node_id")
 
 
 def save_revision(notebooks: DataFrame, picks: DataFrame, at: Column, key: str = "notebook_id") -> DataFrame:

@@ -99,7 +99,7 @@ def table_detail(docs: DataFrame, key: str = "table_id", doc_col: str = "doc") -
 
 def type_kind(type_text: Column) -> Column:
     """Primitive type name, or the kind ('struct'/'list'/'map') of a nested type."""
-    return F.coalesce(F.get_json_object(type_text, "$.type"), type_text)
+    return F.coalesce(F.nullif(F.get_json_object(type_text, "$.type"), F.lit("")), type_text)
 
 
 def table_columns(docs: DataFrame, key: str = "table_id", doc_col: str = "doc") -> DataFrame:
