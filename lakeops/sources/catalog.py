@@ -81,6 +81,72 @@ def catalog_tree(spark: SparkSession, tables: DataFrame | None = None) -> DataFr
     return c.unionByName(n).unionByName(t)
 
 
+# --- M4, M5, M7, M8 for live session tables -------------------------------------------
+
+LIVE_SCHEMA = T.StructType([
+    T.StructField("table_name", T.StringType()),
+    T.StructField("catalog_name", T.StringType()),
+    T.StructField("namespace", T.ArrayType(T.StringType())),
+    T.StructField("columns", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()),
+        T.StructField("type", T.StringType()),      # nested JSON; its "name" is the kind
+        T.StructField("nullable", T.BooleanType()),
+        T.StructField("comment", T.StringType()),
+    ]))),
+    T.StructField("location", T.StringType()),
+    T.StructField("provider", T.StringType()),
+    T.StructField("table_properties", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("partition_columns", T.ArrayType(T.StringType())),
+])
+
+
+def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(table, json_metadata) of live catalog tables via ``DESCRIBE ... AS JSON``.
+
+    Each DESCRIBE is a catalog metadata command; the parsing below is one
+    ``from_json`` over all of them.
+    """
+    frames = [spark.sql(f"DESCRIBE TABLE EXTENDED {'.'.join(X.quote_ident(p) for p in n.split('.'))} AS JSON")
+              .select(F.lit(n).alias("table"), "json_metadata") for n in names]
+    if not frames:
+        return spark.createDataFrame([], "table string, json_metadata string")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def live_table_detail(desc: DataFrame) -> DataFrame:
+    """(table, location, format, n_properties, namespace) of live tables (M4)."""
+    d = desc.withColumn("m", F.from_json("json_metadata", LIVE_SCHEMA))
+    return d.select("table", F.coalesce("m.location", F.lit("")).alias("location"),
+                    F.coalesce("m.provider", F.lit("")).alias("format"),
+                    F.coalesce(F.size("m.table_properties"), F.lit(0)).alias("n_properties"),
+                    F.array_join("m.namespace", ".").alias("namespace"))
+
+
+def live_table_columns(desc: DataFrame) -> DataFrame:
+    """(table, pos, name, type, nullable, doc) of live tables (M5); nested types by kind."""
+    d = desc.withColumn("m", F.from_json("json_metadata", LIVE_SCHEMA))
+    ex = d.select("table", F.posexplode("m.columns").alias("pos", "c"))
+    return ex.select("table", "pos", F.col("c.name").alias("name"),
+                     F.get_json_object("c.type", "$.name").alias("type"),
+                     F.coalesce("c.nullable", F.lit(True)).alias("nullable"),
+                     F.coalesce("c.comment", F.lit("")).alias("doc"))
+
+
+def live_partition_fields(desc: DataFrame) -> DataFrame:
+    """(table, pos, name) partition columns of live tables (M7)."""
+    d = desc.withColumn("m", F.from_json("json_metadata", LIVE_SCHEMA))
+    return d.select("table", F.posexplode("m.partition_columns").alias("pos", "name"))
+
+
+def live_table_properties(desc: DataFrame) -> DataFrame:
+    """(table, property, value) of live tables (M8)."""
+    d = desc.withColumn("m", F.from_json("json_metadata", LIVE_SCHEMA))
+    return d.select("table", F.explode("m.table_properties").alias("property", "value"))
+
+
 # --- M4-M8: metadata documents ----------------------------------------------------------
 
 def parse_metadata(docs: DataFrame, doc_col: str = "doc") -> DataFrame:

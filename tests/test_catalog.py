@@ -55,3 +55,18 @@ def test_live_catalog_listing(spark):
     assert "lakeops_probe" in names
     kinds = {r.kind for r in C.catalog_tree(spark).collect()}
     assert kinds == {"catalog", "namespace", "table"}
+
+
+def test_live_table_metadata(spark):
+    from lakeops.session import shared_dir
+    spark.sql("CREATE NAMESPACE IF NOT EXISTS lakeops_live")
+    spark.sql("DROP TABLE IF EXISTS lakeops_live.t")
+    spark.sql(f"CREATE TABLE lakeops_live.t (id BIGINT COMMENT 'pk', name STRING, tags MAP<STRING,STRING>) "
+              f"USING parquet PARTITIONED BY (name) LOCATION '{shared_dir(spark, 'live_t')}' TBLPROPERTIES ('team'='x')")
+    desc = C.describe_tables(spark, ["lakeops_live.t"])
+    det = C.live_table_detail(desc).first()
+    assert (det.format, det.namespace, det.n_properties >= 1) == ("parquet", "lakeops_live", True)
+    cols = [(r.name, r.type, r.doc) for r in C.live_table_columns(desc).orderBy("pos").collect()]
+    assert cols == [("id", "bigint", "pk"), ("tags", "map", ""), ("name", "string", "")]
+    assert [r.name for r in C.live_partition_fields(desc).collect()] == ["name"]
+    assert ("team", "x") in [(r.property, r.value) for r in C.live_table_properties(desc).collect()]
