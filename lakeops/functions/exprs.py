@@ -153,13 +153,15 @@ def clean_map(m: ColumnLike) -> Column:
     Works under the default map-key dedup policy (which rejects duplicates):
     an entry is kept only when no later entry has the same trimmed key.
     """
-    e = F.transform(F.map_entries(_c(m)),
-                    lambda x: F.struct(F.trim(x["key"]).alias("key"),
-                                       F.coalesce(x["value"], F.lit("")).alias("value")))
-    e = F.filter(e, lambda x: x["key"] != "")
+    e = F.filter(F.transform(F.map_entries(_c(m)),
+                             lambda x: F.struct(F.trim(x["key"]).alias("key"),
+                                                F.coalesce(x["value"], F.lit("")).alias("value"))),
+                 lambda x: x["key"] != "")
+    keys = F.transform(e, lambda x: x["key"])
     last = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e), F.lit(1))),
                                               lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    # The quadratic last-wins pass runs only for maps that do have duplicates.
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), e).otherwise(last))
 
 
 _STR_MAP = T.MapType(T.StringType(), T.StringType())
@@ -173,39 +175,91 @@ def _resource(v: Column, which: str) -> Column:
     return F.struct(*fields)
 
 
+_MAPS_SCHEMA = T.StructType([T.StructField(k, _STR_MAP) for k in ("spark_conf", "env", "tags")])
+
+
+def _config_parts(maps: Column, v: Column) -> dict[str, Column]:
+    """Independent pieces of a normalised config from the parsed JSON.
+
+    ``v`` is the config as a variant (typed lookups); ``maps`` is the same text
+    read with ``from_json`` into the three string maps, which keeps the
+    document's key order so "last duplicate wins" after trimming follows the
+    text (a variant object sorts its keys).
+    """
+
+    def smap(key: str) -> Column:
+        m = F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")).startswith("OBJECT"),
+                   maps[key])
+        return clean_map(F.coalesce(m, F.create_map().cast(_STR_MAP)))
+
+    name_v = F.try_variant_get(v, "$.name", "variant")
+    return {
+        "name": F.when(F.schema_of_variant(name_v) == "STRING",
+                       js_trim(F.try_variant_get(v, "$.name", "string"))).otherwise(F.lit("")),
+        "_wmin": _json_num(v, "$.worker_min"),
+        "_wmax": _json_num(v, "$.worker_max"),
+        "_idle": _json_num(v, "$.idle_minutes"),
+        "driver": _resource(v, "driver"),
+        "executor": _resource(v, "executor"),
+        "image": F.trim(F.coalesce(F.try_variant_get(v, "$.image", "string"), F.lit(""))),
+        "spark_conf": smap("spark_conf"),
+        "env": smap("env"),
+        "tags": smap("tags"),
+    }
+
+
+def _clamp_counts(wmin_raw: Column, wmax_raw: Column, idle_raw: Column) -> tuple[Column, Column, Column]:
+    zero = F.lit(0).cast("long")
+    wmin = F.greatest(zero, _trunc(F.coalesce(wmin_raw, F.lit(float(CONFIG_DEFAULTS["worker_min"])))))
+    wmax_default = F.greatest(wmin, F.lit(CONFIG_DEFAULTS["worker_max"]).cast("long")).cast("double")
+    wmax = F.greatest(wmin, _trunc(F.coalesce(wmax_raw, wmax_default)))
+    idle = F.greatest(zero, _trunc(F.coalesce(idle_raw, F.lit(float(CONFIG_DEFAULTS["idle_minutes"])))))
+    return wmin, wmax, idle
+
+
+def _config_struct(p: dict[str, Column], wmin: Column, wmax: Column, idle: Column) -> Column:
+    return F.struct(
+        p["name"].alias("name"), wmin.alias("worker_min"), wmax.alias("worker_max"),
+        p["driver"].alias("driver"), p["executor"].alias("executor"), p["image"].alias("image"),
+        idle.alias("idle_minutes"), p["spark_conf"].alias("spark_conf"), p["env"].alias("env"),
+        p["tags"].alias("tags"))
+
+
 def config_normalize(config_json: ColumnLike) -> Column:
     """Partial cluster config JSON -> complete typed config struct.
 
     name trimmed (non-string -> ''); worker_min = max(0, trunc(min or 1));
     worker_max = max(worker_min, trunc(max or max(worker_min, 2)));
     resources filled with defaults and trimmed; idle = max(0, trunc(idle or 30));
-    maps get trimmed non-blank keys.
+    maps get trimmed non-blank keys.  As one expression it repeats the parse
+    in every branch; over a table prefer :func:`normalize_configs`.
     """
-    v = F.try_parse_json(_c(config_json))
-    name_v = F.try_variant_get(v, "$.name", "variant")
-    name = F.when(F.schema_of_variant(name_v) == "STRING",
-                  js_trim(F.try_variant_get(v, "$.name", "string"))).otherwise(F.lit(""))
-    wmin = F.greatest(F.lit(0).cast("long"),
-                      _trunc(F.coalesce(_json_num(v, "$.worker_min"), F.lit(float(CONFIG_DEFAULTS["worker_min"])))))
-    wmax_default = F.greatest(wmin, F.lit(CONFIG_DEFAULTS["worker_max"]).cast("long")).cast("double")
-    wmax = F.greatest(wmin, _trunc(F.coalesce(_json_num(v, "$.worker_max"), wmax_default)))
-    idle = F.greatest(F.lit(0).cast("long"),
-                      _trunc(F.coalesce(_json_num(v, "$.idle_minutes"), F.lit(float(CONFIG_DEFAULTS["idle_minutes"])))))
-    image = F.trim(F.coalesce(F.try_variant_get(v, "$.image", "string"), F.lit("")))
+    c = _c(config_json)
+    p = _config_parts(F.from_json(c, _MAPS_SCHEMA), F.try_parse_json(c))
+    return _config_struct(p, *_clamp_counts(p["_wmin"], p["_wmax"], p["_idle"]))
 
-    def smap(key: str) -> Column:
-        # from_json keeps the document's key order, so "last duplicate wins"
-        # after trimming follows the text (a variant would sort the keys).
-        raw = F.get_json_object(_c(config_json), f"$.{key}")
-        m = F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")).startswith("OBJECT"),
-                   F.from_json(raw, _STR_MAP))
-        return clean_map(F.coalesce(m, F.create_map().cast(_STR_MAP)))
 
-    return F.struct(
-        name.alias("name"), wmin.alias("worker_min"), wmax.alias("worker_max"),
-        _resource(v, "driver").alias("driver"), _resource(v, "executor").alias("executor"),
-        image.alias("image"), idle.alias("idle_minutes"),
-        smap("spark_conf").alias("spark_conf"), smap("env").alias("env"), smap("tags").alias("tags"))
+def normalize_configs(df: DataFrame, config_col: str = "config", out: str = "cfg") -> DataFrame:
+    """``df`` plus ``out``: :func:`config_normalize` of ``config_col``, staged.
+
+    The JSON is parsed once per row into a column and each piece is computed
+    once in its own projection, so the generated code stays small (one flat
+    expression would repeat the parse in every conditional branch and outgrow
+    whole-stage codegen).
+    """
+    parsed = df.withColumns({"_cfg_v": F.try_parse_json(F.col(config_col)),
+                             "_cfg_m": F.from_json(F.col(config_col), _MAPS_SCHEMA)})
+    p = _config_parts(F.col("_cfg_m"), F.col("_cfg_v"))
+    staged = parsed.withColumns({f"_cfg_{k}": v for k, v in p.items()})
+    wmin, _, idle = _clamp_counts(F.col("_cfg__wmin"), F.col("_cfg__wmax"), F.col("_cfg__idle"))
+    staged = staged.withColumns({"_cfg_wmin": wmin, "_cfg_idle": idle})
+    wmin_c = F.col("_cfg_wmin")
+    # worker_max depends on the clamped worker_min: one more projection.
+    _, wmax, _ = _clamp_counts(wmin_c, F.col("_cfg__wmax"), F.col("_cfg__idle"))
+    staged = staged.withColumn("_cfg_wmax", F.greatest(wmin_c, wmax))
+    cols = {k: F.col(f"_cfg_{k}") for k in p}
+    result = staged.withColumn(out, _config_struct(cols, wmin_c, F.col("_cfg_wmax"), F.col("_cfg_idle")))
+    return result.drop(*[c for c in result.columns if c.startswith("_cfg_")])
 
 
 def conf_merge(base_conf: ColumnLike, user_conf: ColumnLike, worker_min: ColumnLike,

@@ -22,7 +22,7 @@ REQUIRED_ROLE = "polaris_admin"
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixture(spark, sf_dir, "fx_configs")
-    return c.select("id", X.config_normalize(F.col("config")).alias("cfg"))
+    return X.normalize_configs(c, "config", "cfg").select("id", "cfg")
 
 
 # DuckDB: the same normalisation written against the JSON text.

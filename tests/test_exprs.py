@@ -124,3 +124,14 @@ def test_blank_null_and_quote(spark):
         X.blank_to_null("s").alias("n"), X.null_to_blank(X.blank_to_null("s")).alias("b")).collect()
     assert [tuple(r) for r in got] == [(None, ""), ("x", "x"), (None, "")]
     assert X.quote_ident("we`ird") == "`we``ird`"
+
+
+def test_staged_normalize_equals_expression(spark):
+    cfgs = ['{"name":" a ","worker_min":"4","spark_conf":{"x":"1"," x":"2"},"env":{"K":3},"tags":"bad"}',
+            '{"worker_max":7,"executor":{"memory_limit":" 8Gi "},"image":" img "}', '{}', None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cfgs)], "id long, config string")
+    a = sorted(map(str, df.select("id", X.config_normalize("config").alias("cfg")).collect()))
+    b = sorted(map(str, X.normalize_configs(df).select("id", "cfg").collect()))
+    assert a == b
+    row = X.normalize_configs(df).orderBy("id").first().cfg
+    assert (row.worker_min, row.worker_max, row.spark_conf, row.env, row.tags) == (4, 4, {"x": "2"}, {"K": "3"}, {})
