@@ -51,10 +51,14 @@ def spread_under_split(df: DataFrame, input_bytes: int) -> DataFrame:
     run on one core.  On a cluster reading many files the scan already has
     more splits than cores and this is a no-op.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    if input_bytes < SPREAD_MIN_BYTES:
+        return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def materialize(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:

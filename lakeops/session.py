@@ -48,11 +48,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     session.  Only when that is unset (unit tests on one machine) a scratch
     folder is created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not base:
         base = tempfile.mkdtemp(prefix="lakeops-")
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     base = base.removeprefix("file:")
     return os.path.join(base, "lakeops", *parts, uuid.uuid4().hex)
