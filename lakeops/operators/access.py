@@ -12,43 +12,59 @@ when one object or one group holds a third of all grants.  The best rank per
 request is then one hash aggregate.  This replaces the per-object loop over
 all grants (and avoids the users x objects pairs a membership-first join
 would create).
+
+The permission ladders are a fixed, nine-entry configuration, so level ranks
+are literal map lookups inside the projections (no join at all).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakeops.fixtures import LADDERS
-from lakeops.plans.strategy import fixed_small
 
 GRANT_KEY = ["object_type", "object_id", "principal_type", "principal_id"]
 PRINCIPAL_TYPES = ("user", "group")
+Ladders = dict[str, list[str]]
+_SEP = "\u001f"
 
 
-def ladders_frame(spark: SparkSession) -> DataFrame:
-    """(object_type, level, rnk, top_rnk) for every ladder level; rnk 0 is the lowest.
-
-    A literal VALUES relation lives in the JVM plan (a LocalRelation), so no
-    Python-side data is deserialized when it is broadcast.
-    """
+def ladders_frame(spark: SparkSession, ladders: Ladders = LADDERS) -> DataFrame:
+    """(object_type, level, rnk, top_rnk) for every ladder level; rnk 0 is the lowest."""
     rows = ", ".join(f"('{t}', '{lvl}', {i}, {len(levels) - 1})"
-                     for t, levels in LADDERS.items() for i, lvl in enumerate(levels))
+                     for t, levels in ladders.items() for i, lvl in enumerate(levels))
     return spark.sql(f"SELECT object_type, level, CAST(rnk AS INT) AS rnk, CAST(top_rnk AS INT) AS top_rnk "
                      f"FROM VALUES {rows} AS t(object_type, level, rnk, top_rnk)")
 
 
-def _tops(ladders: DataFrame) -> DataFrame:
-    return ladders.select("object_type", "top_rnk").distinct()
+def _lit_map(pairs: list[tuple[str, object]]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
+def level_rank(object_type: Column, level: Column, ladders: Ladders = LADDERS) -> Column:
+    """Rank of ``level`` on the object type's ladder; NULL when unknown."""
+    m = _lit_map([(f"{t}{_SEP}{lvl}", i) for t, levels in ladders.items() for i, lvl in enumerate(levels)])
+    return F.try_element_at(m, F.concat_ws(_SEP, object_type, level))
+
+
+def top_rank(object_type: Column, ladders: Ladders = LADDERS) -> Column:
+    """Highest rank of the object type's ladder (the owner/admin level)."""
+    return F.try_element_at(_lit_map([(t, len(levels) - 1) for t, levels in ladders.items()]), object_type)
+
+
+def rank_level(object_type: Column, rnk: Column, ladders: Ladders = LADDERS) -> Column:
+    """Level name of a rank; NULL for no access."""
+    m = _lit_map([(f"{t}{_SEP}{i}", lvl) for t, levels in ladders.items() for i, lvl in enumerate(levels)])
+    return F.try_element_at(m, F.concat_ws(_SEP, object_type, rnk.cast("string")))
 
 
-def validate_grants(grants: DataFrame, ladders: DataFrame) -> DataFrame:
+def validate_grants(grants: DataFrame, ladders: Ladders = LADDERS) -> DataFrame:
     """Grants with ``rnk`` and a ``reason`` (NULL when valid) column (A3).
 
     principal_type must be user or group, principal_id non-empty, and the level
     must be on the object type's ladder.
     """
-    lad = fixed_small(ladders.select("object_type", "level", "rnk"))
-    g = grants.join(lad, ["object_type", "level"], "left")
+    g = grants.withColumn("rnk", level_rank(F.col("object_type"), F.col("level"), ladders))
     reason = (F.when(~F.coalesce(F.col("principal_type").isin(*PRINCIPAL_TYPES), F.lit(False)), "bad_principal_type")
               .when(F.coalesce(F.col("principal_id"), F.lit("")) == "", "missing_principal_id")
               .when(F.col("rnk").isNull(), "bad_level"))
@@ -89,9 +105,9 @@ def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
     exp = (r.withColumn("_k", F.explode(keys)).drop("_groups")
            .withColumn("principal_type", F.col("_k.principal_type"))
            .withColumn("principal_id", F.col("_k.principal_id")).drop("_k"))
-    # The grant side is an aggregate of a log that grows with the data: no
-    # eager count here; AQE broadcasts it from runtime shuffle statistics when
-    # it is small and keeps the shuffle join otherwise.
+    # The grant table grows with the data: the planner sizes this join (a
+    # broadcast below the threshold, read from the table's files; otherwise a
+    # shuffle join that AQE may still convert, or split when a key is hot).
     g = grants_ranked.select(*GRANT_KEY, F.col("rnk").alias("_g_rnk"))
     joined = exp.join(g, GRANT_KEY, "left")
     # Carried columns depend on the row id, so grouping by them as well gives
@@ -103,7 +119,7 @@ def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
     return agg.withColumn("admin", F.coalesce(F.col("_admin"), F.lit(False))).drop("_admin")
 
 
-def current_grants(grants_log: DataFrame, ladders: DataFrame, order_col: str = "grant_seq") -> DataFrame:
+def current_grants(grants_log: DataFrame, ladders: Ladders = LADDERS, order_col: str = "grant_seq") -> DataFrame:
     """Validated grant log reduced to the latest level per grant key (A3 then W3)."""
     from lakeops.operators.registry import upsert_latest
     valid, _ = split_valid(validate_grants(grants_log, ladders))
@@ -111,35 +127,32 @@ def current_grants(grants_log: DataFrame, ladders: DataFrame, order_col: str = "
 
 
 def effective_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame, grants: DataFrame,
-                   ladders: DataFrame) -> DataFrame:
+                   ladders: Ladders = LADDERS) -> DataFrame:
     """``rows`` plus ``eff_rnk``: admin or owner -> top rank, else best grant (A1).
 
     Blank owner never matches; unknown levels are ignored; no grant -> NULL.
-    ``grants`` is a current grant table with ``level`` (ranked here).  The
-    ladder's top rank is attached before the expansion and carried through
-    the aggregate, so the fixed-size ladder is joined once per side.
+    ``grants`` is a current grant table with ``level`` (ranked here).
     """
-    lad = fixed_small(ladders.select("object_type", "level", "rnk"))
-    ranked = grants.drop("rnk").join(lad, ["object_type", "level"])
-    with_top = rows.join(fixed_small(_tops(ladders)), "object_type", "left")
-    best = _with_best_rank(with_top, id_cols, principals, ranked)
+    ranked = (grants.withColumn("rnk", level_rank(F.col("object_type"), F.col("level"), ladders))
+              .filter(F.col("rnk").isNotNull()))
+    best = _with_best_rank(rows, id_cols, principals, ranked)
     owner = F.coalesce((F.col("owner") != "") & (F.col("owner") == F.col("username")), F.lit(False))
-    return (best.withColumn("eff_rnk", F.when(F.col("admin") | owner, F.col("top_rnk")).otherwise(F.col("best_rnk")))
-            .drop("top_rnk"))
+    eff = F.when(F.col("admin") | owner, top_rank(F.col("object_type"), ladders)).otherwise(F.col("best_rnk"))
+    return best.withColumn("eff_rnk", eff)
 
 
-def effective_level(pairs: DataFrame, principals: DataFrame, grants: DataFrame, ladders: DataFrame) -> DataFrame:
+def effective_level(pairs: DataFrame, principals: DataFrame, grants: DataFrame,
+                    ladders: Ladders = LADDERS) -> DataFrame:
     """(username, object_type, object_id, owner, level) -- highest level held (A1).
 
     ``level`` is NULL when the principal has no access.
     """
     ids = ["username", "object_type", "object_id", "owner"]
     e = effective_rank(pairs.select(*ids).distinct(), ids, principals, grants, ladders)
-    lad = fixed_small(ladders.select("object_type", F.col("rnk").alias("eff_rnk"), "level"))
-    return e.join(lad, ["object_type", "eff_rnk"], "left").select(*ids, "level")
+    return e.select(*ids, rank_level(F.col("object_type"), F.col("eff_rnk"), ladders).alias("level"))
 
 
-def authorize(requests: DataFrame, principals: DataFrame, grants: DataFrame, ladders: DataFrame,
+def authorize(requests: DataFrame, principals: DataFrame, grants: DataFrame, ladders: Ladders = LADDERS,
               id_col: str = "request_id") -> DataFrame:
     """Requests plus ``allowed`` (A2).
 
@@ -147,15 +160,13 @@ def authorize(requests: DataFrame, principals: DataFrame, grants: DataFrame, lad
     denies, even for admins; a principal missing from the directory has no
     groups and no admin flag, so only its own user grants or ownership count.
     """
-    want = fixed_small(ladders.select("object_type", F.col("level").alias("required"),
-                                      F.col("rnk").alias("want_rnk")))
-    e = effective_rank(requests.join(want, ["object_type", "required"], "left"), [id_col], principals, grants,
-                       ladders)
-    allowed = F.coalesce(F.col("want_rnk").isNotNull() & (F.col("eff_rnk") >= F.col("want_rnk")), F.lit(False))
-    return e.withColumn("allowed", allowed).drop("want_rnk", "best_rnk")
+    e = effective_rank(requests, [id_col], principals, grants, ladders)
+    want = level_rank(F.col("object_type"), F.col("required"), ladders)
+    allowed = F.coalesce(want.isNotNull() & (F.col("eff_rnk") >= want), F.lit(False))
+    return e.withColumn("allowed", allowed).drop("best_rnk")
 
 
-def authorized_view(objects: DataFrame, principals: DataFrame, grants: DataFrame, ladders: DataFrame,
+def authorized_view(objects: DataFrame, principals: DataFrame, grants: DataFrame, ladders: Ladders = LADDERS,
                     min_rank: int = 0) -> DataFrame:
     """Rows of ``objects`` the caller holds at least ``min_rank`` on.
 

@@ -25,15 +25,14 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     access queries a real table whose size the planner reads from the files
     (broadcast when small, shuffle join when not) and cuts the lineage.
     """
-    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark))
+    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"))
     return materialize(cur, shared_dir(spark, "current_grants"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lad = A.ladders_frame(spark)
     req = fixture(spark, sf_dir, "fx_requests").select("request_id", "username", "object_type", "object_id",
                                                          "owner", "required")
-    return A.authorize(req, principals(spark, sf_dir), current(spark, sf_dir), lad)
+    return A.authorize(req, principals(spark, sf_dir), current(spark, sf_dir))
 
 
 def authorize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +121,14 @@ SELECT e.username, e.object_type, e.object_id, e.owner, l.level
 FROM eff e LEFT JOIN fx_ladders l ON l.object_type = e.object_type AND l.rnk = e.eff_rnk""")
 def q_effective_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fixture(spark, sf_dir, "fx_requests").select("username", "object_type", "object_id", "owner")
-    return A.effective_level(pairs, principals(spark, sf_dir), current(spark, sf_dir), A.ladders_frame(spark))
+    return A.effective_level(pairs, principals(spark, sf_dir), current(spark, sf_dir))
 
 
 @query("authorized_view", _PAIRS + """
 SELECT username, object_type, object_id, owner FROM eff WHERE eff_rnk >= 0""")
 def q_authorized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     objs = fixture(spark, sf_dir, "fx_requests").select("username", "object_type", "object_id", "owner").distinct()
-    return A.authorized_view(objs, principals(spark, sf_dir), current(spark, sf_dir), A.ladders_frame(spark))
+    return A.authorized_view(objs, principals(spark, sf_dir), current(spark, sf_dir))
 
 
 @query("grants_upsert", "WITH " + _CUR + """
@@ -146,7 +145,7 @@ SELECT g.object_type, CASE WHEN g.principal_type NOT IN ('user', 'group') THEN '
 FROM fx_grants g LEFT JOIN fx_ladders l ON l.object_type = g.object_type AND l.level = g.level
 GROUP BY ALL""")
 def q_grants_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = A.validate_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark))
+    checked = A.validate_grants(fixture(spark, sf_dir, "fx_grants"))
     return (checked.groupBy("object_type", F.coalesce("reason", F.lit("ok")).alias("status"))
             .agg(F.count(F.lit(1)).alias("n")))
 

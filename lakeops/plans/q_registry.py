@@ -22,7 +22,7 @@ WITH vg AS (
 
 
 def _valid_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, _ = A.split_valid(A.validate_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark)))
+    valid, _ = A.split_valid(A.validate_grants(fixture(spark, sf_dir, "fx_grants")))
     return valid.drop("rnk", "reason")
 
 
@@ -57,7 +57,7 @@ def q_list_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT object_type, object_id, principal_type, principal_id, arg_max(level, grant_seq) AS level
 FROM vg GROUP BY ALL""")
 def q_list_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"), A.ladders_frame(spark))
+    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"))
     return G.list_grants(cur).select(*A.GRANT_KEY, "level")
 
 

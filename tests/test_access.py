@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lakeops.fixtures import LADDERS
 from lakeops.operators import access as A
 
 GRANTS = [
@@ -33,7 +34,7 @@ def _frames(spark):
     grants = spark.createDataFrame(GRANTS, "object_type string, object_id string, principal_type string, "
                                            "principal_id string, level string")
     principals = spark.createDataFrame(PRINCIPALS, "username string, admin boolean, groups array<string>")
-    return grants, principals, A.ladders_frame(spark)
+    return grants, principals, LADDERS
 
 
 def test_allows_matrix(spark):
@@ -72,7 +73,7 @@ def test_validate_grants_reasons(spark):
             ("notebook", "n", "user", "", "edit"), ("cluster", "c", "group", "g", "edit")]
     g = spark.createDataFrame(rows, "object_type string, object_id string, principal_type string, "
                                     "principal_id string, level string")
-    reasons = [r.reason for r in A.validate_grants(g, A.ladders_frame(spark)).orderBy("principal_type", "level").collect()]
+    reasons = [r.reason for r in A.validate_grants(g).orderBy("principal_type", "level").collect()]
     assert sorted(map(str, reasons)) == sorted(["None", "bad_principal_type", "missing_principal_id", "bad_level"])
 
 
