@@ -123,7 +123,10 @@ def current_grants(grants_log: DataFrame, ladders: Ladders = LADDERS, order_col:
     """Validated grant log reduced to the latest level per grant key (A3 then W3)."""
     from lakeops.operators.registry import upsert_latest
     valid, _ = split_valid(validate_grants(grants_log, ladders))
-    return upsert_latest(None, valid.drop("rnk", "reason"), GRANT_KEY, order_col)
+    # The level travels as its rank (an int) so the reduction is a hash
+    # aggregate; the name is restored from the ladder afterwards.
+    cur = upsert_latest(None, valid.drop("level", "reason"), GRANT_KEY, order_col)
+    return cur.withColumn("level", rank_level(F.col("object_type"), F.col("rnk"), ladders)).drop("rnk")
 
 
 def effective_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame, grants: DataFrame,

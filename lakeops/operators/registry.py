@@ -14,11 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakeops.functions import exprs as X
 
 
+_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _key_cond(keys: Sequence[str]) -> Column:
     return F.lit(True) if not keys else F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
 
@@ -146,6 +150,14 @@ def upsert_latest(base: DataFrame | None, changes: DataFrame, keys: Sequence[str
     rows = changes if base is None else base.unionByName(changes, allowMissingColumns=True)
     first = [c for c in keep_first if c in rows.columns]
     rest = [c for c in rows.columns if c not in keys and c not in first]
+    if all(isinstance(rows.schema[c].dataType, _FIXED_WIDTH) for c in rest):
+        # Fixed-width values: one max_by per column keeps every aggregation
+        # buffer fixed-width, so the plan is a hash aggregate.  ``order_col``
+        # is unique within a key (a sequence), so all columns come from the
+        # same row.
+        agg = rows.groupBy(*keys).agg(*[F.max_by(c, F.col(order_col)).alias(c) for c in rest],
+                                      *[F.min(c).alias(c) for c in first])
+        return agg.select(*keys, *rest, *first)
     agg = rows.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.col(order_col)).alias("_latest"),
         *[F.min(c).alias(c) for c in first])
