@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeops.fixtures import fixture
 from lakeops.operators import access as A
 from lakeops.plans.catalogue import query
-from lakeops.plans.strategy import materialize
-from lakeops.session import shared_dir
 
 SERVICE_USER = "service"
 
@@ -19,14 +17,13 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current grant table, written to shared storage as the registry keeps it.
+    """The current grant table: the validated grant log reduced per grant key.
 
-    Reducing the grant log is a job of its own; writing its result gives the
-    access queries a real table whose size the planner reads from the files
-    (broadcast when small, shuffle join when not) and cuts the lineage.
+    Reduced in the same job that uses it; the planner sizes the join against
+    it (broadcast under the threshold, otherwise a shuffle join that AQE can
+    convert from the measured size of the reduced table).
     """
-    cur = A.current_grants(fixture(spark, sf_dir, "fx_grants"))
-    return materialize(cur, shared_dir(spark, "current_grants"))
+    return A.current_grants(fixture(spark, sf_dir, "fx_grants"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
