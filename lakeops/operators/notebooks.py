@@ -232,17 +232,21 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     Lines are classified with regexes; the ``` fence state is a running sum
     of fence lines (odd = inside code); a new block starts where the class
     changes, at each heading and at each opening fence, and block numbers are
-    the running count of starts (gaps and islands).  The running sums and the
-    previous-line class are computed over fixed-size chunks of the line index
-    (``lakeops.plans.ordered``), so one enormous document is still processed
-    by many tasks.  List items are joined with newlines, paragraph lines with
-    spaces, code lines verbatim.
+    the running count of starts (gaps and islands).  List items are joined
+    with newlines, paragraph lines with spaces, code lines verbatim.
+
+    Plan: the documents are hash-partitioned by ``key`` once, before their
+    text is split into lines; the line rows keep that partitioning, so every
+    window below (all ``partitionBy(key)``) and the final per-block aggregate
+    run without another shuffle.  A document's lines come from a single row,
+    so no window partition holds more than one stored text.
     """
-    from lakeops.plans.ordered import previous, running_sum, with_chunks
-    lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n", -1))
-                        .alias("i", "line"))
-    lines = with_chunks(lines, "i").withColumn("_fence", F.trim(F.col("line")).rlike(_FENCE))
-    lines = running_sum(lines, key, "i", F.col("_fence").cast("int"), "_nf")
+    w = Window.partitionBy(key).orderBy("i")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = docs.select(key, text_col).repartition(key).select(
+        key, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n", -1)).alias("i", "line"))
+    lines = lines.withColumn("_fence", F.trim(F.col("line")).rlike(_FENCE))
+    lines = lines.withColumn("_nf", F.sum(F.col("_fence").cast("int")).over(run))
     in_code = (F.col("_nf") % 2 == 1) | F.col("_fence")
     cls = (F.when(in_code, "code")
            .when(F.trim(F.col("line")) == "", "blank")
@@ -251,10 +255,10 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
            .when(F.col("line").rlike(_OL), "ol")
            .otherwise("p"))
     lines = lines.withColumn("_cls", cls).withColumn("_open", F.col("_fence") & (F.col("_nf") % 2 == 1))
-    lines = previous(lines, key, "i", "_cls", "_prev")
+    lines = lines.withColumn("_prev", F.lag("_cls").over(w))
     start = (F.col("_cls") != "blank") & (F.col("_open") | (F.col("_cls") == "heading")
                                           | ~F.coalesce(F.col("_prev") == F.col("_cls"), F.lit(False)))
-    lines = running_sum(lines, key, "i", start.cast("int"), "block_no").filter(F.col("_cls") != "blank")
+    lines = lines.withColumn("block_no", F.sum(start.cast("int")).over(run)).filter(F.col("_cls") != "blank")
     payload = (F.when(F.col("_cls") == "heading", F.trim(F.regexp_extract("line", _HEADING, 2)))
                .when(F.col("_cls") == "ul", F.regexp_replace("line", _UL, ""))
                .when(F.col("_cls") == "ol", F.regexp_replace("line", _OL, ""))

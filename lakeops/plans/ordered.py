@@ -1,18 +1,12 @@
-"""Order-dependent computations that stay parallel inside a hot key.
+"""Positions within a key that stay parallel inside a hot key.
 
 A window ``partitionBy(key)`` sends every row of a key to one task; when one
-key holds a third of the data, that task holds a third of the data.  The
-helpers here compute the same results -- positions, running sums, previous
-values -- from bounded pieces:
-
-* ``positions``: a global sort (range partitioning splits a hot key across
-  many tasks), positions pinned by writing the sorted rows to shared
-  storage, then per-(key, piece) counts turned into offsets.  Only the small
-  table of piece counts is windowed per key.
-* ``running_sum`` / ``previous``: for rows that already carry a dense index
-  within their key (line numbers), fixed-size chunks of that index are the
-  pieces: a window per (key, chunk), chunk totals turned into offsets, and
-  the last row of each chunk handed to the next one.
+key holds a third of the data, that task holds a third of the data.
+``positions`` computes the same ``row_number`` from bounded pieces: a global
+sort (range partitioning splits a hot key across many tasks), positions
+pinned by writing the sorted rows to shared storage, then per-(key, piece)
+counts turned into offsets.  Only the small table of piece counts is
+windowed per key.
 """
 
 from __future__ import annotations
@@ -23,8 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakeops.plans.strategy import materialize
 
-# Rows per chunk of a dense index: a window partition never exceeds this.
-CHUNK_ROWS = 4096
 _IDX_BITS = 33   # monotonically_increasing_id: partition id above, row index below
 
 
@@ -47,35 +39,3 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], path:
     out = pinned.join(pieces.select(*keys, "_part", "_off", "_first"), [*keys, "_part"])
     return (out.withColumn(name, F.col("_off") + F.col("_idx") - F.col("_first") + 1)
             .drop("_mid", "_part", "_idx", "_off", "_first"))
-
-
-def with_chunks(df: DataFrame, idx: str) -> DataFrame:
-    """Adds ``_chunk``: which fixed-size piece of the dense index a row is in."""
-    return df.withColumn("_chunk", F.floor(F.col(idx) / CHUNK_ROWS))
-
-
-def running_sum(df: DataFrame, key: str, idx: str, value: Column, name: str) -> DataFrame:
-    """Running sum of ``value`` within ``key`` in ``idx`` order (needs ``_chunk``)."""
-    local = Window.partitionBy(key, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding,
-                                                                       Window.currentRow)
-    d = df.withColumn("_v", value.cast("long")).withColumn("_local", F.sum("_v").over(local))
-    totals = d.groupBy(key, "_chunk").agg(F.sum("_v").alias("_tot"))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).drop("_tot")
-    return (d.join(offsets, [key, "_chunk"]).withColumn(name, F.col("_local") + F.col("_off"))
-            .drop("_v", "_local", "_off"))
-
-
-def previous(df: DataFrame, key: str, idx: str, value: str, name: str) -> DataFrame:
-    """Value of ``value`` on the row at ``idx - 1`` of the same key (needs ``_chunk``).
-
-    Inside a chunk a lag window; the first row of a chunk takes the last row
-    of the chunk before, passed along through a one-row-per-chunk table.
-    """
-    local = Window.partitionBy(key, "_chunk").orderBy(idx)
-    d = df.withColumn("_lag", F.lag(value).over(local))
-    tails = (df.filter(F.col(idx) % CHUNK_ROWS == CHUNK_ROWS - 1)
-             .select(key, (F.col("_chunk") + 1).alias("_chunk"), F.col(value).alias("_tail")))
-    j = d.join(tails, [key, "_chunk"], "left")
-    first_of_chunk = F.col(idx) % CHUNK_ROWS == 0
-    return j.withColumn(name, F.when(first_of_chunk, F.col("_tail")).otherwise(F.col("_lag"))).drop("_lag", "_tail")

@@ -119,12 +119,3 @@ def test_markdown_blocks(spark):
         (1, "heading", 1, "Title"), (1, "p", None, "para one continues here"), (1, "ul", None, "item a\nitem b"),
         (1, "ol", None, "first\nsecond"), (1, "code", None, "code line\n\nmore code"), (1, "heading", 2, "Sub"),
         (1, "p", None, "text"), (2, "p", None, "plain lines"), (3, "code", None, "unterminated")]
-
-
-def test_markdown_blocks_across_chunks(spark, monkeypatch):
-    from lakeops.plans import ordered
-    df = spark.createDataFrame([(1, MD), (2, "plain\r\nlines"), (3, "```\nunterminated")], "doc_id long, text string")
-    whole = sorted(tuple(r) for r in N.markdown_blocks(df).collect())
-    monkeypatch.setattr(ordered, "CHUNK_ROWS", 2)
-    chunked = sorted(tuple(r) for r in N.markdown_blocks(df).collect())
-    assert chunked == whole

@@ -1,4 +1,4 @@
-"""Skew-proof positions and chunked scans equal their window-function forms."""
+"""Skew-proof positions equal their window-function form."""
 
 from pyspark.sql import Window, functions as F
 
@@ -15,16 +15,3 @@ def test_positions_hot_key_spread_over_partitions(spark):
     want = df.withColumn("position", F.row_number().over(w))
     assert got.select("k", "id", "position").exceptAll(want.select("k", "id", "position")).count() == 0
     assert got.count() == 5000
-
-
-def test_running_sum_and_previous_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "CHUNK_ROWS", 7)
-    df = spark.range(0, 200).select((F.col("id") % 3).alias("k"), (F.col("id") / 3).cast("long").alias("i"),
-                                    (F.col("id") % 5).alias("x"))
-    got = ordered.previous(ordered.running_sum(ordered.with_chunks(df, "i"), "k", "i", F.col("x"), "rs"),
-                           "k", "i", "x", "px")
-    w = Window.partitionBy("k").orderBy("i")
-    want = df.withColumn("rs", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-             .withColumn("px", F.lag("x").over(w))
-    cols = ["k", "i", "rs", "px"]
-    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
