@@ -44,10 +44,12 @@ def notebook_content(cells: DataFrame, key: str = "notebook_id", pos: str = "pos
 
 
 def notebook_cells(notebooks: DataFrame, key: str = "notebook_id", content_col: str = "content") -> DataFrame:
-    """(key, pos, type, source): ordered cells of each notebook (K1).
+    """(key, pos, cell_id, type, source): ordered cells of each notebook (K1).
 
     Type other than ``markdown`` -> ``code``; missing source -> ''; a notebook
-    without cells (or with unreadable content) gets one empty code cell.
+    without cells (or with unreadable content) gets one empty code cell.  A
+    cell without an id gets ``cell-<pos + 1>`` (deterministic, unlike a
+    random editor id, so reruns agree).
     """
     parsed = F.from_json(F.col(content_col), CONTENT_SCHEMA)
     cells = F.coalesce(parsed["cells"], F.array().cast(CONTENT_SCHEMA["cells"].dataType))
@@ -55,16 +57,18 @@ def notebook_cells(notebooks: DataFrame, key: str = "notebook_id", content_col:
                              F.lit("").alias("source")))
     cells = F.when(F.size(cells) == 0, empty).otherwise(cells)
     ex = notebooks.select(key, F.posexplode(cells).alias("pos", "c"))
-    return ex.select(key, "pos",
+    cell_id = F.coalesce(F.nullif(F.trim(F.col("c.id")), F.lit("")),
+                         F.concat(F.lit("cell-"), (F.col("pos") + 1).cast("string")))
+    return ex.select(key, "pos", cell_id.alias("cell_id"),
                      F.when(F.col("c.type") == "markdown", "markdown").otherwise("code").alias("type"),
                      F.coalesce(F.col("c.source"), F.lit("")).alias("source"))
 
 
-def runnable_cells(cells: DataFrame, cell_pos: int | None = None, key: str = "notebook_id") -> DataFrame:
-    """Code cells in order, all of them or one chosen position (K2)."""
+def runnable_cells(cells: DataFrame, cell_id: str | None = None, key: str = "notebook_id") -> DataFrame:
+    """Code cells in order, all of them or one chosen cell (K2)."""
     c = cells.filter(F.col("type") == "code")
-    if cell_pos is not None:
-        c = c.filter(F.col("pos") == cell_pos)
+    if cell_id is not None:
+        c = c.filter(F.col("cell_id") == cell_id)
     return c.orderBy(key, "pos")
 
 

@@ -32,10 +32,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = """
 WITH c AS (
   SELECT n.notebook_id, CAST(row_number() OVER (PARTITION BY r.notebook_id ORDER BY r.rev) - 1 AS INTEGER) AS pos,
+    'cell-' || CAST(row_number() OVER (PARTITION BY r.notebook_id ORDER BY r.rev) AS VARCHAR) AS cell_id,
     CASE WHEN r.cell_type = 'markdown' THEN 'markdown' ELSE 'code' END AS type, COALESCE(r.source, '') AS source
   FROM fx_notebooks n JOIN fx_revisions r ON r.notebook_id = n.notebook_id
   UNION ALL
-  SELECT notebook_id, 0, 'code', '' FROM fx_notebooks n
+  SELECT notebook_id, 0, 'cell-1', 'code', '' FROM fx_notebooks n
   WHERE NOT EXISTS (SELECT 1 FROM fx_revisions r WHERE r.notebook_id = n.notebook_id))
 """
 

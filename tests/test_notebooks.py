@@ -14,9 +14,13 @@ def nb(spark, rows):
 def test_cells_normalized(spark):
     rows = [(1, '{"cells":[{"type":"markdown","source":"# t"},{"type":"sql"},{"source":"x"}]}'),
             (2, '{"cells":[]}'), (3, None), (4, "not json")]
-    got = [(r.notebook_id, r.pos, r.type, r.source) for r in N.notebook_cells(nb(spark, rows)).orderBy("notebook_id", "pos").collect()]
+    cells = N.notebook_cells(nb(spark, rows))
+    got = [(r.notebook_id, r.pos, r.type, r.source) for r in cells.orderBy("notebook_id", "pos").collect()]
     assert got == [(1, 0, "markdown", "# t"), (1, 1, "code", ""), (1, 2, "code", "x"),
                    (2, 0, "code", ""), (3, 0, "code", ""), (4, 0, "code", "")]
+    with_id = N.notebook_cells(nb(spark, [(5, '{"cells":[{"id":"a1","type":"code","source":"q"},{"source":"r"}]}')]))
+    assert [(r.cell_id, r.source) for r in with_id.orderBy("pos").collect()] == [("a1", "q"), ("cell-2", "r")]
+    assert [r.source for r in N.runnable_cells(with_id, "cell-2").collect()] == ["r"]
 
 
 def test_export_script(spark):
