@@ -154,11 +154,18 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named fixture as a DataFrame over the tables in ``sf_dir``."""
+    """The named fixture as a DataFrame over the tables in ``sf_dir``.
+
+    Source tables are registered under ``lakeops_src_<table>`` names so a
+    caller's own temp views are never replaced; the SQL is analysed at once,
+    so the returned plan keeps pointing at ``sf_dir`` later on.
+    """
     sql = render(FIXTURES[name], "spark")
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            view = f"lakeops_src_{t}"
+            table(spark, sf_dir, t).createOrReplaceTempView(view)
+            sql = re.sub(rf"\b{t}\b", view, sql)
     return spark.sql(sql)
 
 
