@@ -113,13 +113,17 @@ def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
 # --- W2, W3 ----------------------------------------------------------------------
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: Sequence[str], at: Column | None = None,
-                  updated_col: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+                  updated_col: str = "updated_at", order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Overlay the non-NULL columns of ``changes`` onto matching rows.
 
     Matching rows get ``updated_col = at``.  Returns ``(table, unknown)`` where
-    ``unknown`` lists change keys with no row.  ``changes`` holds one row per key.
+    ``unknown`` lists change keys with no row.  ``changes`` holds one row per
+    key; with ``order_col`` several changes per key are first reduced to the
+    latest (W3), so the join can never multiply base rows.
     """
     key = list(key)
+    if order_col is not None:
+        changes = upsert_latest(None, changes, key, order_col, keep_first=()).drop(order_col)
     cols = [c for c in changes.columns if c not in key and c in base.columns]
     ch = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_matched"))
     if updated_col not in base.columns:

@@ -8,10 +8,11 @@ The workspace polls on timers; here the same rules run continuously:
 * X3 ``stream_cluster_events``: events attributed to clusters (prefix join
   against the static registry) counted per tumbling window.
 
-Each stream writes micro-batch results with ``foreachBatch`` as append-only
-change logs in shared storage, with the checkpoint beside them, so a
-restarted query resumes exactly where it stopped and an executor loss only
-reruns tasks.  Readers reduce a change log to the latest value per key.
+Each stream writes micro-batch results with ``foreachBatch`` into a change
+log in shared storage, one overwritten partition per batch id, with the
+checkpoint beside it: a restarted query resumes where it stopped, a replayed
+batch replaces its own partition, and an executor loss only reruns tasks.
+Readers reduce a change log to the latest value per key.
 ``withWatermark`` needs a TIMESTAMP column, so NTZ event times are cast for
 the watermark while results keep the original NTZ values.
 """
@@ -52,15 +53,17 @@ def _event_time(df: DataFrame, ts: str) -> DataFrame:
 
 
 def run_to_log(agg: DataFrame, out_dir: str, output_mode: str = "update") -> str:
-    """Run ``agg`` over all available input; append each batch to a change log.
+    """Run ``agg`` over all available input; land each batch in a change log.
 
-    Returns the change-log path.  Rows carry ``_batch`` so readers can take
-    the latest value per key.
+    Returns the change-log path.  Each micro-batch is written to its own
+    ``_batch=<id>`` partition with overwrite, so a batch replayed after a
+    failure replaces its earlier attempt instead of duplicating it; readers
+    get ``_batch`` back from the partition and take the latest value per key.
     """
     log_path = os.path.join(out_dir, "log")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(log_path)
+        batch.write.mode("overwrite").parquet(os.path.join(log_path, f"_batch={batch_id}"))
 
     q = (agg.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", os.path.join(out_dir, "checkpoint"))

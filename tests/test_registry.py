@@ -81,3 +81,12 @@ def test_cascade_delete_tree(spark):
     f = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 0), (4, 3)], "folder_id long, parent_id long")
     d = spark.createDataFrame([(1,), (9,)], "folder_id long")
     assert sorted(r.folder_id for r in G.cascade_delete_tree(f, d).collect()) == [0, 3, 4]
+
+
+def test_update_with_several_changes_per_key(spark):
+    base = clusters(spark)
+    ch = spark.createDataFrame([(2, "Stopped", 1), (2, "Running", 2), (1, "Stopped", 5)],
+                               "id long, desired_state string, seq long")
+    table, _ = G.update_by_key(base, ch, ["id"], order_col="seq")
+    assert {r.id: r.desired_state for r in table.collect()} == {1: "Stopped", 2: "Running", 3: "Stopped"}
+    assert table.count() == 3
