@@ -206,7 +206,9 @@ def folder_closure(folders: DataFrame, id_col: str = "folder_id", parent_col: st
     """(ancestor_id, folder_id, depth) for every folder and each ancestor.
 
     depth 0 is the folder itself.  Expressed as a recursive CTE; Spark runs
-    one join per tree level and stops when a level adds no rows.
+    one join per tree level and stops when a level adds no rows (at most
+    ``spark.sql.cteRecursionLevelLimit`` levels, 100 by default -- folder
+    trees are far shallower).
     """
     spark = folders.sparkSession
     view = f"_lakeops_folders_{id(folders)}"
