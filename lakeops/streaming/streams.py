@@ -48,8 +48,25 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.parquet(path)
 
 
+_EPOCH = X.ntz("1970-01-01 00:00:00")
+
+
+def instant_of(ntz_ts: Column) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP whose UTC reading equals the NTZ wall clock.
+
+    Independent of the session time zone (a plain cast would shift by it), so
+    window boundaries line up with the NTZ values in every session.
+    """
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, ntz_ts))
+
+
+def wall_clock_of(instant: Column) -> Column:
+    """Inverse of :func:`instant_of`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _EPOCH)
+
+
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", WATERMARK_DELAY)
+    return df.withColumn("_et", instant_of(F.col(ts))).withWatermark("_et", WATERMARK_DELAY)
 
 
 def run_to_log(agg: DataFrame, out_dir: str, output_mode: str = "update") -> str:
@@ -131,5 +148,5 @@ def stream_cluster_events(events: DataFrame, clusters: DataFrame, ts: str = "las
     return (j.groupBy("cluster_id", w.alias("w"))
             .agg(F.count(F.lit(1)).alias("events"),
                  F.sum(F.coalesce(F.lower(F.col("type")) == "warning", F.lit(False)).cast("long")).alias("warnings"))
-            .select("cluster_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events", "warnings"))
+            .select("cluster_id", wall_clock_of(F.col("w.start")).alias("window_start"),
+                    wall_clock_of(F.col("w.end")).alias("window_end"), "events", "warnings"))
