@@ -48,7 +48,8 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.parquet(path)
 
 
-_EPOCH = X.ntz("1970-01-01 00:00:00")
+def _epoch() -> Column:
+    return X.ntz("1970-01-01 00:00:00")
 
 
 def instant_of(ntz_ts: Column) -> Column:
@@ -57,12 +58,12 @@ def instant_of(ntz_ts: Column) -> Column:
     Independent of the session time zone (a plain cast would shift by it), so
     window boundaries line up with the NTZ values in every session.
     """
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, ntz_ts))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), ntz_ts))
 
 
 def wall_clock_of(instant: Column) -> Column:
     """Inverse of :func:`instant_of`."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _EPOCH)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:

@@ -34,3 +34,12 @@ def test_log_tail_uses_group_limit(spark):
 def test_entry_smoke(spark):
     rows = E.entry(spark).collect()
     assert sum(r.requests for r in rows) > 0
+
+
+def test_registry_lists_without_a_session():
+    import subprocess
+    import sys
+    code = ("import __spark_entry__ as E; q = E.queries(); o = E.oracle_sql(); "
+            "assert set(o) <= set(q) and len(q) >= 70, (len(q), len(o))")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd="/tmp",
+                   env={"PYTHONPATH": __import__("conftest").ROOT, "PATH": "/usr/bin:/bin"})
