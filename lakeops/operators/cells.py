@@ -9,7 +9,9 @@ frame them, so a cell over a huge table returns a bounded payload.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +31,28 @@ class CellResult:
     error: str | None
 
 
+@contextlib.contextmanager
+def _quiet_sql_errors():
+    """The failing cell's error becomes a frame; keep PySpark from also logging it."""
+    log = logging.getLogger("SQLQueryContextLogger")
+    was = log.disabled
+    log.disabled = True
+    try:
+        yield
+    finally:
+        log.disabled = was
+
+
 def run_sql_cells(spark: SparkSession, cells: list[str]) -> list[CellResult]:
     """Run every cell in order; errors are captured per cell."""
     out = []
-    for i, sql in enumerate(cells):
-        try:
-            df = spark.sql(sql)
-            out.append(CellResult(i, df, None))
-        except Exception as e:  # noqa: BLE001 - any analysis/runtime error becomes an error frame
-            out.append(CellResult(i, None, f"{type(e).__name__}: {e}".splitlines()[0]))
+    with _quiet_sql_errors():
+        for i, sql in enumerate(cells):
+            try:
+                df = spark.sql(sql)
+                out.append(CellResult(i, df, None))
+            except Exception as e:  # noqa: BLE001 - any analysis/runtime error becomes an error frame
+                out.append(CellResult(i, None, f"{type(e).__name__}: {e}".splitlines()[0]))
     return out
 
 
