@@ -1,6 +1,5 @@
 """Registry mutations as table rewrites."""
 
-from pyspark.sql import functions as F
 
 from lakeops.functions import exprs as X
 from lakeops.operators import registry as G

@@ -57,3 +57,10 @@ def test_create_namespace_and_table(spark):
     assert spark.table("lakeops_test_ns.demo").columns == ["id", "name", "ts"]
     bad = spark.createDataFrame([(1, None, None)], "id long, name string, ts timestamp_ntz")
     assert sorted(r.column for r in TB.null_violations(bad, SCHEMA).collect()) == ["name", "ts"]
+
+
+def test_build_session_applies_catalog_conf(spark):
+    from lakeops.session import build_session
+    s = build_session({"spark.sql.catalog.lake.type": "rest"})
+    assert s.conf.get("spark.sql.catalog.lake.type") == "rest"
+    assert s.conf.get("spark.sql.adaptive.enabled") == "true"
