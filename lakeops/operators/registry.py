@@ -37,6 +37,22 @@ def lookup(df: DataFrame, **key) -> DataFrame:
     return df.filter(cond)
 
 
+class NotFound(LookupError):
+    """No row matches the key (the registry's not-found outcome)."""
+
+
+def get_one(df: DataFrame, **key):
+    """The single row for a key, fetched as at most one row; ``NotFound`` when none.
+
+    A point lookup for callers that need the row itself (as an API handler
+    does); whole-table work uses :func:`lookup` and joins instead.
+    """
+    rows = lookup(df, **key).limit(1).take(1)
+    if not rows:
+        raise NotFound(", ".join(f"{k}={v!r}" for k, v in key.items()))
+    return rows[0]
+
+
 def exists(df: DataFrame) -> bool:
     """Cheap emptiness probe: reads at most one row."""
     return len(df.limit(1).take(1)) > 0

@@ -89,3 +89,11 @@ def test_update_with_several_changes_per_key(spark):
     table, _ = G.update_by_key(base, ch, ["id"], order_col="seq")
     assert {r.id: r.desired_state for r in table.collect()} == {1: "Stopped", 2: "Running", 3: "Stopped"}
     assert table.count() == 3
+
+
+def test_get_one_and_not_found(spark):
+    import pytest
+    base = clusters(spark)
+    assert G.get_one(base, cr_name="qs-b").id == 2
+    with pytest.raises(G.NotFound):
+        G.get_one(base, cr_name="missing")
