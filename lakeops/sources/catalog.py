@@ -69,7 +69,16 @@ def catalog_tree(spark: SparkSession, tables: DataFrame | None = None) -> DataFr
     cats = list_catalogs(spark).select(F.col("catalog").alias("label"))
     cur = spark.catalog.currentCatalog()
     nss = list_namespaces(spark).select(F.col("namespace").alias("label"))
-    tbl = tables if tables is not None else list_tables(spark)
+    if tables is None:
+        # One SHOW TABLES per namespace (catalog metadata, not data); session
+        # temp views appear in each listing and are kept once.
+        names = [r[0] for r in list_namespaces(spark).collect()]
+        parts = [list_tables(spark, ns) for ns in names] or [list_tables(spark)]
+        tables = parts[0]
+        for p in parts[1:]:
+            tables = tables.unionByName(p)
+        tables = tables.distinct()
+    tbl = tables
     c = cats.select(F.concat(F.lit("cat:"), "label").alias("node_id"), F.lit("").alias("parent_id"),
                     F.lit("catalog").alias("kind"), "label", F.lit(1).alias("depth"))
     n = nss.select(F.concat(F.lit(f"ns:{cur}."), "label").alias("node_id"), F.lit(f"cat:{cur}").alias("parent_id"),

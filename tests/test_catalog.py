@@ -70,3 +70,5 @@ def test_live_table_metadata(spark):
     assert cols == [("id", "bigint", "pk"), ("tags", "map", ""), ("name", "string", "")]
     assert [r.name for r in C.live_partition_fields(desc).collect()] == ["name"]
     assert ("team", "x") in [(r.property, r.value) for r in C.live_table_properties(desc).collect()]
+    tree = {(r.node_id, r.parent_id) for r in C.catalog_tree(spark).collect()}
+    assert ("tbl:spark_catalog.lakeops_live.t", "ns:spark_catalog.lakeops_live") in tree
