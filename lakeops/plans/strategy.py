@@ -1,17 +1,15 @@
 """Join-strategy policy shared by the operators.
 
-Broadcasting is only safe for a side whose size is proven.  Three cases:
+Broadcasting is only safe for a side whose size is proven.
 
-* ``fixed_small`` -- a side whose size is fixed by construction (the nine-row
-  permission ladder built from a literal): broadcast hint, always.
-* Every other batch join is left to the optimizer.  Its size check is
-  Spark's own: the static planner broadcasts only below
-  ``spark.sql.autoBroadcastJoinThreshold`` (from file statistics), and AQE
-  re-plans from the *measured* shuffle output
+* Batch joins carry no broadcast hint.  Their size check is Spark's own: the
+  static planner broadcasts only below ``spark.sql.autoBroadcastJoinThreshold``
+  (from file statistics), and AQE re-plans from the *measured* shuffle output
   (``spark.sql.adaptive.autoBroadcastJoinThreshold``), keeping the shuffle
   join beyond it and splitting skewed partitions
-  (``spark.sql.adaptive.skewJoin.enabled``).  No eager job is spent on a
-  count that would itself read the whole side at scale.
+  (``spark.sql.adaptive.skewJoin.enabled``).  No eager job is spent on a count
+  that would itself read the whole side at scale.  Fixed configuration (the
+  permission ladder) is not joined at all but looked up in a literal map.
 * ``small_side`` -- stream-static joins, where AQE does not run: the static
   side is counted once, with a bound (``limit(n + 1)``), when the stream
   starts, and broadcast only under the bound.
@@ -33,11 +31,6 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return df
 
 
-def fixed_small(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose size is fixed by construction (a literal table)."""
-    return F.broadcast(df)
-
-
 # An input of at least this size that arrives as fewer splits than the session
 # has cores is spread before the per-row work (see ``spread_under_split``).
 SPREAD_MIN_BYTES = 1 << 20
