@@ -68,6 +68,21 @@ def replace_rows(df: DataFrame, path: str, fmt: str = "parquet", partition_by: S
     w.save(path)
 
 
+def write_keyed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, fmt: str = "parquet",
+                location: str | None = None) -> None:
+    """Replace a catalog table, bucketed and sorted on its key.
+
+    Registry tables are joined on their keys again and again (updates,
+    upserts, deletes, audits).  Writing both sides bucketed by the same key
+    into the same number of buckets lets those joins and per-key aggregates
+    run without a shuffle (``spark.sql.sources.bucketing.enabled``).
+    """
+    w = df.write.mode("overwrite").format(fmt).bucketBy(buckets, *keys).sortBy(*keys)
+    if location:
+        w = w.option("path", location)
+    w.saveAsTable(table)
+
+
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Insert by column name (T5): columns are matched to the table's order."""
     spark = df.sparkSession

@@ -64,3 +64,23 @@ def test_build_session_applies_catalog_conf(spark):
     s = build_session({"spark.sql.catalog.lake.type": "rest"})
     assert s.conf.get("spark.sql.catalog.lake.type") == "rest"
     assert s.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_keyed_tables_join_without_shuffle(spark):
+    from pyspark.sql import functions as F
+    from lakeops.operators import registry as G
+    TB.create_namespace(spark, "lakeops_keyed")
+    base = spark.range(0, 2000).select(F.col("id"), (F.col("id") % 7).alias("v"))
+    changes = spark.range(0, 2000, 3).select(F.col("id"), F.lit(1).alias("v"))
+    TB.write_keyed(base, "lakeops_keyed.base", ["id"], 8, location=shared_dir(spark, "keyed_base"))
+    TB.write_keyed(changes, "lakeops_keyed.changes", ["id"], 8, location=shared_dir(spark, "keyed_changes"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the shuffle-join path
+    try:
+        table, _ = G.update_by_key(spark.table("lakeops_keyed.base"), spark.table("lakeops_keyed.changes"), ["id"])
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = sum(1 for i in range(2000) if i % 3 == 0 or i % 7 == 1)
+        assert table.filter("v = 1").count() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
