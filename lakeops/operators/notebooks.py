@@ -126,33 +126,36 @@ def workspace_tree(notebooks: DataFrame, key: str = "notebook_id") -> DataFrame:
     """Folder and notebook nodes of the workspace, in display order (K6, O2).
 
     Columns: node_id (``dir:/a/b`` or ``nb:<id>``), parent_id ('' at the top),
-    kind, label, depth.  Folders come from every proper prefix of a path
-    (blank segments ignored) and are de-duplicated with a hash aggregate; the
-    final global sort puts folders before notebooks, each by label under a
-    case-insensitive Unicode collation, and range-partitions so a crowded
-    folder spans many tasks.
+    kind, label, depth.  One pass over the notebooks: each row becomes its
+    leaf node plus one folder node per proper prefix of its path (blank
+    segments ignored); a hash aggregate de-duplicates the folders (leaf ids
+    are unique already).  The final global sort puts folders before
+    notebooks, each by label under a case-insensitive Unicode collation, and
+    range-partitions so a crowded folder spans many tasks.
     """
     segs = X.path_segments(F.col("path"))
     base = notebooks.select(key, segs.alias("_segs"), X.display_name("name", "path").alias("_label"))
-    base = base.withColumn("_folders", F.slice("_segs", 1, F.greatest(F.size("_segs") - 1, F.lit(0))))
+    folders_of = F.slice("_segs", 1, F.greatest(F.size("_segs") - 1, F.lit(0)))
+    base = base.withColumn("_folders", folders_of)
 
     def dir_id(parts: Column) -> Column:
         return F.concat(F.lit("dir:/"), F.array_join(parts, "/"))
 
-    folders = (base.select(F.explode(F.sequence(F.lit(1), F.size("_folders"))).alias("_d"), "_folders")
-               .filter(F.size("_folders") > 0)
-               .select(dir_id(F.slice("_folders", 1, F.col("_d"))).alias("node_id"),
-                       F.when(F.col("_d") == 1, F.lit("")).otherwise(
-                           dir_id(F.slice("_folders", 1, F.col("_d") - 1))).alias("parent_id"),
-                       F.lit("folder").alias("kind"),
-                       F.element_at("_folders", F.col("_d")).alias("label"),
-                       F.col("_d").cast("int").alias("depth"))
-               .distinct())
-    leaves = base.select(F.concat(F.lit("nb:"), F.col(key).cast("string")).alias("node_id"),
-                         F.when(F.size("_folders") == 0, F.lit("")).otherwise(dir_id(F.col("_folders"))).alias("parent_id"),
-                         F.lit("notebook").alias("kind"), F.col("_label").alias("label"),
-                         (F.size("_folders") + 1).cast("int").alias("depth"))
-    tree = folders.unionByName(leaves)
+    def node(node_id: Column, parent: Column, kind: str, label: Column, depth: Column) -> Column:
+        return F.struct(node_id.alias("node_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"),
+                        label.alias("label"), depth.cast("int").alias("depth"))
+
+    n_folders = F.size("_folders")
+    leaf = node(F.concat(F.lit("nb:"), F.col(key).cast("string")),
+                F.when(n_folders == 0, F.lit("")).otherwise(dir_id(F.col("_folders"))),
+                "notebook", F.col("_label"), n_folders + 1)
+    folder_nodes = F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(n_folders, F.lit(1))), lambda d: d <= n_folders),
+        lambda d: node(dir_id(F.slice("_folders", 1, d)),
+                       F.when(d == 1, F.lit("")).otherwise(dir_id(F.slice("_folders", 1, d - 1))),
+                       "folder", F.element_at("_folders", d), d))
+    tree = (base.select(F.explode(F.concat(F.array(leaf), folder_nodes)).alias("n"))
+            .select("n.*").distinct())
     kind_rank = F.when(F.col("kind") == "folder", 0).otherwise(1)
     # Case-insensitive Unicode collation, as a locale-aware label compare sorts.
     return tree.orderBy("parent_id", kind_rank, F.collate(F.col("label"), "UNICODE_CI"), "node_id")
