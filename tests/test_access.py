@@ -95,3 +95,13 @@ def test_access_matrix_rollup(spark):
     rows = {(r.object_type, r.required): (r.allowed, r.total) for r in A.access_matrix(d).collect()}
     assert rows[(None, None)] == (2, 3)
     assert rows[("notebook", None)] == (1, 2)
+
+
+def test_read_attribution_and_membership(spark):
+    log = spark.createDataFrame([("alice",), ("",), ("  ",), (None,), ("alice",)], "username string")
+    got = {r.reader: r.reads for r in A.read_attribution(log, "svc").collect()}
+    assert got == {"alice": 2, "svc": 3}
+    p = spark.createDataFrame([("bob", False, ["data", "data", "ops"]), ("eve", False, [])],
+                              "username string, admin boolean, groups array<string>")
+    keys = sorted(tuple(r) for r in A.membership(p).collect())
+    assert keys == [("bob", "group", "data"), ("bob", "group", "ops"), ("bob", "user", "bob"), ("eve", "user", "eve")]
