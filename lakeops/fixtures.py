@@ -59,7 +59,8 @@ SELECT c_custkey AS id, c_name AS name, concat('qs-', CAST(c_custkey AS VARCHAR(
  concat('user', CAST(c_custkey % 50 AS VARCHAR(20))) AS owner,
  CASE c_mktsegment WHEN 'BUILDING' THEN 'Ready' WHEN 'AUTOMOBILE' THEN 'Not-Ready' WHEN 'MACHINERY' THEN 'Failed' WHEN 'HOUSEHOLD' THEN '' ELSE 'Running' END AS phase,
  CASE WHEN c_custkey % 4 = 0 THEN 'Stopped' ELSE 'Running' END AS desired_state, c_custkey % 7 = 0 AS pinned,
- CASE WHEN c_custkey % 11 = 0 THEN '{}' ELSE concat('{"idle_minutes": ', CAST((c_custkey % 3) * 600 AS VARCHAR(20)), '}') END AS config FROM customer
+ CASE WHEN c_custkey % 11 = 0 THEN '{}' ELSE concat('{"idle_minutes": ', CAST((c_custkey % 3) * 600 AS VARCHAR(20)), '}') END AS config,
+ {TS:2024-01-01 00:00:00} AS created_at FROM customer
 """,
     # Live custom resources: customers in debt have none (their CR is gone).
     "fx_live": """

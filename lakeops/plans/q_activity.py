@@ -71,7 +71,7 @@ def q_last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IDLE = f"""
 WITH la AS (SELECT cluster_id, max(ts) AS last_activity_at FROM fx_activity GROUP BY cluster_id),
 c AS (
-  SELECT c.*, la.last_activity_at,
+  SELECT c.*, COALESCE(la.last_activity_at, c.created_at) AS last_activity_at,
     CASE WHEN json_type(c.config, '$.idle_minutes') IN ('UBIGINT', 'BIGINT')
          THEN CAST(json_extract(c.config, '$.idle_minutes') AS BIGINT) ELSE 0 END AS idle_minutes
   FROM fx_clusters c LEFT JOIN la ON la.cluster_id = c.id),
