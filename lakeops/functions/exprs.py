@@ -20,6 +20,9 @@ UNKNOWN_LABEL = "Unknown"
 UNTITLED = "Untitled"
 DEFAULT_SLUG = "cluster"
 SLUG_MAX = 51
+SLUG_INVALID = r"[^a-z0-9-]+"
+CR_PREFIX = "qs-"
+CLONE_SUFFIX = "-clone"
 CONFIG_DEFAULTS = {
     "worker_min": 1,
     "worker_max": 2,
@@ -326,7 +329,7 @@ def idle_minutes_of(config_json: ColumnLike) -> Column:
 
 def slug(name: ColumnLike) -> Column:
     """DNS-safe name fragment."""
-    s = F.regexp_replace(F.lower(F.coalesce(_c(name), F.lit(""))), r"[^a-z0-9-]+", "-")
+    s = F.regexp_replace(F.lower(F.coalesce(_c(name), F.lit(""))), SLUG_INVALID, "-")
     s = F.regexp_replace(s, r"^-+|-+$", "")
     s = F.when(s == "", F.lit(DEFAULT_SLUG)).otherwise(s)
     cut = F.regexp_replace(F.substring(s, 1, SLUG_MAX), r"-+$", "")
@@ -336,7 +339,7 @@ def slug(name: ColumnLike) -> Column:
 def cr_name(name: ColumnLike, key: ColumnLike) -> Column:
     """'qs-<slug>-<8 hex>' with a deterministic suffix from ``key``."""
     suffix = F.substring(F.sha2(_c(key).cast("string"), 256), 1, 8)
-    return F.concat(F.lit("qs-"), slug(name), F.lit("-"), suffix)
+    return F.concat(F.lit(CR_PREFIX), slug(name), F.lit("-"), suffix)
 
 
 def path_segments(path: ColumnLike) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lakeops.functions import exprs as X
 
-# Empty content, markers of the script export, connect URL form.
+# Empty content, markers of the script export, connect URL form,
+# and the markdown line patterns (heading, bullet item, numbered item, fence).
 EMPTY_CONTENT = '{"cells":[]}'
 SCRIPT_CELL = "# %%\n"
 SCRIPT_MARKDOWN_CELL = "# %% [markdown]\n"
@@ -25,6 +26,10 @@ CONNECT_SUFFIX = "-server:15002"
 IPYNB_METADATA = '{"language_info":{"name":"python"}}'
 IPYNB_FORMAT = 4
 IPYNB_MINOR = 5
+_HEADING = r"^(#{1,6})\s+(.*)$"
+_UL = r"^\s*[-*]\s+"
+_OL = r"^\s*\d+\.\s+"
+_FENCE = r"^```"
 
 CONTENT_SCHEMA = T.StructType([T.StructField("cells", T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()),
@@ -227,10 +232,6 @@ def entries_to_map(pairs: DataFrame, group: str = "map_id", pos: str = "pos",
 
 # --- N4: markdown blocks ------------------------------------------------------------
 
-_HEADING = r"^(#{1,6})\s+(.*)$"
-_UL = r"^\s*[-*]\s+"
-_OL = r"^\s*\d+\.\s+"
-_FENCE = r"^```"
 
 
 def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -274,7 +274,7 @@ def clone_rows(df: DataFrame, picks: DataFrame, key: str = "id", name_col: str =
     derived from the source key and the new name.
     """
     j = df.join(picks.select(key, "new_name"), key)
-    name = F.coalesce(F.nullif(F.trim(F.col("new_name")), F.lit("")), F.concat(F.col(name_col), F.lit("-clone")))
+    name = F.coalesce(F.nullif(F.trim(F.col("new_name")), F.lit("")), F.concat(F.col(name_col), F.lit(X.CLONE_SUFFIX)))
     seed = F.concat_ws("/", F.col(key).cast("string"), name)
     out = j.withColumns({name_col: name, cr_col: X.cr_name(name, seed), "source_id": F.col(key)})
     return out.drop("new_name")
