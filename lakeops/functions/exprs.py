@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ColumnLike = Column | str
 
-# Placeholder text, defaults of a cluster config, name limits.
+# Placeholder text, defaults of a cluster config, naming rules.
 DASH = "—"
 UNKNOWN_LABEL = "Unknown"
 UNTITLED = "Untitled"
