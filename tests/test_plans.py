@@ -43,3 +43,14 @@ def test_registry_lists_without_a_session():
             "assert set(o) <= set(q) and len(q) >= 70, (len(q), len(o))")
     subprocess.run([sys.executable, "-c", code], check=True, cwd="/tmp",
                    env={"PYTHONPATH": __import__("conftest").ROOT, "PATH": "/usr/bin:/bin"})
+
+
+def test_markdown_blocks_shuffles_once(spark):
+    p = plan_text(E.queries()["markdown_blocks"](spark, SF001))
+    shuffles = [ln for ln in p.splitlines() if "Exchange" in ln and "Broadcast" not in ln]
+    assert len(shuffles) == 1 and "hashpartitioning(doc_id" in shuffles[0]
+
+
+def test_access_reduction_is_hash_aggregate(spark):
+    p = plan_text(E.queries()["grants_upsert"](spark, SF001))
+    assert "HashAggregate" in p and "SortAggregate" not in p
