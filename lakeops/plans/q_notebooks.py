@@ -133,7 +133,7 @@ def q_resolve_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("restore_revision", f"""
-WITH p AS (SELECT notebook_id, {RESTORE_REV} AS rev FROM fx_notebooks WHERE trashed_at IS NULL),
+WITH p AS (SELECT notebook_id, CAST({RESTORE_REV} AS BIGINT) AS rev FROM fx_notebooks WHERE trashed_at IS NULL),
 hit AS (SELECT p.notebook_id, p.rev, r.source FROM p JOIN fx_revisions r ON r.notebook_id = p.notebook_id AND r.rev = p.rev)
 SELECT n.notebook_id, CASE WHEN h.notebook_id IS NOT NULL THEN 'restored' ELSE 'unchanged' END AS status,
   h.rev AS restored_rev, h.source AS content FROM fx_notebooks n LEFT JOIN hit h ON h.notebook_id = n.notebook_id
