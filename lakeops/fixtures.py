@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -157,17 +158,24 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named fixture as a DataFrame over the tables in ``sf_dir``.
 
-    Source tables are registered under ``lakeops_src_<table>`` names so a
-    caller's own temp views are never replaced; the SQL is analysed at once,
-    so the returned plan keeps pointing at ``sf_dir`` later on.
+    Source tables are registered under unique ``lakeops_src_<table>_<id>``
+    names for the moment the SQL is analysed, then dropped: the analysed plan
+    already holds the tables, a caller's own temp views are never replaced,
+    and concurrent calls cannot see each other's sources.
     """
     sql = render(FIXTURES[name], "spark")
+    views = []
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            view = f"lakeops_src_{t}"
+            view = f"lakeops_src_{t}_{uuid.uuid4().hex[:12]}"
             table(spark, sf_dir, t).createOrReplaceTempView(view)
+            views.append(view)
             sql = re.sub(rf"\b{t}\b", view, sql)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for v in views:
+            spark.catalog.dropTempView(v)
 
 
 def with_fixtures(sql: str) -> str:

@@ -8,6 +8,7 @@ log reduced to the latest row per key, which the batch oracle then checks.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,8 +24,12 @@ _STREAM_VIEW = "lakeops_events_stream"
 
 def stream_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture whose ``events`` input is a stream over the events file."""
-    S.file_stream(spark, f"{sf_dir}/events.parquet").createOrReplaceTempView(_STREAM_VIEW)
-    return spark.sql(re.sub(r"\bevents\b", _STREAM_VIEW, render(FIXTURES[name], "spark")))
+    view = f"{_STREAM_VIEW}_{uuid.uuid4().hex[:12]}"
+    S.file_stream(spark, f"{sf_dir}/events.parquet").createOrReplaceTempView(view)
+    try:
+        return spark.sql(re.sub(r"\bevents\b", view, render(FIXTURES[name], "spark")))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 @query("stream_last_activity", """
