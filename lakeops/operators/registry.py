@@ -12,6 +12,7 @@ reduced map-side before the shuffle instead of being sorted in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -227,9 +228,10 @@ def folder_closure(folders: DataFrame, id_col: str = "folder_id", parent_col: st
     trees are far shallower).
     """
     spark = folders.sparkSession
-    view = f"_lakeops_folders_{id(folders)}"
+    view = f"lakeops_folders_{uuid.uuid4().hex[:12]}"
     folders.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id")).createOrReplaceTempView(view)
-    return spark.sql(f"""
+    try:
+        return spark.sql(f"""
         WITH RECURSIVE closure(ancestor_id, folder_id, depth) AS (
           SELECT id, id, 0 FROM {view}
           UNION ALL
@@ -238,6 +240,8 @@ def folder_closure(folders: DataFrame, id_col: str = "folder_id", parent_col: st
           WHERE f.parent_id IS NOT NULL
         )
         SELECT ancestor_id, folder_id, depth FROM closure""")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def cascade_delete_tree(nodes: DataFrame, deleted: DataFrame, id_col: str = "folder_id",
