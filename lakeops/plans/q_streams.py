@@ -65,7 +65,7 @@ s AS (SELECT *, sum(brk) OVER (PARTITION BY cluster_id ORDER BY ts ROWS UNBOUNDE
 SELECT cluster_id, min(ts) AS first_at, max(ts) AS last_at, max(ts) + to_minutes(any_value(idle)) AS idle_at,
   count(*) AS touches FROM s GROUP BY cluster_id, sid
 HAVING max(ts) + to_minutes(any_value(idle)) < TIMESTAMP '{NOW}'
-  AND max(ts) + to_minutes(any_value(idle)) <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+  AND max(ts) + to_minutes(any_value(idle)) <= (SELECT max(ts) FROM a) - INTERVAL '1 hour'""")
 def q_stream_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     act = stream_fixture(spark, sf_dir, "fx_activity")
     sessions = S.stream_idle(act, fixture(spark, sf_dir, "fx_clusters"))

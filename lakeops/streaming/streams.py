@@ -120,7 +120,11 @@ def stream_idle(activity: DataFrame, clusters: DataFrame, key: str = "cluster_id
                           X.idle_minutes_of(F.col("config")).alias("idle_minutes"))
     eligible = small_side(cfg.filter((F.col("desired_state") == "Running") & ~F.col("pinned")
                                      & (F.col("idle_minutes") > 0)).select(key, "idle_minutes"))
-    s = _event_time(activity.select(key, ts), ts).join(eligible, key)
+    # The watermark is taken after the stream-static join, so event time is
+    # measured on the eligible clusters' touches.  (Defined before the join,
+    # the optimizer would push the join's inferred key filter below the
+    # watermark anyway, giving the same clock implicitly.)
+    s = _event_time(activity.select(key, ts).join(eligible, key), ts)
     gap = F.concat(F.col("idle_minutes").cast("string"), F.lit(" minutes"))
     return (s.groupBy(key, F.session_window(F.col("_et"), gap).alias("session"))
             .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("touches"),
