@@ -193,3 +193,21 @@ def access_matrix(decisions: DataFrame) -> DataFrame:
     return (decisions.rollup("object_type", "required")
             .agg(F.sum(F.col("allowed").cast("long")).alias("allowed"),
                  F.count(F.lit(1)).alias("total")))
+
+
+def access_report(requests: DataFrame, principals: DataFrame, grants: DataFrame, path: str,
+                  ladders: Ladders = LADDERS) -> dict[str, DataFrame]:
+    """Decisions plus the views built on them, computed once.
+
+    The decisions are written to ``path`` (shared storage) in one job and the
+    matrix and allow/deny summary read that table, so several views of one
+    access log never re-run the evaluation, and a lost executor does not
+    lose the shared intermediate.
+    """
+    from lakeops.plans.strategy import materialize
+    decided = materialize(authorize(requests, principals, grants, ladders), path)
+    return {
+        "decisions": decided,
+        "matrix": access_matrix(decided),
+        "summary": decided.groupBy("allowed").agg(F.count(F.lit(1)).alias("requests")),
+    }

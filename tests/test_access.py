@@ -105,3 +105,18 @@ def test_read_attribution_and_membership(spark):
                               "username string, admin boolean, groups array<string>")
     keys = sorted(tuple(r) for r in A.membership(p).collect())
     assert keys == [("bob", "group", "data"), ("bob", "group", "ops"), ("bob", "user", "bob"), ("eve", "user", "eve")]
+
+
+def test_access_report_views_share_one_evaluation(spark):
+    from lakeops.session import shared_dir
+    grants, principals, lad = _frames(spark)
+    req = spark.createDataFrame([(i, *c[1:6]) for i, c in enumerate(MATRIX)],
+                                "request_id long, object_type string, object_id string, required string, "
+                                "owner string, username string")
+    rep = A.access_report(req, principals, grants, shared_dir(spark, "test_access_report"), lad)
+    want_allowed = sum(1 for c in MATRIX if c[6])
+    assert {r.allowed: r.requests for r in rep["summary"].collect()} == {True: want_allowed,
+                                                                         False: len(MATRIX) - want_allowed}
+    total = [r for r in rep["matrix"].collect() if r.object_type is None][0]
+    assert (total.allowed, total.total) == (want_allowed, len(MATRIX))
+    assert "FileScan parquet" in rep["matrix"]._jdf.queryExecution().executedPlan().toString()
