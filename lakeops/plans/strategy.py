@@ -17,6 +17,8 @@ Broadcasting is only safe for a side whose size is proven.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 # Rows a static side may have and still be shipped to every executor.  Rows
@@ -36,21 +38,32 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
 SPREAD_MIN_BYTES = 1 << 20
 
 
-def spread_under_split(df: DataFrame, input_bytes: int) -> DataFrame:
-    """Round-robin an input that arrived in fewer splits than there are cores.
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def _bytes(text: str) -> int:
+    m = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", text)
+    return int(m.group(1)) * _UNITS.get(m.group(2).lower() or "b", 1) if m else 128 << 20
+
+
+def spread_under_split(df: DataFrame, input_bytes: int, input_files: int = 1) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than there are cores.
 
-    A table stored as one file with one row group scans as a single task, so
-    every per-row expression, explode and map-side aggregate after it would
-    run on one core.  On a cluster reading many files the scan already has
-    more splits than cores and this is a no-op.
+    A table stored as one small file scans as a single task, so every per-row
+    expression, explode and map-side aggregate after it would run on one
+    core.  The split count is estimated from the files and
+    ``spark.sql.files.maxPartitionBytes``; on a cluster reading many files it
+    is already above the core count and this is a no-op.
     """
     if input_bytes < SPREAD_MIN_BYTES:
         return df
+    spark = df.sparkSession
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect): leave the plan as is
         return df
+    max_split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    splits = max(input_files, -(-input_bytes // max_split))
     return df.repartition(cores) if splits < cores else df
 
 
