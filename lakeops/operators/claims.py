@@ -24,7 +24,9 @@ def principals_from_claims(claims: DataFrame, required_role: str, claims_col: st
               .when(~ra_kind.startswith("OBJECT"), "invalid:realm_access not an object")
               .when(roles_v.isNull(), "invalid:roles missing")
               .when(~roles_kind.startswith("ARRAY"), "invalid:roles not an array")
-              .when(~roles_kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), "invalid:roles contains non-string element")
+              .when(~roles_kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
+                    | F.coalesce(F.exists(roles, lambda r: r.isNull()), F.lit(False)),
+                    "invalid:roles contains non-string element")
               .when(~F.coalesce(F.array_contains(roles, required_role), F.lit(False)), "missing_role")
               .otherwise("ok"))
     pu = F.try_variant_get(v, "$.preferred_username", "variant")

@@ -103,7 +103,8 @@ def test_claims(spark):
     claims = ['{"preferred_username":"alice","sub":"s1","realm_access":{"roles":["polaris_admin","viewer"]}}',
               '{"sub":"s2","realm_access":{"roles":["other_role"]},"groups":["g1",2,"g2"]}',
               '{"sub":"s3"}', '{"sub":"s4","realm_access":{"roles":["polaris_admin",1]}}',
-              '{"preferred_username":"","sub":"s5","realm_access":{"roles":["polaris_admin"]}}']
+              '{"preferred_username":"","sub":"s5","realm_access":{"roles":["polaris_admin"]}}',
+              '{"sub":"s6","realm_access":{"roles":["polaris_admin",null]}}']
     df = spark.createDataFrame(list(enumerate(claims)), "claim_id long, claims string")
     rows = {r.claim_id: r for r in principals_from_claims(df, "polaris_admin").collect()}
     assert rows[0].status == "ok" and rows[0].username == "alice" and rows[0].roles == ["polaris_admin", "viewer"]
@@ -111,6 +112,7 @@ def test_claims(spark):
     assert rows[2].status.startswith("invalid:realm_access")
     assert rows[3].status == "invalid:roles contains non-string element"
     assert rows[4].status == "ok" and rows[4].username == "s5"
+    assert rows[5].status == "invalid:roles contains non-string element"
 
 
 def test_cell_text(spark):
