@@ -62,8 +62,8 @@ def notebook_cells(notebooks: DataFrame, key: str = "notebook_id", content_col:
                              F.lit("").alias("source")))
     cells = F.when(F.size(cells) == 0, empty).otherwise(cells)
     ex = notebooks.select(key, F.posexplode(cells).alias("pos", "c"))
-    cell_id = F.coalesce(F.nullif(F.trim(F.col("c.id")), F.lit("")),
-                         F.concat(F.lit("cell-"), (F.col("pos") + 1).cast("string")))
+    cell_id = F.when(F.coalesce(F.trim(F.col("c.id")), F.lit("")) != "", F.col("c.id")).otherwise(
+        F.concat(F.lit("cell-"), (F.col("pos") + 1).cast("string")))
     return ex.select(key, "pos", cell_id.alias("cell_id"),
                      F.when(F.col("c.type") == "markdown", "markdown").otherwise("code").alias("type"),
                      F.coalesce(F.col("c.source"), F.lit("")).alias("source"))
