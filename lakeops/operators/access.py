@@ -112,9 +112,9 @@ def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
     joined = exp.join(g, GRANT_KEY, "left")
     # Carried columns depend on the row id, so grouping by them as well gives
     # the same groups while keeping the buffer fixed-width (a hash aggregate
-    # with map-side partial aggregation instead of a sort aggregate).  The
-    # expanded rows of one input row sit in the same partition, so the partial
-    # aggregate collapses them before the shuffle.
+    # with map-side partial aggregation instead of a sort aggregate).  With a
+    # broadcast grant table the expanded rows of one input row sit in the same
+    # partition, so the partial aggregate collapses them before the shuffle.
     agg = joined.groupBy(*id_cols, *carry).agg(F.max("_g_rnk").alias("best_rnk"))
     return agg.withColumn("admin", F.coalesce(F.col("_admin"), F.lit(False))).drop("_admin")
 
