@@ -95,6 +95,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+def named_table(spark: SparkSession, name: str) -> DataFrame:
+    """A catalog table by a caller-supplied name, bound as a parameter.
+
+    ``IDENTIFIER(:name)`` keeps the name out of the SQL text, so a name with
+    quotes or dots cannot change the statement.
+    """
+    return spark.sql("SELECT * FROM IDENTIFIER(:name)", args={"name": name})
+
+
 def scan_ordered(df: DataFrame, cols: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Project then order the whole table (T6); the projection prunes the scan."""
     return df.select(*cols).orderBy(*order_by)

@@ -84,3 +84,12 @@ def test_keyed_tables_join_without_shuffle(spark):
         assert table.filter("v = 1").count() == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_named_table_binds_the_name(spark):
+    import pytest
+    spark.range(3).createOrReplaceTempView("lakeops_named")
+    assert TB.named_table(spark, "lakeops_named").count() == 3
+    with pytest.raises(Exception):
+        TB.named_table(spark, "lakeops_named; DROP TABLE x").count()
+    assert TB.table_sample(TB.named_table(spark, "lakeops_named"), 2, order_by=["id"]).count() == 2
