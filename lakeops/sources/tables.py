@@ -28,13 +28,14 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, partition
                  fmt: str = "parquet", location: str | None = None) -> None:
     """Idempotent table creation with an explicit schema.
 
-    The caller's schema is honoured; ``required`` fields keep
-    ``nullable=False`` in the schema (Parquet tables report them nullable,
-    so :func:`null_violations` is the enforcement).
+    The caller's schema is honoured.  Parquet tables report every column as
+    nullable, so required (non-nullable) fields are also marked in the field
+    metadata (``lakeops.required``), which the table keeps; see
+    :func:`required_columns` and :func:`null_violations`.
     """
     if spark.catalog.tableExists(name):
         return
-    empty = spark.createDataFrame([], schema)
+    empty = spark.createDataFrame([], mark_required(schema))
     w = empty.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -43,9 +44,29 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, partition
     w.saveAsTable(name)
 
 
-def null_violations(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """(column, nulls) for every required column that holds NULLs."""
-    req = [f.name for f in schema.fields if not f.nullable]
+REQUIRED_KEY = "lakeops.required"
+
+
+def mark_required(schema: T.StructType) -> T.StructType:
+    """The schema with each non-nullable field flagged in its metadata."""
+    return T.StructType([
+        T.StructField(f.name, f.dataType, f.nullable,
+                      {**(f.metadata or {}), REQUIRED_KEY: True} if not f.nullable else f.metadata)
+        for f in schema.fields])
+
+
+def required_columns(schema: T.StructType) -> list[str]:
+    """Fields declared required: non-nullable, or flagged in metadata."""
+    return [f.name for f in schema.fields if not f.nullable or (f.metadata or {}).get(REQUIRED_KEY)]
+
+
+def null_violations(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """(column, nulls) for every required column that holds NULLs.
+
+    ``schema`` defaults to the table's own schema (with its metadata flags).
+    One pass with a ``count_if`` per required column.
+    """
+    req = required_columns(schema if schema is not None else df.schema)
     if not req:
         return df.sparkSession.createDataFrame([], "column string, nulls long")
     counts = df.select([F.count_if(F.col(c).isNull()).alias(c) for c in req])

@@ -57,6 +57,11 @@ def test_create_namespace_and_table(spark):
     assert spark.table("lakeops_test_ns.demo").columns == ["id", "name", "ts"]
     bad = spark.createDataFrame([(1, None, None)], "id long, name string, ts timestamp_ntz")
     assert sorted(r.column for r in TB.null_violations(bad, SCHEMA).collect()) == ["name", "ts"]
+    stored = spark.table("lakeops_test_ns.demo").schema
+    assert all(f.nullable for f in stored.fields)                     # Parquet reports nullable
+    assert TB.required_columns(stored) == ["id", "name", "ts"]        # the flags survive
+    with_nulls = spark.createDataFrame([(None, "a", None)], stored)
+    assert sorted(r.column for r in TB.null_violations(with_nulls).collect()) == ["id", "ts"]
 
 
 def test_build_session_applies_catalog_conf(spark):
