@@ -122,6 +122,15 @@ def q_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.log_tail(fixture(spark, sf_dir, "fx_log_lines"), n=TAIL_LINES).orderBy("cluster_id", "line_no")
 
 
+@query("log_tail_default", f"""
+SELECT cluster_id, line_no, line FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY line_no DESC) AS rn FROM fx_log_lines)
+WHERE rn <= {V.LOG_TAIL_LINES}""")
+def q_log_tail_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The default tail length (500 lines per driver).
+    return V.log_tail(fixture(spark, sf_dir, "fx_log_lines")).orderBy("cluster_id", "line_no")
+
+
 @query("age_label", f"""
 WITH la AS (SELECT cluster_id, max(ts) AS ts FROM fx_activity GROUP BY cluster_id),
 s AS (SELECT c.id, la.ts, greatest(0, CAST(floor(epoch(TIMESTAMP '{NOW}' - la.ts)) AS BIGINT)) AS secs
