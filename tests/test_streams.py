@@ -67,3 +67,26 @@ def test_idle_sessions_over_batches(spark):
     ep = S.idle_episodes(sessions.withColumn("session_start", F.col("session.start")), F.lit(T0 + dt.timedelta(hours=3)))
     assert sorted((r.cluster_id, r.idle_at) for r in ep.collect()) == [
         (1, T0 + dt.timedelta(minutes=140)), (2, T0 + dt.timedelta(hours=1))]
+
+
+def test_windowed_cluster_events_over_batches(spark):
+    d = tempfile.mkdtemp(prefix="lakeops-stream-ev-")
+    batches = [
+        [(1, "qs-1-server", "Normal", T0 + dt.timedelta(minutes=1)), (2, "qs-1", "Warning", T0 + dt.timedelta(minutes=3)),
+         (3, "qs-10-exec-1", "Normal", T0 + dt.timedelta(minutes=12))],
+        [(4, "qs-1-exec-2", "warning", T0 + dt.timedelta(minutes=14)), (5, "other", "Normal", T0 + dt.timedelta(minutes=15))],
+        [(6, "qs-10", "Normal", T0 + dt.timedelta(minutes=25)), (7, "qs-1-server", "Normal", T0 + dt.timedelta(minutes=9))],
+    ]
+    for i, rows in enumerate(batches):
+        cols = list(zip(*rows))
+        path = f"{d}/batch{i:03d}.parquet"
+        pq.write_table(pa.table({"event_id": pa.array(cols[0], pa.int64()), "object": pa.array(cols[1]),
+                                 "type": pa.array(cols[2]), "last_seen": pa.array(cols[3], pa.timestamp("us"))}), path)
+        os.utime(path, (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))
+    clusters = spark.createDataFrame([(1, "qs-1"), (10, "qs-10")], "id long, cr_name string")
+    stream = S.file_stream(spark, d, max_files_per_trigger=1)
+    log = S.run_to_log(S.stream_cluster_events(stream, clusters), shared_dir(spark, "test_stream_events"))
+    got = sorted((r.cluster_id, r.window_start, r.events, r.warnings)
+                 for r in S.latest(spark.read.parquet(log), ["cluster_id", "window_start"]).collect())
+    w = dt.timedelta(minutes=10)
+    assert got == [(1, T0, 3, 1), (1, T0 + w, 1, 1), (10, T0 + w, 1, 0), (10, T0 + 2 * w, 1, 0)]
