@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -42,20 +41,22 @@ def build_session(catalog_conf: dict[str, str] | None = None, master: str | None
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh directory under the cluster's shared checkpoint folder.
+    """A fresh directory under the folder that ``spark.checkpoint.dir`` names.
 
-    The folder comes from ``spark.checkpoint.dir`` as configured for the
-    session.  Only when that is unset (unit tests on one machine) a scratch
-    folder is created and registered as the checkpoint dir.
+    The executors and the driver of a cluster must share that folder, so it is read
+    from the session.  Only a session on one machine (``local[...]``, as in tests) may
+    leave it unset; a scratch folder is then made and registered.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
         sc = None
-    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
+        if not base and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            base = "file://" + tempfile.mkdtemp(prefix="lakeops-")
+            sc.setCheckpointDir(base)
     if not base:
-        base = tempfile.mkdtemp(prefix="lakeops-")
-    if sc is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    base = base.removeprefix("file:")
-    return os.path.join(base, "lakeops", *parts, uuid.uuid4().hex)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "/".join([base.rstrip("/"), "lakeops", *parts, uuid.uuid4().hex])
