@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bloom-filter language-model scores of every document."""
+    from lakeops.llm.bloom_lm import score_corpus
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of every document; no SQL (needs a tokenizer), tested against a brute-force packing check."""
     from lakeops.llm.packing import pack_documents
@@ -32,7 +38,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op6_packing, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_bloom_lm, op6_packing, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
