@@ -23,6 +23,12 @@ def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op4_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from lakeops.llm.icws import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of every document; no SQL (needs a tokenizer), tested against a brute-force packing check."""
     from lakeops.llm.packing import pack_documents
@@ -38,7 +44,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bloom_lm, op6_packing, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_bloom_lm, op4_icws, op6_packing, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
