@@ -29,6 +29,13 @@ def op4_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from lakeops.llm.host_paths import extract
+    return extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of every document; no SQL (needs a tokenizer), tested against a brute-force packing check."""
     from lakeops.llm.packing import pack_documents
@@ -36,6 +43,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxic severity of every document; no SQL (a fitted model), tested by held-out accuracy."""
+    from lakeops.llm.ordinal import fit, grade_labels, predict
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(grade_labels(docs, table(spark, sf_dir, "labels"))))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows removed from every document."""
     from lakeops.llm.superkmer import remove_repeats
@@ -44,7 +58,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bloom_lm, op4_icws, op6_packing, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_bloom_lm, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op9_severity)}
 
 
 def oracle_sql() -> dict[str, str]:
