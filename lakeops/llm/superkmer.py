@@ -99,7 +99,7 @@ def runs(split: list[list[bytes]], k: int, m: int):
 def _pack(buckets, low, doc, mark, start, count, strings, repeats):
     """One compressed payload per bucket: columns of numbers, the runs' strings, and known repeats."""
     import zstandard
-    zip_ = zstandard.ZstdCompressor(level=3)
+    zip_ = zstandard.ZstdCompressor(level=9)
     order = np.argsort(buckets, kind="stable")
     edges = np.flatnonzero(np.diff(buckets[order])) + 1
     for part in np.split(order, edges):
@@ -114,8 +114,9 @@ def _pack(buckets, low, doc, mark, start, count, strings, repeats):
 
 
 def _payload(low, doc, mark, start, count, strings, dup) -> bytes:
-    return b"".join([struct.pack("<qq", len(low), len(dup)), low.astype("<u8").tobytes(),
-                     doc.astype("<i8").tobytes(), mark.astype("<i4").tobytes(),
+    # half of the minimiser's bits are enough to sort apart what is not alike; ids as steps pack better
+    return b"".join([struct.pack("<qq", len(low), len(dup)), (low >> np.uint64(32)).astype("<u4").tobytes(),
+                     np.diff(doc, prepend=0).astype("<i8").tobytes(), mark.astype("<i4").tobytes(),
                      start.astype("<i4").tobytes(), count.astype("<i4").tobytes(),
                      np.ascontiguousarray(dup, "<i8").tobytes(), b"\n".join(strings)])
 
@@ -123,9 +124,10 @@ def _payload(low, doc, mark, start, count, strings, dup) -> bytes:
 def _unpack(data: bytes):
     n, d = struct.unpack_from("<qq", data)
     at, out = 16, []
-    for kind, width in (("<u8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
+    for kind, width in (("<u4", 4), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * width
+    out[1] = np.cumsum(out[1])
     dup = np.frombuffer(data, "<i8", 4 * d, at).reshape(d, 4)
     return (*out, dup, data[at + 32 * d:].split(b"\n") if n else [])
 
