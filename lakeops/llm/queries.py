@@ -23,6 +23,14 @@ def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict on every document."""
+    from lakeops.llm.mcd import judge
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                              "base_failed", "kept", "distance")
+
+
 def op4_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     from lakeops.llm.icws import near_duplicates
@@ -58,7 +66,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bloom_lm, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op9_severity)}
+    return {f.__name__: f for f in (op1_bloom_lm, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op9_severity)}
 
 
 def oracle_sql() -> dict[str, str]:
