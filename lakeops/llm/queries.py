@@ -51,6 +51,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item, with the item."""
+    from lakeops.llm.containment import contained
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+        lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+        lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM b WHERE len(ws) > 0),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, count(*) / n AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+
 def op9_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected toxic severity of every document; no SQL (a fitted model), tested by held-out accuracy."""
     from lakeops.llm.ordinal import fit, grade_labels, predict
@@ -66,8 +85,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bloom_lm, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op9_severity)}
+    return {f.__name__: f for f in (op1_bloom_lm, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_containment": OP8_SQL}
