@@ -23,6 +23,28 @@ def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, against a replica in which records by a rule are damaged or lost."""
+    from lakeops.llm.fixity import audit, damaged, tree, warc_records
+    records = warc_records(table(spark, sf_dir, "pages"))
+    return audit(tree(records), tree(damaged(records))).select(
+        F.col("record_id").alias("page_id"), "file", "offset", "state")
+
+
+OP2_SQL = """
+WITH r AS (SELECT page_id, floor(page_id / 4096)::BIGINT AS block, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'WARC-Payload-Digest: sha256:' || sha256(coalesce(html, '')) || chr(13) || chr(10) || 'Content-Length: '
+    || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS content FROM pages),
+o AS (SELECT page_id, block, coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY block ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r)
+SELECT page_id, printf('pages-%06d-%04d.warc', block, pos // 1073741824) AS file, pos % 1073741824 AS "offset",
+    CASE substr(sha256(page_id::VARCHAR), 1, 2) WHEN '00' THEN 'altered' ELSE 'missing' END AS state
+FROM o WHERE substr(sha256(page_id::VARCHAR), 1, 2) IN ('00', '01')
+"""
+
+
 def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict on every document."""
     from lakeops.llm.mcd import judge
@@ -91,8 +113,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bloom_lm, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity, op10_pii)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_fixity, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_containment": OP8_SQL}
+    return {"op2_fixity": OP2_SQL, "op8_containment": OP8_SQL}
