@@ -74,9 +74,8 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
 
 def candidates(docs: DataFrame, items: DataFrame, few: bool) -> DataFrame:
     """(doc_id, item_id) pairs whose minima agree for some part and hash function."""
-    parts = [r["part"] for r in items.select("part").distinct().collect()]  # three classes at most
-    if not parts:
-        return items.select(F.lit(None).cast("long").alias("doc_id"), "item_id").limit(0)
+    # three classes at most; without items any class will do
+    parts = [r["part"] for r in items.select("part").distinct().collect()] or [MOST_PART]
     classes = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.floor(F.col("at") / p).cast("int").alias("nr"))
                                   for p in sorted(parts)]))
     cut = shingles(docs, ["doc_id"]).select("doc_id", "h", classes.alias("c")).select("doc_id", "h", "c.part", "c.nr")
@@ -85,9 +84,14 @@ def candidates(docs: DataFrame, items: DataFrame, few: bool) -> DataFrame:
             .select("doc_id", "item_id").distinct())
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, containment) of every pair with at least ``threshold``."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
+              key: Column | None = None) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, containment) of every pair with at least ``threshold``.
+
+    ``key`` stands for ``doc_id`` in the result.
+    """
+    texts = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"),
+                        F.col("text").cast("string").alias("text"))
     items = pin(items_of(benchmark), "containment_items")
     few = items.select("item_id").distinct().limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
     pairs = pin(candidates(texts, items, few), "containment_candidates")
@@ -103,6 +107,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no test item."""
-    bad = contained(docs, benchmark, threshold).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_doc"]), "left_anti")
+    """The rows of ``docs`` that contain no test item; rows with one doc_id and different texts are judged apart."""
+    def key(d):
+        return F.struct(d["doc_id"].cast("long").alias("id"), F.xxhash64(d["text"].cast("string")).alias("mark"))
+    bad = contained(docs, benchmark, threshold, key(docs)).select(
+        F.col("doc_id.id").alias("_id"), F.col("doc_id.mark").alias("_mark")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"])
+                     & (F.xxhash64(docs["text"].cast("string")) == bad["_mark"]), "left_anti")
