@@ -18,6 +18,14 @@ def words(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPLIT))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pin(df: DataFrame, *name: str) -> DataFrame:
     """Write ``df`` to the shared folder of the session and read it back.
 

@@ -118,7 +118,7 @@ def audit(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
     state = (F.when(F.col("y.hash").isNull(), "missing").when(F.col("x.hash").isNull(), "extra").otherwise("altered"))
     return x.join(y, same, "full_outer").filter(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select(
         F.coalesce("x.file", "y.file").alias("file"), F.coalesce("x.place", "y.place").alias("offset"),
-        F.coalesce("x.record_id", "y.record_id").alias("record_id"), state.alias("state"))
+        F.coalesce("x.record_id", "y.record_id").alias("record_id"), state.alias("state")).distinct()
 
 
 def damaged(records: DataFrame) -> DataFrame:

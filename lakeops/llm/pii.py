@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import pin
+from lakeops.llm.common import fresh, pin
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  A match starts where the last one ended (\G) or not inside a run that
@@ -197,8 +197,10 @@ def mask(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
     spans = (find(docs, key).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("spans"))
-             .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.mark").alias("_mark"), F.col("spans").alias("_spans")))
-    order = F.array_sort(F.transform("_spans", lambda x: F.struct(x.getField("start").alias("start"), x.getField(
+             .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.mark").alias("_mark"),
+                     F.col("spans").alias(fresh(docs, "_spans"))))
+    found = F.col(spans.columns[2])
+    order = F.array_sort(F.transform(found, lambda x: F.struct(x.getField("start").alias("start"), x.getField(
         "stop").alias("stop"), x.getField("kind").alias("kind"))))
 
     def cut(state, x):
@@ -214,4 +216,4 @@ def mask(docs: DataFrame) -> DataFrame:
         F.col("text"), s.getField("at").cast("int") + 1, F.length("text"))))
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     joined = docs.join(spans, (mark == spans["_mark"]) & docs["doc_id"].cast("long").eqNullSafe(spans["_id"]), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    return joined.withColumn("text", F.when(found.isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
