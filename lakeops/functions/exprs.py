@@ -136,7 +136,7 @@ def _json_num(v: Column, path: str) -> Column:
     """
     x = F.try_variant_get(v, path, "variant")
     kind = F.schema_of_variant(x)
-    text = F.trim(F.try_variant_get(x, "$", "string"))
+    text = js_trim(F.try_variant_get(x, "$", "string"))
     out = (F.when(x.isNull(), None)
            .when(kind == "VOID", F.lit(0.0))
            .when(kind == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0))
@@ -157,7 +157,7 @@ def clean_map(m: ColumnLike) -> Column:
     an entry is kept only when no later entry has the same trimmed key.
     """
     e = F.filter(F.transform(F.map_entries(_c(m)),
-                             lambda x: F.struct(F.trim(x["key"]).alias("key"),
+                             lambda x: F.struct(js_trim(x["key"]).alias("key"),
                                                 F.coalesce(x["value"], F.lit("")).alias("value"))),
                  lambda x: x["key"] != "")
     keys = F.transform(e, lambda x: x["key"])
@@ -174,7 +174,7 @@ def _resource(v: Column, which: str) -> Column:
     fields = []
     for f in RESOURCE_FIELDS:
         raw = F.try_variant_get(v, f"$.{which}.{f}", "string")
-        fields.append(F.trim(F.coalesce(raw, F.lit(CONFIG_DEFAULTS[f]))).alias(f))
+        fields.append(js_trim(F.coalesce(raw, F.lit(CONFIG_DEFAULTS[f]))).alias(f))
     return F.struct(*fields)
 
 
@@ -204,7 +204,7 @@ def _config_parts(maps: Column, v: Column) -> dict[str, Column]:
         "_idle": _json_num(v, "$.idle_minutes"),
         "driver": _resource(v, "driver"),
         "executor": _resource(v, "executor"),
-        "image": F.trim(F.coalesce(F.try_variant_get(v, "$.image", "string"), F.lit(""))),
+        "image": js_trim(F.coalesce(F.try_variant_get(v, "$.image", "string"), F.lit(""))),
         "spark_conf": smap("spark_conf"),
         "env": smap("env"),
         "tags": smap("tags"),
@@ -365,7 +365,7 @@ def ts_text(ts: ColumnLike) -> Column:
 
 def parse_time_or_null(text: ColumnLike) -> Column:
     """RFC 3339 text -> timestamp, anything else -> NULL."""
-    t = F.trim(_c(text))
+    t = js_trim(_c(text))
     return F.when(t.rlike(RFC3339), F.try_to_timestamp(t))
 
 
@@ -383,7 +383,7 @@ def cell_text(col: ColumnLike, data_type: T.DataType) -> Column:
     """Display text of one sample cell: NULL -> 'NULL', nested -> JSON."""
     c = _c(col)
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        txt = F.to_json(c)
+        txt = F.to_json(c, {"ignoreNullFields": "false"})
     else:
         txt = c.cast("string")
     return F.when(c.isNull(), F.lit("NULL")).otherwise(txt)

@@ -19,6 +19,8 @@ are literal map lookups inside the projections (no join at all).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakeops.fixtures import LADDERS
@@ -178,8 +180,10 @@ def authorized_view(objects: DataFrame, principals: DataFrame, grants: DataFrame
     """
     ids = ["username", "object_type", "object_id", "owner"]
     e = effective_rank(objects.select(*ids).distinct(), ids, principals, grants, ladders)
-    ok = e.filter(F.col("eff_rnk") >= min_rank).select(*ids)
-    return objects.join(ok, ids, "left_semi")
+    ok = e.filter(F.col("eff_rnk") >= min_rank).select(*[F.col(c).alias(f"_{c}") for c in ids])
+    # a row without an owner is a row like any other
+    same = reduce(lambda a, b: a & b, [objects[c].eqNullSafe(ok[f"_{c}"]) for c in ids])
+    return objects.join(ok, same, "left_semi")
 
 
 def read_attribution(log: DataFrame, service_user: str, user_col: str = "username") -> DataFrame:

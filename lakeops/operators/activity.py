@@ -49,6 +49,10 @@ def object_prefixes(obj: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "-"))
 
 
+#: An idle window that long (1,900 years) is never over; it keeps the interval within its type.
+MOST_MINUTES = 1_000_000_000
+
+
 def flag_warnings(events: DataFrame, type_col: str = "type") -> DataFrame:
     """Adds ``warning``: the event type is Warning, any case."""
     return events.withColumn("warning", F.coalesce(F.lower(F.col(type_col)) == "warning", F.lit(False)))
@@ -60,12 +64,13 @@ def cluster_events(events: DataFrame, clusters: DataFrame) -> DataFrame:
     ``events``: event_id, object, type, reason, message, cnt, last_seen
     (timestamp, or RFC 3339 text which is parsed, bad text -> NULL).
     ``clusters``: id, cr_name.  The prefix match is rewritten as an equi-join
-    on the exploded prefixes, so the planner uses a hash join instead of a
-    nested loop over (events x clusters).
+    on the exploded prefixes of the distinct object names, so the planner uses
+    hash joins instead of a nested loop over (events x clusters), and events with
+    their messages are not multiplied.
     """
-    ev = events.withColumn("_cand", F.explode(object_prefixes(F.col("object"))))
+    names = events.select("object").distinct().withColumn("_cand", F.explode(object_prefixes(F.col("object"))))
     cl = clusters.select(F.col("cr_name").alias("_cand"), F.col("id").alias("cluster_id"), "cr_name")
-    j = ev.join(cl, "_cand").drop("_cand")
+    j = events.join(names.join(cl, "_cand").drop("_cand"), "object")
     if dict(j.dtypes).get("last_seen") == "string":
         j = j.withColumn("last_seen", X.parse_time_or_null(F.col("last_seen")))
     j = j.withColumn("count", F.coalesce(F.col("cnt"), F.lit(0)).cast("long")).drop("cnt")
@@ -86,7 +91,7 @@ def idle_due(clusters: DataFrame, activity_last: DataFrame, now: Column, key: st
         j = j.withColumn("last_activity_at", F.coalesce("last_activity_at", "created_at"))
     idle = X.idle_minutes_of(F.col("config"))
     due = ((F.col("desired_state") == "Running") & ~F.coalesce(F.col("pinned"), F.lit(False)) & (idle > 0)
-           & (now > F.col("last_activity_at") + F.make_dt_interval(mins=idle.cast("int"))))
+           & (now > F.col("last_activity_at") + F.make_dt_interval(mins=F.least(idle, F.lit(MOST_MINUTES)).cast("int"))))
     return j.withColumn("idle_minutes", idle).filter(F.coalesce(due, F.lit(False)))
 
 
@@ -99,13 +104,20 @@ def idle_apply(clusters: DataFrame, due: DataFrame, key: str = "id") -> DataFram
     return j.select(*out)
 
 
+TAIL_PARTS = 32
+
+
 def log_tail(lines: DataFrame, n: int = LOG_TAIL_LINES, key: str = "cluster_id",
              order_col: str = "line_no") -> DataFrame:
     """Last ``n`` lines per driver, in original order.
 
     ``row_number() <= n`` over a descending order plans as a WindowGroupLimit,
-    which keeps only ``n`` rows per key on the map side before the shuffle.
+    which keeps only ``n`` rows per key on the map side before the shuffle.  The
+    lines of a key are first cut to ``n`` in each of ``TAIL_PARTS`` parts, so that the map
+    tasks' leftovers of a hot key do not all meet in one task.
     """
+    part = F.pmod(F.xxhash64(order_col), F.lit(TAIL_PARTS))
+    some = Window.partitionBy(key, "_part").orderBy(F.col(order_col).desc())
     w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
-    return (lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-            .drop("_rn"))
+    return (lines.withColumn("_part", part).withColumn("_rn", F.row_number().over(some)).filter(F.col("_rn") <= n)
+            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_part"))

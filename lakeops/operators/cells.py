@@ -2,9 +2,9 @@
 
 Cells run one after another on the same session, so a later cell sees the
 temp views an earlier one created.  A failing cell yields an error frame
-and does not discard the frames already produced.  Results stay DataFrames
-(``CellResult.df``); only ``limit`` rows of each are ever brought back to
-frame them, so a cell over a huge table returns a bounded payload.
+and does not discard the frames already produced.  Only
+``limit`` rows of a result are ever brought back, so a cell over a huge
+table returns a bounded payload.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ FRAME_SCHEMA = "cell int, pos int, type string, text string"
 @dataclass
 class CellResult:
     cell: int
-    df: DataFrame | None
+    text: str | None
     error: str | None
 
 
@@ -43,14 +43,16 @@ def _quiet_sql_errors():
         log.disabled = was
 
 
-def run_sql_cells(spark: SparkSession, cells: list[str]) -> list[CellResult]:
-    """Run every cell in order; errors are captured per cell."""
+def run_sql_cells(spark: SparkSession, cells: list[str], limit: int = DEFAULT_FRAME_ROWS) -> list[CellResult]:
+    """Run every cell in order; a cell's result is read before the next cell runs.
+
+    Errors, of analysis or of evaluation, are captured per cell.
+    """
     out = []
     with _quiet_sql_errors():
         for i, sql in enumerate(cells):
             try:
-                df = spark.sql(sql)
-                out.append(CellResult(i, df, None))
+                out.append(CellResult(i, _result_text(spark.sql(sql), limit), None))
             except Exception as e:  # noqa: BLE001 - any analysis/runtime error becomes an error frame
                 out.append(CellResult(i, None, f"{type(e).__name__}: {e}".splitlines()[0]))
     return out
@@ -62,19 +64,7 @@ def _result_text(df: DataFrame, limit: int) -> str:
     return json.dumps({"columns": df.columns, "rows": rows}, ensure_ascii=False)
 
 
-def frames(spark: SparkSession, results: list[CellResult], limit: int = DEFAULT_FRAME_ROWS) -> DataFrame:
-    """(cell, pos, type, text) frames: ``result`` JSON or ``error`` message.
-
-    A result whose evaluation fails (a runtime error) becomes an error frame
-    too; frames of other cells are kept.
-    """
-    rows = []
-    for r in results:
-        if r.error is None:
-            try:
-                rows.append((r.cell, 0, "result", _result_text(r.df, limit)))
-                continue
-            except Exception as e:  # noqa: BLE001
-                r.error = f"{type(e).__name__}: {e}".splitlines()[0]
-        rows.append((r.cell, 0, "error", r.error))
+def frames(spark: SparkSession, results: list[CellResult]) -> DataFrame:
+    """(cell, pos, type, text) frames: ``result`` JSON or ``error`` message."""
+    rows = [(r.cell, 0, "result", r.text) if r.error is None else (r.cell, 0, "error", r.error) for r in results]
     return spark.createDataFrame(rows, FRAME_SCHEMA)

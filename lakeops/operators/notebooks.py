@@ -62,7 +62,7 @@ def notebook_cells(notebooks: DataFrame, key: str = "notebook_id", content_col:
                              F.lit("").alias("source")))
     cells = F.when(F.size(cells) == 0, empty).otherwise(cells)
     ex = notebooks.select(key, F.posexplode(cells).alias("pos", "c"))
-    cell_id = F.when(F.coalesce(F.trim(F.col("c.id")), F.lit("")) != "", F.col("c.id")).otherwise(
+    cell_id = F.when(F.coalesce(X.js_trim(F.col("c.id")), F.lit("")) != "", F.col("c.id")).otherwise(
         F.concat(F.lit("cell-"), (F.col("pos") + 1).cast("string")))
     return ex.select(key, "pos", cell_id.alias("cell_id"),
                      F.when(F.col("c.type") == "markdown", "markdown").otherwise("code").alias("type"),
@@ -179,7 +179,7 @@ def save_revision(notebooks: DataFrame, picks: DataFrame, at: Column, key: str =
 
 def notebook_defaults(df: DataFrame) -> DataFrame:
     """Blank path -> '/' + name; missing content -> empty cell list (K8)."""
-    path = F.when(F.trim(F.coalesce(F.col("path"), F.lit(""))) == "", F.concat(F.lit("/"), F.col("name"))) \
+    path = F.when(X.js_trim(F.coalesce(F.col("path"), F.lit(""))) == "", F.concat(F.lit("/"), F.col("name"))) \
         .otherwise(F.col("path"))
     content = F.col("content") if "content" in df.columns else F.lit(None).cast("string")
     return df.withColumns({"path": path, "content": F.coalesce(content, F.lit(EMPTY_CONTENT))})
@@ -224,7 +224,7 @@ def latest_revision(revisions: DataFrame, key: str = "notebook_id", order_col: s
 def entries_to_map(pairs: DataFrame, group: str = "map_id", pos: str = "pos",
                    k: str = "k", v: str = "v") -> DataFrame:
     """(group, entries map): trimmed keys, blank keys dropped, last row wins."""
-    last = (pairs.withColumn("_k", F.trim(F.col(k))).filter(F.col("_k") != "")
+    last = (pairs.withColumn("_k", X.js_trim(F.col(k))).filter(F.col("_k") != "")
             .groupBy(group, "_k").agg(F.max_by(F.col(v), F.col(pos)).alias("_v")))
     return last.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.col("_k"), F.col("_v"))))).alias("entries"))
@@ -253,11 +253,11 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = docs.select(key, text_col).repartition(key).select(
         key, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n", -1)).alias("i", "line"))
-    lines = lines.withColumn("_fence", F.trim(F.col("line")).rlike(_FENCE))
+    lines = lines.withColumn("_fence", X.js_trim(F.col("line")).rlike(_FENCE))
     lines = lines.withColumn("_nf", F.sum(F.col("_fence").cast("int")).over(run))
     in_code = (F.col("_nf") % 2 == 1) | F.col("_fence")
     cls = (F.when(in_code, "code")
-           .when(F.trim(F.col("line")) == "", "blank")
+           .when(X.js_trim(F.col("line")) == "", "blank")
            .when(F.col("line").rlike(_HEADING), "heading")
            .when(F.col("line").rlike(_UL), "ul")
            .when(F.col("line").rlike(_OL), "ol")
@@ -267,7 +267,7 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     start = (F.col("_cls") != "blank") & (F.col("_open") | (F.col("_cls") == "heading")
                                           | ~F.coalesce(F.col("_prev") == F.col("_cls"), F.lit(False)))
     lines = lines.withColumn("block_no", F.sum(start.cast("int")).over(run)).filter(F.col("_cls") != "blank")
-    payload = (F.when(F.col("_cls") == "heading", F.trim(F.regexp_extract("line", _HEADING, 2)))
+    payload = (F.when(F.col("_cls") == "heading", X.js_trim(F.regexp_extract("line", _HEADING, 2)))
                .when(F.col("_cls") == "ul", F.regexp_replace("line", _UL, ""))
                .when(F.col("_cls") == "ol", F.regexp_replace("line", _OL, ""))
                .when((F.col("_cls") == "code") & F.col("_fence"), F.lit(None))

@@ -12,12 +12,12 @@ reduced map-side before the shuffle instead of being sorted in one task.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakeops.functions import exprs as X
+from lakeops.session import shared_dir
 
 
 _FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -38,6 +38,12 @@ def lookup(df: DataFrame, **key) -> DataFrame:
     return df.filter(cond)
 
 
+def lookup_keys(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
+    """R1 for many keys at once: each row of ``keys`` with ``found`` and the columns of its row in ``df``."""
+    return keys.join(df.withColumn("found", F.lit(True)), list(key), "left").withColumn(
+        "found", F.coalesce("found", F.lit(False)))
+
+
 class NotFound(LookupError):
     """No row matches the key (the registry's not-found outcome)."""
 
@@ -114,6 +120,38 @@ def tag_conflicts(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     return tagged.withColumnRenamed("_reason", "reason")
 
 
+def tag_in_order(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
+                 order_col: str) -> DataFrame:
+    """As :func:`tag_conflicts`, but only rows that are accepted block later ones.
+
+    Each round accepts the undecided rows that are first for all their keys, then refuses those
+    that share a key with an accepted row; it ends when all are decided.
+    """
+    tagged = _pinned(tag_conflicts(base, new.limit(0), unique_keys, order_col), "insert")
+    open_ = new
+    taken = base
+    while not open_.isEmpty():
+        marked = _pinned(tag_conflicts(taken, open_, unique_keys, order_col), "insert")
+        seen = F.col("reason").startswith("exists:")
+        free = marked.filter(F.col("reason").isNull())
+        was = _existing(marked.filter(seen), base, unique_keys)
+        tagged = tagged.unionByName(free).unionByName(was)
+        taken = taken.unionByName(free.select(*base.columns))
+        open_ = _pinned(marked.filter(F.col("reason").isNotNull() & ~seen).drop("reason"), "insert")
+    return tagged
+
+
+def _existing(refused: DataFrame, base: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
+    """Refused rows with their reason: the key is in ``base``, or else an accepted row of the batch has it."""
+    for key in unique_keys:
+        name = "+".join(key)
+        old = base.filter(_key_cond(list(key))).select(*key).distinct().withColumn("_hit", F.lit(True))
+        refused = refused.join(old, list(key), "left").withColumn(
+            "reason", F.when((F.col("reason") == f"exists:{name}") & F.col("_hit").isNull(), f"duplicate:{name}")
+            .otherwise(F.col("reason"))).drop("_hit")
+    return refused
+
+
 def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
                   order_col: str) -> tuple[DataFrame, DataFrame]:
     """Append rows of ``new`` whose unique keys are free.
@@ -121,7 +159,7 @@ def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     Returns ``(table, conflicts)``; NULL keys never conflict, as in SQL.  See
     :func:`tag_conflicts` for the rule.
     """
-    tagged = tag_conflicts(base, new, unique_keys, order_col)
+    tagged = (tag_conflicts if len(unique_keys) == 1 else tag_in_order)(base, new, unique_keys, order_col)
     ok = tagged.filter(F.col("reason").isNull()).drop("reason")
     bad = tagged.filter(F.col("reason").isNotNull())
     return base.unionByName(ok.select(*base.columns)), bad
@@ -130,9 +168,12 @@ def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
 # --- W2, W3 ----------------------------------------------------------------------
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: Sequence[str], at: Column | None = None,
-                  updated_col: str = "updated_at", order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                  updated_col: str = "updated_at", order_col: str | None = None,
+                  clear_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Overlay the non-NULL columns of ``changes`` onto matching rows.
 
+    ``clear_col`` names a column of ``changes`` with the list of columns that a change sets to NULL.
+
     Matching rows get ``updated_col = at``.  Returns ``(table, unknown)`` where
     ``unknown`` lists change keys with no row.  ``changes`` holds one row per
     key; with ``order_col`` several changes per key are first reduced to the
@@ -142,14 +183,17 @@ def update_by_key(base: DataFrame, changes: DataFrame, key: Sequence[str], at: C
     if order_col is not None:
         changes = upsert_latest(None, changes, key, order_col, keep_first=()).drop(order_col)
     cols = [c for c in changes.columns if c not in key and c in base.columns]
-    ch = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_matched"))
+    ch = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_matched"),
+                        (F.coalesce(F.col(clear_col), F.array()) if clear_col else F.array().cast("array<string>"))
+                        .alias("_clear"))
     if updated_col not in base.columns:
         base = base.withColumn(updated_col, F.lit(None).cast("timestamp_ntz"))
     j = base.join(ch, key, "left")
     out = []
     for c in base.columns:
         if c in cols:
-            out.append(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c))
+            cleared = F.coalesce(F.array_contains("_clear", c), F.lit(False))
+            out.append(F.when(~cleared, F.coalesce(F.col(f"_new_{c}"), F.col(c))).alias(c))
         elif c == updated_col and at is not None:
             out.append(F.when(F.col("_matched"), at).otherwise(F.col(c)).alias(c))
         else:
@@ -171,16 +215,22 @@ def upsert_latest(base: DataFrame | None, changes: DataFrame, keys: Sequence[str
     rows = changes if base is None else base.unionByName(changes, allowMissingColumns=True)
     first = [c for c in keep_first if c in rows.columns]
     rest = [c for c in rows.columns if c not in keys and c not in first]
+    # a base row without a sequence number comes before every change
+    order = F.col(order_col)
+    if isinstance(rows.schema[order_col].dataType, T.IntegralType):
+        order = F.coalesce(order.cast("long"), F.lit(-(1 << 63)))
+    elif base is not None:
+        order = F.struct(order.isNotNull(), order)
     if all(isinstance(rows.schema[c].dataType, _FIXED_WIDTH) for c in rest):
         # Fixed-width values: one max_by per column keeps every aggregation
         # buffer fixed-width, so the plan is a hash aggregate.  ``order_col``
         # is unique within a key (a sequence), so all columns come from the
         # same row.
-        agg = rows.groupBy(*keys).agg(*[F.max_by(c, F.col(order_col)).alias(c) for c in rest],
+        agg = rows.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest],
                                       *[F.min(c).alias(c) for c in first])
         return agg.select(*keys, *rest, *first)
     agg = rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.col(order_col)).alias("_latest"),
+        F.max_by(F.struct(*rest), order).alias("_latest"),
         *[F.min(c).alias(c) for c in first])
     return agg.select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in rest], *first)
 
@@ -222,38 +272,56 @@ def set_null_fk(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFr
 def folder_closure(folders: DataFrame, id_col: str = "folder_id", parent_col: str = "parent_id") -> DataFrame:
     """(ancestor_id, folder_id, depth) for every folder and each ancestor.
 
-    depth 0 is the folder itself.  Expressed as a recursive CTE; Spark runs
-    one join per tree level and stops when a level adds no rows (at most
-    ``spark.sql.cteRecursionLevelLimit`` levels, 100 by default -- folder
-    trees are far shallower).
+    depth 0 is the folder itself.  Pointers double: with all ancestors up to distance
+    2^k - 1 and each folder's ancestor at distance 2^k, one join gives those up to
+    2^(k+1) - 1, so a tree of depth d takes log2(d) rounds, each written to the shared folder.
+    A cycle of parents raises ``ValueError``.
     """
-    spark = folders.sparkSession
-    view = f"lakeops_folders_{uuid.uuid4().hex[:12]}"
-    folders.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id")).createOrReplaceTempView(view)
-    try:
-        return spark.sql(f"""
-        WITH RECURSIVE closure(ancestor_id, folder_id, depth) AS (
-          SELECT id, id, 0 FROM {view}
-          UNION ALL
-          SELECT f.parent_id, c.folder_id, c.depth + 1
-          FROM closure c JOIN {view} f ON f.id = c.ancestor_id
-          WHERE f.parent_id IS NOT NULL
-        )
-        SELECT ancestor_id, folder_id, depth FROM closure""")
-    finally:
-        spark.catalog.dropTempView(view)
+    nodes = folders.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"))
+    known = _pinned(nodes.select(F.col("id").alias("ancestor_id"), F.col("id").alias("folder_id"),
+                                 F.lit(0).alias("depth")), "closure")
+    jump = _pinned(nodes.filter(F.col("up").isNotNull()).join(nodes.select(F.col("id").alias("up")), "up", "left_semi")
+                   .select("id", "up"), "closure")
+    outside = nodes.filter(F.col("up").isNotNull()).join(nodes.select(F.col("id").alias("up")), "up", "left_anti")
+    count, step = known.count(), 1
+    while not jump.isEmpty():
+        if step > count:
+            raise ValueError("the folders' parents form a cycle")
+        far = known.join(jump, F.col("ancestor_id") == F.col("id")).select(
+            F.col("up").alias("ancestor_id"), "folder_id", (F.col("depth") + step).alias("depth"))
+        known = _pinned(known.unionAll(far), "closure")
+        next_ = jump.select(F.col("id").alias("up"), F.col("up").alias("_far"))
+        jump = _pinned(jump.join(next_, "up").select("id", F.col("_far").alias("up")), "closure")
+        step *= 2
+    # a parent that is no folder itself is still an ancestor of its children's subtrees
+    return known.unionAll(known.join(outside, F.col("ancestor_id") == F.col("id")).select(
+        F.col("up").alias("ancestor_id"), "folder_id", (F.col("depth") + 1).alias("depth")))
+
+
+def _pinned(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cascade_delete_tree(nodes: DataFrame, deleted: DataFrame, id_col: str = "folder_id",
                         parent_col: str = "parent_id") -> DataFrame:
     """Nodes left after deleting ``deleted`` and all their descendants (W6 over W8).
 
-    A folder goes when any of its ancestors (itself included) is deleted: one
-    semi join of the closure against the deleted ids, then an anti join.
+    A folder goes when it or any ancestor is deleted.  Each round a folder takes over the verdict of
+    the folder its pointer reaches and then points twice as far, so log2(depth) rounds of one row
+    per folder do; folders under a cycle of parents are decided too.
     """
-    closure = folder_closure(nodes, id_col, parent_col)
-    gone = closure.join(deleted.select(F.col(id_col).alias("ancestor_id")).distinct(), "ancestor_id", "left_semi")
-    return nodes.join(gone.select(F.col("folder_id").alias(id_col)).distinct(), id_col, "left_anti")
+    drop = deleted.select(F.col(id_col).alias("id")).distinct().withColumn("_gone", F.lit(True))
+    state = _pinned(nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up")).distinct()
+                    .join(drop, "id", "left").select("id", "up", F.coalesce("_gone", F.lit(False)).alias("gone")), "cascade")
+    count, step = state.count(), 1
+    while step <= 2 * count and not state.filter("up is not null and not gone").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("gone").alias("_gone"))
+        state = _pinned(state.join(above, "up", "left").select(
+            "id", F.col("_up").alias("up"), (F.col("gone") | F.coalesce("_gone", F.lit(False))).alias("gone")), "cascade")
+        step *= 2
+    return nodes.join(state.filter("gone").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
 
 
 def unique_audit(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -278,7 +346,7 @@ def clone_rows(df: DataFrame, picks: DataFrame, key: str = "id", name_col: str =
     derived from the source key and the new name.
     """
     j = df.join(picks.select(key, "new_name"), key)
-    name = F.coalesce(F.nullif(F.trim(F.col("new_name")), F.lit("")), F.concat(F.col(name_col), F.lit(X.CLONE_SUFFIX)))
+    name = F.coalesce(F.nullif(X.js_trim(F.col("new_name")), F.lit("")), F.concat(F.col(name_col), F.lit(X.CLONE_SUFFIX)))
     seed = F.concat_ws("/", F.col(key).cast("string"), name)
     out = j.withColumns({name_col: name, cr_col: X.cr_name(name, seed), "source_id": F.col(key)})
     return out.drop("new_name")

@@ -32,9 +32,8 @@ SELECT k.id, c.id IS NOT NULL AS found, c.cr_name FROM k LEFT JOIN fx_clusters c
 def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = (fixture(spark, sf_dir, "fx_notebooks").filter(F.col("attached_cluster_id").isNotNull())
             .select(F.col("attached_cluster_id").alias("id")).distinct())
-    found = fixture(spark, sf_dir, "fx_clusters").select("id", "cr_name", F.lit(True).alias("found"))
-    j = keys.join(found, "id", "left")
-    return j.select("id", F.coalesce("found", F.lit(False)).alias("found"), "cr_name")
+    clusters = fixture(spark, sf_dir, "fx_clusters").select("id", "cr_name")
+    return G.lookup_keys(clusters, keys, ["id"]).select("id", "found", "cr_name")
 
 
 @query("list_ordered", "SELECT grant_seq, created_at, object_type, object_id FROM fx_grants")

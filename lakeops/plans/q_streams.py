@@ -57,19 +57,22 @@ def q_stream_cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH el AS (
   SELECT id, CASE WHEN json_type(config, '$.idle_minutes') IN ('UBIGINT', 'BIGINT')
                   THEN CAST(json_extract(config, '$.idle_minutes') AS BIGINT) ELSE 0 END AS idle
-  FROM fx_clusters WHERE desired_state = 'Running' AND NOT pinned),
+  FROM fx_clusters WHERE desired_state = 'Running' AND NOT coalesce(pinned, false)),
 a AS (SELECT a.cluster_id, a.ts, el.idle FROM fx_activity a JOIN el ON el.id = a.cluster_id WHERE el.idle > 0),
 g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + to_minutes(idle) THEN 1 ELSE 0 END AS brk
       FROM a WINDOW w AS (PARTITION BY cluster_id ORDER BY ts)),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY cluster_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT cluster_id, min(ts) AS first_at, max(ts) AS last_at, max(ts) + to_minutes(any_value(idle)) AS idle_at,
   count(*) AS touches FROM s GROUP BY cluster_id, sid
-HAVING max(ts) + to_minutes(any_value(idle)) < TIMESTAMP '{NOW}'
-  AND max(ts) + to_minutes(any_value(idle)) <= (SELECT max(ts) FROM a) - INTERVAL '1 hour'""")
+HAVING max(ts) + to_minutes(any_value(idle)) < TIMESTAMP '{NOW}'""")
 def q_stream_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    act = stream_fixture(spark, sf_dir, "fx_activity")
-    sessions = S.stream_idle(act, fixture(spark, sf_dir, "fx_clusters"))
-    log = S.run_to_log(sessions, shared_dir(spark, "stream_idle"), output_mode="append")
+    out = shared_dir(spark, "stream_idle")
+    # the traffic first, then the clock: a tick one watermark delay after NOW closes what ended before NOW
+    for tick in (F.lit("1970-01-01 00:00:00"), F.expr(f"timestamp_ntz'{NOW}' + INTERVAL {S.WATERMARK_DELAY}")):
+        S.write_tick(spark, f"{out}/ticks", tick)
+        sessions = S.stream_idle(stream_fixture(spark, sf_dir, "fx_activity"), fixture(spark, sf_dir, "fx_clusters"),
+                                 ticks=S.tick_stream(spark, f"{out}/ticks"))
+        log = S.run_to_log(sessions, out, output_mode="append")
     latest = S.latest(spark.read.parquet(log).withColumn("session_start", F.col("session.start")).drop("session"),
                       ["cluster_id", "session_start"])
     return S.idle_episodes(latest, X.ntz(NOW))

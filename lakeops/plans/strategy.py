@@ -1,70 +1,17 @@
 """Join-strategy policy shared by the operators.
 
-Broadcasting is only safe for a side whose size is proven.
-
-* Batch joins carry no broadcast hint.  Their size check is Spark's own: the
-  static planner broadcasts only below ``spark.sql.autoBroadcastJoinThreshold``
-  (from file statistics), and AQE re-plans from the *measured* shuffle output
-  (``spark.sql.adaptive.autoBroadcastJoinThreshold``), keeping the shuffle
-  join beyond it and splitting skewed partitions
-  (``spark.sql.adaptive.skewJoin.enabled``).  No eager job is spent on a count
-  that would itself read the whole side at scale.  Fixed configuration (the
-  permission ladder) is not joined at all but looked up in a literal map.
-* ``small_side`` -- stream-static joins, where AQE does not run: the static
-  side is counted once, with a bound (``limit(n + 1)``), when the stream
-  starts, and broadcast only under the bound.
+Broadcasting is only safe for a side whose size is proven.  Joins carry no broadcast
+hint.  Their size check is Spark's own: the static planner broadcasts only below
+``spark.sql.autoBroadcastJoinThreshold`` (from file statistics), also for stream-static
+joins, and in batch AQE re-plans from the *measured* shuffle output
+(``spark.sql.adaptive.autoBroadcastJoinThreshold``), keeping the shuffle join beyond it and
+splitting skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).  Fixed configuration
+(the permission ladder) is not joined at all but looked up in a literal map.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, functions as F
-
-# Rows a static side may have and still be shipped to every executor.  Rows
-# here (cluster id, name, idle window) are well under 100 bytes.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-# An input of at least this size that arrives as fewer splits than the session
-# has cores is spread before the per-row work (see ``spread_under_split``).
-SPREAD_MIN_BYTES = 1 << 20
-
-
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-
-
-def _bytes(text: str) -> int:
-    m = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", text)
-    return int(m.group(1)) * _UNITS.get(m.group(2).lower() or "b", 1) if m else 128 << 20
-
-
-def spread_under_split(df: DataFrame, input_bytes: int, input_files: int = 1) -> DataFrame:
-    """Round-robin an input that arrives in fewer splits than there are cores.
-
-    A table stored as one small file scans as a single task, so every per-row
-    expression, explode and map-side aggregate after it would run on one
-    core.  The split count is estimated from the files and
-    ``spark.sql.files.maxPartitionBytes``; on a cluster reading many files it
-    is already above the core count and this is a no-op.
-    """
-    if input_bytes < SPREAD_MIN_BYTES:
-        return df
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect): leave the plan as is
-        return df
-    max_split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    splits = max(input_files, -(-input_bytes // max_split))
-    return df.repartition(cores) if splits < cores else df
+from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:

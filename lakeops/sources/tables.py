@@ -165,14 +165,16 @@ def verify_rows(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
     Returns rows with ``side`` = ``missing`` (expected, not found) or
     ``unexpected`` (found, not expected); empty means the write verified.
-    Multiset semantics (``exceptAll``), computed in parallel by shuffling on
-    all columns instead of comparing ordered lists on one machine.
+    Multiset semantics in one shuffle: rows count +1 when expected and -1 when
+    found, and what does not add up to zero differs that many times.
     """
     a = normalize_times(actual)
     e = normalize_times(expected).select(*a.columns)
-    missing = e.exceptAll(a).withColumn("side", F.lit("missing"))
-    unexpected = a.exceptAll(e).withColumn("side", F.lit("unexpected"))
-    return missing.unionByName(unexpected)
+    both = e.withColumn("_n", F.lit(1)).unionByName(a.withColumn("_n", F.lit(-1)))
+    off = both.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
+    side = F.when(F.col("_n") > 0, F.lit("missing")).otherwise(F.lit("unexpected"))
+    each = off.withColumn("side", side).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))))
+    return each.drop("_n")
 
 
 def roundtrip(df: DataFrame, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:

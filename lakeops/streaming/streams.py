@@ -24,8 +24,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakeops.functions import exprs as X
-from lakeops.operators.activity import object_prefixes
-from lakeops.plans.strategy import small_side
+from lakeops.operators.activity import MOST_MINUTES, object_prefixes
 
 # Event-time lateness allowed, and the tumbling window size.
 WATERMARK_DELAY = "1 hour"
@@ -107,24 +106,43 @@ def stream_last_activity(activity: DataFrame, key: str = "cluster_id", ts: str =
 
 # --- X2 -----------------------------------------------------------------------------
 
-def stream_idle(activity: DataFrame, clusters: DataFrame, key: str = "cluster_id", ts: str = "ts") -> DataFrame:
+def write_tick(spark: SparkSession, path: str, at: Column) -> None:
+    """Adds a tick of the clock, ``at`` (a timestamp without zone), to the folder that a tick stream reads."""
+    spark.range(1).select(at.cast("timestamp_ntz").alias("ts")).write.mode("append").parquet(path)
+
+
+def tick_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The ticks of :func:`write_tick` as a stream."""
+    return spark.readStream.schema("ts timestamp_ntz").parquet(path)
+
+
+def stream_idle(activity: DataFrame, clusters: DataFrame, key: str = "cluster_id", ts: str = "ts",
+                ticks: DataFrame | None = None) -> DataFrame:
     """Activity sessions per eligible cluster, the gap being its idle window.
 
     A session ends ``idle_minutes`` after its last touch; every closed session
     is an idle episode whose ``idle_at`` is that end.  Only Running, unpinned
     clusters with idle_minutes > 0 take part (stream-static join).  Session
     windows run in append mode: a session is emitted once the watermark
-    passes its end, i.e. once no later touch can still extend it.
+    passes its end, i.e. once no later touch can still extend it.  ``ticks``, a
+    stream of clock times, moves the watermark when there is no more traffic, so
+    that the last session of every cluster is emitted too; the ticks' own
+    sessions have a NULL key.
     """
     cfg = clusters.select(F.col("id").alias(key), "desired_state", "pinned",
                           X.idle_minutes_of(F.col("config")).alias("idle_minutes"))
-    eligible = small_side(cfg.filter((F.col("desired_state") == "Running") & ~F.col("pinned")
-                                     & (F.col("idle_minutes") > 0)).select(key, "idle_minutes"))
+    eligible = cfg.filter((F.col("desired_state") == "Running") & ~F.coalesce(F.col("pinned"), F.lit(False))
+                                     & (F.col("idle_minutes") > 0)).select(key, "idle_minutes")
     # The watermark is taken after the stream-static join, so event time is
     # measured on the eligible clusters' touches.  (Defined before the join,
     # the optimizer would push the join's inferred key filter below the
     # watermark anyway, giving the same clock implicitly.)
-    s = _event_time(activity.select(key, ts).join(eligible, key), ts)
+    touches = activity.select(key, ts).join(eligible, key).select(key, ts, "idle_minutes")
+    if ticks is not None:
+        none = F.lit(None).cast(touches.schema[key].dataType)
+        touches = touches.unionByName(ticks.select(none.alias(key), F.col("ts").alias(ts),
+                                                   F.lit(1).cast(touches.schema["idle_minutes"].dataType).alias("idle_minutes")))
+    s = _event_time(touches, ts)
     gap = F.concat(F.col("idle_minutes").cast("string"), F.lit(" minutes"))
     return (s.groupBy(key, F.session_window(F.col("_et"), gap).alias("session"))
             .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("touches"),
@@ -133,8 +151,8 @@ def stream_idle(activity: DataFrame, clusters: DataFrame, key: str = "cluster_id
 
 def idle_episodes(sessions: DataFrame, now: Column) -> DataFrame:
     """(cluster_id, first_at, last_at, idle_at, touches): sessions idle before ``now``."""
-    idle_at = F.col("last_at") + F.make_dt_interval(mins=F.col("idle_minutes").cast("int"))
-    return (sessions.withColumn("idle_at", idle_at).filter(F.col("idle_at") < now)
+    idle_at = F.col("last_at") + F.make_dt_interval(mins=F.least("idle_minutes", F.lit(MOST_MINUTES)).cast("int"))
+    return (sessions.withColumn("idle_at", idle_at).filter((F.col("idle_at") < now) & F.col("cluster_id").isNotNull())
             .select("cluster_id", "first_at", "last_at", "idle_at", "touches"))
 
 
@@ -147,7 +165,7 @@ def stream_cluster_events(events: DataFrame, clusters: DataFrame, ts: str = "las
     registry, then a windowed count under the watermark.
     """
     ev = _event_time(events, ts).withColumn("_cand", F.explode(object_prefixes(F.col("object"))))
-    cl = small_side(clusters.select(F.col("cr_name").alias("_cand"), F.col("id").alias("cluster_id")))
+    cl = clusters.select(F.col("cr_name").alias("_cand"), F.col("id").alias("cluster_id"))
     j = ev.join(cl, "_cand")
     w = F.window(F.col("_et"), EVENT_WINDOW)
     return (j.groupBy("cluster_id", w.alias("w"))

@@ -10,22 +10,22 @@ from lakeops.operators import activity as V
 NOW = dt.datetime(2024, 1, 31, 12, 0, 0)
 
 
-def test_idle_due_five_cases(spark):
-    def ago(m):
-        return (NOW - dt.timedelta(minutes=m)).isoformat(sep=" ")
-    clusters = spark.createDataFrame(
-        [("a", "Running", False, '{"idle_minutes": 10}'), ("b", "Running", False, '{"idle_minutes": 10}'),
-         ("c", "Running", False, '{"idle_minutes": 0}'), ("d", "Running", True, '{"idle_minutes": 10}'),
-         ("e", "Stopped", False, '{"idle_minutes": 10}')],
-        "id string, desired_state string, pinned boolean, config string")
-    act = spark.createDataFrame([("a", ago(20)), ("b", ago(5)), ("c", ago(99)), ("d", ago(99)), ("e", ago(99))],
+def test_idle_due(spark):
+    """A cluster is due just if it runs, is not pinned, has a window, and its last touch is longer ago."""
+    cases = [(state, pinned, window, ago) for state in ("Running", "Stopped") for pinned in (None, False, True)
+             for window in (0, 45, 3_000_000_000) for ago in (44, 45, 46)]
+    clusters = spark.createDataFrame([(f"k{i}", s, p, '{"idle_minutes": %d}' % w) for i, (s, p, w, _) in enumerate(cases)],
+                                     "id string, desired_state string, pinned boolean, config string")
+    act = spark.createDataFrame([(f"k{i}", (NOW - dt.timedelta(minutes=c[3])).isoformat(sep=" ")) for i, c in enumerate(cases)],
                                 "cluster_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = {f"k{i}" for i, (s, p, w, ago) in enumerate(cases) if s == "Running" and not p and 0 < w < ago}
     due = V.idle_due(clusters, V.last_activity(act), X.ntz(NOW))
-    assert [r.id for r in due.collect()] == ["a"]
+    assert {r.id for r in due.collect()} == want
     once = V.idle_apply(clusters, due)
     twice = V.idle_apply(once, V.idle_due(once, V.last_activity(act), X.ntz(NOW)))
-    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
-    assert {r.id: r.desired_state for r in once.collect()}["a"] == "Stopped"
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert {r.id for r in once.filter("desired_state = 'Stopped'").collect()} == want | {
+        f"k{i}" for i, c in enumerate(cases) if c[0] == "Stopped"}
 
 
 def test_idle_minutes_strict_json(spark):

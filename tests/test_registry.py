@@ -1,6 +1,8 @@
 """Registry mutations as table rewrites."""
 
 
+import pytest
+
 from lakeops.functions import exprs as X
 from lakeops.operators import registry as G
 
@@ -97,3 +99,38 @@ def test_get_one_and_not_found(spark):
     assert G.get_one(base, cr_name="qs-b").id == 2
     with pytest.raises(G.NotFound):
         G.get_one(base, cr_name="missing")
+
+
+def test_upsert_keeps_base_rows_without_a_number(spark):
+    base = spark.createDataFrame([("k1", "old"), ("k2", "run")], "id string, level string")
+    changes = spark.createDataFrame([("k1", "new", 5), ("k1", "newer", 6), ("k3", "x", 1)], "id string, level string, seq long")
+    got = G.upsert_latest(base, changes, ["id"], "seq", keep_first=())
+    assert {r["id"]: r["level"] for r in got.collect()} == {"k1": "newer", "k2": "run", "k3": "x"}
+
+
+def test_a_change_can_clear_a_column(spark):
+    base = spark.createDataFrame([(1, 5, 6), (2, 7, 8)], "id int, a int, b int")
+    changes = spark.createDataFrame([(1, None, 9, ["a"])], "id int, a int, b int, clear array<string>")
+    got, _ = G.update_by_key(base, changes, ["id"], clear_col="clear")
+    assert sorted((r["id"], r["a"], r["b"]) for r in got.collect()) == [(1, None, 9), (2, 7, 8)]
+
+
+def test_refused_rows_do_not_block_later_ones(spark):
+    base = spark.createDataFrame([(1, "taken")], "id int, name string")
+    new = spark.createDataFrame([(9, "taken", 1), (9, "x", 2), (8, "x", 3), (8, "y", 4)], "id int, name string, seq int")
+    table, bad = G.insert_unique(base, new, [["id"], ["name"]], "seq")
+    assert sorted((r["id"], r["name"]) for r in table.collect()) == [(1, "taken"), (8, "y"), (9, "x")]
+    assert sorted((r["seq"], r["reason"]) for r in bad.collect()) == [(1, "exists:name"), (3, "duplicate:name")]
+
+
+def test_deep_and_cyclic_folders(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "folder_id long, parent_id long")
+    closure = G.folder_closure(chain)
+    assert closure.count() == 300 * 301 // 2
+    assert closure.filter("depth <> folder_id - ancestor_id").count() == 0
+    gone = spark.createDataFrame([(250,)], "folder_id long")
+    assert sorted(r["folder_id"] for r in G.cascade_delete_tree(chain, gone).collect()) == list(range(250))
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, None)], "folder_id long, parent_id long")
+    with pytest.raises(ValueError):
+        G.folder_closure(ring)
+    assert [r["folder_id"] for r in G.cascade_delete_tree(ring, spark.createDataFrame([(2,)], "folder_id long")).collect()] == [4]
