@@ -1,20 +1,20 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, on DataFrame functions only.
 
 A short test item inside a long document has a tiny Jaccard similarity with it, and MinHash
-finds nothing.  So both sides are partitioned by size.  Items fall into classes by their number
-of shingles, [2^c, 2^(c+1)); for a class, documents are cut into parts of 2^c consecutive
-shingles (``LEAST_PART`` at least, ``MOST_PART`` at most), so that an item is no smaller than the
-parts it meets.  For a hash function, the item's least shingle is the least of its part of the
-document unless one of the part's other shingles, fewer than the item's own, is less.  So a contained item
-agrees with some part in at least a third of the ``HASHES`` values, and a containment of 0.8
-is missed by all of them with probability under (1 - 0.8 / 2)^24 = 0.000005.
+finds nothing.  So both sides are partitioned by size: items fall into classes by their number of
+shingles, and for a class documents are cut into parts of a size that suits it (``CLASSES``).  For
+a hash function, the item's least shingle is also the least of the part it falls into, unless
+another of the part's shingles is less.  An item of n shingles held to the share c thus agrees with
+some part of p shingles in at least c n / (n + p - 1) of the ``HASHES`` values; the worst case of the
+classes, 8 shingles of which 0.8 are held, is missed with probability 0.002, 11 or more shingles
+with 0.0002 and less, items held whole with less again.
 
 1. Every shingle of every document updates the minima of its part (one row per part and class).
 2. Each minimum is looked up among the items' minima of the class: (document, item) candidates.
 3. A candidate is verified exactly: the distinct shingles of the item that the whole document
    holds, at least ``THRESHOLD`` of the item's.
 
-A part has at most MOST_PART shingles, so no group of rows grows with the data; a passage that many
+A part has at most 32 shingles, so no group of rows grows with the data; a passage that many
 documents share is one candidate per document and item.  The items' minima are few
 (``HASHES`` per item) and are broadcast while there are at most ``BROADCAST_ITEMS`` items; beyond,
 Spark joins by shuffle.
@@ -34,8 +34,9 @@ from lakeops.llm.common import pin, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-HASHES = 24
-LEAST_PART, MOST_PART = 8, 32
+HASHES = 36
+#: Shingles of an item from which on a class begins, and the shingles of its parts.
+CLASSES = ((8, 32), (4, 8), (1, 2))
 BROADCAST_ITEMS = 20_000
 
 
@@ -57,8 +58,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, h, n, part): the distinct shingles of each item, their number, and the part size of its class."""
     one = shingles(benchmark.select(F.col("item_id").cast("long"), "text"), ["item_id"]).select("item_id", "h").distinct()
     n = one.groupBy(F.col("item_id").alias("_item")).agg(F.count("*").alias("n"))
-    part = F.least(F.greatest(F.pow(F.lit(2.0), F.floor(F.log2("n"))), F.lit(float(LEAST_PART))),
-                   F.lit(float(MOST_PART))).cast("int")
+    part = F.coalesce(*[F.when(F.col("n") >= least, size) for least, size in CLASSES])
     return one.join(n, one["item_id"].eqNullSafe(n["_item"])).select("item_id", "h", "n", part.alias("part"))
 
 
@@ -75,7 +75,7 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
 def candidates(docs: DataFrame, items: DataFrame, few: bool) -> DataFrame:
     """(doc_id, item_id) pairs whose minima agree for some part and hash function."""
     # three classes at most; without items any class will do
-    parts = [r["part"] for r in items.select("part").distinct().collect()] or [MOST_PART]
+    parts = [r["part"] for r in items.select("part").distinct().collect()] or [CLASSES[0][1]]
     classes = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.floor(F.col("at") / p).cast("int").alias("nr"))
                                   for p in sorted(parts)]))
     cut = shingles(docs, ["doc_id"]).select("doc_id", "h", classes.alias("c")).select("doc_id", "h", "c.part", "c.nr")

@@ -93,7 +93,10 @@ def matches(docs: DataFrame, key: Column) -> DataFrame:
 
     rows = docs.select(key.alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     kinds = F.explode(F.array(*[pieces(k, p) for k, p in PATTERNS.items()], pieces("", CANDIDATE)))
-    each = (rows.select("row", "doc_id", kinds.alias("k")).select("row", "doc_id", "k.kind", F.posexplode("k.x"))
+    # the matches become a column of their own first, so that a row of them does not carry all the others
+    each = (rows.select("row", "doc_id", kinds.alias("k")).select("row", "doc_id", F.col("k.kind").alias("kind"),
+                                                                  F.col("k.x").alias("x"))
+            .select("row", "doc_id", "kind", F.posexplode("x"))
             .select("row", "doc_id", "kind", "pos", "col.p.n", "col.p.left", F.col("col.m").alias("match")))
     size = F.col("n") + F.coalesce(F.length("match"), F.lit(0))
     before = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,17 +111,20 @@ def _candidates(found: DataFrame) -> DataFrame:
     """Candidates that touch no base span, without the signs around them."""
     base = F.col("kind") != ""
     order = Window.partitionBy("row").orderBy("start", F.desc(base))
-    up, down = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # both look back (down in reverse order), which adds up in one pass
+    up = order.rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.desc(base)).rowsBetween(Window.unboundedPreceding, 0)
     rows = found.filter("match is not null").withColumn("_end", F.max(F.when(base, F.col("stop"))).over(up)).withColumn(
         "_next", F.min(F.when(base, F.col("start"))).over(down))
     free = rows.filter((F.col("kind") == "") & (F.coalesce("_end", F.lit(0)) <= F.col("start"))
                        & (F.coalesce("_next", F.col("stop")) >= F.col("stop")))
     # a prefix up to : or = is context, quotes and points around the rest are dropped
-    prefix = F.regexp_extract("match", r"^([^:=]*[A-Za-z][^:=]*[:=]+)", 1)
+    prefix = F.regexp_extract("match", r"^([^:=]*+[:=]++)", 1)
+    prefix = F.when(prefix.rlike("[A-Za-z]"), prefix).otherwise(F.lit(""))
     body = F.expr("substr(match, length(_prefix) + 1)")
     out = free.withColumn("_prefix", prefix).withColumn("_body", body).withColumn(
         "_lead", F.length("_body") - F.length(F.regexp_replace("_body", r"^[^A-Za-z0-9+]+", ""))).withColumn(
-        "_core", F.regexp_replace(F.regexp_replace("_body", r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", ""))
+        "_core", F.regexp_replace(F.regexp_replace("_body", r"^[^A-Za-z0-9+]+", ""), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", ""))
     start = F.col("start") + F.length("_prefix") + F.col("_lead")
     return out.select("row", "doc_id", start.alias("start"), (start + F.length("_core")).alias("stop"),
                       F.col("_core").alias("match"), "left", F.col("_prefix").alias("prefix")).filter(
