@@ -23,7 +23,7 @@ further columns are ignored; an empty replica has no root, so all of the other o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import pin
