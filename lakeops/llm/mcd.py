@@ -10,14 +10,19 @@ its squared Mahalanobis distance under the final estimate, made consistent with
 distribution, is above ``CUT`` (far beyond the 0.9999 quantile of chi-squared with 5 degrees:
 clean texts are kept even where a statistic is skewed).
 
+Small groups lean on wider ones.  The same C-steps run over all rows, over each lang and over each
+(lang, source), and each estimate of n vectors is mixed with the next wider one, as if that one stood for
+``LEAST`` more vectors: a group of 10 is judged almost as its language is, one of 10,000 by itself.  The estimate of
+all rows is mixed with their plain mean and covariance, so a table of a few rows rejects hardly anything.
+
 All group work is sums and counts: a C-step adds 20 sums per group, and order statistics come from
 counts of fine bins (``BINS`` to a power of two), so a source with a third of all rows
 is only more rows before the map-side aggregation.  Each variance has a floor (``FLOOR``), since a statistic that
 is zero for most texts has no spread of its own.
 
 Defined cases: a null or empty text has no words and fails the base rule; null lang and null source are
-groups of their own; groups under ``LEAST`` base-passing rows give no estimate and reject nothing
-beyond the base rule; null and repeated doc_ids are judged row by row; :func:`judge` ignores
+groups of their own; every row that passes the base rule has a distance, however small its group or the
+table; null and repeated doc_ids are judged row by row; :func:`judge` ignores
 further columns and :func:`keep` returns them; an empty table gives an empty result.
 """
 
@@ -33,6 +38,7 @@ from lakeops.llm.common import SPACES, pin, words
 SYMBOLS = "#*$%&|<>"
 SHARE = 0.75
 STEPS = 4
+#: The weight of the wider estimate, in vectors.
 LEAST = 100
 BINS = 16
 #: Squared distances beyond this are outliers.
@@ -43,6 +49,9 @@ STATS = ("x0", "x1", "x2", "x3", "x4")
 #: The 0.75 quantile of chi-squared with 5 degrees of freedom.
 CHI2_SHARE = 6.6257
 GROUP = ("lang", "source")
+#: The groups at each level: all rows, the rows of a lang, the rows of a (lang, source).
+LEVEL = "_level"
+KEYS = (LEVEL, *GROUP)
 
 
 def _not_in(text: Column, chars: str) -> Column:
@@ -131,6 +140,12 @@ def _join(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner")
     return rows.join(named, _same(rows, named, by), how).drop(*[f"_{k}" for k in by])
 
 
+def _model() -> list[str]:
+    """The columns of an estimate: means m0 ... and covariances s00, s01, ..."""
+    p = len(STATS)
+    return [f"m{i}" for i in range(p)] + [f"s{i}{j}" for i in range(p) for j in range(i, p)]
+
+
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group: n, means m0 ... and covariances s00, s01, ... with the floors."""
     p = len(STATS)
@@ -143,7 +158,7 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l00, l10, l11, ... of each covariance."""
+    """Adds the Cholesky factor l00, l10, l11, ... of each covariance, which is left out."""
     p = len(STATS)
     for i in range(p):
         for j in range(i + 1):
@@ -152,7 +167,7 @@ def _factor(moments: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j
                                          else rest / F.col(f"l{j}{j}"))
-    return moments.select(*[c for c in moments.columns if not c.startswith("s") or c == "source"])
+    return moments.drop(*[f"s{i}{j}" for i in range(p) for j in range(i, p)])
 
 
 def _distance(rows: DataFrame, out: str) -> DataFrame:
@@ -167,41 +182,65 @@ def _distance(rows: DataFrame, out: str) -> DataFrame:
     return rows.withColumn(out, total).drop(*[f"_y{i}" for i in range(p)])
 
 
-def estimates(vectors: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: mean and Cholesky factor of the MCD estimate, made consistent, and n."""
-    vectors = vectors.select(*by, *STATS)
-    # start: medians and median absolute deviations, one statistic after the other
-    start = vectors.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
-    center = start
-    for i, x in enumerate(STATS):
-        center = _join(center, _quantile(vectors.withColumn("_v", F.col(x)), by, "_v", 0.5, f"m{i}"), by)
-    center = pin(center, "mcd_center")
-    rows = _join(vectors, center, by)
-    spread = center
-    for i, x in enumerate(STATS):
-        dev = rows.withColumn("_v", F.abs(F.col(x) - F.col(f"m{i}")))
-        spread = _join(spread, _quantile(dev, by, "_v", 0.5, f"d{i}"), by)
-    spread = pin(spread, "mcd_spread")
-    z = [((F.col(x) - F.col(f"m{i}")) / F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOOR[i])) for i, x in enumerate(STATS)]
+def _levels(vectors: DataFrame) -> DataFrame:
+    """The vectors of each level's groups: (_level, lang, source) is (0, null, null), (1, lang, null), (2, lang, source)."""
+    none = F.lit(None).cast("string")
+    keys = F.array(*[F.struct(F.lit(i).alias(LEVEL), *[(F.col(k) if j < i else none).alias(k) for j, k in enumerate(GROUP)])
+                     for i in range(len(GROUP) + 1)])
+    return vectors.select(F.explode(keys).alias("_k"), *STATS).select("_k.*", *STATS)
+
+
+def _medians(rows: DataFrame, by: list[str], values: list[Column], out: str) -> DataFrame:
+    """Per group: the medians of the values, as ``out`` with a number."""
+    each = rows.select(*by, F.posexplode(F.array(*values)).alias("_i", "_v"))
+    at = _quantile(each, [*by, "_i"], "_v", 0.5, "_q")
+    return at.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{out}{i}") for i in range(len(values))])
+
+
+def _mixed(own: DataFrame, wider: DataFrame, by: list[str]) -> DataFrame:
+    """The estimates ``own``, each mixed with the one of ``wider`` for its keys ``by``."""
+    names = _model()
+    wider = wider.select(*by, *[F.col(c).alias(f"_{c}") for c in names])
+    both = _join(own, wider, by) if by else own.crossJoin(wider)
+    share = F.col("n") / (F.col("n") + LEAST)
+    return both.select(*GROUP, *[(share * F.col(c) + (1 - share) * F.col(f"_{c}")).alias(c) for c in names])
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Per (lang, source): mean and Cholesky factor of the MCD estimate, made consistent and mixed with the wider ones."""
+    by = list(KEYS)
+    vectors = pin(_levels(vectors), "mcd_vectors")
+    # start: medians and median absolute deviations
+    center = pin(_medians(vectors, by, [F.col(x) for x in STATS], "m"), "mcd_center")
+    off = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(STATS)]
+    spread = pin(_join(center, _medians(_join(vectors, center, by), by, [F.abs(v) for v in off], "d"), by), "mcd_spread")
+    z = [v / F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOOR[i]) for i, v in enumerate(off)]
     rows = _join(vectors, spread, by).withColumn("_d2", reduce(lambda a, b: a + b, [v * v for v in z]))
     for _ in range(STEPS):
-        edge = _quantile(rows, by, "_d2", SHARE, "_edge")
+        edge = pin(_quantile(rows, by, "_d2", SHARE, "_edge"), "mcd_edge")
         kept = _join(rows.select(*by, *STATS, "_d2"), edge, by).filter(F.col("_d2") <= F.col("_edge"))
-        model = pin(_factor(_moments(kept, by)), "mcd_model")
-        rows = _distance(_join(vectors, model, by), "_d2")
+        model = pin(_moments(kept, by), "mcd_model")
+        rows = _distance(_join(vectors, _factor(model), by), "_d2")
     # consistency: the share's quantile of the distances is the one of chi-squared
-    edge = _quantile(rows, by, "_d2", SHARE, "_edge")
-    return _join(model, edge, by).withColumn("scale", F.greatest(F.col("_edge") / CHI2_SHARE, F.lit(1.0))).drop("_edge")
+    edge = pin(_quantile(rows, by, "_d2", SHARE, "_edge"), "mcd_edge")
+    scale = F.greatest(F.col("_edge") / CHI2_SHARE, F.lit(1.0))
+    model = _join(model, edge, by).select(*by, *[(F.col(c) * scale if c.startswith("s") else F.col(c)).alias(c)
+                                                 for c in _model()])
+    sizes = vectors.groupBy(*by).agg(F.count("*").alias("n"))
+    model = pin(_join(model, sizes, by), "mcd_model")
+    wider = pin(_moments(vectors.filter(F.col(LEVEL) == 0), by), "mcd_plain")
+    for i in range(len(GROUP) + 1):
+        wider = _mixed(model.filter(F.col(LEVEL) == i), wider, list(GROUP[:max(0, i - 1)]))
+    return pin(_factor(wider), "mcd_mixed")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """A verdict per row of ``docs``: doc_id, lang, source, mark (a hash of the text), the counts,
-    ``base_failed``, ``distance`` (squared; null without an estimate) and ``kept``."""
+    ``base_failed``, ``distance`` (squared; null for a row that failed the base rule in a group of such rows only) and ``kept``."""
     by = list(GROUP)
     rows = pin(statistics(counts(docs)), "mcd_counts")
-    judged = _distance(_join(rows, estimates(rows.filter(~F.col("base_failed")), by), by, "left"), "_d2")
-    return judged.withColumn("distance", F.col("_d2") / F.col("scale")).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).select(
+    judged = _distance(_join(rows, estimates(rows.filter(~F.col("base_failed"))), by, "left"), "distance")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUT)).select(
         "doc_id", "lang", "source", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "distance")
 

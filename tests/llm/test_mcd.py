@@ -55,3 +55,24 @@ def test_odd_rows(odd, none):
     kept = M.keep(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in rows)
     assert M.judge(none).count() == M.keep(none).count() == 0
+
+
+def _text(n, width=9):
+    return " ".join("".join(random.choice("abcdefgh") for _ in range(random.randint(2, width))) for _ in range(n))
+
+
+def _judged(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return {r["doc_id"]: r for r in M.judge(df).collect()}
+
+
+def test_small_groups_are_judged(spark):
+    random.seed(3)
+    rows = [(i, _text(random.randint(60, 600)), "en", "big") for i in range(400)]
+    clean = [(1000 + i, _text(random.randint(60, 600)), *k) for i, k in enumerate(
+        [("en", "small")] * 20 + [("fr", "small")] * 20 + [("de", None), (None, "alone")])]
+    junk = [(2000 + i, " | ".join(_text(100).split()), *k) for i, k in enumerate([("en", "small"), ("fr", "small"), ("it", "x")])]
+    junk += [(2100 + i, _text(100, 90), *k) for i, k in enumerate([("en", "small"), ("fr", "small"), ("pt", None)])]
+    got = _judged(spark, rows + clean + junk)
+    assert all(r["distance"] is not None for r in got.values())
+    assert {d for d, r in got.items() if r["kept"]} == {d for d, *_ in rows + clean}
