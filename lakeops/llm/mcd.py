@@ -5,10 +5,11 @@ Every text gives a vector of transformed statistics:
   shares of repeated lines and of words in repeated three-word windows.
 Per (lang, source) the minimum covariance determinant (MCD) estimate is found by deterministic
 C-steps: start from medians and median deviations, keep the ``SHARE`` of the vectors with least distance, take
-their mean and covariance, and go on with the distances under those.  A text is rejected if
-its squared Mahalanobis distance under the final estimate, made consistent with the normal
-distribution, is above ``CUT`` (far beyond the 0.9999 quantile of chi-squared with 5 degrees:
-clean texts are kept even where a statistic is skewed).
+their mean and covariance, and go on with the distances under those.  Then one reweighting step: mean and
+covariance of all vectors within the ``INSIDE`` quantile of chi-squared with 5 degrees.  Each covariance of
+a kept part is made consistent with the normal distribution by its factor (:func:`consistency`).  Equal vectors count once, so
+copies of a text have no more weight than the text.  A text is rejected if its squared Mahalanobis distance is above
+``CUT``, the 0.9999 quantile of chi-squared with 5 degrees; no label takes part.
 
 Small groups lean on wider ones.  The same C-steps run over all rows, over each lang and over each
 (lang, source), and each estimate of n vectors is mixed with the next wider one, as if that one stood for
@@ -28,6 +29,7 @@ further columns and :func:`keep` returns them; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,24 +38,33 @@ from pyspark.sql import functions as F
 from lakeops.llm.common import SPACES, pin, words
 
 SYMBOLS = "#*$%&|<>"
-SHARE = 0.75
+SHARE = 0.5
 STEPS = 4
 #: The weight of the wider estimate, in vectors.
 LEAST = 100
 BINS = 16
-#: Squared distances beyond this are outliers.
-CUT = 85.0
+#: Quantiles of chi-squared with 5 degrees of freedom: of ``SHARE``, of the reweighting step (0.975) and of the cut (0.9999).
+CHI2_SHARE = 4.3515
+INSIDE, CHI2_INSIDE = 0.975, 12.8325
+CUT = 25.7448
 #: Smallest variance of each statistic.
 FLOOR = (0.15, 0.10, 0.05, 0.01, 0.01)
 STATS = ("x0", "x1", "x2", "x3", "x4")
-#: The 0.75 quantile of chi-squared with 5 degrees of freedom.
-CHI2_SHARE = 6.6257
 GROUP = ("lang", "source")
 #: The groups at each level: all rows, the rows of a lang, the rows of a (lang, source).
 LEVEL = "_level"
 KEYS = (LEVEL, *GROUP)
 
 
+def consistency(share: float, quantile: float) -> float:
+    """What a covariance of the ``share`` of normal vectors within a chi-squared ``quantile`` is to be multiplied by.
+
+    The share over the distribution function of chi-squared with 7 (two more) degrees of freedom.
+    """
+    inner = 1 + quantile / 3 + quantile * quantile / 15
+    return share / (math.erf(math.sqrt(quantile / 2)) - math.sqrt(2 * quantile / math.pi) * math.exp(-quantile / 2) * inner)
+
+
 def _not_in(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -146,11 +157,11 @@ def _model() -> list[str]:
     return [f"m{i}" for i in range(p)] + [f"s{i}{j}" for i in range(p) for j in range(i, p)]
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: n, means m0 ... and covariances s00, s01, ... with the floors."""
+def _moments(rows: DataFrame, by: list[str], factor: float = 1.0) -> DataFrame:
+    """Per group: means m0 ... and covariances s00, s01, ..., times the factor and with the floors."""
     p = len(STATS)
-    sums = [F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]]
-    sums += [F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i in range(p) for j in range(i, p)]
+    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
+    sums += [(factor * F.covar_pop(STATS[i], STATS[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i, p)]
     out = rows.groupBy(*by).agg(*sums)
     for i in range(p):
         out = out.withColumn(f"s{i}{i}", F.col(f"s{i}{i}") + FLOOR[i])
@@ -158,15 +169,19 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l00, l10, l11, ... of each covariance, which is left out."""
+    """Adds the Cholesky factor l10, l20, l21, ... of each covariance and r0 ..., one over its diagonal; drops the covariance.
+
+    Without nulls or divisions, so that the generated code stays small.
+    """
     p = len(STATS)
+    moments = moments.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in _model() if c.startswith("s")})
     for i in range(p):
         for j in range(i + 1):
             rest = F.col(f"s{j}{i}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j
-                                         else rest / F.col(f"l{j}{j}"))
+            moments = (moments.withColumn(f"r{i}", F.pow(F.greatest(rest, F.lit(1e-9)), F.lit(-0.5))) if i == j
+                       else moments.withColumn(f"l{i}{j}", rest * F.col(f"r{j}")))
     return moments.drop(*[f"s{i}{j}" for i in range(p) for j in range(i, p)])
 
 
@@ -177,17 +192,17 @@ def _distance(rows: DataFrame, out: str) -> DataFrame:
         y = F.col(STATS[i]) - F.col(f"m{i}")
         for k in range(i):
             y = y - F.col(f"l{i}{k}") * F.col(f"_y{k}")
-        rows = rows.withColumn(f"_y{i}", y / F.col(f"l{i}{i}"))
+        rows = rows.withColumn(f"_y{i}", y * F.col(f"r{i}"))
     total = reduce(lambda a, b: a + b, [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(p)])
     return rows.withColumn(out, total).drop(*[f"_y{i}" for i in range(p)])
 
 
 def _levels(vectors: DataFrame) -> DataFrame:
-    """The vectors of each level's groups: (_level, lang, source) is (0, null, null), (1, lang, null), (2, lang, source)."""
+    """The distinct vectors of each level's groups: (_level, lang, source) is (0, null, null), (1, lang, null), (2, lang, source)."""
     none = F.lit(None).cast("string")
     keys = F.array(*[F.struct(F.lit(i).alias(LEVEL), *[(F.col(k) if j < i else none).alias(k) for j, k in enumerate(GROUP)])
                      for i in range(len(GROUP) + 1)])
-    return vectors.select(F.explode(keys).alias("_k"), *STATS).select("_k.*", *STATS)
+    return vectors.select(F.explode(keys).alias("_k"), *STATS).select("_k.*", *STATS).distinct()
 
 
 def _medians(rows: DataFrame, by: list[str], values: list[Column], out: str) -> DataFrame:
@@ -207,7 +222,7 @@ def _mixed(own: DataFrame, wider: DataFrame, by: list[str]) -> DataFrame:
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """Per (lang, source): mean and Cholesky factor of the MCD estimate, made consistent and mixed with the wider ones."""
+    """Per (lang, source): mean and Cholesky factor of the reweighted MCD estimate, mixed with the wider ones."""
     by = list(KEYS)
     vectors = pin(_levels(vectors), "mcd_vectors")
     # start: medians and median absolute deviations
@@ -219,13 +234,10 @@ def estimates(vectors: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         edge = pin(_quantile(rows, by, "_d2", SHARE, "_edge"), "mcd_edge")
         kept = _join(rows.select(*by, *STATS, "_d2"), edge, by).filter(F.col("_d2") <= F.col("_edge"))
-        model = pin(_moments(kept, by), "mcd_model")
+        model = pin(_moments(kept, by, consistency(SHARE, CHI2_SHARE)), "mcd_model")
         rows = _distance(_join(vectors, _factor(model), by), "_d2")
-    # consistency: the share's quantile of the distances is the one of chi-squared
-    edge = pin(_quantile(rows, by, "_d2", SHARE, "_edge"), "mcd_edge")
-    scale = F.greatest(F.col("_edge") / CHI2_SHARE, F.lit(1.0))
-    model = _join(model, edge, by).select(*by, *[(F.col(c) * scale if c.startswith("s") else F.col(c)).alias(c)
-                                                 for c in _model()])
+    # reweighting: all vectors within the quantile, not only the share
+    model = _moments(rows.filter(F.col("_d2") <= CHI2_INSIDE), by, consistency(INSIDE, CHI2_INSIDE))
     sizes = vectors.groupBy(*by).agg(F.count("*").alias("n"))
     model = pin(_join(model, sizes, by), "mcd_model")
     wider = pin(_moments(vectors.filter(F.col(LEVEL) == 0), by), "mcd_plain")

@@ -76,3 +76,23 @@ def test_small_groups_are_judged(spark):
     got = _judged(spark, rows + clean + junk)
     assert all(r["distance"] is not None for r in got.values())
     assert {d for d, r in got.items() if r["kept"]} == {d for d, *_ in rows + clean}
+
+
+def test_many_copies_do_not_mask_themselves(spark):
+    random.seed(4)
+    rows = [(i, _text(random.randint(60, 600)), "en", "s") for i in range(300)]
+    junk = " | ".join(_text(100).split())
+    copies = [(1000 + i, junk, "en", "s") for i in range(200)]
+    alike = [(2000 + i, " | ".join(_text(100).split()), "en", "s") for i in range(150)]
+    for bad in (copies, alike):
+        assert {d for d, r in _judged(spark, rows + bad).items() if r["kept"]} == {d for d, *_ in rows}
+
+
+def test_cut_is_a_quantile_and_not_fitted(spark):
+    assert abs(M.consistency(0.5, M.CHI2_SHARE) - 1.912) < 0.001 and abs(M.consistency(0.975, M.CHI2_INSIDE) - 1.0556) < 0.001
+    random.seed(5)
+    rows = [(i, _text(random.randint(60, 600)), "en", "s") for i in range(300)]
+    far = [(1000 + i, _text(100, 20), "en", "s") for i in range(3)]  # between 25.7 and the former 85
+    got = _judged(spark, rows + far)
+    assert all(M.CUT < got[d]["distance"] and not got[d]["kept"] for d, *_ in far)
+    assert all(got[d]["kept"] for d, *_ in rows)
