@@ -13,6 +13,8 @@ is grade 1, and so on.  Other graded labels can be given to :func:`fit` directly
 The model is fitted on at most ``SAMPLE`` labelled rows, those with the least hash of doc_id, and
 at most ``FEATURES`` features; both bound what reaches the driver.  All documents are scored.
 
+Words are runs of letters, of any length and between any signs (no-break spaces, commas, slashes).
+
 Defined cases: null and empty texts have no features (the base rate's severity); a label with a null
 doc_id or grade is ignored, of several labels for a doc_id the highest counts; null and repeated
 doc_ids are scored row by row; without toxic (or without any) labels every severity is 0; further
@@ -42,6 +44,7 @@ DENSITIES = (0.01, 0.03)
 L2 = 1e-4
 STEPS = 400
 REMEMBER = 400_000
+LONG = 400
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -56,7 +59,7 @@ def features_of(word: bytes) -> list[str]:
 
 
 class _Known(dict):
-    """The chosen features of each word, remembered."""
+    """The chosen features of each word, remembered for words under ``LONG`` bytes."""
 
     def __init__(self, chosen: dict):
         self.chosen = chosen
@@ -65,7 +68,9 @@ class _Known(dict):
         if len(self) > REMEMBER:
             self.clear()
         chosen = self.chosen
-        value = self[word] = tuple(chosen[f] for f in features_of(word) if f in chosen) if len(word) < 400 else ()
+        value = tuple(chosen[f] for f in features_of(word) if f in chosen)
+        if len(word) < LONG:
+            self[word] = value
         return value
 
 
@@ -104,7 +109,7 @@ def marking(sample: DataFrame, most: int = FEATURES) -> dict[str, float]:
         for batch in batches:
             for i in range(batch.num_rows):
                 bad = batch.column(1)[i].as_py() > 0
-                seen = {f for w in set((batch.column(0)[i].as_py() or "").encode().split()) if len(w) < 400
+                seen = {f for w in set((batch.column(0)[i].as_py() or "").encode().split())
                         for f in features_of(w)}
                 (toxic if bad else clean).update(seen)
                 n[bad] += 1
@@ -148,7 +153,8 @@ def grade_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gr
         for batch in batches:
             out = [[], [], [], []]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = (text or "").encode().split()
+                # letter runs, so that a text has the same density whatever signs separate its words
+                ws = [w.encode() for w in _LETTERS.findall((text or "").lower())]
                 hits = [h for h in map(known.__getitem__, ws) if h]
                 found = Counter(f for h in hits for f in h)
                 for x, y in zip(out, (list(found), list(found.values()), toxic, len(hits) / max(1, len(ws)))):

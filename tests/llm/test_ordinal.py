@@ -44,3 +44,18 @@ def test_odd_rows(spark, odd, none):
         assert len(rows) == odd.count() and not any(r["toxic"] for r in rows)
         assert all(r["grade"] == 0 and r["severity"] < 1e-6 for r in rows)
     assert O.predict(none, O.fit(O.grade_labels(none, labels))).count() == 0
+
+
+def test_texts_joined_by_other_signs(spark):
+    data = _data(1200, 2)
+    joined = [(d, text.replace(" ", "\u00a0,/\u3000"[d % 4]), g) for d, text, g in data]
+    assert all(len(w) >= 400 for _, text, _ in joined for w in text.encode().split())
+    plain, other = (spark.createDataFrame([d[:2] for d in x], "doc_id long, text string") for x in (data, joined))
+    labels = spark.createDataFrame([(d, 1, int(g > 0)) for d, _, g in data if d % 2], "doc_id long, quality int, toxic int")
+    graded = O.grade_labels(plain, labels)
+    model = O.fit(graded)
+    got = [{r["doc_id"]: r for r in O.predict(df, model).collect()} for df in (plain, other)]
+    assert all(abs(got[0][d]["severity"] - got[1][d]["severity"]) < 1e-9 for d, *_ in data)
+    assert sum(got[1][d]["toxic"] for d, _, g in data if g) >= 0.98 * sum(g > 0 for *_, g in data)
+    # the fit, too, sees the words of such texts
+    assert O.grade_labels(other, labels).names == graded.names
