@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import table
+from lakeops.session import shared_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +113,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
 
 
+def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the record files of token ids, read back from them; no SQL (needs a tokenizer)."""
+    from lakeops.llm.records import positions, write_records
+    path = shared_dir(spark, "corpus")
+    write_records(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return positions(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -119,7 +128,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bloom_lm, op2_fixity, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_fixity, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity, op10_pii,
+                                   op13_records, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
