@@ -16,8 +16,6 @@ crc), so a task that runs again gives the same windows.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from array import array
 
@@ -25,62 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeops.llm.tokens import SpacelessIds
+
 WINDOW = 2048
 END_ID = 1
 #: Documents a cell holds on average.
 CELL_DOCS = 20_000
-#: Words, and word bodies, a worker remembers the ids of; a memory is emptied when it is full.
-REMEMBER = 400_000
-REMEMBER_BODIES = 1_200_000
-#: A letter at the end, as the tokenizer sees it (ASCII and Latin-1): what follows starts a new token.
-_LETTER = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-_REMEMBERED: dict[str, tuple] = {}
-
-
-def _ids_of(path: str):
-    if path not in _REMEMBERED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        _REMEMBERED[path] = (Tokenizer.from_file(path), {}, {})
-    return _REMEMBERED[path]
-
-
-def _parts(word: bytes) -> tuple[bytes, bytes]:
-    """A word as body and end whose ids follow each other: points and commas after a letter stand alone.
-
-    The tokenizer lowers letters itself, but for its own marks, which begin with ``<|``.
-    """
-    if b"<|" in word:
-        return word, b""
-    word = word.lower()
-    body = word.rstrip(b".,")
-    return (body, word[len(body):]) if len(body) < len(word) and _LETTER.search(body) else (word, b"")
+_ENCODERS: dict[str, SpacelessIds] = {}
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words in turn; a worker tokenises a word once while it remembers it.
-    """
-    tokenizer, known, bodies = _ids_of(path)
-    if len(known) > REMEMBER:
-        known.clear()
-    if len(bodies) > REMEMBER_BODIES:
-        bodies.clear()
-    split = [(t or "").encode().split() for t in texts]
-    new = {w: _parts(w) for w in set().union(*split).difference(known)} if split else {}
-    todo = list({x for pair in new.values() for x in pair}.difference(bodies))
-    for i in range(0, len(todo), 20_000):
-        part = todo[i:i + 20_000]
-        for body, enc in zip(part, tokenizer.encode_batch([w.decode() for w in part],
-                                                          add_special_tokens=False)):
-            bodies[body] = array("I", enc.ids).tobytes()
-    for word, (body, end) in new.items():
-        known[word] = bodies[body] + bodies[end]
-    return [b"".join(map(known.__getitem__, w)) for w in split]
+    """Token ids of each text as little-endian unsigned 32-bit numbers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = SpacelessIds(path)
+    return [_ENCODERS[path](t) for t in texts]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID,
