@@ -22,6 +22,9 @@ _CUT = re.compile(r" (?=\S)")
 #: Words of letters alone that no normalisation changes: the model sees them as one piece, byte by byte.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+\Z").match
 _LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z").match
+_BODY = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([\x00-@\[-`{-\x7f].*)\Z", re.S)
+#: Signs and at most one line feed before a letter: the letter starts a new piece (a space or ' would join it).
+_TAIL = re.compile(r"([!-&(-@\[-`{-~]*\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff].*)\Z", re.S)
 
 
 class Ids(dict):
@@ -50,13 +53,32 @@ class Ids(dict):
             self.ends[end] = array(self.code, self.encode(end, True)).tobytes()
         return self.ends[end] if end else b""
 
-    def of(self, words) -> bytes:
+    def turn(self) -> None:
+        """Forget the old generation once the young one is full."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+
+    def of(self, words) -> bytes:
+        self.turn()
         return b"".join(map(self.__getitem__, words))
 
 
+class Spaced(Ids):
+    """Words with their space; the end of a word may hold words without one, which ``bare`` remembers."""
+
+    def __init__(self, encode, cut, code: str, bare: Ids, most: int = MOST):
+        super().__init__(encode, cut, code, most)
+        self.bare = bare
+
+    def end(self, end) -> bytes:
+        found = _TAIL.match(end)
+        if not found:
+            return super().end(end)
+        self.bare.turn()
+        return super().end(found[1]) + self.bare[found[2]]
+
+
 def _signs() -> dict[int, str]:
     """Byte-level models write a byte as the sign of that number, if it is a printable one, else as the next from 256 on."""
     other = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
@@ -81,10 +103,10 @@ def _lowered(word: bytes) -> tuple[bytes, bytes]:
     return (body, word[len(body):]) if len(body) < len(word) and _LETTER.search(body) else (word, b"")
 
 
-def _stopped(word: str) -> tuple[str, str]:
-    body = word.rstrip(".,")
-    last = body[-1:]
-    return (body, word[len(body):]) if len(body) < len(word) and last.isascii() and last.isalpha() else (word, "")
+def _lettered(word: str) -> tuple[str, str]:
+    """The letters at the start, if a sign follows that surely is none; the tokenizer's marks begin with ``<|``."""
+    found = None if "<|" in word else _BODY.match(word)
+    return found.groups() if found else (word, "")
 
 
 class SpacelessIds:
@@ -109,26 +131,28 @@ class ByteLevelIds:
     """For byte-level tokenizers whose words begin with their space: ids of whole texts in ``width`` bytes.
 
     The pre-tokenizer always begins a piece at a space before a sign that is not white
-    space, and at a point or comma after a letter.
+    space, and after a run of letters.
     """
 
     def __init__(self, path: str, end_id: int):
         tokenizer = _load(path)
         self.width = 2 if max(tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         model, space = tokenizer.model, _SIGNS[0x20]
 
-        def encode(word: str, end: bool = False):
-            if not end and _LETTERS(word):
-                return [t.id for t in model.tokenize(space + word.encode().decode("latin-1").translate(_SIGNS))]
-            return self.encode(word if end else f" {word}")
+        def encode(word: str, bare: bool = False):
+            if _LETTERS(word):
+                piece = word.encode().decode("latin-1").translate(_SIGNS)
+                return [t.id for t in model.tokenize(piece if bare else space + piece)]
+            return tokenizer.encode(word if bare else f" {word}", add_special_tokens=False).ids
 
-        self.ids = Ids(encode, _stopped, self.code)
+        self.bare = Ids(lambda word, end=False: encode(word, True), _lettered, self.code, MOST // 4)
+        self.ids = Spaced(encode, _lettered, self.code, self.bare)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        first = array(self.code, self.encode(parts[0])).tobytes() if parts[0] else b""
+        self.bare.turn()
+        first = self.bare[parts[0]] if parts[0] else b""
         return first + self.ids.of(parts[1:])
