@@ -113,6 +113,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings; no SQL (eigenvectors), tested against brute force."""
+    from lakeops.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the record files of token ids, read back from them; no SQL (needs a tokenizer)."""
     from lakeops.llm.records import positions, write_records
@@ -129,7 +135,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_bloom_lm, op2_fixity, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity, op10_pii,
-                                   op13_records, pipeline)}
+                                   op12_whitening, op13_records, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
