@@ -113,6 +113,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some made periodic; no SQL (too slow on whole tables), tested against brute force."""
+    from lakeops.llm.runs import digest, find_runs, planted
+    return digest(find_runs(planted(table(spark, sf_dir, "documents"))))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened embeddings; no SQL (eigenvectors), tested against brute force."""
     from lakeops.llm.whitening import whiten
@@ -135,7 +141,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_bloom_lm, op2_fixity, op3_mcd_outliers, op4_icws, op5_host_paths, op6_packing, op7_substring_dedup, op8_containment, op9_severity, op10_pii,
-                                   op12_whitening, op13_records, pipeline)}
+                                   op11_runs, op12_whitening, op13_records, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
