@@ -3,15 +3,16 @@
 J2 membership, A1 effective_level, A2 authorize, A3 validate_grants,
 A5 read_attribution, A7 access_matrix, J3 authorized_view.
 
-Plan shape (A1/A2): each request row is expanded into the principal keys it
-can be matched by -- its own user key plus one key per directory group -- and
-joined on the full grant key ``(object_type, object_id, principal_type,
-principal_id)``.  A current grant table is unique on that key, so every
-expanded row meets at most one grant: the join never multiplies rows, even
-when one object or one group holds a third of all grants.  The best rank per
-request is then one hash aggregate.  This replaces the per-object loop over
-all grants (and avoids the users x objects pairs a membership-first join
-would create).
+Plan shape (A1/A2): the requests are first reduced to their distinct (username, object) pairs.  Each
+pair is expanded into the principal keys it can be matched by -- its own user
+key plus one key per directory group -- and joined on the full grant key
+``(object_type, object_id, principal_type, principal_id)``.  A current grant
+table is unique on that key, so every expanded pair meets at most one grant:
+the join never multiplies rows.  The best rank per pair is one hash aggregate
+of pairs, and the requests take it over by a join on the pair.  An object that holds
+more than 1/500 of the pairs, and a pair that holds more than 1/500 of the requests, are dealt to several
+parts (``plans.strategy.salted_join``), since the other side of each join is an aggregate
+on the join's own keys, whose partitions AQE does not split.
 
 The permission ladders are a fixed, nine-entry configuration, so level ranks
 are literal map lookups inside the projections (no join at all).
@@ -24,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakeops.fixtures import LADDERS
+from lakeops.plans.strategy import hot_keys, salted_join
 
 GRANT_KEY = ["object_type", "object_id", "principal_type", "principal_id"]
 PRINCIPAL_TYPES = ("user", "group")
@@ -90,44 +92,66 @@ def membership(principals: DataFrame) -> DataFrame:
     return user.unionByName(grp)
 
 
-def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
-                    grants_ranked: DataFrame) -> DataFrame:
-    """``rows`` plus ``admin`` and ``best_rnk`` (highest matching grant rank).
+PAIR = ["username", "object_type", "object_id"]
+
 
-    ``rows`` needs username, object_type, object_id and the identifying
-    ``id_cols``; ``grants_ranked`` has the grant key and ``rnk``.
+def _best_per_pair(counted: DataFrame, principals: DataFrame, grants_ranked: DataFrame) -> DataFrame:
+    """PAIR, ``admin`` and ``best_rnk`` of the pairs that have either.
+
+    ``counted`` has one row per pair; ``grants_ranked`` has the grant key and ``rnk``.
     """
-    p = principals.select("username", F.col("admin").alias("_admin"), F.col("groups").alias("_groups"))
-    r = rows.join(p, "username", "left")
+    p = principals.select("username", F.coalesce("admin", F.lit(False)).alias("admin"), F.col("groups").alias("_groups"))
     keys = F.concat(
         F.array(F.struct(F.lit("user").alias("principal_type"), F.col("username").alias("principal_id"))),
         F.transform(F.array_distinct(F.coalesce(F.col("_groups"), F.array().cast("array<string>"))),
                     lambda g: F.struct(F.lit("group").alias("principal_type"), g.alias("principal_id"))))
-    carry = [c for c in r.columns if c not in id_cols and c != "_groups"]
-    exp = (r.withColumn("_k", F.explode(keys)).drop("_groups")
-           .withColumn("principal_type", F.col("_k.principal_type"))
-           .withColumn("principal_id", F.col("_k.principal_id")).drop("_k"))
-    # The grant table grows with the data: the planner sizes this join (a
-    # broadcast below the threshold, read from the table's files; otherwise a
-    # shuffle join that AQE may still convert, or split when a key is hot).
-    g = grants_ranked.select(*GRANT_KEY, F.col("rnk").alias("_g_rnk"))
-    joined = exp.join(g, GRANT_KEY, "left")
-    # Carried columns depend on the row id, so grouping by them as well gives
-    # the same groups while keeping the buffer fixed-width (a hash aggregate
-    # with map-side partial aggregation instead of a sort aggregate).  With a
-    # broadcast grant table the expanded rows of one input row sit in the same
-    # partition, so the partial aggregate collapses them before the shuffle.
-    agg = joined.groupBy(*id_cols, *carry).agg(F.max("_g_rnk").alias("best_rnk"))
-    return agg.withColumn("admin", F.coalesce(F.col("_admin"), F.lit(False))).drop("_admin")
-
-
-def current_grants(grants_log: DataFrame, ladders: Ladders = LADDERS, order_col: str = "grant_seq") -> DataFrame:
-    """Validated grant log reduced to the latest level per grant key (A3 then W3)."""
-    from lakeops.operators.registry import upsert_latest
-    valid, _ = split_valid(validate_grants(grants_log, ladders))
+    exp = counted.join(p, "username", "left").select(
+        *PAIR, F.coalesce("admin", F.lit(False)).alias("admin"), F.inline(keys))
+    # The grant table grows with the data: the planner sizes this join.
+    g = grants_ranked.select(*GRANT_KEY, F.col("rnk").alias("_rnk"))
+    objects = hot_keys(counted.withColumn("_one", F.lit(1)), ["object_type", "object_id"], "_one")
+    joined = salted_join(exp, g, GRANT_KEY, objects, F.col("username"))
+    # ``admin`` belongs to the pair's user, so grouping by it as well keeps the buffer fixed-width.
+    best = joined.groupBy(*PAIR, "admin").agg(F.max("_rnk").alias("best_rnk"))
+    return best.filter(F.col("admin") | F.col("best_rnk").isNotNull())
+
+
+def _with_best_rank(rows: DataFrame, id_cols: list[str], principals: DataFrame,
+                    grants_ranked: DataFrame) -> DataFrame:
+    """``rows`` plus ``admin`` and ``best_rnk`` (highest matching grant rank).
+
+    ``rows`` needs username, object_type and object_id, and ``id_cols`` that tell its rows apart.  Rows that
+    are told apart by the pair and its owner alone cannot be many per pair.
+    """
+    counted = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_requests"))
+    best = _best_per_pair(counted.select(*PAIR), principals, grants_ranked)
+    if set(id_cols) <= {*PAIR, "owner"}:
+        out = rows.join(best, PAIR, "left")
+    else:
+        out = salted_join(rows, best, PAIR, hot_keys(counted, PAIR, "_requests"), F.struct(*id_cols))
+    return out.withColumn("admin", F.coalesce(F.col("admin"), F.lit(False)))
+
+
+def current_grants(grants_log: DataFrame, ladders: Ladders = LADDERS, order_col: str = "grant_seq",
+                   revoked: Column | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Validated grant log reduced to the latest level per grant key (A3 then W3).
+
+    ``revoked`` says of a row of the log that it takes its key's grant away (its level does not matter); a key
+    granted again later is there with that grant alone.  ``base`` is a current grant table to go on from.
+    """
+    from lakeops.operators.registry import live_changes, upsert_latest
+    gone = F.lit(False) if revoked is None else F.coalesce(revoked, F.lit(False))
+    checked = validate_grants(grants_log.withColumn("_revoked", gone), ladders)
+    valid = checked.filter(F.col("reason").isNull() | (F.col("_revoked") & (F.col("reason") == "bad_level")))
     # The level travels as its rank (an int) so the reduction is a hash
     # aggregate; the name is restored from the ladder afterwards.
-    cur = upsert_latest(None, valid.drop("level", "reason"), GRANT_KEY, order_col)
+    log = valid.drop("level", "reason")
+    if base is not None:
+        start = base.withColumn("rnk", level_rank(F.col("object_type"), F.col("level"), ladders)).drop("level")
+        log = start.withColumn("_revoked", F.lit(False)).unionByName(log, allowMissingColumns=True)
+    if revoked is not None:
+        log = live_changes(log, GRANT_KEY, order_col, F.col("_revoked"))
+    cur = upsert_latest(None, log.drop("_revoked"), GRANT_KEY, order_col)
     return cur.withColumn("level", rank_level(F.col("object_type"), F.col("rnk"), ladders)).drop("rnk")
 
 

@@ -13,10 +13,13 @@ reduced map-side before the shuffle instead of being sorted in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakeops.functions import exprs as X
+from lakeops.plans.strategy import hot_keys, salted_join
 from lakeops.session import shared_dir
 
 
@@ -120,36 +123,111 @@ def tag_conflicts(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequenc
     return tagged.withColumnRenamed("_reason", "reason")
 
 
+#: Rows of a component of conflicts that one task decides in order.
+GROUP = 50_000
+
+
 def tag_in_order(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
                  order_col: str) -> DataFrame:
     """As :func:`tag_conflicts`, but only rows that are accepted block later ones.
 
-    Each round accepts the undecided rows that are first for all their keys, then refuses those
-    that share a key with an accepted row; it ends when all are decided.
+    ``order_col`` is orderable, not NULL and tells the rows apart.  Rows that share no key with another one are free.  Of the others,
+    those that are first for all their keys are accepted and what shares a key with them is refused; then
+    the connected components of what is left (rows that share keys, directly or through others) are found in
+    rounds that grow with the logarithm of a component's length, and each component is decided in
+    order by one task, all of them in parallel.  A component of more than ``GROUP`` rows goes through these steps again.
     """
-    tagged = _pinned(tag_conflicts(base, new.limit(0), unique_keys, order_col), "insert")
+    keys = [list(k) for k in unique_keys]
     open_ = new
-    taken = base
+    for key in keys:
+        open_ = open_.join(base.filter(_key_cond(key)).select(*key).distinct(), key, "left_anti")
+    names = [f"_k{i}" for i in range(len(keys))]
+    # a key as one value, NULL where the row has none of that key
+    values = [F.when(_key_cond(k), F.struct(*[F.col(c) for c in k])).alias(n) for k, n in zip(keys, names)]
+    open_ = _pinned(open_.select(F.col(order_col).alias("_id"), *values), "insert")
+    accepted = []
     while not open_.isEmpty():
-        marked = _pinned(tag_conflicts(taken, open_, unique_keys, order_col), "insert")
-        seen = F.col("reason").startswith("exists:")
-        free = marked.filter(F.col("reason").isNull())
-        was = _existing(marked.filter(seen), base, unique_keys)
-        tagged = tagged.unionByName(free).unionByName(was)
-        taken = taken.unionByName(free.select(*base.columns))
-        open_ = _pinned(marked.filter(F.col("reason").isNotNull() & ~seen).drop("reason"), "insert")
-    return tagged
-
-
-def _existing(refused: DataFrame, base: DataFrame, unique_keys: Sequence[Sequence[str]]) -> DataFrame:
-    """Refused rows with their reason: the key is in ``base``, or else an accepted row of the batch has it."""
-    for key in unique_keys:
+        first = _pinned(_first_of_all(open_, names), "insert")
+        accepted.append(first)
+        for n in names:
+            open_ = open_.join(first.filter(F.col(n).isNotNull()).select(n), n, "left_anti")
+        open_ = open_.join(first.select("_id"), "_id", "left_anti").select("_id", *names)
+        labelled = _components(_pinned(open_, "insert"), names)
+        sized = labelled.join(labelled.groupBy("_f").agg(F.count(F.lit(1)).alias("_n")), "_f")
+        open_ = _pinned(sized.filter(F.col("_n") > GROUP).select("_id", *names), "insert")
+        accepted.append(_pinned(_decided(sized.filter(F.col("_n") <= GROUP).drop("_n"), names), "insert"))
+    taken = reduce(DataFrame.unionByName, accepted) if accepted else open_
+    return _reasons(base, new, keys, order_col, taken.select(F.col("_id").alias("_taken"), *names))
+
+
+def _first_of_all(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that are the first for each key they have."""
+    out = rows
+    for n in names:
+        least = rows.filter(F.col(n).isNotNull()).groupBy(n).agg(F.min("_id").alias("_first"))
+        out = out.join(least, n, "left").filter(F.col("_first").isNull() | (F.col("_first") == F.col("_id"))).drop("_first")
+    return out.select("_id", *names)
+
+
+def _components(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with ``_f``, the least ``_id`` of those that a row shares keys with, directly or through others.
+
+    Every row points to a row of its component (itself at first).  In a round the row pointed at is pointed on to the
+    least that any row with a common key points at, and every pointer then skips a step, so a chain
+    halves; the rounds end when no pointer moves.
+    """
+    state = _pinned(rows.withColumn("_f", F.col("_id")), "insert")
+    hot = {n: _pinned(hot_keys(rows.filter(F.col(n).isNotNull()).withColumn("_one", F.lit(1)), [n], "_one"), "insert") for n in names}
+    while True:
+        seen = state.withColumn("_g", F.col("_f"))
+        for n in names:
+            least = state.filter(F.col(n).isNotNull()).groupBy(n).agg(F.min("_f").alias("_least"))
+            seen = salted_join(seen, least, [n], hot[n], F.col("_id")).withColumn("_g", F.least("_g", "_least")).drop("_least")
+        seen = _pinned(seen.select("_id", *names, "_f", "_g"), "insert")
+        if seen.filter(F.col("_g") < F.col("_f")).isEmpty():
+            # all rows with a common key point at one row; where that points on, pointers skip until they do not move
+            if seen.join(seen.select(F.col("_id").alias("_f"), F.col("_f").alias("_up")), "_f").filter(F.col("_up") != F.col("_f")).isEmpty():
+                return state
+        moves = seen.select(F.col("_f").alias("_id"), "_g").unionAll(seen.select("_id", "_g"))
+        moved = moves.groupBy("_id").agg(F.min("_g").alias("_f"))
+        up = moved.select(F.col("_id").alias("_f"), F.col("_f").alias("_up"))
+        skipped = moved.join(up, "_f").select("_id", F.col("_up").alias("_f"))
+        state = _pinned(rows.join(skipped, "_id").select("_id", *names, "_f"), "insert")
+
+
+def _decided(labelled: DataFrame, names: list[str]) -> DataFrame:
+    """The rows accepted when each component ``_f`` is gone through in order."""
+    schema = labelled.select("_id", *names).schema
+
+    def accept(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, keep = [set() for _ in names], []
+        rows = rows.sort_values("_id")
+        for values in zip(*(rows[f"{n}_h"] for n in names)):
+            free = all(v is None or v not in t for v, t in zip(values, taken))
+            keep.append(free)
+            if free:
+                for v, t in zip(values, taken):
+                    t.add(v)
+        return rows.loc[keep, ["_id"]]
+
+    # the values themselves as text: equal exactly when the keys are
+    texts = labelled.select("_id", "_f", *[F.when(F.col(n).isNotNull(), F.to_json(n)).alias(f"{n}_h") for n in names])
+    kept = texts.groupBy("_f").applyInPandas(accept, T.StructType([schema["_id"]]))
+    return labelled.select("_id", *names).join(kept, "_id", "left_semi")
+
+
+def _reasons(base: DataFrame, new: DataFrame, keys: list[list[str]], order_col: str, taken: DataFrame) -> DataFrame:
+    """``new`` with ``reason``: the first key that ``base`` has (exists) or an earlier accepted row (duplicate); NULL: accepted."""
+    tagged = new.withColumn("reason", F.lit(None).cast("string"))
+    for i, key in enumerate(keys):
         name = "+".join(key)
-        old = base.filter(_key_cond(list(key))).select(*key).distinct().withColumn("_hit", F.lit(True))
-        refused = refused.join(old, list(key), "left").withColumn(
-            "reason", F.when((F.col("reason") == f"exists:{name}") & F.col("_hit").isNull(), f"duplicate:{name}")
-            .otherwise(F.col("reason"))).drop("_hit")
-    return refused
+        old = base.filter(_key_cond(key)).select(*key).distinct().withColumn("_hit", F.lit(True))
+        got = taken.filter(F.col(f"_k{i}").isNotNull()).select("_taken", f"_k{i}.*")
+        hit = tagged.join(old, key, "left").join(got, key, "left")
+        reason = (F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_hit"), F.lit(f"exists:{name}"))
+                  .when(F.col("_taken") < F.col(order_col), F.lit(f"duplicate:{name}")))
+        tagged = hit.withColumn("reason", reason).drop("_hit", "_taken")
+    return tagged
 
 
 def insert_unique(base: DataFrame, new: DataFrame, unique_keys: Sequence[Sequence[str]],
@@ -235,6 +313,21 @@ def upsert_latest(base: DataFrame | None, changes: DataFrame, keys: Sequence[str
     return agg.select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in rest], *first)
 
 
+def live_changes(changes: DataFrame, keys: Sequence[str], order_col: str, gone: Column) -> DataFrame:
+    """The changes that no later tombstone undoes: what a log of upserts and deletes leaves to upsert.
+
+    ``gone`` says of a row that it deletes its key.  Of each key the rows after its last delete stay, so
+    a key granted anew starts anew (its first ``created_at`` is that of the new grant), and a key
+    whose last row is a delete is absent.  Rows without a number come before all others.
+    """
+    keys = list(keys)
+    marked = changes.withColumn("_gone", F.coalesce(gone, F.lit(False)))
+    ended = (marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_gone"), F.col(order_col))).alias("_ended")))
+    rows = salted_join(marked.filter(~F.col("_gone")), ended.filter(F.col("_ended").isNotNull()).drop("_n"), keys,
+                       hot_keys(ended, keys, "_n"), F.col(order_col))
+    return rows.filter(F.col("_ended").isNull() | (F.col(order_col) > F.col("_ended"))).select(*changes.columns)
+
+
 # --- W4-W7 -----------------------------------------------------------------------
 
 def delete_by_key(base: DataFrame, keys_df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -275,29 +368,44 @@ def folder_closure(folders: DataFrame, id_col: str = "folder_id", parent_col: st
     depth 0 is the folder itself.  Pointers double: with all ancestors up to distance
     2^k - 1 and each folder's ancestor at distance 2^k, one join gives those up to
     2^(k+1) - 1, so a tree of depth d takes log2(d) rounds, each written to the shared folder.
-    A cycle of parents raises ``ValueError``.
+    The pointers (a row per folder at most) are made first; if some still lead on after as many steps as there are
+    folders, the parents form a cycle, which raises ``ValueError`` with folders of it before any ancestor is written.
     """
     nodes = folders.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"))
-    known = _pinned(nodes.select(F.col("id").alias("ancestor_id"), F.col("id").alias("folder_id"),
-                                 F.lit(0).alias("depth")), "closure")
-    jump = _pinned(nodes.filter(F.col("up").isNotNull()).join(nodes.select(F.col("id").alias("up")), "up", "left_semi")
-                   .select("id", "up"), "closure")
+    jumps = _jumps(nodes)
     outside = nodes.filter(F.col("up").isNotNull()).join(nodes.select(F.col("id").alias("up")), "up", "left_anti")
-    count, step = known.count(), 1
-    while not jump.isEmpty():
-        if step > count:
-            raise ValueError("the folders' parents form a cycle")
+    known = nodes.select(F.col("id").alias("ancestor_id"), F.col("id").alias("folder_id"), F.lit(0).alias("depth"))
+    for k, jump in enumerate(jumps):
         far = known.join(jump, F.col("ancestor_id") == F.col("id")).select(
-            F.col("up").alias("ancestor_id"), "folder_id", (F.col("depth") + step).alias("depth"))
+            F.col("up").alias("ancestor_id"), "folder_id", (F.col("depth") + (1 << k)).alias("depth"))
         known = _pinned(known.unionAll(far), "closure")
-        next_ = jump.select(F.col("id").alias("up"), F.col("up").alias("_far"))
-        jump = _pinned(jump.join(next_, "up").select("id", F.col("_far").alias("up")), "closure")
-        step *= 2
     # a parent that is no folder itself is still an ancestor of its children's subtrees
     return known.unionAll(known.join(outside, F.col("ancestor_id") == F.col("id")).select(
         F.col("up").alias("ancestor_id"), "folder_id", (F.col("depth") + 1).alias("depth")))
 
 
+#: Folders of a cycle that an error names.
+NAMED = 20
+
+
+def _jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Each folder's ancestor 1, 2, 4, ... steps up, as long as there is one; ``ValueError`` names folders of a cycle."""
+    jump = _pinned(nodes.filter(F.col("up").isNotNull()).join(nodes.select(F.col("id").alias("up")), "up", "left_semi")
+                   .select("id", "up").distinct(), "closure")
+    jumps, left = [], jump.count()
+    first = left
+    while left:
+        jumps.append(jump)
+        if 1 << (len(jumps) - 1) > first:
+            # more steps than folders: who is still pointed at lies on a cycle
+            on = [r["up"] for r in jump.select("up").distinct().orderBy("up").limit(NAMED).collect()]
+            raise ValueError(f"the folders' parents form a cycle: {on}")
+        further = jump.select(F.col("id").alias("up"), F.col("up").alias("_far"))
+        jump = _pinned(jump.join(further, "up").select("id", F.col("_far").alias("up")), "closure")
+        left = jump.count()
+    return jumps
+
+
 def _pinned(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)

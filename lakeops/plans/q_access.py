@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeops.fixtures import fixture
+from lakeops.fixtures import fixture, table
+from lakeops.functions import exprs as X
 from lakeops.operators import access as A
 from lakeops.plans.catalogue import query
 
@@ -135,6 +136,51 @@ def q_grants_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          "level", "grant_seq", "created_at")
 
 
+#: Grant changes before that day make the base of ``grants_revoked``, the others its log.
+BASE_UNTIL = "1995-06-01 00:00:00"
+_KEY = "object_type, object_id, principal_type, principal_id"
+
+
+def _live_sql(name: str, rows: str) -> str:
+    """CTEs: the rows of ``rows`` after their key's last revocation, reduced to the current grant (``name``)."""
+    return f"""
+{name}_live AS (
+  SELECT r.* FROM {rows} r LEFT JOIN (SELECT {_KEY}, max(grant_seq) AS ended FROM {rows} WHERE gone GROUP BY ALL) e
+    ON e.object_type = r.object_type AND e.object_id = r.object_id AND e.principal_type = r.principal_type
+   AND e.principal_id = r.principal_id
+  WHERE NOT r.gone AND (e.ended IS NULL OR r.grant_seq > e.ended)),
+{name} AS (
+  SELECT {_KEY}, arg_max(level, grant_seq) AS level, max(grant_seq) AS grant_seq, min(created_at) AS created_at
+  FROM {name}_live GROUP BY {_KEY})"""
+
+
+_REVOKED = f"""
+WITH chg AS (
+  SELECT g.*, o.o_totalprice < 90000 AS gone FROM fx_grants g JOIN orders o ON o.o_orderkey = g.grant_seq
+  LEFT JOIN fx_ladders l ON l.object_type = g.object_type AND l.level = g.level
+  WHERE g.principal_type IN ('user', 'group') AND g.principal_id <> '' AND (l.rnk IS NOT NULL OR o.o_totalprice < 90000)),
+before AS (SELECT * FROM chg WHERE created_at < TIMESTAMP '{BASE_UNTIL}'),
+{_live_sql('base', 'before')},
+log AS (SELECT {_KEY}, level, grant_seq, created_at, false AS gone FROM base
+        UNION ALL SELECT {_KEY}, level, grant_seq, created_at, gone FROM chg WHERE created_at >= TIMESTAMP '{BASE_UNTIL}'),
+{_live_sql('cur', 'log')}
+SELECT {_KEY}, level, grant_seq, created_at FROM cur"""
+
+
+def grant_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grant log with ``gone``: cheap orders take the grant of their key away."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("grant_seq"), (F.col("o_totalprice") < 90000).alias("gone"))
+    return fixture(spark, sf_dir, "fx_grants").join(orders, "grant_seq")
+
+
+@query("grants_revoked", _REVOKED)
+def q_grants_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes, day = grant_changes(spark, sf_dir), X.ntz(BASE_UNTIL)
+    cols = [*A.GRANT_KEY, "level", "grant_seq", "created_at"]
+    base = A.current_grants(changes.filter(F.col("created_at") < day), revoked=F.col("gone")).select(*cols)
+    return A.current_grants(changes.filter(F.col("created_at") >= day), revoked=F.col("gone"), base=base).select(*cols)
+
+
 @query("grants_valid", """
 SELECT g.object_type, CASE WHEN g.principal_type NOT IN ('user', 'group') THEN 'bad_principal_type'
   WHEN g.principal_id = '' THEN 'missing_principal_id' WHEN l.rnk IS NULL THEN 'bad_level' ELSE 'ok' END AS status,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeops.fixtures import fixture
+from lakeops.fixtures import fixture, table
 from lakeops.functions import exprs as X
 from lakeops.operators import access as A, registry as G
 from lakeops.plans.catalogue import query
@@ -86,6 +86,40 @@ def q_insert_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(tagged.select(*cols, F.coalesce("reason", F.lit("inserted")).alias("status"))))
 
 
+_TWO_KEYS = """
+WITH RECURSIVE o AS (
+  SELECT o_orderkey AS id, o_custkey AS a, CAST(floor(o_totalprice) AS BIGINT) AS b, o_orderstatus = 'P' AS old FROM orders),
+new AS (SELECT id, a, CASE WHEN b < 20000 THEN NULL ELSE b END AS b,
+          a IN (SELECT a FROM o WHERE old) AS ea, b >= 20000 AND b IN (SELECT b FROM o WHERE old) AS eb FROM o WHERE NOT old),
+st(id, a, b, ea, eb, status, it) AS (
+  SELECT id, a, b, ea, eb, CASE WHEN ea OR eb THEN 2 ELSE 0 END, 0 FROM new
+  UNION ALL
+  SELECT id, a, b, ea, eb, CASE WHEN status <> 0 THEN status WHEN f THEN 1
+    WHEN bool_or(f) OVER (PARTITION BY a) OR (b IS NOT NULL AND bool_or(f) OVER (PARTITION BY b)) THEN 2 ELSE 0 END, it + 1
+  FROM (SELECT *, status = 0 AND id = min(CASE WHEN status = 0 THEN id END) OVER (PARTITION BY a)
+          AND (b IS NULL OR id = min(CASE WHEN status = 0 THEN id END) OVER (PARTITION BY b)) AS f,
+          bool_or(status = 0) OVER () AS more FROM st)
+  WHERE more),
+done AS (SELECT id, a, b, ea, eb, max(status) AS status FROM st GROUP BY ALL)
+SELECT d.id, d.a AS customer, d.b AS price, CASE WHEN status = 1 THEN 'inserted' WHEN ea THEN 'exists:customer'
+  WHEN EXISTS (SELECT 1 FROM done x WHERE x.status = 1 AND x.a = d.a AND x.id < d.id) THEN 'duplicate:customer'
+  WHEN eb THEN 'exists:price' ELSE 'duplicate:price' END AS status
+FROM done d"""
+
+
+@query("insert_two_keys", _TWO_KEYS)
+def q_insert_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order per customer and per price (cheap ones have no price key), in order, beside those in process."""
+    price = F.floor("o_totalprice").cast("long")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"),
+                                              F.when(price >= 20000, price).alias("price"), "o_orderstatus")
+    old = F.col("o_orderstatus") == "P"
+    base, new = o.filter(old).drop("o_orderstatus"), o.filter(~old).drop("o_orderstatus")
+    table_, conflicts = G.insert_unique(base, new, [["customer"], ["price"]], "id")
+    free = table_.join(base.select("id"), "id", "left_anti").withColumn("status", F.lit("inserted"))
+    return free.unionByName(conflicts.withColumnRenamed("reason", "status"))
+
+
 _UPD_SQL = f"""
 WITH ch AS (SELECT DISTINCT attached_cluster_id AS id, 'Running' AS desired_state, true AS pinned
             FROM fx_notebooks WHERE attached_cluster_id IS NOT NULL)

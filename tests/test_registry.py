@@ -53,6 +53,66 @@ def test_folder_closure_and_unique_audit(spark):
     assert [(r.path, r.n) for r in G.unique_audit(df, ["path"]).collect()] == [("a", 2)]
 
 
+def test_cycles_of_folders_are_named_before_anything_grows(spark):
+    f = spark.createDataFrame([(0, None), (1, 0), (2, 3), (3, 2), (4, 2), (5, 5), (6, 99)], "folder_id long, parent_id long")
+    with pytest.raises(ValueError, match=r"cycle: \[2, 3, 5\]"):
+        G.folder_closure(f)
+    ring = spark.range(3000).selectExpr("id as folder_id", "(id + 1) % 3000 as parent_id")
+    with pytest.raises(ValueError, match="cycle"):
+        G.folder_closure(ring)
+    ok = spark.createDataFrame([(6, 99), (7, 6), (7, 6)], "folder_id long, parent_id long").distinct()
+    assert sorted(tuple(r) for r in G.folder_closure(ok).collect()) == [(6, 6, 0), (6, 7, 1), (7, 7, 0), (99, 6, 1), (99, 7, 2)]
+
+
+def in_order(base, rows, keys):
+    taken = [{tuple(r[c] for c in k) for r in base if None not in [r[c] for c in k]} for k in keys]
+    old = [set(t) for t in taken]
+    out = {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        reason = None
+        values = [tuple(r[c] for c in k) for k in keys]
+        for k, v, t, o in zip(keys, values, taken, old):
+            if None not in v and v in t:
+                reason = ("exists:" if v in o else "duplicate:") + "+".join(k)
+                break
+        out[r["id"]] = reason
+        if reason is None:
+            for v, t in zip(values, taken):
+                if None not in v:
+                    t.add(v)
+    return out
+
+
+@pytest.mark.parametrize("group", [50_000, 6])
+def test_insert_with_several_keys_goes_in_order(spark, monkeypatch, group):
+    """Components decided by one task, and (with a small bound) those that go through the steps again."""
+    import random
+    monkeypatch.setattr(G, "GROUP", group)
+    rnd = random.Random(11)
+    pick = lambda n: rnd.choice([None, *[f"v{i}" for i in range(n)]])
+    rows = [dict(id=i, a=pick(40), b=pick(30), c=rnd.randrange(12)) for i in range(120)]
+    base, keys = rows[:15], [["a"], ["b", "c"]]
+    new = rows[15:]
+    rnd.shuffle(new)
+    frame = lambda rs: spark.createDataFrame([(r["id"], r["a"], r["b"], r["c"]) for r in rs], "id long, a string, b string, c long")
+    table, conflicts = G.insert_unique(frame(base), frame(new), keys, "id")
+    want = in_order(base, new, keys)
+    assert {r.id: r.reason for r in conflicts.collect()} == {i: r for i, r in want.items() if r}
+    assert {r.id for r in table.collect()} == {r["id"] for r in base} | {i for i, r in want.items() if r is None}
+
+
+def test_insert_decides_a_long_chain_in_few_rounds(spark, monkeypatch):
+    """Row i shares a key with i - 1 and with i + 1: every other one is free, however long the chain."""
+    n, rounds = 10_000, []
+    pinned = G._pinned
+    monkeypatch.setattr(G, "_pinned", lambda df, name: rounds.append(name) or pinned(df, name))
+    new = spark.range(n).selectExpr("id", "(id + 1) div 2 as a", "id div 2 as b")
+    base = spark.createDataFrame([], "id long, a long, b long")
+    table, conflicts = G.insert_unique(base, new, [["a"], ["b"]], "id")
+    assert [r.id for r in table.orderBy("id").collect()] == list(range(0, n, 2))
+    assert conflicts.count() == n // 2 and len(rounds) < 60
+
+
 def test_clone_and_add_columns(spark):
     base = clusters(spark)
     picks = spark.createDataFrame([(1, "  "), (2, "New Name")], "id long, new_name string")

@@ -3,11 +3,14 @@ brute-force evaluation of the rules, with broadcast joins disabled so the
 shuffle joins (and AQE's skew splitting) are the ones exercised."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeops.fixtures import LADDERS
 from lakeops.operators import access as A, activity as V
+from lakeops.plans import strategy as J
 
 
 @pytest.fixture()
@@ -88,3 +91,37 @@ def test_cluster_events_hot_cluster(spark, shuffle_joins):
     want = sorted((cid, e[0]) for e in events for cid, cr in clusters
                   if e[1] == cr or e[1].startswith(cr + "-"))
     assert got == want
+
+
+def test_hot_grant_key_is_split_against_aggregated_grants(spark):
+    """The grants come from an aggregate on the join's keys, where AQE does not split; the salt does."""
+    keep = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in keep}
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        log = spark.range(5000).selectExpr("'notebook' as object_type", "if(id % 3 = 0, 'hot', concat('nb', id)) as object_id",
+                                           "'group' as principal_type", "'everyone' as principal_id", "'view' as level",
+                                           "id as grant_seq", "timestamp_ntz'2024-01-01' as created_at")
+        grants = A.current_grants(log)
+        pairs = spark.range(30000).selectExpr("concat('u', id) as username", "'notebook' as object_type",
+                                              "if(id % 3 = 0, 'hot', concat('nb', id)) as object_id")
+        exp = pairs.withColumn("principal_type", F.lit("group")).withColumn("principal_id", F.lit("everyone"))
+        hot = J.hot_keys(pairs.withColumn("one", F.lit(1)), ["object_type", "object_id"], "one")
+        assert [r.object_id for r in hot.collect()] == ["hot"]
+        joins = {"plain": exp.join(grants, A.GRANT_KEY, "left"),
+                 "salted": J.salted_join(exp, grants, A.GRANT_KEY, hot, F.col("username"))}
+        largest = {}
+        for name, df in joins.items():
+            assert df.filter("level = 'view' and object_id = 'hot'").count() == 10000
+            per = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            largest[name] = max(r["count"] for r in per)
+        assert largest["plain"] >= 10000 and largest["salted"] < 2500
+        plan = A.authorize(pairs.withColumns({"request_id": F.monotonically_increasing_id(), "owner": F.lit(""), "required": F.lit("view")}),
+                           spark.createDataFrame([], "username string, admin boolean, groups array<string>"), grants)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in text.splitlines() if re.search(r"Join \[.*_part#\d+\], \[.*_part#\d+\]", line)]
+        assert len(joins) == 2   # pairs with grants, requests with their pair's verdict
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
