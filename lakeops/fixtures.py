@@ -33,15 +33,17 @@ SELECT * FROM (VALUES ('cluster','attach',0),('cluster','manage',1),('notebook',
     # Directory: every customer outside the HOUSEHOLD segment has an account.
     "fx_principals": """
 SELECT concat('user', CAST(c_custkey AS VARCHAR(20))) AS username, c_custkey % 25 = 0 AS admin,
- concat('group', CAST(c_custkey % 10 AS VARCHAR(20))) AS group_a, concat('group', CAST(c_custkey % 7 AS VARCHAR(20))) AS group_b
+ concat('group', CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS VARCHAR(20))) AS group_a,
+ concat('group', CAST(CAST(floor(c_custkey / 13) AS BIGINT) AS VARCHAR(20))) AS group_b
 FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'
 """,
     "fx_grants": """
 SELECT o_orderkey AS grant_seq, o_orderdate AS created_at,
  CASE o_orderkey % 3 WHEN 0 THEN 'cluster' WHEN 1 THEN 'notebook' ELSE 'table' END AS object_type,
- CAST(o_custkey % 200 AS VARCHAR(20)) AS object_id,
- CASE WHEN o_custkey % 2 = 0 THEN 'user' ELSE 'group' END AS principal_type,
- CASE WHEN o_custkey % 2 = 0 THEN concat('user', CAST(o_orderkey % 47 AS VARCHAR(20))) ELSE concat('group', CAST(o_orderkey % 10 AS VARCHAR(20))) END AS principal_id,
+ CAST(o_custkey AS VARCHAR(20)) AS object_id,
+ CASE WHEN o_orderkey % 101 = 7 THEN 'team' WHEN o_custkey % 2 = 0 THEN 'user' ELSE 'group' END AS principal_type,
+ CASE WHEN o_orderkey % 103 = 9 THEN '' WHEN o_custkey % 2 = 0 THEN concat('user', CAST(CAST(floor(o_custkey / (CASE WHEN o_orderkey % 5 < 3 THEN 7 ELSE 9 END)) AS BIGINT) AS VARCHAR(20)))
+  ELSE concat('group', CAST(CAST(floor(o_custkey / (CASE WHEN o_orderkey % 5 < 3 THEN 700 ELSE 91 END)) AS BIGINT) AS VARCHAR(20))) END AS principal_id,
  CASE WHEN o_orderpriority = '1-URGENT' THEN 'manage' WHEN o_orderpriority = '5-LOW' THEN 'bogus'
   WHEN o_orderkey % 3 = 0 THEN 'attach'
   WHEN o_orderkey % 3 = 1 THEN CASE o_orderpriority WHEN '2-HIGH' THEN 'edit' WHEN '3-MEDIUM' THEN 'run' ELSE 'view' END
@@ -50,14 +52,15 @@ SELECT o_orderkey AS grant_seq, o_orderdate AS created_at,
     "fx_requests": """
 SELECT event_id AS request_id, ts, concat('user', CAST(user_id AS VARCHAR(20))) AS username,
  CASE event_id % 3 WHEN 0 THEN 'cluster' WHEN 1 THEN 'notebook' ELSE 'table' END AS object_type,
- CAST(event_id % 220 AS VARCHAR(20)) AS object_id, concat('user', CAST(event_id % 220 % 47 AS VARCHAR(20))) AS owner,
+ CAST(user_id * 7 + event_id % 7 AS VARCHAR(20)) AS object_id,
+ concat('user', CAST(CASE WHEN event_id % 9 = 0 THEN user_id ELSE CAST(floor((user_id * 7 + event_id % 7) / 11) AS BIGINT) END AS VARCHAR(20))) AS owner,
  CASE WHEN event_type = 'error' THEN 'bogus' WHEN event_type = 'signup' THEN 'manage' WHEN event_id % 3 = 0 THEN 'attach'
   WHEN event_id % 3 = 1 THEN CASE event_type WHEN 'purchase' THEN 'edit' WHEN 'click' THEN 'run' ELSE 'view' END
   ELSE CASE event_type WHEN 'purchase' THEN 'write' ELSE 'read' END END AS required FROM events
 """,
     "fx_clusters": """
 SELECT c_custkey AS id, c_name AS name, concat('qs-', CAST(c_custkey AS VARCHAR(20))) AS cr_name,
- concat('user', CAST(c_custkey % 50 AS VARCHAR(20))) AS owner,
+ concat('user', CAST(CAST(floor(c_custkey / 30) AS BIGINT) AS VARCHAR(20))) AS owner,
  CASE c_mktsegment WHEN 'BUILDING' THEN 'Ready' WHEN 'AUTOMOBILE' THEN 'Not-Ready' WHEN 'MACHINERY' THEN 'Failed' WHEN 'HOUSEHOLD' THEN '' ELSE 'Running' END AS phase,
  CASE WHEN c_custkey % 4 = 0 THEN 'Stopped' ELSE 'Running' END AS desired_state, c_custkey % 7 = 0 AS pinned,
  CASE WHEN c_custkey % 11 = 0 THEN '{}' ELSE concat('{"idle_minutes": ', CAST((c_custkey % 3) * 600 AS VARCHAR(20)), '}') END AS config,
@@ -87,8 +90,8 @@ SELECT user_id AS cluster_id, event_id AS line_no, concat(event_type, ' ', props
 """,
     "fx_notebooks": """
 SELECT page_id AS notebook_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path,
- CASE WHEN page_id % 3 = 0 THEN '  ' ELSE concat(' nb', CAST(page_id AS VARCHAR(20)), ' ') END AS name, concat('user', CAST(page_id % 47 AS VARCHAR(20))) AS owner,
- CASE WHEN page_id % 4 = 0 THEN NULL ELSE page_id * 37 % 2000 END AS attached_cluster_id, page_id % 90 AS folder_id,
+ CASE WHEN page_id % 3 = 0 THEN '  ' ELSE concat(' nb', CAST(page_id AS VARCHAR(20)), ' ') END AS name, concat('user', CAST(CAST(floor(page_id / 5) AS BIGINT) AS VARCHAR(20))) AS owner,
+ CASE WHEN page_id % 4 = 0 THEN NULL ELSE page_id * 7 END AS attached_cluster_id, CAST(floor(page_id / 2) AS BIGINT) AS folder_id,
  CASE WHEN page_id % 5 = 0 THEN {TS:2024-02-01 00:00:00} END AS trashed_at FROM pages
 """,
     "fx_revisions": """
@@ -104,8 +107,11 @@ SELECT event_id AS run_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS
 SELECT user_id AS map_id, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE concat(' ', event_type) END AS k, CAST(event_id AS VARCHAR(20)) AS v FROM events
 """,
     "fx_metadata": """
-SELECT s_suppkey AS table_id, concat('{"metadata":{"format-version":', CAST(1 + s_suppkey % 2 AS VARCHAR(20)), ',"location":"file:///lake/orders_', CAST(s_suppkey AS VARCHAR(20)), '","properties":{"team":"sales","tier":"', CAST(s_suppkey % 4 AS VARCHAR(20)), '"},"current-snapshot-id":', CAST(7000 + 2 * s_suppkey AS VARCHAR(20)), ',"current-schema-id":', CAST(s_suppkey % 3 AS VARCHAR(20)),
- ',"schemas":[{"schema-id":1,"fields":[{"name":"order_key","required":true,"type":"int"},{"name":"lines","required":false,"type":{"type":"list","element":"double"}},{"name":"note","required":false,"type":"string","doc":"free text"}]},{"schema-id":0,"fields":[{"name":"order_key","required":true,"type":"int","doc":"order number"}]}],"partition-specs":[{"fields":[{"name":"sales_area"},{"name":"order_month"}]}],"snapshots":[{"snapshot-id":', CAST(6999 + 2 * s_suppkey AS VARCHAR(20)), ',"timestamp-ms":1655555555000,"summary":{"operation":"append"}},{"snapshot-id":', CAST(7000 + 2 * s_suppkey AS VARCHAR(20)), ',"timestamp-ms":1666666666000,"summary":{"operation":"overwrite"}}]}}') AS doc FROM supplier
+SELECT s_suppkey AS table_id, CASE WHEN s_suppkey % 17 = 3 THEN concat('{"metadata":{"location":"file:///lake/torn_', CAST(s_suppkey AS VARCHAR(20)), '"')
+ WHEN s_suppkey % 17 = 5 THEN '{"error":{"code":404}}' WHEN s_suppkey % 17 = 8 THEN '' WHEN s_suppkey % 17 = 11 THEN NULL
+ WHEN s_suppkey % 17 = 13 THEN '{"metadata":{"format-version":"two","location":"file:///lake/odd"}}'
+ ELSE concat('{"metadata":{"format-version":', CAST(1 + s_suppkey % 2 AS VARCHAR(20)), ',"location":"file:///lake/nation_', CAST(s_nationkey AS VARCHAR(20)), '/sales/', CASE WHEN s_suppkey % 2 = 0 THEN 'open/' ELSE '' END, 'orders_', CAST(s_suppkey AS VARCHAR(20)), '","properties":{"team":"sales","tier":"', CAST(s_suppkey % 4 AS VARCHAR(20)), '"},"current-snapshot-id":', CAST(7000 + 2 * s_suppkey AS VARCHAR(20)), ',"current-schema-id":', CAST(s_suppkey % 3 AS VARCHAR(20)),
+ ',"schemas":[{"schema-id":1,"fields":[{"name":"order_key","required":true,"type":"int"},{"name":"lines","required":false,"type":{"type":"list","element":"double"}},{"name":"note","required":false,"type":"string","doc":"free text"}]},{"schema-id":0,"fields":[{"name":"order_key","required":true,"type":"int","doc":"order number"}]}],"partition-specs":[{"fields":[{"name":"sales_area"},{"name":"order_month"}]}],"snapshots":[{"snapshot-id":', CAST(6999 + 2 * s_suppkey AS VARCHAR(20)), ',"timestamp-ms":1655555555000,"summary":{"operation":"append"}},{"snapshot-id":', CAST(7000 + 2 * s_suppkey AS VARCHAR(20)), ',"timestamp-ms":1666666666000,"summary":{"operation":"overwrite"}}]}}') END AS doc FROM supplier
 """,
     "fx_snapshots": """
 SELECT user_id AS table_id, event_id AS snapshot_id, ts AS committed_at,

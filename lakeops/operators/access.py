@@ -211,8 +211,8 @@ def authorized_view(objects: DataFrame, principals: DataFrame, grants: DataFrame
 
 
 def read_attribution(log: DataFrame, service_user: str, user_col: str = "username") -> DataFrame:
-    """Reads per user; blank caller -> the service user (A5)."""
-    who = F.coalesce(F.nullif(F.trim(F.col(user_col)), F.lit("")), F.lit(service_user))
+    """Reads per user; a missing or empty caller is the service user (A5), a name of white space is a name."""
+    who = F.coalesce(F.nullif(F.col(user_col), F.lit("")), F.lit(service_user))
     return log.groupBy(who.alias("reader")).agg(F.count(F.lit(1)).alias("reads"))
 
 

@@ -8,6 +8,8 @@ from lakeops.fixtures import fixture, table
 from lakeops.functions import exprs as X
 from lakeops.operators import access as A
 from lakeops.plans.catalogue import query
+from lakeops.session import shared_dir
+from lakeops.sources import keyed as K
 
 SERVICE_USER = "service"
 
@@ -181,6 +183,24 @@ def q_grants_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.current_grants(changes.filter(F.col("created_at") >= day), revoked=F.col("gone"), base=base).select(*cols)
 
 
+#: Parts of the registered keyed table.
+PARTS = 32
+
+
+@query("upsert_parts", _REVOKED)
+def q_upsert_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``grants_revoked``, on a base kept in parts: the changes are upserted into the parts they touch."""
+    changes, day = grant_changes(spark, sf_dir), X.ntz(BASE_UNTIL)
+    cols = [*A.GRANT_KEY, "level", "grant_seq", "created_at"]
+    base = A.current_grants(changes.filter(F.col("created_at") < day), revoked=F.col("gone")).select(*cols)
+    path = shared_dir(spark, "upsert_parts")
+    K.create(base, path, A.GRANT_KEY, PARTS)
+    checked = A.validate_grants(changes.filter(F.col("created_at") >= day))
+    log = checked.filter(F.col("reason").isNull() | (F.col("gone") & (F.col("reason") == "bad_level")))
+    K.upsert(log.select(*cols, "gone"), path, base.schema, A.GRANT_KEY, PARTS, "grant_seq", gone=F.col("gone"))
+    return K.read(spark, path, base.schema)
+
+
 @query("grants_valid", """
 SELECT g.object_type, CASE WHEN g.principal_type NOT IN ('user', 'group') THEN 'bad_principal_type'
   WHEN g.principal_id = '' THEN 'missing_principal_id' WHEN l.rnk IS NULL THEN 'bad_level' ELSE 'ok' END AS status,
@@ -202,10 +222,11 @@ def q_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("read_attribution", f"""
-SELECT COALESCE(NULLIF(trim(CASE WHEN required = 'bogus' THEN '' ELSE username END), ''), '{SERVICE_USER}') AS reader,
+SELECT COALESCE(NULLIF(CASE WHEN required = 'bogus' THEN '' WHEN required = 'manage' THEN '  ' ELSE username END, ''), '{SERVICE_USER}') AS reader,
  count(*) AS reads FROM fx_requests GROUP BY 1""")
 def q_read_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fixture(spark, sf_dir, "fx_requests")
-    # Malformed requests (unknown level) arrive without a caller name.
-    log = log.withColumn("username", F.when(F.col("required") == "bogus", F.lit("")).otherwise(F.col("username")))
+    # Malformed requests (unknown level) arrive without a caller name, some with one of spaces.
+    log = log.withColumn("username", F.when(F.col("required") == "bogus", F.lit("")).when(F.col("required") == "manage", F.lit("  "))
+                         .otherwise(F.col("username")))
     return A.read_attribution(log, SERVICE_USER)

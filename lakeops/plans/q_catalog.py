@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeops.fixtures import TABLES, fixture, load_tables
+from lakeops.fixtures import fixture
 from lakeops.plans.catalogue import query
 from lakeops.sources import catalog as C
 
-_DOC = "WITH d AS (SELECT table_id, CAST(doc AS JSON) -> 'metadata' AS m FROM fx_metadata)\n"
+_ALL = """
+WITH a AS (SELECT table_id, doc, TRY_CAST(doc AS JSON) AS j FROM fx_metadata),
+c AS (SELECT table_id, doc, j -> 'metadata' AS m, CASE WHEN trim(coalesce(doc, '')) = '' THEN 'missing'
+        WHEN j IS NULL OR json_type(j) <> 'OBJECT' OR ((j -> 'metadata' ->> 'format-version') IS NOT NULL
+          AND TRY_CAST((j -> 'metadata' ->> 'format-version') AS BIGINT) IS NULL) THEN 'malformed'
+        WHEN (j -> 'metadata') IS NULL THEN 'no_metadata' ELSE 'ok' END AS status FROM a),
+d AS (SELECT table_id, m FROM c WHERE status = 'ok')
+"""
+_DOC = _ALL.rstrip()
 
 
 @query("table_detail", _DOC + """
@@ -73,8 +81,17 @@ def q_metadata_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table_history(C.snapshots_of(fixture(spark, sf_dir, "fx_metadata")))
 
 
-@query("catalog_tree")
+@query("metadata_quarantine", _ALL + "SELECT table_id, doc, status FROM c WHERE status <> 'ok'")
+def q_metadata_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.quarantine(fixture(spark, sf_dir, "fx_metadata"))
+
+
+@query("catalog_tree", _ALL + """,
+s AS (SELECT list_filter(string_split(regexp_replace(m ->> 'location', '^[A-Za-z0-9+.-]+://[^/]*', ''), '/'), lambda x: x <> '') AS s FROM d),
+n AS (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM s)
+SELECT array_to_string(s[1:i], '/') AS node_id, CASE WHEN i > 1 THEN array_to_string(s[1:i - 1], '/') ELSE '' END AS parent_id,
+  s[i] AS label, CAST(i AS INTEGER) AS depth,
+  CASE WHEN bool_or(i = len(s)) THEN 'table' WHEN i = 1 THEN 'catalog' ELSE 'namespace' END AS kind, count(*) AS tables
+FROM n GROUP BY s[1:i], s[1:i - 1], s[i], i""")
 def q_catalog_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load_tables(spark, sf_dir)
-    tables = C.list_tables(spark).filter(F.col("isTemporary") & F.col("tableName").isin(*TABLES))
-    return C.catalog_tree(spark, tables)
+    return C.location_tree(fixture(spark, sf_dir, "fx_metadata"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeops.functions import exprs as X
@@ -37,6 +39,21 @@ def q_append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.read_table(spark, path)
 
 
+@query("named_table", _DEMO)
+def q_named_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made by name, filled, replaced whole and appended to, then read by its name."""
+    rows = demo_rows(spark, sf_dir)
+    name = f"lakeops_demo_{uuid.uuid4().hex[:12]}"
+    TB.create_table(spark, name, rows.drop("value").schema, location=shared_dir(spark, "named_table"))
+    try:
+        TB.append_table(rows.filter(F.col("value") < 100).drop("value"), name)
+        TB.replace_table(rows.filter(F.col("value") < 250).drop("value"), name)
+        TB.append_table(rows.filter(F.col("value") >= 250).select("ts", "name", "id"), name)
+        return TB.read_table(spark, TB.describe(spark, name)["location"])
+    finally:
+        spark.sql(f"DROP TABLE {name}")   # its files, at a location of its own, stay
+
+
 @query("scan_ordered", """
 SELECT event_id AS id, event_type AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events""")
 def q_scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:

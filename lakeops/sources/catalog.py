@@ -46,8 +46,11 @@ METADATA_SCHEMA = T.StructType([T.StructField("metadata", T.StructType([
 # --- M1-M3, M9: live catalog -----------------------------------------------------
 
 def list_catalogs(spark: SparkSession) -> DataFrame:
-    """(catalog) names known to the session (M1)."""
-    return spark.sql("SHOW CATALOGS")
+    """(catalog, type) known to the session (M1); the type as configured, ``session`` for Spark's own, else blank."""
+    names = spark.sql("SHOW CATALOGS")
+    kinds = [(r["catalog"], spark.conf.get(f"spark.sql.catalog.{r['catalog']}.type", "session" if r["catalog"] == "spark_catalog" else ""))
+             for r in names.collect()]
+    return spark.createDataFrame(kinds, "catalog string, type string")
 
 
 def list_namespaces(spark: SparkSession, catalog: str | None = None) -> DataFrame:
@@ -158,9 +161,51 @@ def live_table_properties(desc: DataFrame) -> DataFrame:
 
 # --- M4-M8: metadata documents ----------------------------------------------------------
 
+_CORRUPT = "_corrupt"
+_STRICT = T.StructType([*METADATA_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+
+
+def check_metadata(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """Adds ``m`` (the parsed ``metadata`` object) and ``status`` of each document.
+
+    ``missing``: no text; ``malformed``: no JSON object, or a field of another type than it must have;
+    ``no_metadata``: an object without ``metadata``; else ``ok``.
+    """
+    parsed = docs.withColumn("_p", F.from_json(F.col(doc_col), _STRICT, {"columnNameOfCorruptRecord": _CORRUPT}))
+    blank = F.coalesce(F.trim(F.col(doc_col)), F.lit("")) == ""
+    status = (F.when(blank, "missing").when(F.col("_p").isNull() | F.col(f"_p.{_CORRUPT}").isNotNull(), "malformed")
+              .when(F.col("_p.metadata").isNull(), "no_metadata").otherwise("ok"))
+    return parsed.withColumn("status", status).withColumn("m", F.col("_p.metadata")).drop("_p")
+
+
+def quarantine(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """The documents that cannot be used, with their ``status``, for repair; the others' operators leave them out."""
+    return check_metadata(docs, doc_col).filter(F.col("status") != "ok").drop("m")
+
+
 def parse_metadata(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """Adds ``m``: the parsed ``metadata`` object of each document."""
-    return docs.withColumn("m", F.from_json(F.col(doc_col), METADATA_SCHEMA)["metadata"])
+    """The documents that can be used, with ``m``: their parsed ``metadata`` object."""
+    return check_metadata(docs, doc_col).filter(F.col("status") == "ok").drop("status")
+
+
+def location_tree(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """The tree of catalogs, namespaces and tables that the documents' locations span (M9).
+
+    One row per node: node_id (its path), parent_id ('' of a catalog), kind, label, depth (1 = catalog) and tables, the
+    number of tables at or below it.  The first step of a location is its catalog, the last a table, all between are
+    namespaces; a place that is both keeps the kind ``table``.  Every location is expanded into its steps (as many
+    as it is deep) and counted per node with map-side aggregation, so the root is no hot group.
+    """
+    m = parse_metadata(docs, doc_col)
+    path = F.regexp_replace(F.col("m.location"), "^[A-Za-z0-9+.-]+://[^/]*", "")
+    steps = F.filter(F.split(path, "/"), lambda s: s != "")
+    nodes = (m.select(steps.alias("s")).filter(F.size("s") > 0)
+             .select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("depth"))
+             .select(F.concat_ws("/", F.slice("s", F.lit(1), F.col("depth"))).alias("node_id"),
+                     F.when(F.col("depth") > 1, F.concat_ws("/", F.slice("s", F.lit(1), F.col("depth") - 1))).otherwise("").alias("parent_id"),
+                     F.element_at("s", F.col("depth")).alias("label"), "depth", (F.col("depth") == F.size("s")).alias("leaf")))
+    kind = F.when(F.max("leaf"), "table").when(F.col("depth") == 1, "catalog").otherwise("namespace")
+    return nodes.groupBy("node_id", "parent_id", "label", "depth").agg(kind.alias("kind"), F.count(F.lit(1)).alias("tables"))
 
 
 def table_detail(docs: DataFrame, key: str = "table_id", doc_col: str = "doc") -> DataFrame:
@@ -237,17 +282,14 @@ def table_history(snapshots: DataFrame, key: str = "table_id", path: str | None
     Columns: key, snapshot_id, position (1 = newest), ts_text, operation
     ('—' when blank), current (the table's current snapshot: the
     ``current_snapshot_id`` column when present, else the newest), gap_ms to
-    the previous (older) snapshot.  Positions come from a global sort
-    (``lakeops.plans.ordered.positions``), so a table with a huge history is
-    spread over many tasks; the older neighbour is an equi-join on
-    (table, position + 1), unique on both sides.
+    the previous (older) snapshot.  Positions and neighbours come from pieces
+    (``lakeops.plans.ordered.neighbours``), so a table with a huge history is
+    spread over many tasks.
     """
-    from lakeops.plans.ordered import positions
+    from lakeops.plans.ordered import neighbours
     from lakeops.session import shared_dir
     path = path or shared_dir(snapshots.sparkSession, "table_history")
-    ranked = positions(snapshots, [key], [F.col("timestamp_ms").desc(), F.col("snapshot_id").desc()], path)
-    older = ranked.select(key, (F.col("position") - 1).alias("position"), F.col("timestamp_ms").alias("_older"))
-    j = ranked.join(older, [key, "position"], "left")
+    j = neighbours(snapshots, key, "timestamp_ms", "snapshot_id", path, older="_older")
     current = (F.col("snapshot_id") == F.col("current_snapshot_id")) if "current_snapshot_id" in snapshots.columns \
         else (F.col("position") == 1)
     return j.select(

@@ -8,11 +8,16 @@ used by jobs live under the cluster's shared checkpoint folder
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakeops.functions import exprs as X
+from lakeops.session import shared_dir
 
 # Fixed value: rows a sample returns when no usable size is given.
 DEFAULT_SAMPLE_ROWS = 100
@@ -33,15 +38,17 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, partition
     metadata (``lakeops.required``), which the table keeps; see
     :func:`required_columns` and :func:`null_violations`.
     """
-    if spark.catalog.tableExists(name):
-        return
     empty = spark.createDataFrame([], mark_required(schema))
     w = empty.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if location:
         w = w.option("path", location)
-    w.saveAsTable(name)
+    try:
+        w.mode("ignore").saveAsTable(name)
+    except AnalysisException as e:   # another session made it meanwhile
+        if e.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+            raise
 
 
 REQUIRED_KEY = "lakeops.required"
@@ -82,7 +89,10 @@ def rows_to_view(spark: SparkSession, rows: list, schema: T.StructType | str, vi
 
 
 def replace_rows(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """Empty the table then insert ``df`` (T4), as one overwrite commit."""
+    """Replace the files under a path by ``df`` (T4).
+
+    Spark deletes the old files before it writes; :func:`replace_table` keeps them until the new ones are complete.
+    """
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -111,6 +121,97 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.select(*target).write.mode("append").format(fmt).save(path)
 
 
+def _quoted(name: str) -> str:
+    return ".".join(X.quote_ident(p) for p in name.split("."))
+
+
+def _by_name(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in the table's column order and types; missing or unknown columns and NULLs in required ones raise ``ValueError``."""
+    target = df.sparkSession.table(name).schema
+    missing = [f.name for f in target.fields if f.name not in df.columns]
+    unknown = [c for c in df.columns if c not in target.names]
+    if missing or unknown:
+        raise ValueError(f"{name}: missing columns {missing}, unknown columns {unknown}")
+    return df.select(*[F.col(X.quote_ident(f.name)).cast(f.dataType).alias(f.name) for f in target.fields])
+
+
+def _stage(df: DataFrame, name: str, place: str, fmt: str, partition_by: Sequence[str]) -> None:
+    """Write the rows where no reader looks yet, and check them there."""
+    spark = df.sparkSession
+    schema = spark.table(name).schema
+    w = _by_name(df, name).write.format(fmt)
+    (w.partitionBy(*partition_by) if partition_by else w).save(place)
+    bad = [(r["column"], r["nulls"]) for r in null_violations(spark.read.schema(schema).format(fmt).load(place), schema).collect()]
+    if bad:
+        raise ValueError(f"{name}: NULLs in required columns {bad}")
+
+
+VERSIONS = "_versions"
+
+
+def replace_table(df: DataFrame, name: str) -> str:
+    """Replace all rows of the catalog table ``name`` (T4); returns the folder that the new rows were written to.
+
+    The new rows are written beside the table, by column name and with its types, and checked; then the table's
+    location is set to them, which is one change in the catalog.  A job that fails before it
+    leaves the table as it was, and readers that began earlier keep their files.  Of a partitioned
+    table, whose partitions have places of their own in the catalog, the checked rows are inserted with a
+    dynamic overwrite, which moves complete partitions in when it commits; partitions without new rows
+    are dropped after that.
+    """
+    spark = df.sparkSession
+    about = describe(spark, name)
+    home = about["location"].split(f"/{VERSIONS}/")[0].rstrip("/")
+    place = f"{home}/{VERSIONS}/{uuid.uuid4().hex}"
+    by = about["partitions"]
+    if by:
+        place = shared_dir(spark, "replace")
+    _stage(df, name, place, about["provider"], ())
+    if not by:
+        spark.sql(f"ALTER TABLE {_quoted(name)} SET LOCATION '{place}'")
+    else:
+        staged = spark.read.schema(spark.table(name).schema).format(about["provider"]).load(place)
+        old = spark.table(name).select(*by).distinct()
+        same = reduce(lambda a, b: a & b, [old[c].eqNullSafe(staged[c]) for c in by])
+        stale = old.join(staged.select(*by), same, "left_anti").collect()   # partitions, as the catalog lists them
+        staged.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+        for row in stale:
+            spec = ", ".join(f"{X.quote_ident(c)} = {_partition_value(row[c])}" for c in by)
+            spark.sql(f"ALTER TABLE {_quoted(name)} DROP IF EXISTS PARTITION ({spec})")
+    spark.catalog.refreshTable(name)
+    return place
+
+
+def _partition_value(value) -> str:
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return "null" if value is None else f"'{text}'"
+
+
+def append_table(df: DataFrame, name: str) -> None:
+    """Insert by column name into the catalog table ``name`` (T5).
+
+    The rows are checked in a folder of their own first; the insert itself shows its files when the job commits.
+    """
+    spark = df.sparkSession
+    about = describe(spark, name)
+    place = shared_dir(spark, "append")
+    _stage(df, name, place, about["provider"], ())
+    staged = spark.read.schema(spark.table(name).schema).format(about["provider"]).load(place)
+    view = f"lakeops_rows_{uuid.uuid4().hex[:12]}"
+    staged.createOrReplaceTempView(view)
+    try:
+        spark.sql(f"INSERT INTO {_quoted(name)} BY NAME SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
+    spark.catalog.refreshTable(name)
+
+
+def describe(spark: SparkSession, name: str) -> dict:
+    """location, provider and partition columns of a catalog table."""
+    doc = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(name)} AS JSON").first()[0])
+    return {"location": doc["location"], "provider": doc["provider"], "partitions": doc.get("partition_columns") or []}
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A fresh reader over a table path (no cached plan from the writer)."""
     return spark.read.format(fmt).load(path)

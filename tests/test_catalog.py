@@ -47,6 +47,37 @@ def test_metadata_snapshots(spark):
     assert (h.snapshot_id, h.current, h.ts_text) == (42, True, "2022-04-15 05:20:00 UTC")
 
 
+def test_bad_documents_are_set_aside(spark):
+    rows = [(1, DOC), (2, DOC[:-9]), (3, '{"error":{"code":404}}'), (4, ""), (5, None), (6, "  "), (7, "[1]"), (8, "nonsense"),
+            (9, DOC.replace('"format-version":1', '"format-version":"one"')), (10, '{"metadata":null}'), (11, '{"metadata":{}}')]
+    d = spark.createDataFrame(rows, "table_id long, doc string")
+    assert {r.table_id: r.status for r in C.quarantine(d).collect()} == {
+        2: "malformed", 3: "no_metadata", 4: "missing", 5: "missing", 6: "missing", 7: "malformed", 8: "malformed", 9: "malformed",
+        10: "no_metadata"}
+    assert {r.table_id: r.location for r in C.table_detail(d).collect()} == {1: "file:///lake/sales", 11: ""}
+    assert {r.table_id for r in C.table_columns(d).collect()} == {1}
+
+
+def test_location_tree(spark):
+    places = ["file:///lake/a/b/t1", "s3://bucket/lake/a/t2", "/lake/a/b/t3", "/lake/a/b", "/solo", "", "/lake//a/b/t1/"]
+    d = spark.createDataFrame([(i, DOC.replace("file:///lake/sales", p)) for i, p in enumerate(places)] + [(99, "torn")],
+                              "table_id long, doc string")
+    tree = {r.node_id: (r.parent_id, r.kind, r.depth, r.tables) for r in C.location_tree(d).collect()}
+    assert tree == {"lake": ("", "catalog", 1, 5), "lake/a": ("lake", "namespace", 2, 5), "lake/a/b": ("lake/a", "table", 3, 4),
+                    "lake/a/b/t1": ("lake/a/b", "table", 4, 2), "lake/a/b/t3": ("lake/a/b", "table", 4, 1),
+                    "lake/a/t2": ("lake/a", "table", 3, 1), "solo": ("", "table", 1, 1)}
+    assert all(p == "" or p in tree for p, *_ in tree.values())
+
+
+def test_catalog_types(spark):
+    spark.conf.set("spark.sql.catalog.spark_catalog.type", "hive")
+    try:
+        assert {r.catalog: r.type for r in C.list_catalogs(spark).collect()}["spark_catalog"] == "hive"
+    finally:
+        spark.conf.unset("spark.sql.catalog.spark_catalog.type")
+    assert {r.catalog: r.type for r in C.list_catalogs(spark).collect()}["spark_catalog"] == "session"
+
+
 def test_live_catalog_listing(spark):
     spark.range(1).createOrReplaceTempView("lakeops_probe")
     assert "spark_catalog" in [r.catalog for r in C.list_catalogs(spark).collect()]

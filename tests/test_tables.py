@@ -2,7 +2,8 @@
 
 import datetime as dt
 
-from pyspark.sql import types as T
+import pytest
+from pyspark.sql import functions as F, types as T
 
 from lakeops.session import shared_dir
 from lakeops.sources import tables as TB
@@ -98,3 +99,80 @@ def test_named_table_binds_the_name(spark):
     with pytest.raises(Exception):
         TB.named_table(spark, "lakeops_named; DROP TABLE x").count()
     assert TB.table_sample(TB.named_table(spark, "lakeops_named"), 2, order_by=["id"]).count() == 2
+
+
+def _filled(spark, partition=()):
+    import uuid
+    name = f"lakeops_named_{uuid.uuid4().hex[:8]}"
+    TB.create_table(spark, name, SCHEMA, partition_by=partition, location=shared_dir(spark, "test_named"))
+    TB.create_table(spark, name, SCHEMA)   # there already
+    TB.append_table(spark.createDataFrame(ROWS, SCHEMA).select("ts", "id", "name"), name)
+    return name
+
+
+def _rows(spark, name):
+    return sorted(tuple(r) for r in spark.table(name).select("id", "name", "ts").collect())
+
+
+@pytest.mark.parametrize("partition", [(), ("name",)])
+def test_a_named_table_is_filled_and_replaced(spark, partition):
+    name = _filled(spark, partition)
+    assert _rows(spark, name) == sorted(ROWS)
+    new = spark.createDataFrame([("fir", 7, ROWS[0][2]), ("elm", 8, ROWS[1][2])], "name string, id int, ts timestamp_ntz")
+    first = TB.replace_table(new, name)
+    assert _rows(spark, name) == [(7, "fir", ROWS[0][2]), (8, "elm", ROWS[1][2])]
+    second = TB.replace_table(spark.table(name).filter("id = 7"), name)   # from its own rows
+    assert _rows(spark, name) == [(7, "fir", ROWS[0][2])] and first != second
+    TB.append_table(spark.createDataFrame(ROWS[:1], SCHEMA), name)
+    assert _rows(spark, name) == [(7, "fir", ROWS[0][2]), ROWS[0]]
+    assert TB.required_columns(spark.table(name).schema) and set(spark.table(name).schema.names) == {"id", "name", "ts"}
+
+
+def test_a_failed_write_leaves_the_named_table(spark):
+    name = _filled(spark)
+    fails = spark.createDataFrame(ROWS, SCHEMA).withColumn("id", F.expr("if(id = 35, raise_error('lost'), id)"))
+    nulls = spark.createDataFrame([(1, None, None)], "id long, name string, ts timestamp_ntz")
+    for write in (TB.replace_table, TB.append_table):
+        with pytest.raises(Exception, match="lost"):
+            write(fails, name)
+        with pytest.raises(ValueError, match="NULLs in required columns"):
+            write(nulls, name)
+        with pytest.raises(ValueError, match="missing columns"):
+            write(spark.createDataFrame(ROWS, SCHEMA).drop("ts"), name)
+        with pytest.raises(ValueError, match="unknown columns"):
+            write(spark.createDataFrame(ROWS, SCHEMA).withColumn("x", F.lit(1)), name)
+        assert _rows(spark, name) == sorted(ROWS)
+
+
+def test_upsert_rewrites_only_touched_parts(spark):
+    from lakeops.operators.registry import upsert_latest
+    from lakeops.sources import keyed as K, versions
+    schema = "k long, v string, seq long, created_at timestamp_ntz"
+    base = spark.range(400).selectExpr("id as k", "concat('old', id) as v", "cast(null as long) as seq", "timestamp_ntz'2024-01-01' as created_at")
+    path = shared_dir(spark, "test_keyed")
+    K.create(base, path, ["k"], 16)
+    day = dt.datetime(2024, 2, 1)
+    changes = spark.createDataFrame([(3, "new3", 5, day, False), (3, "newer3", 6, day, False), (3, "late", 1, day, False),
+                                     (1000, "added", 2, day, False), (7, None, 9, day, True)], f"{schema}, gone boolean")
+    before = {r["part"]: r["place"] for r in versions.newest(spark, path, K._PLACES)[1].collect()}
+    old = K.read(spark, path, schema)
+    touched = K.upsert(changes, path, schema, ["k"], 16, "seq", gone=F.col("gone"))
+    after = {r["part"]: r["place"] for r in versions.newest(spark, path, K._PLACES)[1].collect()}
+    assert touched == sorted({r[0] for r in changes.select(K.part_of(["k"], 16)).collect()}) and len(touched) <= 3
+    assert {p for p in before if before[p] != after[p]} == set(touched) and len(before) == 16
+    want = upsert_latest(base.filter("k <> 7"), changes.filter("not gone").drop("gone"), ["k"], "seq")
+    got = K.read(spark, path, schema)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert old.count() == 400   # a reader of the older version goes on
+    # parts that are not touched are not read
+    read = K.read(spark, path, schema, touched).inputFiles()
+    assert read and all(any(f"_part={p}/" in f for p in touched) for f in read)
+    # a job that fails leaves the version
+    with pytest.raises(Exception, match="lost"):
+        K.upsert(changes.drop("gone").withColumn("v", F.expr("if(k = 3, raise_error('lost'), v)")), path, schema, ["k"], 16, "seq")
+    assert sorted(map(str, K.read(spark, path, schema).collect())) == sorted(map(str, got.collect()))
+    # the second of two writers of one version fails
+    with pytest.raises(Exception):
+        versions.add(spark.createDataFrame([(0, "x")], K._PLACES), path, 1)
+    K.upsert(spark.createDataFrame([], f"{schema}"), path, schema, ["k"], 16, "seq")
+    assert K.read(spark, path, schema).count() == got.count()
