@@ -1,24 +1,22 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from a log-frequency Bloom filter, kept in slices that follow the input.
 
-Counting.  Each task counts the words and word pairs of its training documents and sends
-them, packed, to slices of the hash space.  A slice adds them up exactly and builds its
-own part of the filter: an n-gram with count c enters as (n-gram, 1) ... (n-gram, q(c)),
-q(c) = 1 + floor(log2 c), so rare n-grams cost few bits.
+Gathering.  A task cuts its documents into chunks of whole texts and sends each chunk's distinct words and
+word pairs to slices of the hash space, with their counts over the training texts among them.  The number of slices follows the
+size of the input, so a slice stays a bounded task.  A slice adds the counts up exactly and
+builds its filter: an n-gram with count c enters as (n-gram, 1) ... (n-gram, q(c)), q(c) = 1 + floor(log2 c), so
+rare n-grams cost few bits.  The filter is as large as its entries need (``BITS_PER_ENTRY`` for each); no n-gram is left out.
 
-The filter has a fixed size (``bits``), which is what is broadcast.  A slice whose n-grams do
-not fit at the intended error rate leaves out the pairs below the smallest count that does
-fit; the smoothing backs off to the words for them.  Every count is still made over all
-training documents, and words always enter.
+Probing.  q is read back by probing (n-gram, 1), (n-gram, 2), ... until one is missing; the count is
+taken as the mean of the counts with that q.  A filter of all n-grams grows with the input and so is not broadcast: the
+chunks' n-grams, which are at the slice already, are probed there, and the answers go back to the chunk.
 
-Scoring.  q is read back by probing (n-gram, 1), (n-gram, 2), ... until one is missing; the
-count is taken as the mean of the counts with that q.  With V words, N tokens, and pseudo
-count s:  P(w) = (c(w) + 1) / (N + V + 1),
-P(w | v) = (min(c(vw), c(v)) + s * P(w)) / (c(v) + s); the end of a text is a token and the
-history of the first word.
+Scoring.  A second pass over the documents cuts the same chunks and takes their answers.  With V words, N tokens
+and pseudo count s:  P(w) = (c(w) + 1) / (N + V + 1),  P(w | v) = (min(c(vw), c(v)) + s * P(w)) / (c(v) + s); the
+end of a text is a token and the history of the first word.  The exact base score takes the words' exact
+counts, which travel beside the answers (words are sent as they are, pairs by a 64-bit hash).
 
-The exact base score needs exact word counts.  The ``hot_words`` most frequent words
-are broadcast (a fixed number); the rarer ones are joined, so neither the broadcast nor a join
-key grows with the input.
+The passes must see the same partitions; a chunk's checksum travels with it, and a chunk whose answers are
+not there raises an error (write such documents to a table first).
 
 Defined cases: a null or empty text is the end token alone; null and repeated ``doc_id`` and
 repeated rows are scored row by row (a null id counts as training data); an empty table
@@ -29,40 +27,39 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import defaultdict
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import pin
+from lakeops.llm.common import file_system
+from lakeops.session import shared_dir
 
-BITS = 1 << 28
-SLICES = 1024
-HASHES = 4
-#: Bits for each entry at which a filter with HASHES hashes errs about once in 40 probes.
-BITS_PER_ENTRY = 8
+#: Bytes of text for each slice.
+SLICE_BYTES = 16 << 20
+HASHES = 6
+#: Bits for each entry at which a filter with HASHES hashes errs about once in 270 probes.
+BITS_PER_ENTRY = 12
 PSEUDO = 8.0
-HOT_WORDS = 200_000
 HELD_OUT = (7, 2)
-CHUNK_WORDS = 200_000
-REMEMBER = 250_000
+CHUNK_WORDS = 400_000
 END = b"\n"  # no word holds white space
+#: The part under which the slices' own rows (filter, sizes) are kept beside the chunks' answers.
+MODEL = -1
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-
-
-class _Hashes(dict):
-    def __missing__(self, word):
-        import xxhash
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_KNOWN = _Hashes()
+_PRINT = np.uint64((1 << 40) - 1)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
+SENT = "slice long, part long, chunk long, crc long, words binary, wcounts binary, pairs binary, pcounts binary"
+ANSWERS = ("part long, slice long, chunk long, crc long, wq binary, wcounts binary, pq binary, bits binary, tokens long, "
+           "distinct long")
+
 
 def tokens(text: str | None) -> list[bytes]:
     """A-Z in lower case; the words, then one end."""
@@ -72,9 +69,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > REMEMBER:
-        _KNOWN.clear()
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    from xxhash import xxh3_64_intdigest
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,259 +79,273 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pairs_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The hash of each token's pair with the token before it; the end comes before a first token."""
-    import xxhash
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[starts] = np.uint64(xxhash.xxh3_64_intdigest(END))
-    return mix(before * _C + h)
-
-
 def quantised(counts: np.ndarray) -> np.ndarray:
-    return (np.floor(np.log2(counts)) + 1).astype(np.int64)
+    """1 + floor(log2 c), 0 for 0."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
 def count_of(q: np.ndarray) -> np.ndarray:
     """Mean of the counts with this q: 2^(q-1) ... 2^q - 1."""
-    return np.where(q > 0, (2.0 ** (q - 1) + 2.0 ** q - 1) / 2, 0.0)
+    return np.where(q > 0, (2.0 ** (q.astype(np.float64) - 1) + 2.0 ** q - 1) / 2, 0.0)
 
 
-def bit_places(grams: np.ndarray, level: int, slice_bits: int) -> list[np.ndarray]:
-    """Places in a slice for (n-gram, level)."""
-    x = mix(grams + np.uint64(level * int(_C) & (1 << 64) - 1))
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    return [((x + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) % np.uint64(slice_bits)
-            for i in range(HASHES)]
+class Filter:
+    """A slice's filter: a bit for each place, as many as the entries need."""
 
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
-    return (mix(grams ^ _B) >> np.uint64(40)) % np.uint64(slices)
+    @classmethod
+    def of(cls, grams: np.ndarray, counts: np.ndarray) -> Filter:
+        there = counts > 0
+        grams, q = grams[there], quantised(counts[there])
+        out = cls(np.zeros(max(64, 8 * -(-int(q.sum()) * BITS_PER_ENTRY // 8)), bool))
+        level = 1
+        while len(grams):
+            for place in out.places(grams, level):
+                out.bits[place] = True
+            more = q > level
+            grams, q, level = grams[more], q[more], level + 1
+        return out
+
+    def places(self, grams: np.ndarray, level: int):
+        """Places for (n-gram, level)."""
+        x = mix(grams + np.uint64(level * int(_C) & (1 << 64) - 1))
+        step = (x >> np.uint64(32)) | np.uint64(1)
+        for i in range(HASHES):
+            yield ((x + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) % np.uint64(len(self.bits))
+
+    def probe(self, grams: np.ndarray) -> np.ndarray:
+        """q of each n-gram: the last level that is there."""
+        q = np.zeros(len(grams), np.uint8)
+        left, level = np.arange(len(grams)), 1
+        while len(left) and level < 64:
+            x = grams[left]
+            there = np.ones(len(left), bool)
+            for place in self.places(x, level):
+                there &= self.bits[place]
+            left = left[there]
+            q[left] = level
+            level += 1
+        return q
 
+    def packed(self) -> bytes:
+        return np.packbits(self.bits, bitorder="little").tobytes()
 
-def build_slice(words: np.ndarray, wcounts: np.ndarray, pairs: np.ndarray, pcounts: np.ndarray,
-                slice_bits: int) -> tuple[bytes, int]:
-    """The bits of a slice, and the smallest count of the pairs in it."""
-    q, room = quantised(pcounts), slice_bits // BITS_PER_ENTRY - int(quantised(wcounts).sum())
-    cutoff, load = 1, int(q.sum())
-    while load > room and cutoff <= int(pcounts.max(initial=0)):
-        cutoff += 1
-        load = int(q[pcounts >= cutoff].sum())
-    kept = pcounts >= cutoff
-    grams, q = np.concatenate([words, pairs[kept]]), np.concatenate([quantised(wcounts), q[kept]])
-    bits = np.zeros(slice_bits, bool)
-    level = 1
-    while len(grams):
-        for place in bit_places(grams, level, slice_bits):
-            bits[place] = True
-        more = q > level
-        grams, q, level = grams[more], q[more], level + 1
-    return np.packbits(bits, bitorder="little").tobytes(), cutoff
+    @classmethod
+    def unpacked(cls, data: bytes) -> Filter:
+        return cls(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").astype(bool))
 
 
-class Filter:
-    """Reads counts back from the filter's bytes."""
+class Chunk:
+    """Whole texts with their tokens numbered and their distinct n-grams dealt to slices."""
 
-    def __init__(self, data: bytes, slices: int):
-        self.bytes, self.slices = np.frombuffer(data, np.uint8), slices
-        self.slice_bits = len(data) * 8 // slices
+    def __init__(self, texts: list[list[bytes]], slices: int):
+        numbers = defaultdict(count().__next__)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        total = int(self.sizes.sum())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.word = np.fromiter((numbers[w] for t in texts for w in t), np.int64, total)
+        self.words = list(numbers)
+        h = hashes_of(self.words)
+        hashes = h[self.word]
+        before = np.empty_like(hashes)
+        before[1:] = hashes[:-1]
+        before[self.starts] = hashes_of([END])[0]
+        self.before_word = np.empty_like(self.word)
+        self.before_word[1:] = self.word[:-1]
+        self.before_word[self.starts] = numbers[END]
+        self.pairs, self.pair = np.unique(mix(before * _C + hashes), return_inverse=True)
+        self.crc = zlib.crc32(self.sizes.tobytes(), zlib.crc32(hashes.tobytes()))
+        self.by_slice = [_dealt(mix(h ^ _B), slices), _dealt(self.pairs, slices)]
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        q = np.zeros(len(grams), np.int64)
-        left, base = np.arange(len(grams)), slice_of(grams, self.slices) * np.uint64(self.slice_bits)
-        level = 1
-        while len(left):
-            for place in bit_places(grams[left], level, self.slice_bits)[:1]:
-                bit = base[left] + place
-                left = left[(self.bytes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-            if len(left):
-                there = np.ones(len(left), bool)
-                for place in bit_places(grams[left], level, self.slice_bits)[1:]:
-                    bit = base[left] + place
-                    there &= (self.bytes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                left = left[there]
-            q[left] = level
-            level += 1
-        return count_of(q)
+    def counted(self, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the distinct words and pairs over the texts that train."""
+        mask = np.repeat(trains, self.sizes)
+        return (np.bincount(self.word[mask], minlength=len(self.words)),
+                np.bincount(self.pair[mask], minlength=len(self.pairs)))
+
+
+def _dealt(keys: np.ndarray, slices: int) -> dict[int, np.ndarray]:
+    """The places of the n-grams of each slice, in order."""
+    slice_ = (keys >> np.uint64(40)) % np.uint64(slices)
+    order = np.argsort(slice_, kind="stable")
+    ids, first = np.unique(slice_[order], return_index=True)
+    return dict(zip(ids.tolist(), np.split(order, first[1:])))
+
+
+_NONE = np.zeros(0, np.int64)
 
 
-def _chunks(batches, columns: int):
-    """Lists of columns of about CHUNK_WORDS words; the text, last, becomes its tokens."""
-    out, held = [[] for _ in range(columns)], 0
+def _prints(pairs: np.ndarray) -> bytes:
+    p = pairs & _PRINT
+    return p.astype("<u4").tobytes() + (p >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def _unprinted(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, then 8 bytes for each that is 255 or more."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
+
+def _chunks(batches):
+    """(ids, flags, tokens of each text) of about CHUNK_WORDS words, in the partition's order."""
+    out, held = ([], [], []), 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            for j in range(columns - 1):
-                out[j].append(batch.column(j)[i].as_py())
-            ts = tokens(batch.column(columns - 1)[i].as_py())
-            out[-1].append(ts)
+        for doc, flag, text in zip(*(c for c in batch.columns)):
+            ts = tokens(text.as_py())
+            for column, x in zip(out, (doc.as_py(), flag.as_py(), ts)):
+                column.append(x)
             held += len(ts)
             if held > CHUNK_WORDS:
                 yield out
-                out, held = [[] for _ in range(columns)], 0
+                out, held = ([], [], []), 0
     if out[0]:
         yield out
 
 
-def count_ngrams(train: DataFrame, slices: int = SLICES, bits: int = BITS) -> DataFrame:
-    """Per slice: the words with their exact counts, and the slice's bits (column ``text`` only)."""
-    slice_bits = bits // slices
-    kinds = "slice long, words binary, wcounts binary, pairs binary, pcounts binary"
-
-    def send(words: Counter, pairs: np.ndarray, pcounts: np.ndarray):
-        names = np.array(list(words.keys()), object)
-        counts = np.fromiter(words.values(), np.int64, len(words))
-        ws, ps = slice_of(hashes_of(list(words)), slices), slice_of(pairs, slices)
-        worder, porder = np.argsort(ws, kind="stable"), np.argsort(ps, kind="stable")
-        wcut = np.searchsorted(ws[worder], np.arange(slices + 1, dtype=np.uint64))
-        pcut = np.searchsorted(ps[porder], np.arange(slices + 1, dtype=np.uint64))
-        names, counts = names[worder], counts[worder].astype("<i8")
-        pairs, pcounts = pairs[porder].astype("<u8"), np.minimum(pcounts[porder], 2 ** 32 - 1).astype("<u4")
-        out = [[], [], [], [], []]
-        for s in range(slices):
-            a, b, c, d = wcut[s], wcut[s + 1], pcut[s], pcut[s + 1]
-            if b > a or d > c:
-                for x, y in zip(out, (s, b" ".join(names[a:b]), counts[a:b].tobytes(), pairs[c:d].tobytes(),
-                                      pcounts[c:d].tobytes())):
-                    x.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary())
-                                                                         for x in out[1:])],
-                                          names=["slice", "words", "wcounts", "pairs", "pcounts"])
-
-    def count(batches):
-        words, held = Counter(), []
-        for (docs,) in _chunks(batches, 1):
-            flat = [t for d in docs for t in d]
-            words.update(flat)
-            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-            held.append(np.unique(pairs_of(hashes_of(flat), np.cumsum(sizes) - sizes), return_counts=True))
-            if len(words) > 250_000 or len(held) >= 10:
-                yield send(words, *_added(held))
-                words, held = Counter(), []
-        if words:
-            yield send(words, *_added(held))
-
-    def add(key, rows):
-        words: Counter = Counter()
-        for ws, cs in zip(rows["words"].to_pylist(), rows["wcounts"].to_pylist()):
-            if ws:
-                for w, c in zip(ws.split(b" "), np.frombuffer(cs, "<i8").tolist()):
-                    words[w] += c
-        pairs, pcounts = _added([(np.frombuffer(p, "<u8"), np.frombuffer(c, "<u4").astype(np.int64))
-                                 for p, c in zip(rows["pairs"].to_pylist(), rows["pcounts"].to_pylist())])
-        counts = np.fromiter(words.values(), np.int64, len(words))
-        made, cutoff = build_slice(hashes_of(list(words)), counts, pairs, pcounts, slice_bits)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([made], pa.binary()),
-                         "cutoff": pa.array([cutoff], pa.int64()),
-                         "words": pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                         "counts": pa.array([counts.tolist()], pa.list_(pa.int64())),
-                         "tokens": pa.array([int(counts.sum())], pa.int64())})
-
-    return train.select("text").mapInArrow(count, kinds).groupBy("slice").applyInArrow(
-        add, "slice long, bits binary, cutoff long, words array<string>, counts array<long>, tokens long")
-
-
-def _added(parts):
-    grams = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    counts = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    order = np.argsort(grams)
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+
+@dataclass
 class Model:
-    """A trained model: the filter's bytes, N, V, and the table of exact word counts."""
+    """Where the slices' filters and the chunks' answers are, and N and V of the training texts."""
+
+    path: str
+    slices: int
+    tokens: int
+    distinct: int
 
-    def __init__(self, spark, data: bytes, slices: int, n: int, v: int, counts: DataFrame):
-        self.spark, self.data, self.slices, self.n, self.v, self.counts = spark, data, slices, n, v, counts
+    def filters(self, spark: SparkSession) -> DataFrame:
+        """slice, bits, tokens and distinct words of each slice."""
+        return spark.read.schema(ANSWERS).parquet(self.path).filter(F.col("part") == MODEL).select("slice", "bits", "tokens", "distinct")
 
 
-def train(docs: DataFrame, slices: int = SLICES, bits: int = BITS) -> Model:
-    """Counts every row's ``text`` and builds the filter of ``bits`` bits."""
+def gather(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> Model:
+    """Count, build the filters and answer every chunk of ``docs`` (columns doc_id, held_out, text)."""
     spark = docs.sparkSession
-    made = pin(count_ngrams(docs, slices, bits), "bloom_lm")
-    n, v = made.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    width = bits // slices // 8
-    data = bytearray(width * slices)  # a slice without n-grams stays empty
-    for row in made.select("slice", "bits").toLocalIterator():
-        data[row["slice"] * width:(row["slice"] + 1) * width] = row["bits"]
-    counts = made.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(
-        F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    return Model(spark, bytes(data), slices, n, v, counts)
-
-
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the lowest frequency class (a sixteenth of a power of two) that keeps them to ``most``."""
-    level = F.floor(F.log2("n") * 16)
-    left, least = most, None
-    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        left -= row["count"]
-        if left < 0:
-            break
-        least = row["level"]
-    return counts.filter(level >= least if least is not None else F.lit(False))
-
-
-def score(docs: DataFrame, model: Model, hot_words: int = HOT_WORDS, pseudo: float = PSEUDO) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
-
-    ``docs`` has doc_id, held_out, text.
-    """
-    spark = model.spark
-    hot = frequent(model.counts, hot_words).collect()
-    shared = spark.sparkContext.broadcast(
-        ({r["word"].encode(): math.log10(r["n"] + 1) for r in hot}, model.data))
-    n, v, slices = model.n, model.v, model.slices
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = 1 + total // slice_bytes
+    sent, answers = _arrow(SENT), _arrow(ANSWERS)
+
+    def send(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        for number, (_, held, texts) in enumerate(_chunks(batches)):
+            chunk = Chunk(texts, slices)
+            wcounts, pcounts = chunk.counted(~np.array(held, bool))
+            words_of, pairs_of = chunk.by_slice
+            yield _batch([(s, part, number, chunk.crc, b" ".join([chunk.words[i] for i in words_of.get(s, _NONE).tolist()]),
+                           _packed_counts(wcounts[words_of.get(s, _NONE)]), _prints(chunk.pairs[pairs_of.get(s, _NONE)]),
+                           _packed_counts(pcounts[pairs_of.get(s, _NONE)])) for s in sorted({*words_of, *pairs_of})], sent)
+
+    def answer(key, rows):
+        words = [w.split(b" ") if w else [] for w in rows["words"].to_pylist()]
+        wcounts = [_unpacked_counts(c, len(w)) for c, w in zip(rows["wcounts"].to_pylist(), words)]
+        # words: exact counts
+        numbers = defaultdict(count().__next__)
+        at = np.fromiter((numbers[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        exact = np.zeros(len(numbers), np.int64)
+        np.add.at(exact, at, np.concatenate([*wcounts, _NONE]))
+        # pairs
+        prints = [_unprinted(p) for p in rows["pairs"].to_pylist()]
+        pcounts = [_unpacked_counts(c, len(p)) for c, p in zip(rows["pcounts"].to_pylist(), prints)]
+        pairs, pat = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]), return_inverse=True)
+        added = np.zeros(len(pairs), np.int64)
+        np.add.at(added, pat, np.concatenate([*pcounts, _NONE]))
+        # words and pairs share the filter; the words' top bit keeps them apart
+        grams = np.concatenate([hashes_of(list(numbers)) | np.uint64(1 << 63), pairs])
+        filter_ = Filter.of(grams, np.concatenate([exact, added]))
+        q = filter_.probe(grams)
+        wq, pq = q[:len(exact)][at], q[len(exact):][pat]
+        wends, pends = np.cumsum([len(w) for w in words]), np.cumsum([len(p) for p in prints])
+        out = [(part, key[0].as_py(), chunk, crc, wq[we - len(w):we].tobytes(), exact[at[we - len(w):we]].astype("<i8").tobytes(),
+                pq[pe - len(p):pe].tobytes(), None, None, None)
+               for part, chunk, crc, w, we, p, pe in zip(rows["part"].to_pylist(), rows["chunk"].to_pylist(), rows["crc"].to_pylist(),
+                                                         words, wends.tolist(), prints, pends.tolist())]
+        out.append((MODEL, key[0].as_py(), 0, 0, b"", b"", b"", filter_.packed(), int(exact.sum()), int((exact > 0).sum())))
+        return pa.Table.from_batches([_batch(out, answers)])
+
+    path = shared_dir(spark, "bloom_lm")
+    made = _input(docs).mapInArrow(send, SENT).groupBy("slice").applyInArrow(answer, ANSWERS)
+    spread = F.when(F.col("part") == MODEL, F.col("slice")).otherwise(F.lit(0))
+    made.repartition("part", spread).write.partitionBy("part").parquet(path)
+    model = Model(path, slices, 0, 0)
+    if total:
+        n, v = model.filters(spark).agg(F.sum("tokens"), F.sum("distinct")).first()
+        model = Model(path, slices, n or 0, v or 0)
+    return model
+
+
+def _input(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"),
+                       F.col("text").cast("string").alias("text"))
+
+
+def _answers(path: str, part: int) -> dict[int, list]:
+    """By chunk: the rows (slice, crc, wq, wcounts, pq) of a partition's answers."""
+    import pyarrow.dataset as ds
+    files, folder = file_system(path)
+    table = ds.dataset(f"{folder}/part={part}", filesystem=files, format="parquet").to_table(
+        columns=["chunk", "slice", "crc", "wq", "wcounts", "pq"])
+    out = defaultdict(list)
+    for chunk, *row in zip(*(c.to_pylist() for c in table.columns)):
+        out[chunk].append(row)
+    return out
+
+
+def score(docs: DataFrame, model: Model, pseudo: float = PSEUDO) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of the ``docs`` given to :func:`gather`."""
+    n, v, slices, path = model.tokens, model.distinct, model.slices, model.path
     norm = math.log10(n + v + 1)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def work(batches):
         from pyspark import TaskContext
-        row = TaskContext.get().partitionId() << 33
-        logs, data = shared.value
-        filter_ = Filter(data, slices)
-        for ids, held, docs_ in _chunks(batches, 3):
-            flat = [t for d in docs_ for t in d]
-            sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
-            starts = np.cumsum(sizes) - sizes
-            h = hashes_of(flat)
-            # words
-            names, at = np.unique(h, return_inverse=True)
-            unigram = filter_.counts(names)
+        part, answers = TaskContext.get().partitionId(), None
+        for number, (ids, held, texts) in enumerate(_chunks(batches)):
+            answers = _answers(path, part) if answers is None else answers
+            chunk = Chunk(texts, slices)
+            wq, exact, pq = np.zeros(len(chunk.words), np.uint8), np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.pairs), np.uint8)
+            words_of, pairs_of = chunk.by_slice
+            rows = answers.pop(number, [])
+            if {r[0] for r in rows} != {*words_of, *pairs_of} or any(r[1] != chunk.crc for r in rows):
+                raise ValueError(f"partition {part} has other documents than when its n-grams were gathered; write them to a table first")
+            for s, _, q, c, p in rows:
+                wq[words_of.get(s, _NONE)] = np.frombuffer(q, np.uint8)
+                exact[words_of.get(s, _NONE)] = np.frombuffer(c, "<i8")
+                pq[pairs_of.get(s, _NONE)] = np.frombuffer(p, np.uint8)
+            unigram = count_of(wq)
             back = (unigram + 1) / (n + v + 1)
-            history = np.empty(len(h))
-            history[1:] = unigram[at][:-1]
-            import xxhash
-            history[starts] = filter_.counts(np.array([xxhash.xxh3_64_intdigest(END)], np.uint64))[0]
-            # pairs
-            pairs, pat = np.unique(pairs_of(h, starts), return_inverse=True)
-            joint = np.minimum(filter_.counts(pairs)[pat], history)
-            logp = np.log10((joint + pseudo * back[at]) / (history + pseudo))
-            total = np.add.reduceat(logp, starts)
-            value = np.fromiter((logs.get(w, -1.0) for w in flat), np.float64, len(flat))
-            known = value >= 0
-            base = np.add.reduceat(np.where(known, value, 0.0), starts) - sizes * norm
-            some = np.add.reduceat(known.astype(np.int64), starts)
-            # without a word in the model a rare word needs no join
-            rare = np.flatnonzero(~known & (unigram[at] > 0))
-            owner = np.searchsorted(starts, rare, side="right") - 1
-            cut = np.searchsorted(owner, np.arange(len(docs_) + 1))
-            left = [[flat[i].decode() for i in rare[a:b].tolist()] for a, b in zip(cut[:-1], cut[1:])]
+            history = unigram[chunk.before_word]
+            joint = np.minimum(count_of(pq)[chunk.pair], history)
+            logp = np.log10((joint + pseudo * back[chunk.word]) / (history + pseudo))
+            base = np.log10(exact + 1.0)[chunk.word]
+            known = (exact > 0)[chunk.word].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array(held, pa.bool_()), pa.array(sizes), pa.array(some), pa.array(base), pa.array(total),
-                 pa.array(left, pa.list_(pa.string()))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", "rare"])
-            row += len(ids)
-
-    scored = pin(docs.select(F.col("doc_id").cast("long"), F.col("held_out"), F.col("text").cast("string"))
-                 .mapInArrow(work, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, "
-                                   "base_hot double, score double, rare array<string>"), "bloom_lm_scores")
-    found = (scored.select("row", F.explode("rare").alias("word")).join(model.counts, "word")
-             .groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("base_rare")))
-    return scored.drop("rare").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score")
+                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(chunk.sizes), pa.array(np.add.reduceat(known, chunk.starts)),
+                 pa.array(np.add.reduceat(base, chunk.starts) - chunk.sizes * norm), pa.array(np.add.reduceat(logp, chunk.starts))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return (_input(docs).mapInArrow(work, schema).withColumn("train_tokens", F.lit(n).cast("long"))
+            .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -346,4 +356,4 @@ def held_out(doc_id: Column) -> Column:
 def score_corpus(docs: DataFrame, **options) -> DataFrame:
     """Train on the documents that are not held out, score all."""
     marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(marked, train(marked.filter(~F.col("held_out"))), **options)
+    return score(marked, gather(marked, **options))

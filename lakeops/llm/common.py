@@ -39,3 +39,9 @@ def pin(df: DataFrame, *name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def file_system(path: str):
+    """pyarrow's file system and the folder in it, for a task that reads or writes files of the shared folder itself."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")

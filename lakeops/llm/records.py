@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeops.llm.common import file_system, pin
 from lakeops.llm.tokens import ByteLevelIds
 
 END_ID = 0
@@ -93,11 +94,6 @@ def parse(body: bytes) -> tuple[int | None, bytes]:
     return (doc_id if there else None), ids
 
 
-def _files(path: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def _shard(number: int) -> str:
     return f"shard-{number:05d}.rec"
 
@@ -116,7 +112,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def write(batches):
         from pyspark import TaskContext
         shard = TaskContext.get().partitionId()
-        files, folder = _files(path)
+        files, folder = file_system(path)
         name = f"{folder}/{_shard(shard)}"
         attempt = f"{folder}/_attempts/{uuid.uuid4().hex}"
         encode, out, held, size, ordinal, offset = None, None, [], 0, 0, 0
@@ -190,7 +186,7 @@ def scan_shards(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
     shards = read_index(spark, path).groupBy("shard").agg(F.count("*").alias("n"))
 
     def read(batches):
-        files, folder = _files(path)
+        files, folder = file_system(path)
         for batch in batches:
             for shard, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield from each(shard, n, map(parse, shard_bodies(files, f"{folder}/{_shard(shard)}")))
@@ -225,7 +221,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, tasks: int) -> Data
             .sortWithinPartitions("_key").select("shard", "ordinal", "offset", "size"))
 
     def fetch(batches):
-        files, folder = _files(path)
+        files, folder = file_system(path)
         opened, held, size = {}, [], 0
         for batch in batches:
             for shard, ordinal, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
@@ -249,8 +245,6 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, tasks: int) -> Data
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every record, read from the shards."""
-    from lakeops.llm.common import pin
-
     def each(shard, n, records):
         made, before, seen = ([], [], [], [], []), 0, 0
         for doc, ids in records:
