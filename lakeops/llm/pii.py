@@ -5,13 +5,16 @@ overlap; matches that fail the kind's test (parts, digits, checksum) are dropped
 Positions are code points; they come from the lengths of the pieces between matches, added up by a
 window per text.
 
-Method.  Words with a digit or ``@`` outside the base spans are candidates.
+Method.  Words with a digit or ``@`` outside the base spans are candidates; words of digits and signs that
+follow each other by single spaces are one.
 1. Each base span is a seed: an instance of its kind with score 1.
-2. A pattern is what stands before an instance: the word before it, the two words before it, or a
-   prefix that ends in ``:`` or ``=`` in the same word (lower case, digits as 0).
-3. Patterns and instances form a graph.  A pattern's score for a kind is the sum of its instances'
-   scores over the number of all its instances; it counts from ``LEAST_SEEDS`` distinct instances and
-   ``LEAST_SCORE`` on.  A candidate's score is that of its best pattern.
+2. A pattern is what stands around an instance, within ``CONTEXT`` code points of it: the word before it, the two words before it,
+   the word after it, or a prefix that ends in ``:`` or ``=`` in the same word (lower case, digits as 0).
+   Signs that stick to an instance are no part of it or of its context.
+3. Patterns and instances form a graph.  A pattern's score for a kind is the sum of its known instances' scores for that
+   kind over that for all kinds: instances of other kinds count against it.  It counts from ``LEAST_SEEDS``
+   distinct known instances and ``LEAST_SCORE`` on, and if these are at least ``LEAST_KNOWN`` of all its instances, so that a word that stands
+   before anything reveals nothing.  A candidate's score is that of its best pattern.
 4. After ``ROUNDS`` rounds every occurrence of a candidate with ``LEAST_SCORE`` is a span of its kind.
 Distinct instances count, so copies of a text do not raise a pattern.
 
@@ -37,13 +40,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words with a digit or @, and what makes a text worth a search.
-CANDIDATE = r"(?:\G|(?<=[\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Groups of digits with single spaces, or words with a digit or @, and what makes a text worth a search.
+_GROUP = r"[+(]?[0-9][0-9().+/-]*+(?![^\x20\x09-\x0D.,;:!?])"
+CANDIDATE = rf"(?:\G|(?<=[\x20\x09-\x0D]))(?:{_GROUP}(?:\x20{_GROUP})++|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "": "[0-9@]"}
-LEAST_SEEDS = 5
+LEAST_SEEDS = 10
 LEAST_SCORE = 0.8
+LEAST_KNOWN = 0.5
 ROUNDS = 3
-LEAST_CHARS = 6
 CONTEXT = 64
 
 
@@ -73,7 +77,7 @@ def _passes(kind: Column, match: Column) -> Column:
 
 
 def matches(docs: DataFrame, key: Column) -> DataFrame:
-    """(row, doc_id, kind, start, stop, match, left): base matches that pass and candidates (kind '').
+    """(row, doc_id, kind, start, stop, match, left, right): base matches that pass and candidates (kind '').
 
     Every row of ``docs`` has at least one row, with null ``match`` if that is all.
     """
@@ -82,10 +86,11 @@ def matches(docs: DataFrame, key: Column) -> DataFrame:
     def pieces(kind, pattern):
         # the text between matches, then each match, in turn
         between = F.transform(F.split(F.col("text"), pattern, -1),
-                              lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(CONTEXT)).alias("left")))
+                              lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(CONTEXT)).alias("left"),
+                                                 F.left(p, F.lit(CONTEXT)).alias("head")))
         found = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
         # what cannot match is not searched; an email stands for the row itself
-        none = F.array(F.struct(F.length("text").alias("n"), F.lit("").alias("left")))
+        none = F.array(F.struct(F.length("text").alias("n"), F.lit("").alias("left"), F.lit("").alias("head")))
         there = F.col("text").rlike(HINT[kind])
         return F.struct(F.lit(kind).alias("kind"), F.arrays_zip(
             F.when(there, between).otherwise(none).alias("p"),
@@ -97,14 +102,15 @@ def matches(docs: DataFrame, key: Column) -> DataFrame:
     each = (rows.select("row", "doc_id", kinds.alias("k")).select("row", "doc_id", F.col("k.kind").alias("kind"),
                                                                   F.col("k.x").alias("x"))
             .select("row", "doc_id", "kind", F.posexplode("x"))
-            .select("row", "doc_id", "kind", "pos", "col.p.n", "col.p.left", F.col("col.m").alias("match")))
+            .select("row", "doc_id", "kind", "pos", "col.p.n", "col.p.left", "col.p.head", F.col("col.m").alias("match")))
     size = F.col("n") + F.coalesce(F.length("match"), F.lit(0))
     before = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = each.withColumn("stop", F.sum(size).over(before))
+    stop = each.withColumn("stop", F.sum(size).over(before)).withColumn(
+        "right", F.lead("head").over(Window.partitionBy("row", "kind").orderBy("pos")))
     return (stop.filter(F.col("match").isNotNull() | ((F.col("kind") == "email") & (F.col("pos") == 0)))
             .withColumn("match", F.when(_passes(F.col("kind"), F.col("match")), F.col("match")))
             .filter(F.col("match").isNotNull() | ((F.col("kind") == "email") & (F.col("pos") == 0)))
-            .select("row", "doc_id", "kind", (F.col("stop") - F.length("match")).alias("start"), "stop", "match", "left"))
+            .select("row", "doc_id", "kind", (F.col("stop") - F.length("match")).alias("start"), "stop", "match", "left", "right"))
 
 
 def _candidates(found: DataFrame) -> DataFrame:
@@ -127,35 +133,48 @@ def _candidates(found: DataFrame) -> DataFrame:
         "_core", F.regexp_replace(F.regexp_replace("_body", r"^[^A-Za-z0-9+]+", ""), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", ""))
     start = F.col("start") + F.length("_prefix") + F.col("_lead")
     return out.select("row", "doc_id", start.alias("start"), (start + F.length("_core")).alias("stop"),
-                      F.col("_core").alias("match"), "left", F.col("_prefix").alias("prefix")).filter(
-        (F.length("match") >= LEAST_CHARS) & F.col("match").rlike("[0-9@]"))
+                      F.col("_core").alias("match"), "left", F.col("_prefix").alias("prefix"), "right").filter(
+        F.col("match").rlike("[0-9@]"))
 
 
-def _patterns(left: Column, prefix: Column) -> Column:
-    """The patterns that an instance stands in."""
-    clean = lambda x: F.regexp_replace(F.lower(x), "[0-9]", "0")
+def _patterns(left: Column, prefix: Column, right: Column) -> Column:
+    """The patterns that an instance stands in; ``left`` ends before its word, ``right`` begins after it."""
+    # brackets and quotes that open a word are no part of it
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), r"^[(\[{<\"']+", "")
     one = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     two = F.regexp_extract(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    return F.filter(F.array(F.concat(F.lit("1 "), clean(one)), F.concat(F.lit("2 "), clean(two)),
+    after = F.regexp_extract(F.coalesce(right, F.lit("")), r"^[^A-Za-z0-9\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]|$)", 1)
+    return F.filter(F.array(F.concat(F.lit("1 "), clean(one)), F.concat(F.lit("2 "), clean(two)), F.concat(F.lit("r "), clean(after)),
                             F.concat(F.lit("p "), clean(prefix))), lambda x: F.length(x) > 2)
 
 
+def _seeds(found: DataFrame) -> DataFrame:
+    """(instance, kind, pattern) of the base spans, whose word is taken apart as that of a candidate."""
+    tail = F.regexp_extract("left", r"([^\x20\x09-\x0D]*)$", 1)
+    prefix = F.when(F.col("_tail").rlike("^[^:=]*[:=]+$") & F.col("_tail").rlike("[A-Za-z]"), F.col("_tail")).otherwise(F.lit(""))
+    # what sticks to a span and is neither signs nor a prefix is no context, nor is what stands before it
+    outer = F.when((F.col("_prefix") != "") | ~F.col("_tail").rlike("[A-Za-z0-9]"),
+                   F.expr("substr(left, 1, length(left) - length(_tail))")).otherwise(F.lit(""))
+    return (found.filter((F.col("kind") != "") & F.col("match").isNotNull()).withColumn("_tail", tail).withColumn("_prefix", prefix)
+            .withColumn("_outer", outer).select(F.lower("match").alias("instance"), "kind",
+                                                F.explode(_patterns(F.col("_outer"), F.col("_prefix"), F.col("right"))).alias("pattern")))
+
+
 def bootstrap(found: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, kind, score) of the candidates that high-confidence patterns find."""
-    seeds = found.filter((F.col("kind") != "") & F.col("match").isNotNull()).select(
-        F.lower("match").alias("instance"), "kind", F.explode(_patterns(F.col("left"), F.lit(""))).alias("pattern"))
     unseen = candidates.select(F.lower("match").alias("instance"), F.lit(None).cast("string").alias("kind"),
-                               F.explode(_patterns(F.col("left"), F.col("prefix"))).alias("pattern"))
-    graph = pin(seeds.unionAll(unseen).distinct(), "pii_graph")
+                               F.explode(_patterns(F.col("left"), F.col("prefix"), F.col("right"))).alias("pattern"))
+    graph = pin(_seeds(found).unionAll(unseen).distinct(), "pii_graph")
     size = graph.groupBy("pattern").agg(F.countDistinct("instance").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
     known = graph.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+    edges = graph.select("pattern", "instance").distinct()
     scores = known
     for _ in range(rounds):
-        points = (graph.select("pattern", "instance").distinct().join(scores, "instance").groupBy("pattern", "kind")
-                  .agg(F.sum("score").alias("sum"), F.count("*").alias("support"))
-                  .filter(F.col("support") >= LEAST_SEEDS))
-        good = points.join(size, "pattern").select("pattern", "kind", (F.col("sum") / F.col("n")).alias("score")).filter(
-            F.col("score") >= LEAST_SCORE)
+        points = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("support"))
+        # at most a row per kind for each pattern
+        points = points.withColumn("all", F.sum("sum").over(Window.partitionBy("pattern"))).withColumn("score", F.col("sum") / F.col("all"))
+        good = (points.filter((F.col("support") >= LEAST_SEEDS) & (F.col("score") >= LEAST_SCORE)).join(size, "pattern")
+                .filter(F.col("sum") >= LEAST_KNOWN * F.col("n")).select("pattern", "kind", "score"))
         new = (graph.filter("kind is null").select("instance", "pattern").join(good, "pattern").groupBy("instance")
                .agg(F.max(F.struct("score", "kind")).alias("x")).select("instance", "x.kind", "x.score"))
         new = pin(new, "pii_scores")

@@ -52,6 +52,50 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert got[100] == "email:15:24" and got[101] == "" and got[102] == "email:6:15"
 
 
+def spans(spark, data):
+    return {r["doc_id"]: r["spans"] for r in P.digest(P.find(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+
+
+def test_prefixes_of_seeds_reveal_identifiers(spark):
+    data = [(i, f"entry{i} mail:u{i}x{i * 7919 % 1000}@mail.example.com tail{i}") for i in range(40)]
+    data += [(100, "other mail:zq8812x77 more"), (101, "other fax:zq9912x77 more"), (102, "from=zq8812x77")]
+    got = spans(spark, data)
+    assert got[100] == "email:11:20" and got[101] == "" and got[102] == "email:5:14"
+
+
+def test_groups_of_digits_are_one_identifier(spark):
+    data = [(i, f"entry{i} phone: +49 171 555 {1000 + i} tail{i}") for i in range(40)]
+    data += [(100, "other phone: 0171 555 0199, more"), (101, "other pages: 12 13 14"), (102, "x (phone: 555-0123)."), (103, "phone: 77")]
+    got = spans(spark, data)
+    assert got[100] == "phone:13:26" and got[101] == "" and got[102] == "phone:10:18" and got[103] == "phone:7:9"
+
+
+def test_unseen_instances_are_no_misses(spark):
+    data = [(i, f"entry{i} contact id u{i}@mail.example.com tail{i}") for i in range(20)]
+    data += [(100 + i, f"again{i} contact id q{i}w{i * 31}z tail{i}") for i in range(6)]
+    got = spans(spark, data)
+    assert all(got[100 + i] == f"email:18:{18 + len(f'q{i}w{i * 31}z')}" for i in range(6))
+
+
+def test_words_after_reveal_identifiers(spark):
+    data = [(i, f"entry{i} note{i} 10.0.{i}.7 is-the-server") for i in range(30)] + [(100, "other thing host-77-a, is-the-server")]
+    assert spans(spark, data)[100] == "ip:12:21"
+
+
+def test_mixed_or_common_contexts_reveal_nothing(spark):
+    """A word before seeds of several kinds, and one that stands before much else."""
+    data = [(i, f"entry{i} see u{i}@mail.example.com tail{i}") for i in range(20)] + [(50 + i, f"entry{i} see 10.0.{i}.7 tail{i}") for i in range(20)]
+    data += [(100 + i, f"entry{i} the x{i}@mail.example.com tail{i}") for i in range(20)] + [(200 + i, f"line{i} the {i}th item{i}") for i in range(30)]
+    data += [(300, "other see zq8812x77"), (301, "other the zq8812x78")]
+    got = spans(spark, data)
+    assert got[300] == got[301] == "" and all(got[200 + i] == "" for i in range(30))
+
+
+def test_long_runs_of_groups_stay_linear(spark):
+    data = [(1, "1 " * 60_000 + "1a"), (2, "(1 " * 60_000), (3, "a1@" * 60_000), (4, "x:=" * 60_000 + "1")]
+    assert set(spans(spark, data).values()) == {""}
+
+
 def test_copies_do_not_make_a_pattern(spark):
     data = [(i, "ask for ann@mail.example.com now") for i in range(50)] + [(100, "ask for order77812 now")]
     got = {r["doc_id"]: r["spans"] for r in P.digest(P.find(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
