@@ -84,6 +84,11 @@ SELECT event_id, user_id AS cluster_id, ts, event_type AS action FROM events
 SELECT event_id, concat('qs-', CAST(user_id AS VARCHAR(20)), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-server' ELSE '-exec-1' END) AS object,
  CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type, event_type AS reason, props AS message,
  CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 9 END AS cnt, ts AS last_seen FROM events
+""",
+    # Event times as text: mostly RFC 3339 in UTC, some with an offset, some none at all.
+    "fx_event_times": """
+SELECT event_id, CASE event_id % 10 WHEN 3 THEN 'not a time' WHEN 4 THEN '' WHEN 5 THEN NULL
+ WHEN 6 THEN concat(replace(CAST(ts AS VARCHAR(30)), ' ', 'T'), '+02:00') ELSE concat(replace(CAST(ts AS VARCHAR(30)), ' ', 'T'), 'Z') END AS seen FROM events
 """,
     "fx_log_lines": """
 SELECT user_id AS cluster_id, event_id AS line_no, concat(event_type, ' ', props) AS line FROM events
@@ -119,7 +124,9 @@ SELECT user_id AS table_id, event_id AS snapshot_id, ts AS committed_at,
 """,
     "fx_claims": """
 SELECT c_custkey AS claim_id, concat('{', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('"preferred_username":"user', CAST(c_custkey AS VARCHAR(20)), '",') END, '"sub":"s', CAST(c_custkey AS VARCHAR(20)), '"',
- CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat(',"realm_access":{"roles":["viewer"', CASE WHEN c_custkey % 2 = 0 THEN ',"workspace_admin"' ELSE '' END, ']}') END,
+ CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 13 = 4 THEN ',"realm_access":{"roles":"viewer"}' WHEN c_custkey % 13 = 6 THEN ',"realm_access":{"roles":["viewer",5]}'
+  WHEN c_custkey % 13 = 9 THEN ',"realm_access":"none"' WHEN c_custkey % 13 = 11 THEN ',"realm_access":{}'
+  ELSE concat(',"realm_access":{"roles":["viewer"', CASE WHEN c_custkey % 2 = 0 THEN ',"workspace_admin"' ELSE '' END, ']}') END,
  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ',"groups":["group1","group2"]' END, '}') AS claims FROM customer
 """,
 }

@@ -23,6 +23,15 @@ def last_activity(activity: DataFrame, key: str = "cluster_id", ts: str = "ts")
     return activity.groupBy(key).agg(F.max(ts).alias("last_activity_at"))
 
 
+def unknown_touches(activity: DataFrame, clusters: DataFrame, key: str = "cluster_id", id_col: str = "id") -> DataFrame:
+    """(key, touches): touches of clusters that the registry does not have, which a touch reports as not found (A4).
+
+    Touches are counted per cluster before they meet the registry.
+    """
+    counted = activity.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("touches"))
+    return counted.join(clusters.select(F.col(id_col).alias(key)), key, "left_anti")
+
+
 def status_merge(clusters: DataFrame, live: DataFrame, key: str = "id") -> DataFrame:
     """Registry rows with the live phase merged in.
 

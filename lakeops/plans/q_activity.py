@@ -103,6 +103,24 @@ def q_idle_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
         twice.select("id", F.col("desired_state").alias("desired_state_again")), "id")
 
 
+@query("unknown_touches", """
+SELECT cluster_id, count(*) AS touches FROM fx_activity
+WHERE cluster_id NOT IN (SELECT id FROM fx_clusters WHERE desired_state <> 'Stopped') GROUP BY cluster_id""")
+def q_unknown_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the stopped clusters have been taken out of the registry
+    clusters = fixture(spark, sf_dir, "fx_clusters").filter(F.col("desired_state") != "Stopped")
+    return V.unknown_touches(fixture(spark, sf_dir, "fx_activity"), clusters)
+
+
+@query("event_times", """
+SELECT f.event_id, CASE WHEN f.event_id % 10 IN (3, 4, 5) THEN NULL WHEN f.event_id % 10 = 6 THEN e.ts - INTERVAL 2 HOUR ELSE e.ts END AS seen_at
+FROM fx_event_times f JOIN events e ON e.event_id = f.event_id""")
+def q_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeops.streaming.streams import wall_clock_of
+    # as wall clock time in UTC, whatever zone the session has
+    return fixture(spark, sf_dir, "fx_event_times").select("event_id", wall_clock_of(X.parse_time_or_null(F.col("seen"))).alias("seen_at"))
+
+
 @query("cluster_events", """
 SELECT c.id AS cluster_id, c.cr_name, e.event_id, e.object, e.type, e.reason, e.message,
  CAST(COALESCE(e.cnt, 0) AS BIGINT) AS count, e.last_seen, COALESCE(lower(e.type) = 'warning', false) AS warning

@@ -17,7 +17,7 @@ BASE_CONF = {
 }
 DEFAULT_EXECUTORS = 1
 TAG_PREFIX = "lakeops/"
-REQUIRED_ROLE = "polaris_admin"
+REQUIRED_ROLE = "workspace_admin"
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeops.fixtures import fixture, table
@@ -196,17 +198,32 @@ def q_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Three cells over the whole events table: a temp view, an aggregate that
 # reads it, a failing cell, then a cell that still sees the view.
 SQL_CELLS = [
-    "CREATE OR REPLACE TEMP VIEW cell_events AS SELECT event_type, value FROM events",
-    "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM cell_events GROUP BY event_type "
+    "CREATE OR REPLACE TEMP VIEW {cells} AS SELECT event_type, value FROM {events}",
+    "SELECT event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,4))) AS total FROM {cells} GROUP BY event_type "
     "ORDER BY event_type",
-    "SELECT no_such_column FROM cell_events",
-    "SELECT count(*) AS big FROM cell_events WHERE value > 100",
+    "SELECT no_such_column FROM {cells}",
+    "SELECT count(*) AS big FROM {cells} WHERE value > 100",
 ]
 
 
-@query("run_sql_cells")
+@query("run_sql_cells", """
+WITH t AS (SELECT event_type, CAST(count(*) AS VARCHAR) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS VARCHAR) AS total FROM events GROUP BY event_type)
+SELECT 0 AS cell, 'result' AS type, '' AS columns, CAST(NULL AS INTEGER) AS row_no, CAST(NULL AS VARCHAR) AS cells
+UNION ALL SELECT 1, 'result', 'event_type,n,total', CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER), event_type || '|' || n || '|' || total FROM t
+UNION ALL SELECT 2, 'error', NULL, NULL, 'AnalysisException'
+UNION ALL SELECT 3, 'result', 'big', 0, CAST(count(*) AS VARCHAR) FROM events WHERE value > 100""")
 def q_run_sql_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lakeops.fixtures import load_tables
+    """The cells' frames taken apart: a row for each row of a result, and the kind of an error."""
     from lakeops.operators.cells import frames, run_sql_cells
-    load_tables(spark, sf_dir, ["events"])
-    return frames(spark, run_sql_cells(spark, SQL_CELLS))
+    names = {k: f"lakeops_{k}_{uuid.uuid4().hex[:12]}" for k in ("events", "cells")}
+    table(spark, sf_dir, "events").createOrReplaceTempView(names["events"])
+    try:
+        shown = frames(spark, run_sql_cells(spark, [c.format(**names) for c in SQL_CELLS]))
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+    body = F.from_json("text", "columns array<string>, rows array<array<string>>")
+    rows = shown.withColumn("r", F.when(F.col("type") == "result", body)).select(
+        "cell", "type", "text", "r.columns", F.posexplode_outer("r.rows").alias("row_no", "values"))
+    return rows.select("cell", "type", F.array_join("columns", ",").alias("columns"), "row_no", F.when(
+        F.col("type") == "error", F.regexp_extract("text", "^([A-Za-z]+)", 1)).otherwise(F.array_join("values", "|")).alias("cells"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +42,24 @@ def build_session(catalog_conf: dict[str, str] | None = None, master: str | None
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each Spark application.
+
+    Functions that run in workers refer to it by name, and a job may be started from a folder
+    where the workers cannot import it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_lakeops_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lakeops-package-")) / "lakeops.zip"   # the driver's: Spark hands it out
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    sc._lakeops_shipped = True
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh directory under the folder that ``spark.checkpoint.dir`` names.
 

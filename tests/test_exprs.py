@@ -100,14 +100,14 @@ def test_prefix_keys_and_prune_blank(spark):
 
 
 def test_claims(spark):
-    claims = ['{"preferred_username":"alice","sub":"s1","realm_access":{"roles":["polaris_admin","viewer"]}}',
+    claims = ['{"preferred_username":"alice","sub":"s1","realm_access":{"roles":["lake_admin","viewer"]}}',
               '{"sub":"s2","realm_access":{"roles":["other_role"]},"groups":["g1",2,"g2"]}',
-              '{"sub":"s3"}', '{"sub":"s4","realm_access":{"roles":["polaris_admin",1]}}',
-              '{"preferred_username":"","sub":"s5","realm_access":{"roles":["polaris_admin"]}}',
-              '{"sub":"s6","realm_access":{"roles":["polaris_admin",null]}}']
+              '{"sub":"s3"}', '{"sub":"s4","realm_access":{"roles":["lake_admin",1]}}',
+              '{"preferred_username":"","sub":"s5","realm_access":{"roles":["lake_admin"]}}',
+              '{"sub":"s6","realm_access":{"roles":["lake_admin",null]}}']
     df = spark.createDataFrame(list(enumerate(claims)), "claim_id long, claims string")
-    rows = {r.claim_id: r for r in principals_from_claims(df, "polaris_admin").collect()}
-    assert rows[0].status == "ok" and rows[0].username == "alice" and rows[0].roles == ["polaris_admin", "viewer"]
+    rows = {r.claim_id: r for r in principals_from_claims(df, "lake_admin").collect()}
+    assert rows[0].status == "ok" and rows[0].username == "alice" and rows[0].roles == ["lake_admin", "viewer"]
     assert rows[1].status == "missing_role" and rows[1].groups == ["g1", "g2"]
     assert rows[2].status.startswith("invalid:realm_access")
     assert rows[3].status == "invalid:roles contains non-string element"

@@ -53,17 +53,30 @@ def tree(spark, rows):
     return N.workspace_tree(df).collect()
 
 
-def test_tree_groups_and_sorts(spark):
-    t = tree(spark, [("n1", "", "/Reports/Q1"), ("n2", "", "/Reports/Q2"), ("n3", "", "/scratch")])
-    top = [(r.label, r.kind) for r in t if r.parent_id == ""]
-    assert top == [("Reports", "folder"), ("scratch", "notebook")]
-    assert sorted(r.label for r in t if r.parent_id == "dir:/Reports") == ["Q1", "Q2"]
-    t = tree(spark, [("n1", "", "/zeta"), ("n2", "", "/alpha"), ("n3", "", "/Folder/x")])
-    assert [r.label for r in t if r.parent_id == ""] == ["Folder", "alpha", "zeta"]
-    t = tree(spark, [("n1", "", "Loose"), ("n2", "", "/Bare")])
-    assert sorted(r.label for r in t) == ["Bare", "Loose"] and all(r.kind == "notebook" for r in t)
-    t = tree(spark, [("n1", "", "/A/file")])
-    assert [r.node_id for r in t if r.kind == "notebook"] == ["nb:n1"]
+def brute_tree(rows):
+    """Folder and notebook nodes by the rule: one folder for each proper prefix of a path, one leaf for each notebook."""
+    nodes = set()
+    for key, name, path in rows:
+        steps = [p for p in path.split("/") if p.strip()]
+        for d in range(1, len(steps)):
+            nodes.add(("dir:/" + "/".join(steps[:d]), "dir:/" + "/".join(steps[:d - 1]) if d > 1 else "", "folder", steps[d - 1], d))
+        label = name.strip() or (steps[-1] if steps else None)
+        nodes.add((f"nb:{key}", "dir:/" + "/".join(steps[:-1]) if len(steps) > 1 else "", "notebook", label, max(len(steps), 1)))
+    return nodes
+
+
+def test_tree_of_random_paths(spark):
+    import random
+    rnd = random.Random(21)
+    steps = ["ore", "Tin", "iron", "Zinc", "lead"]
+    rows = [(f"k{i}", rnd.choice(["", "  ", f"own {i}"]), rnd.choice(["", "/", "//"]) + "/".join(rnd.choices(steps, k=rnd.randint(1, 4))) + f"/leaf{i}")
+            for i in range(60)]
+    rows += [("flat", "", "lonely"), ("twin1", "", "/ore/same"), ("twin2", "", "/ore/same")]
+    got = tree(spark, rows)
+    assert {(r.node_id, r.parent_id, r.kind, r.label, r.depth) for r in got} == brute_tree(rows) and len(got) == len(brute_tree(rows))
+    for parent in {r.parent_id for r in got}:
+        shown = [(r.kind == "notebook", r.label.casefold()) for r in got if r.parent_id == parent]
+        assert shown == sorted(shown)
     assert tree(spark, []) == []
 
 
