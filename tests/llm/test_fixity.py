@@ -38,6 +38,30 @@ def test_damage_is_located(spark):
     assert found(other, records) == sorted(((f, o, i, {"missing": "extra"}.get(s, s)) for f, o, i, s in want), key=str)
 
 
+def test_a_replica_has_one_root_and_equal_ones_read_nothing_else(spark):
+    many = spark.range(3000).selectExpr("concat('file-', id % 700) as file", "(id div 700) * 100000 as offset", "id as record_id", "concat('c', id) as content")
+    first, second = X.tree(many), X.tree(many.repartition(5))
+    assert len(first) == X.levels_for() + 1 + X.NAME_DIGITS + 1
+    assert first[-1].count() == 1 and first[-1].first()["n"] == 3000 and first[-1].first()["hash"] == second[-1].first()["hash"]
+    counts = [level.count() for level in first[X.levels_for():]]
+    assert counts[0] == 700 and counts == sorted(counts, reverse=True) and counts[-2:] == [16, 1]
+    assert X.audit(first, second).count() == 0
+    other = X.tree(many.withColumn("content", F.when(F.col("record_id") == 1234, "changed").otherwise(F.col("content"))))
+    rows = X.audit(first, other).collect()
+    assert [(r["file"], r["offset"], r["record_id"], r["state"]) for r in rows] == [("file-534", 100000, 1234, "altered")]
+    # the branch down to it alone is read
+    bad = X._differ(first[-1], other[-1])
+    below = X._named(first[-2], bad, 0)
+    assert X._differ(below, X._named(other[-2], bad, 0)).count() == 1
+
+
+def test_pages_without_ids_are_spread(spark):
+    pages = spark.range(500).selectExpr("cast(null as long) as page_id", "concat('u', id) as url", "concat('h', id) as html")
+    records = X.warc_records(pages)
+    assert records.count() == 500 and records.select("file").distinct().count() > 300
+    assert found(records, X.warc_records(pages.repartition(7))) == []
+
+
 def test_only_differing_branches_are_read(spark):
     records = X.warc_records(spark.read.parquet(f"{SF}/pages.parquet"))
     tree = X.tree(records)
