@@ -3,9 +3,11 @@
 Every text gives a vector of transformed statistics:
   ln(1 + words), mean word length, ln(1 + symbols per 100 characters), and the square roots of the
   shares of repeated lines and of words in repeated three-word windows.
-Per (lang, source) the minimum covariance determinant (MCD) estimate is found by deterministic
-C-steps: start from medians and median deviations, keep the ``SHARE`` of the vectors with least distance, take
-their mean and covariance, and go on with the distances under those.  Then one reweighting step: mean and
+Per (lang, source) the minimum covariance determinant (MCD) estimate is found by C-steps: keep the ``SHARE`` of the vectors with
+least distance, take their mean and covariance, and go on with the distances under those.  They run from ``STARTS`` deterministic
+starts: medians with median deviations, the plain mean and covariance, and those of the ``FEW`` vectors with the least hashes.
+After ``FIRST_STEPS`` steps each group goes on from the start whose covariance has the least determinant, until the
+determinant of no group falls any more (``MOST_STEPS`` at most); the least one met counts.  Then one reweighting step: mean and
 covariance of all vectors within the ``INSIDE`` quantile of chi-squared with 5 degrees.  Each covariance of
 a kept part is made consistent with the normal distribution by its factor (:func:`consistency`).  Equal vectors count once, so
 copies of a text have no more weight than the text.  A text is rejected if its squared Mahalanobis distance is above
@@ -32,17 +34,20 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import SPACES, pin, words
 
 SYMBOLS = "#*$%&|<>"
 SHARE = 0.5
-STEPS = 4
+STARTS, FIRST_STEPS, MOST_STEPS = 3, 2, 20
+FEW = 24
+#: A determinant's logarithm that falls by less does not fall any more: the width of the order statistics' bins.
+LEAST_FALL = 1e-3
 #: The weight of the wider estimate, in vectors.
 LEAST = 100
-BINS = 16
+BINS = 64
 #: Quantiles of chi-squared with 5 degrees of freedom: of ``SHARE``, of the reweighting step (0.975) and of the cut (0.9999).
 CHI2_SHARE = 4.3515
 INSIDE, CHI2_INSIDE = 0.975, 12.8325
@@ -133,7 +138,6 @@ def _quantile(values: DataFrame, by: list[str], value: str, share: float, out: s
     Bins are ``BINS`` to a power of two; the upper edge of the bin is taken.
     """
     bin_ = F.ceil(F.log2(F.col(value) + 1e-6) * BINS)
-    from pyspark.sql import Window
     w = Window.partitionBy(*by)
     per = values.groupBy(*by, bin_.alias("_bin")).agg(F.count("*").alias("_n"))
     up = per.withColumn("_up", F.sum("_n").over(w.orderBy("_bin"))).withColumn("_all", F.sum("_n").over(w))
@@ -168,8 +172,8 @@ def _moments(rows: DataFrame, by: list[str], factor: float = 1.0) -> DataFrame:
     return out
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l10, l20, l21, ... of each covariance and r0 ..., one over its diagonal; drops the covariance.
+def _factor(moments: DataFrame, drop: bool = True) -> DataFrame:
+    """Adds the Cholesky factor l10, l20, l21, ... of each covariance and r0 ..., one over its diagonal; drops the covariance unless told not to.
 
     Without nulls or divisions, so that the generated code stays small.
     """
@@ -182,7 +186,13 @@ def _factor(moments: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             moments = (moments.withColumn(f"r{i}", F.pow(F.greatest(rest, F.lit(1e-9)), F.lit(-0.5))) if i == j
                        else moments.withColumn(f"l{i}{j}", rest * F.col(f"r{j}")))
-    return moments.drop(*[f"s{i}{j}" for i in range(p) for j in range(i, p)])
+    return moments.drop(*[f"s{i}{j}" for i in range(p) for j in range(i, p)]) if drop else moments
+
+
+def _determined(moments: DataFrame) -> DataFrame:
+    """Adds ``log_det``, the logarithm of each covariance's determinant."""
+    log_det = reduce(lambda a, b: a + b, [F.lit(-2.0) * F.log(f"r{i}") for i in range(len(STATS))])
+    return _factor(moments, drop=False).withColumn("log_det", log_det).select(*moments.columns, "log_det")
 
 
 def _distance(rows: DataFrame, out: str) -> DataFrame:
@@ -221,21 +231,55 @@ def _mixed(own: DataFrame, wider: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*GROUP, *[(share * F.col(c) + (1 - share) * F.col(f"_{c}")).alias(c) for c in names])
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """Per (lang, source): mean and Cholesky factor of the reweighted MCD estimate, mixed with the wider ones."""
-    by = list(KEYS)
-    vectors = pin(_levels(vectors), "mcd_vectors")
-    # start: medians and median absolute deviations
+def _starts(vectors: DataFrame, by: list[str]) -> DataFrame:
+    """The vectors with their squared distance ``_d2`` under each start ``_start``."""
     center = pin(_medians(vectors, by, [F.col(x) for x in STATS], "m"), "mcd_center")
     off = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(STATS)]
     spread = pin(_join(center, _medians(_join(vectors, center, by), by, [F.abs(v) for v in off], "d"), by), "mcd_spread")
     z = [v / F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOOR[i]) for i, v in enumerate(off)]
-    rows = _join(vectors, spread, by).withColumn("_d2", reduce(lambda a, b: a + b, [v * v for v in z]))
-    for _ in range(STEPS):
-        edge = pin(_quantile(rows, by, "_d2", SHARE, "_edge"), "mcd_edge")
-        kept = _join(rows.select(*by, *STATS, "_d2"), edge, by).filter(F.col("_d2") <= F.col("_edge"))
-        model = pin(_moments(kept, by, consistency(SHARE, CHI2_SHARE)), "mcd_model")
-        rows = _distance(_join(vectors, _factor(model), by), "_d2")
+    medians = _join(vectors, spread, by).withColumn("_d2", reduce(lambda a, b: a + b, [v * v for v in z]))
+    some = vectors.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(*STATS), *STATS))).filter(F.col("_at") <= FEW)
+    plain, few = (_distance(_join(vectors, _factor(pin(_moments(x, by), "mcd_start")), by), "_d2") for x in (vectors, some))
+    cols = [*by, *STATS, "_d2"]
+    return reduce(DataFrame.unionByName, [d.select(*cols).withColumn("_start", F.lit(i)) for i, d in enumerate((medians, plain, few))])
+
+
+def _step(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A C-step: the moments, with ``log_det``, of the ``SHARE`` of each group's rows with least ``_d2``."""
+    edge = pin(_quantile(rows, by, "_d2", SHARE, "_edge"), "mcd_edge")
+    kept = _join(rows.select(*by, *STATS, "_d2"), edge, by).filter(F.col("_d2") <= F.col("_edge"))
+    return pin(_determined(_moments(kept, by, consistency(SHARE, CHI2_SHARE))), "mcd_model")
+
+
+def least_determinant(vectors: DataFrame, by: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """The MCD model of each group, with ``log_det``, and the models of all steps (the first ones by ``_start`` too)."""
+    each, steps = [*by, "_start"], []
+    dealt = vectors.withColumn("_start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    rows = _starts(vectors, by)
+    for _ in range(FIRST_STEPS):
+        steps.append(_step(rows, each))
+        rows = _distance(_join(dealt, _factor(steps[-1].drop("log_det")), each), "_d2")
+    names = [*_model(), "log_det"]
+    best = pin(steps[-1].groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("log_det", "_start")).alias("x")).select(*by, "x.*"), "mcd_best")
+    for _ in range(MOST_STEPS):
+        rows = _distance(_join(vectors, _factor(best.drop("log_det")), by), "_d2")
+        model = _step(rows, by)
+        steps.append(model)
+        both = _join(model, best.select(*by, *[F.col(c).alias(f"_{c}") for c in names]), by)
+        fall = both.agg(F.max(F.col("_log_det") - F.col("log_det"))).first()[0]
+        better = F.col("log_det") < F.col("_log_det")
+        best = pin(both.select(*by, *[F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in names]), "mcd_best")
+        if fall is None or fall < LEAST_FALL:
+            break
+    return best, steps
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Per (lang, source): mean and Cholesky factor of the reweighted MCD estimate, mixed with the wider ones."""
+    by = list(KEYS)
+    vectors = pin(_levels(vectors), "mcd_vectors")
+    best, _ = least_determinant(vectors, by)
+    rows = _distance(_join(vectors, _factor(best.drop("log_det")), by), "_d2")
     # reweighting: all vectors within the quantile, not only the share
     model = _moments(rows.filter(F.col("_d2") <= CHI2_INSIDE), by, consistency(INSIDE, CHI2_INSIDE))
     sizes = vectors.groupBy(*by).agg(F.count("*").alias("n"))

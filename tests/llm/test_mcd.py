@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from llm_fixtures import docs, none, odd  # noqa: F401
 from lakeops.llm import mcd as M
 
@@ -51,7 +53,7 @@ def test_outliers_go_and_clean_texts_stay(spark):
 def test_odd_rows(odd, none):
     rows = M.judge(odd).collect()
     assert len(rows) == odd.count()
-    assert all(r["kept"] == (not r["base_failed"]) for r in rows)  # groups too small for an estimate
+    assert all(r["kept"] == (not r["base_failed"]) for r in rows)  # a few rows: judged by their plain mean and covariance
     kept = M.keep(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in rows)
     assert M.judge(none).count() == M.keep(none).count() == 0
@@ -96,3 +98,54 @@ def test_cut_is_a_quantile_and_not_fitted(spark):
     got = _judged(spark, rows + far)
     assert all(M.CUT < got[d]["distance"] and not got[d]["kept"] for d, *_ in far)
     assert all(got[d]["kept"] for d, *_ in rows)
+
+
+def _vectors(spark, rng, groups):
+    """Correlated normal vectors per group, 30 % of them far off in one direction."""
+    rows = []
+    for g, n in groups.items():
+        mix = rng.normal(size=(5, 5))
+        x = rng.normal(size=(n, 5)) @ mix
+        x[: int(0.3 * n)] += 25 * mix[0]
+        rows += [(2, "en", g, *map(float, v)) for v in x]
+    return spark.createDataFrame(rows, "_level int, lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
+
+
+def test_determinant_falls_and_converges_over_several_starts(spark):
+    rng = np.random.default_rng(9)
+    sizes = {"a": 400, "b": 150, "c": 60}
+    vectors = _vectors(spark, rng, sizes)
+    best, steps = M.least_determinant(vectors, list(M.KEYS))
+    first, second = ({(r["source"], r["_start"]): r["log_det"] for r in s.collect()} for s in steps[:2])
+    assert len(first) == 3 * M.STARTS and all(second[k] <= first[k] + M.LEAST_FALL for k in first)
+    assert max(first.values()) - min(first.values()) > 1   # the starts differ
+    found = {r["source"]: r for r in best.collect()}
+    later = [{r["source"]: r["log_det"] for r in s.collect()} for s in steps[2:]]
+    for g in sizes:
+        assert found[g]["log_det"] <= min(v for (s, _), v in second.items() if s == g)   # from the best start on
+        assert found[g]["log_det"] <= min(step[g] for step in later) + 1e-12
+        assert abs(later[-1][g] - found[g]["log_det"]) < 0.05 and len(later) < M.MOST_STEPS
+    # the determinant itself, of the estimate's covariance
+    for g, r in found.items():
+        cov = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        assert abs(np.linalg.slogdet(cov)[1] - r["log_det"]) < 1e-6
+
+
+def test_estimate_is_near_the_best_of_many_random_starts(spark):
+    """Against FAST-MCD with exact half samples and 60 random starts, in numpy."""
+    rng = np.random.default_rng(10)
+    vectors = _vectors(spark, rng, {"a": 300})
+    found = M.least_determinant(vectors, list(M.KEYS))[0].first()
+    x = np.array([[r[c] for c in M.STATS] for r in vectors.collect()])
+    factor, h, least = M.consistency(M.SHARE, M.CHI2_SHARE), len(x) // 2, np.inf
+    for _ in range(60):
+        pick = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(30):
+            mean, cov = pick.mean(axis=0), factor * np.cov(pick.T, bias=True) + np.diag(M.FLOOR)
+            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+            pick = x[np.argsort(d)[:h]]
+        least = min(least, np.linalg.slogdet(factor * np.cov(pick.T, bias=True) + np.diag(M.FLOOR))[1])
+    assert abs(found["log_det"] - least) < 0.3   # bins keep a few vectors more than half
+    clean = x[90:]
+    off = np.array([found[f"m{i}"] for i in range(5)]) - clean.mean(axis=0)
+    assert np.abs(off / clean.std(axis=0)).max() < 0.4   # and not between the clean vectors and the others
