@@ -121,7 +121,7 @@ class SpacelessIds:
                 return [t.id for t in model.tokenize(word.decode("latin-1").translate(_SIGNS))]
             return tokenizer.encode(word.decode(), add_special_tokens=False).ids
 
-        self.ids = Ids(encode, _lowered, "I")
+        self.ids = Ids(encode, _lowered, "I", MOST // 3)
 
     def __call__(self, text: str | None) -> bytes:
         return self.ids.of((text or "").encode().split())
