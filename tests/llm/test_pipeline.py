@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as C
+from llm_fixtures import SF, none, odd  # noqa: F401
 from lakeops.llm import packing
 from lakeops.llm.queries import tokenizer_path
 
@@ -37,3 +38,16 @@ def test_stages(spark, tmp_path):
     want = sum(len(x) // 4 + 1 for x in packing.token_bytes([r["text"] for r in masked.values()], tokenizer_path()))
     assert sum(r["length"] for r in packed) == want
     assert sum(r["length"] for r in C.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_odd_rows_go_through_the_stages(spark, odd, none):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns; and an empty table."""
+    import corpus_pipeline as C
+    for docs in (odd, none):
+        rows = docs
+        for name, stage in C.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            assert out.columns == docs.columns, name
+            rows = spark.createDataFrame(out.collect(), docs.schema)
+        packed = C.STAGES[-1][1](spark, rows, SF).collect()
+        assert {p["doc_id"] for p in packed} == {r["doc_id"] for r in rows.collect()}
