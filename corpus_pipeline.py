@@ -9,6 +9,11 @@ return the columns of ``documents``.
 3. benchmark decontamination: drops documents that contain a test item;
 4. PII: replaces personal data in the texts by the names of its kinds;
 5. packing: token windows of 2048, with the ids of every piece.
+
+Defined cases are those of the operators: null and empty texts fail the quality rules and go; null, repeated and tied
+doc_ids are rows like any other (null counts as the largest where the least id of a class stays, and of rows alike
+in id and text one stays); further columns, whatever their names, go through the first four stages
+unchanged; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
