@@ -7,15 +7,20 @@
    frequencies cover all documents, in a table of ``DF_BUCKETS`` hashed counts (a fixed size).
 2. Samples.  ICWS draws ``BANDS * ROWS`` shingles per document so that two documents draw
    the same with the probability of their weighted Jaccard similarity.
-3. Bands.  Texts that agree on all samples of a band meet in a bucket.  In a bucket each
-   text is paired with the first one and the ones just before it, so pairs grow with the
-   texts and not with their square; buckets are first dealt to ``SALT`` parts, whose
-   first texts then meet, so that no task gets a whole large bucket.
+3. Bands.  Texts that agree on all samples of a band meet in a bucket.  A first pass takes copies
+   together cheaply: each text is paired with the first one of its bucket and the ones just before it (pairs grow with the
+   texts, not with their square; buckets are dealt to ``SALT`` parts, whose first texts then meet), and of
+   these pairs the one with a text's least partner is verified.
 4. Verification.  A pair counts if its weighted Jaccard similarity, computed from the whole
-   texts, is at least ``THRESHOLD``.  Pairs with a text's least partner come first; of the
-   others only those between different classes remain to be computed.  A partner's text
+   texts, is at least ``THRESHOLD``.  A partner's text
    travels once per pair and the shared one once per ``GROUP`` pairs.
-5. Classes are the connected components of the verified pairs; equal texts are one vertex.
+5. The rest, without a cap.  In every bucket that still holds two classes, all pairs of texts of different classes
+   are looked at (:func:`settled`), each in the first band it shares.  A pair can only reach the threshold if it
+   shares one of the rarest shingles that make up 1 - ``THRESHOLD`` of each text's weight, so texts of
+   one template, whose shared part is common in the bucket, are not compared one by one.  Only links that
+   join two classes leave a task.  Buckets of over ``BLOCK`` bytes of text are cut into parts, and each pair of
+   parts is a task's work; this costs a copy of the bucket per part, for buckets of several classes only.
+6. Classes are the connected components of the verified pairs; equal texts are one vertex.
 
 At similarity 0.8 a pair misses all bands with probability (1 - 0.8^3)^12 = 0.0002.
 
@@ -41,6 +46,7 @@ DF_BUCKETS = 1 << 18
 SALT = 32
 BEFORE = 2
 GROUP = 256
+BLOCK = 8 << 20
 #: Pairs that agree on a smaller share of the samples are not computed: at similarity 0.8,
 #: 36 samples fall below with probability under 0.00001.
 LEAST_AGREE = 0.5
@@ -220,26 +226,32 @@ def _near(keys: DataFrame, by: list[str], before: int) -> DataFrame:
     return spread.mapInArrow(pair, "a binary, b binary")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs of vertices that meet in a bucket and agree on enough samples."""
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, band, vertex, mark, salt): the texts of each bucket; a byte of ``mark`` stands for each sample."""
 
     def bands(batches):
         import xxhash
         for batch in batches:
-            keys, vertices, marks = [], [], []
+            keys, numbers, vertices, marks = [], [], [], []
             for vertex, drawn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bits = np.frombuffer(drawn, "<u4")
                 mark = mix(bits.astype(np.uint64)).astype(np.uint8).tobytes()
                 for b in range(BANDS):
                     keys.append(xxhash.xxh3_64_intdigest(drawn[4 * ROWS * b:4 * ROWS * (b + 1)], b) - (1 << 63))
+                    numbers.append(b)
                     vertices.append(vertex)
                     marks.append(mark)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(vertices, pa.binary()),
-                                              pa.array(marks, pa.binary())], names=["key", "vertex", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()),
+                                              pa.array(vertices, pa.binary()), pa.array(marks, pa.binary())],
+                                             names=["key", "band", "vertex", "mark"])
 
     keyed = texts.filter("samples is not null").select("vertex", "samples").mapInArrow(
-        bands, "key long, vertex binary, mark binary")
-    salted = pin(keyed.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))), "icws_buckets")
+        bands, "key long, band int, vertex binary, mark binary")
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT)))
+
+
+def candidates(salted: DataFrame) -> DataFrame:
+    """Distinct pairs of neighbours in a bucket that agree on enough samples."""
     inside = _near(salted.select("key", "salt", "vertex", "mark"), ["key", "salt"], BEFORE)
     firsts = salted.groupBy("key", "salt").agg(F.min(F.struct("vertex", "mark")).alias("x")).select(
         "key", "x.vertex", "x.mark")
@@ -280,6 +292,115 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.mapInArrow(check, "a binary, b binary")
 
 
+def _linked(sets, comp: np.ndarray, side: np.ndarray, marks: np.ndarray, band: int) -> list[tuple[int, int]]:
+    """Pairs of texts that reach the threshold and join two classes, over all pairs of one block.
+
+    ``sets`` holds each text's (shingles, weights), ``comp`` its class, ``side`` its part (-1: all pairs count, else
+    only those of different parts), ``marks`` its samples.  Pairs that share a band before ``band`` are left to that.
+    """
+    sizes = np.array([len(s) for s, _ in sets])
+    starts = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    weight = np.concatenate([w for _, w in sets])
+    _, ids, times = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True, return_counts=True)
+    total = np.bincount(doc, weight, len(sets))
+    # the rarest shingles first; those from which on the rest of the text still weighs enough
+    order = np.lexsort((ids, times[ids], doc))
+    before = np.cumsum(weight[order]) - weight[order]
+    after = total[doc[order]] - (before - before[starts][doc[order]])
+    head = order[(after >= THRESHOLD * total[doc[order]] - 1e-6) & (times[ids[order]] > 1)]
+    head = head[np.lexsort((doc[head], ids[head]))]
+    begin = np.searchsorted(ids[head], ids[head])
+    mine = np.argsort(doc[head], kind="stable")
+    cut = np.searchsorted(doc[head][mine], np.arange(len(sets) + 1))
+    holders, bands = doc[head], marks.reshape(len(sets), BANDS, ROWS)
+    seen, own, out = np.zeros(len(sets), bool), np.zeros(len(times)), []
+    for d in range(1, len(sets)):
+        seen[:d] = False
+        for at in mine[cut[d]:cut[d + 1]].tolist():
+            seen[holders[begin[at]:at]] = True
+        near = np.flatnonzero(seen[:d])
+        near = near[(comp[near] != comp[d]) & ((side[near] != side[d]) | (side[near] < 0))]
+        near = near[np.minimum(total[near], total[d]) >= THRESHOLD * np.maximum(total[near], total[d]) - 1e-6]
+        near = near[(bands[near] == bands[d]).all(2).argmax(1) == band]
+        if not len(near):
+            continue
+        place = slice(starts[d], starts[d] + sizes[d])
+        own[ids[place]] = weight[place]
+        for c0 in range(0, len(near), 256):
+            some = near[c0:c0 + 256]
+            some = some[comp[some] != comp[d]]
+            if not len(some):
+                continue
+            ends = np.cumsum(sizes[some])
+            at = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - sizes[some]), sizes[some])
+            both = np.add.reduceat(np.minimum(own[ids[at]], weight[at]), ends - sizes[some])
+            for c in some[both >= THRESHOLD * (total[some] + total[d] - both) - 1e-9].tolist():
+                if comp[c] != comp[d]:
+                    out.append((c, d))
+                    comp[comp == comp[c]] = comp[d]
+        own[ids[place]] = 0
+    return out
+
+
+def settled(salted: DataFrame, labels: DataFrame, bodies: DataFrame, idf) -> DataFrame:
+    """Links (a, b) that join classes, over all pairs of every bucket that holds more than one class."""
+    rows = salted.join(several(salted), "key", "left_semi").join(labels, "vertex", "left").select(
+        "key", "band", "vertex", "mark", F.coalesce("label", "vertex").alias("label"))
+    rows = rows.join(bodies.select("vertex", F.octet_length("text").alias("n")), "vertex")
+    # of buckets with the same texts, that of the first band
+    mixed = (rows.groupBy("key", "band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("parts"),
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "vertex")).alias("y"))
+        .filter("low < high").groupBy("c", "x", "y").agg(F.min(F.struct("band", "key", "parts")).alias("m"))
+        .select("m.key", F.greatest("m.parts", F.lit(1)).alias("parts")))
+    part = F.pmod(F.xxhash64("vertex"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = rows.join(mixed, "key").select("key", "band", "vertex", "mark", "label", part.alias("part"), other).select(
+        "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "band", "part", "vertex",
+        "mark", "label")
+    work = dealt.join(bodies, "vertex").select("key", "p", "q", "band", "part", "vertex", "mark", "label", "text")
+
+    def links(held):
+        if len({x[4] for x in held}) < 2:
+            return []
+        names = {x[4]: i for i, x in enumerate(held)}
+        _, p, q = held[0][0]
+        pairs = _linked([x[5] for x in held], np.array([names[x[4]] for x in held]),
+                        np.array([x[1] if p != q else -1 for x in held]),
+                        np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1), held[0][6])
+        return [tuple(sorted((held[i][2], held[j][2]))) for i, j in pairs]
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()),
+                                           pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+
+    def check(batches):
+        held: list = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                key, p, q, band, part, vertex, mark, label, text = [c.to_pylist() for c in batch.slice(at, 64).columns]
+                split = [(t or "").encode().split() for t in text]
+                doc, shingle, weight = weighted_sets(split, idf.value)
+                cut = np.searchsorted(doc, np.arange(len(split) + 1))
+                for i in range(len(split)):
+                    group = key[i], p[i], q[i]
+                    if held and held[0][0] != group:
+                        yield batch_of(links(held))
+                        held = []
+                    own = shingle[cut[i]:cut[i + 1]].copy(), weight[cut[i]:cut[i + 1]].copy()
+                    held.append((group, part[i], vertex[i], mark[i], label[i], own, band[i]))
+        yield batch_of(links(held))
+
+    return work.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(check, "a binary, b binary")
+
+
+def several(salted: DataFrame) -> DataFrame:
+    """The keys of buckets with at least two texts."""
+    return salted.groupBy("key").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).filter(
+        "low < high").select("key")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(vertex, label): the least vertex that each linked vertex reaches.
 
@@ -314,19 +435,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     idf = spark.sparkContext.broadcast(word_idf(texts))
     drawn = pin(signatures(texts, idf), "icws_samples")
     vertices = drawn.groupBy("vertex").agg(F.min("doc").alias("doc"), F.first("samples").alias("samples"))
-    pairs = pin(candidates(vertices), "icws_pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    salted = pin(buckets(vertices), "icws_buckets")
+    pairs = pin(candidates(salted), "icws_pairs")
+    ends = salted.join(several(salted), "key", "left_semi").select("vertex").distinct()
     need = drawn.join(ends, "vertex", "left_semi").groupBy("vertex").agg(F.min("doc").alias("doc"))
     bodies = pin(texts.join(need, ["vertex", "doc"], "left_semi").select("vertex", "text").dropDuplicates(["vertex"]),
                  "icws_texts")
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = pin(verified(least, bodies, idf), "icws_verified")
     labels = components(links)
-    of = lambda end: labels.select(F.col("vertex").alias(end), F.col("label").alias(f"of_{end}"))
-    rest = (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-            .join(least, ["a", "b"], "left_anti"))
-    more = pin(verified(rest, bodies, idf), "icws_verified")
+    more = pin(settled(salted, labels, bodies, idf), "icws_verified")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     member = drawn.select("doc", "vertex").join(labels, "vertex", "left").select(
