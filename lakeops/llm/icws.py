@@ -292,11 +292,11 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.mapInArrow(check, "a binary, b binary")
 
 
-def _linked(sets, comp: np.ndarray, side: np.ndarray, marks: np.ndarray, band: int) -> list[tuple[int, int]]:
+def _linked(sets, comp: np.ndarray, side: np.ndarray, drawn: np.ndarray, band: int) -> list[tuple[int, int]]:
     """Pairs of texts that reach the threshold and join two classes, over all pairs of one block.
 
     ``sets`` holds each text's (shingles, weights), ``comp`` its class, ``side`` its part (-1: all pairs count, else
-    only those of different parts), ``marks`` its samples.  Pairs that share a band before ``band`` are left to that.
+    only those of different parts), ``drawn`` its samples.  Pairs that share a band before ``band`` are left to that.
     """
     sizes = np.array([len(s) for s, _ in sets])
     starts = np.cumsum(sizes) - sizes
@@ -313,7 +313,7 @@ def _linked(sets, comp: np.ndarray, side: np.ndarray, marks: np.ndarray, band: i
     begin = np.searchsorted(ids[head], ids[head])
     mine = np.argsort(doc[head], kind="stable")
     cut = np.searchsorted(doc[head][mine], np.arange(len(sets) + 1))
-    holders, bands = doc[head], marks.reshape(len(sets), BANDS, ROWS)
+    holders, bands = doc[head], drawn.reshape(len(sets), BANDS, ROWS)
     seen, own, out = np.zeros(len(sets), bool), np.zeros(len(times)), []
     for d in range(1, len(sets)):
         seen[:d] = False
@@ -346,7 +346,7 @@ def _linked(sets, comp: np.ndarray, side: np.ndarray, marks: np.ndarray, band: i
 def settled(salted: DataFrame, labels: DataFrame, bodies: DataFrame, idf) -> DataFrame:
     """Links (a, b) that join classes, over all pairs of every bucket that holds more than one class."""
     rows = salted.join(several(salted), "key", "left_semi").join(labels, "vertex", "left").select(
-        "key", "band", "vertex", "mark", F.coalesce("label", "vertex").alias("label"))
+        "key", "band", "vertex", F.coalesce("label", "vertex").alias("label"))
     rows = rows.join(bodies.select("vertex", F.octet_length("text").alias("n")), "vertex")
     # of buckets with the same texts, that of the first band
     mixed = (rows.groupBy("key", "band").agg(
@@ -356,10 +356,10 @@ def settled(salted: DataFrame, labels: DataFrame, bodies: DataFrame, idf) -> Dat
         .select("m.key", F.greatest("m.parts", F.lit(1)).alias("parts")))
     part = F.pmod(F.xxhash64("vertex"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    dealt = rows.join(mixed, "key").select("key", "band", "vertex", "mark", "label", part.alias("part"), other).select(
+    dealt = rows.join(mixed, "key").select("key", "band", "vertex", "label", part.alias("part"), other).select(
         "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "band", "part", "vertex",
-        "mark", "label")
-    work = dealt.join(bodies, "vertex").select("key", "p", "q", "band", "part", "vertex", "mark", "label", "text")
+        "label")
+    work = dealt.join(bodies, "vertex").select("key", "p", "q", "band", "part", "vertex", "samples", "label", "text")
 
     def links(held):
         if len({x[4] for x in held}) < 2:
@@ -368,7 +368,7 @@ def settled(salted: DataFrame, labels: DataFrame, bodies: DataFrame, idf) -> Dat
         _, p, q = held[0][0]
         pairs = _linked([x[5] for x in held], np.array([names[x[4]] for x in held]),
                         np.array([x[1] if p != q else -1 for x in held]),
-                        np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1), held[0][6])
+                        np.frombuffer(b"".join(x[3] for x in held), "<u4").reshape(len(held), -1), held[0][6])
         return [tuple(sorted((held[i][2], held[j][2]))) for i, j in pairs]
 
     def batch_of(out):
@@ -379,7 +379,7 @@ def settled(salted: DataFrame, labels: DataFrame, bodies: DataFrame, idf) -> Dat
         held: list = []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                key, p, q, band, part, vertex, mark, label, text = [c.to_pylist() for c in batch.slice(at, 64).columns]
+                key, p, q, band, part, vertex, drawn, label, text = [c.to_pylist() for c in batch.slice(at, 64).columns]
                 split = [(t or "").encode().split() for t in text]
                 doc, shingle, weight = weighted_sets(split, idf.value)
                 cut = np.searchsorted(doc, np.arange(len(split) + 1))
@@ -389,7 +389,7 @@ def settled(salted: DataFrame, labels: DataFrame, bodies: DataFrame, idf) -> Dat
                         yield batch_of(links(held))
                         held = []
                     own = shingle[cut[i]:cut[i + 1]].copy(), weight[cut[i]:cut[i + 1]].copy()
-                    held.append((group, part[i], vertex[i], mark[i], label[i], own, band[i]))
+                    held.append((group, part[i], vertex[i], drawn[i], label[i], own, band[i]))
         yield batch_of(links(held))
 
     return work.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(check, "a binary, b binary")
@@ -438,8 +438,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     salted = pin(buckets(vertices), "icws_buckets")
     pairs = pin(candidates(salted), "icws_pairs")
     ends = salted.join(several(salted), "key", "left_semi").select("vertex").distinct()
-    need = drawn.join(ends, "vertex", "left_semi").groupBy("vertex").agg(F.min("doc").alias("doc"))
-    bodies = pin(texts.join(need, ["vertex", "doc"], "left_semi").select("vertex", "text").dropDuplicates(["vertex"]),
+    need = drawn.join(ends, "vertex", "left_semi").groupBy("vertex").agg(
+        F.min("doc").alias("doc"), F.first("samples").alias("samples"))
+    bodies = pin(texts.join(need, ["vertex", "doc"]).select("vertex", "text", "samples").dropDuplicates(["vertex"]),
                  "icws_texts")
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = pin(verified(least, bodies, idf), "icws_verified")
