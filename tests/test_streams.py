@@ -215,3 +215,35 @@ def test_idle_due_follows_registry_changes(spark):
         assert {r.cluster_id for r in S.current(spark, out, ["cluster_id"]).filter("due").collect()} == due
     for k in I.STATE_STORE:
         spark.conf.unset(k)
+
+
+def test_idle_due_keeps_one_state_for_many_clusters(spark):
+    # text ids, one row without an id, one row twice; clusters 0, 5, 10... are touched
+    m = lambda x: T0 + dt.timedelta(minutes=x)
+    rows = [(f"c{i}", "Stopped" if i % 7 == 0 else "Running", i % 11 == 0, f'{{"idle_minutes": {i % 90}}}', m(i % 4) if i % 13 else None)
+            for i in range(300)] + [(None, "Running", False, '{"idle_minutes": 20}', T0)]
+    schema = "id string, desired_state string, pinned boolean, config string, created_at timestamp_ntz"
+    registry = spark.createDataFrame(rows, schema)
+    out = shared_dir(spark, "test_idle_parts")
+    feed = f"{out}/feed"
+    before = {k: spark.conf.get(k, None) for k in I.STATE_STORE}
+    for k, v in I.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        for touches, now in [([(f"c{i}", m(i % 60)) for i in range(0, 310, 5)] + [(None, m(50)), ("c5", None)], 45),
+                             ([("c5", m(70)), ("c1", m(71)), ("c299", m(72))], 100)]:
+            spark.createDataFrame(touches, "cluster_id string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(feed)
+            S.write_tick(spark, f"{out}/ticks", F.lit(m(now)))
+            stream = I.stream_idle_due(spark.readStream.schema("cluster_id string, ts timestamp_ntz").parquet(feed),
+                                       registry.union(registry.limit(1)), S.tick_stream(spark, f"{out}/ticks"), parts=8)
+            S.run_to_log(stream, out)
+            batch = V.idle_due(registry, V.last_activity(spark.read.parquet(feed)), F.lit(m(now)))
+            got = sorted((str(r.cluster_id), r.last_activity_at, r.idle_minutes)
+                         for r in S.current(spark, out, ["cluster_id"]).filter("due").collect())
+            assert got == sorted((str(r.id), r.last_activity_at, r.idle_minutes) for r in batch.collect()), now
+        held = spark.read.format("statestore").option("stateVarName", "clusters").load(f"{out}/checkpoint")
+        sizes = [len(r[0]) for r in held.select("value.id").collect()]
+        assert len(sizes) == 9 and sum(sizes) == 303            # 8 parts and the row without an id; c300 and c305 are not in the registry
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
